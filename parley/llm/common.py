@@ -11,7 +11,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Bytes of text that one call of a batch function gets at most (one text may be longer).
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
+#: Bytes of an Arrow batch between the JVM and Python at most (one row may be larger).
+BATCH_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -64,13 +66,17 @@ def map_texts(
     make: Callable[[], Callable[[pa.RecordBatch], dict[str, list]]],
     added: T.StructType,
     keep: int,
+    limit: int = SLICE_BYTES,
 ) -> DataFrame:
     """Apply a batch function to ``columns``, of which the last is the text.
 
     ``make()`` runs once in each Python worker's partition and gives the batch
     function; that returns the added columns.  The first ``keep`` columns pass
-    through unchanged.
+    through unchanged.  ``limit``: the bytes of text a call gets, see SLICE_BYTES.
+    The session's Arrow batches are held to BATCH_BYTES, so that a worker's memory
+    doesn't depend on the length of the texts.
     """
+    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     source = docs.select(*columns)
     schema = T.StructType([*source.schema.fields[:keep], *added.fields])
     kept, last = source.columns[:keep], len(columns) - 1
@@ -79,7 +85,7 @@ def map_texts(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         call = make()
         for batch in batches:
-            for part in slices(batch, last):
+            for part in slices(batch, last, limit):
                 out = call(part)
                 arrays = [part.column(i) for i in range(keep)] + [pa.array(out[n], t) for n, t in fields]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*kept, *(n for n, _ in fields)])

@@ -30,6 +30,8 @@ BLOCK = 192
 #: WAVE format tags.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = ("mulaw", "alaw", "adpcm")
+#: Bytes of codes that are decoded at once: PCM and sums take some forty times that.
+AT_ONCE = 1 << 20
 
 #: The step sizes and index changes of IMA ADPCM.
 STEPS = [
@@ -170,7 +172,7 @@ def store(df: DataFrame, payload: Column, *ids: Column, codec: str | None = None
 
         return call
 
-    return map_texts(df, [*ids, payload.alias("_payload")], make, added, len(ids))
+    return map_texts(df, [*ids, payload.alias("_payload")], make, added, len(ids), AT_ONCE)
 
 
 DECODED = T.StructType(
@@ -243,7 +245,7 @@ def decode(df: DataFrame, media: Column, *ids: Column, keep: tuple[str, ...] = (
 
         return call
 
-    return map_texts(df, [*ids, media.alias("_media")], make, added, len(ids))
+    return map_texts(df, [*ids, media.alias("_media")], make, added, len(ids), AT_ONCE)
 
 
 def features(decoded: DataFrame) -> Column:
