@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import quality, secrets, telephony
+from parley.llm import langid, quality, secrets, telephony, toxicity
 from parley.llm.common import crc_bucket, labelled_sample, table
 
 TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: At most so many labelled rows of each label value are used to fit a classifier.
 FIT_ROWS = 2500
+#: About so many training texts of each language are used to fit the language model.
+FIT_TEXTS = 300
 
 
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,6 +26,24 @@ def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", telephony.features(read).alias("feature"))
 
 
+def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = labelled_sample(docs, table(spark, sf_dir, "labels"), "toxic", crc_bucket(F.col("doc_id"), 5) != 0, FIT_ROWS)
+    model = toxicity.fit([t for t, _ in rows], [y for _, y in rows])
+    scored = toxicity.score(docs, F.col("text"), F.col("doc_id"), model=model)
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "n_clauses", "spans")
+
+
+def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = langid.sample(docs, crc_bucket(F.col("doc_id"), 5) != 0, FIT_TEXTS)
+    model = langid.fit([t for t, _ in rows], [lang for _, lang in rows])
+    found = langid.identify(docs, F.col("text"), F.col("doc_id"), model=model)
+    held_out = F.coalesce(crc_bucket(F.col("doc_id"), 5) == 0, F.lit(False))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, F.col("text"), F.col("doc_id"), vocabulary_path=VOCABULARY)
@@ -57,6 +77,6 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op9_secret_scan, op10_quality_pu)
+    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op9_secret_scan, op10_quality_pu)
 }
 ORACLES: dict[str, str] = {}
