@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import langid, quality, secrets, telephony, toxicity
+from parley.llm import langid, neardup, quality, secrets, telephony, toxicity
 from parley.llm.common import crc_bucket, labelled_sample, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -44,6 +44,10 @@ def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.join(table(spark, sf_dir, "documents"))
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, F.col("text"), F.col("doc_id"), vocabulary_path=VOCABULARY)
@@ -77,6 +81,6 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op9_secret_scan, op10_quality_pu)
+    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op6_ngram_jaccard, op9_secret_scan, op10_quality_pu)
 }
 ORACLES: dict[str, str] = {}
