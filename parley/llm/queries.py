@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import langid, neardup, quality, secrets, telephony, toxicity
+from parley.llm import decontam, langid, neardup, quality, secrets, telephony, toxicity
 from parley.llm.common import crc_bucket, labelled_sample, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -48,6 +48,18 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))
 
 
+def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("items").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, F.col("text"), F.col("doc_id"), vocabulary_path=VOCABULARY)
@@ -81,6 +93,6 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op6_ngram_jaccard, op9_secret_scan, op10_quality_pu)
+    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op6_ngram_jaccard, op7_winnowing, op9_secret_scan, op10_quality_pu)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op7_winnowing": decontam.ORACLE}
