@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontam, langid, neardup, quality, secrets, telephony, toxicity
+from parley.llm import decontam, langid, neardup, pii, quality, secrets, telephony, toxicity
 from parley.llm.common import crc_bucket, labelled_sample, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -44,6 +44,18 @@ def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def _is(k: int) -> Callable:
+    return lambda x: x == k
+
+
+def op5_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.detect(table(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"))
+    kinds = F.transform("base", lambda x: x["kind"])
+    counts = [F.size(F.filter(kinds, _is(k))).cast("bigint").alias(f"n_{name}") for k, name in enumerate(pii.BASE)]
+    digest = F.sha2(pii.rendered(F.col("base")).cast("binary"), 256).alias("base_sha256")
+    return found.select("doc_id", *counts, digest, pii.rendered(F.concat("base", "added")).alias("spans"))
+
+
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.join(table(spark, sf_dir, "documents"))
 
@@ -93,6 +105,6 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op6_ngram_jaccard, op7_winnowing, op9_secret_scan, op10_quality_pu)
+    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op9_secret_scan, op10_quality_pu)
 }
 ORACLES: dict[str, str] = {"op7_winnowing": decontam.ORACLE}
