@@ -19,7 +19,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -148,9 +148,11 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, lift: floa
     dropped where a shorter beginning already qualifies.
     """
     n = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
-    sets = [set(WORD.findall(t.lower())) for t in texts]
 
-    def chosen(items: list[set[str]]) -> dict[str, float]:
+    def sets() -> Iterator[set[str]]:
+        return (set(WORD.findall(t.lower())) for t in texts)
+
+    def chosen(items: Iterator[set[str]]) -> dict[str, float]:
         seen = Counter(), Counter()
         for s, y in zip(items, toxic):
             seen[y].update(s)
@@ -161,8 +163,8 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, lift: floa
                 out[w] = float(np.log(rate))
         return out
 
-    words = chosen(sets)
-    prefixes = chosen([{w[:k] for w in s if w not in words for k in PREFIXES if len(w) > k} for s in sets])
+    words = chosen(sets())
+    prefixes = chosen({w[:k] for w in s if w not in words for k in PREFIXES if len(w) > k} for s in sets())
     kept = {p: v for p, v in prefixes.items() if not any(p[:k] in prefixes for k in PREFIXES if k < len(p))}
     return Lexicon(words, kept)
 
