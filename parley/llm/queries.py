@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontam, langid, neardup, pii, quality, secrets, telephony, toxicity
+from parley.llm import decontam, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity
 from parley.llm.common import crc_bucket, labelled_sample, table
 
 TOKENIZERS = "/opt/tokenizers"
+PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: At most so many labelled rows of each label value are used to fit a classifier.
 FIT_ROWS = 2500
@@ -44,6 +45,10 @@ def op3_language_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score", F.size("spans").cast("long").alias("n_spans"))
 
 
+def op4_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup(table(spark, sf_dir, "documents"))
+
+
 def _is(k: int) -> Callable:
     return lambda x: x == k
 
@@ -72,6 +77,10 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.encode(table(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"), model_path=PIECES, keep=())
+
+
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return secrets.scan(docs, F.col("text"), F.col("doc_id"), vocabulary_path=VOCABULARY)
@@ -105,6 +114,6 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op9_secret_scan, op10_quality_pu)
+    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op4_sentence_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op8_sentencepiece, op9_secret_scan, op10_quality_pu)
 }
 ORACLES: dict[str, str] = {"op7_winnowing": decontam.ORACLE}
