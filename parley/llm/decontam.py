@@ -68,10 +68,14 @@ def fingerprints(df: DataFrame, k: int, w: int) -> DataFrame:
     return _spread(df, "kept", "kept", w, lambda x, y: F.least(x, y))
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc_id, k1, k2, words): k1 and k2 tell texts of one id apart."""
+def text_keys(id_col: str, text_col: str) -> list[Column]:
+    """k1 and k2: 128 bits that stand for a document's id and text, so that texts of one id are told apart."""
     i, t = F.col(id_col), F.col(text_col)
-    return docs.select(i.alias("doc_id"), F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2"), words(t).alias("words"))
+    return [F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2")]
+
+
+def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(F.col(id_col).alias("doc_id"), *text_keys(id_col, text_col), words(F.col(text_col)).alias("words"))
 
 
 def item_windows(items: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
@@ -125,10 +129,12 @@ def contamination(
     item_text_col: str = "text",
     window: int = WINDOW,
     broadcast_rows: int = BROADCAST_ROWS,
+    keys: bool = False,
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items): for each document its words, its words within shared windows, and the items they occur in.
 
     A row for each row of ``docs``; ``items`` is a sorted array of ids as strings.
+    With ``keys``, also the columns k1 and k2 of ``text_keys``.
     """
     keyed = _keyed(docs, id_col, text_col)
     windows = item_windows(items, item_col, item_text_col, window)
@@ -154,6 +160,7 @@ def contamination(
     places = F.flatten(F.transform("_at", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
     whole = whole.select(
         "doc_id",
+        *(("k1", "k2") if keys else ()),
         F.col("n_words").cast("bigint").alias("n_words"),
         F.size(F.array_distinct(places)).cast("bigint").alias("n_hit"),
         F.array_sort("_items").alias("items"),
