@@ -11,8 +11,8 @@ are removed.
 Because runs start at every sentence and end at every sentence, a repeated passage of
 several sentences is covered from its first whole sentence to its last.
 
-Null texts stay null, empty ones empty; a sentence without words belongs to the
-sentence before it.  Rows equal in id and text are one document and get one result;
+Null texts stay null, empty ones empty; white space belongs to the sentence after it.
+Words are what white space separates, compared in lower case.  Rows equal in id and text are one document and get one result;
 different texts of one id are kept apart.
 """
 
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -30,70 +31,95 @@ from parley.llm.common import map_texts
 
 SEVERAL, LEAST = 2, 20
 LONG, PIECE = 40, 20
-SEPARATOR = re.compile(r"(?<=[.!?])[ \t]+|\s*\n\s*")
-WORD = re.compile(r"\w+")
+END = re.compile(r"[.!?]+(?=\s)|\n")
+WORD = re.compile(r"\S+")
+#: A run has at most LEAST sentences, so its length fits these bits beside its first sentence.
+RUN_BITS = 6
+#: Odd factors of the two hashes of a run of sentence hashes.
+FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def sentences(text: str) -> list[tuple[int, int, str]]:
-    """(start, number of words, normal form) of each sentence with words."""
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence: what white space alone fills is none."""
     out = []
     at = 0
-    for end, after in [*(m.span() for m in SEPARATOR.finditer(text)), (len(text), len(text))]:
+    ends = [m.end() for m in END.finditer(text)]
+    ends.append(len(text))
+    for end in ends:
         if end > at:
-            words = WORD.findall(text[at:end].lower())
-            if len(words) > LONG:
-                places = [m.start() for m in WORD.finditer(text[at:end])]
-                for k in range(0, len(places), PIECE):
-                    piece = words[k : k + PIECE]
-                    out.append((at + (places[k] if k else 0), len(piece), " ".join(piece)))
-            elif words:
-                out.append((at, len(words), " ".join(words)))
-        at = after
+            part = text[at:end]
+            # only a part with so much white space can have too many words
+            if end - at > 2 * LONG and len(part.split()) > LONG:
+                places = [m.start() for m in WORD.finditer(part)][::PIECE]
+                cuts = [at, *(at + p for p in places[1:]), end]
+                out += zip(cuts[:-1], cuts[1:])
+            elif not part.isspace():
+                out.append((at, end))
+            at = end
     return out
 
 
-def runs(sizes: list[int]) -> list[tuple[int, int]]:
+def runs(sizes: list[int]) -> tuple[np.ndarray, np.ndarray]:
     """The distinct (first, past the last) sentences of the shortest runs from and up to each sentence, in order."""
     n = len(sizes)
-    total = [0]
-    for s in sizes:
-        total.append(total[-1] + s)
-    found = []
-    a = 0
-    for b in range(1, n + 1):  # the latest start of a run up to b
-        while a + 1 <= b - SEVERAL and total[b] - total[a + 1] >= LEAST:
-            a += 1
-        if b - a >= SEVERAL and total[b] - total[a] >= LEAST:
-            found.append((a, b))
-    b = 0
-    for a in range(n):  # the earliest end of a run from a
-        b = max(b, a + SEVERAL)
-        while b <= n and total[b] - total[a] < LEAST:
-            b += 1
-        if b > n:
-            break
-        found.append((a, b))
-    return sorted(set(found))
+    total = np.concatenate([[0], np.cumsum(np.asarray(sizes, dtype=np.int64))])
+    at = np.arange(n + 1)
+    first = np.minimum(np.searchsorted(total, total - LEAST, side="right") - 1, at - SEVERAL)  # the latest start of a run up to here
+    last = np.maximum(np.searchsorted(total, total + LEAST, side="left"), at + SEVERAL)  # the earliest end of a run from here
+    up, on = first >= 0, last <= n
+    pairs = np.unique(np.concatenate([first[up] * (n + 1) + at[up], at[on] * (n + 1) + last[on]]))
+    return pairs // (n + 1), pairs % (n + 1)
+
+
+class Powers:
+    """Powers of an odd number modulo 2**64, and of its inverse, as far as asked for."""
+
+    def __init__(self, factor: int):
+        self.factor, self.inverse = factor, pow(factor, -1, 1 << 64)
+        self.up = self.down = np.ones(1, dtype=np.uint64)
+
+    def to(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        if len(self.up) < n:
+            size = max(n, 1024)
+            self.up, self.down = (np.full(size, f, dtype=np.uint64) for f in (self.factor, self.inverse))
+            for powers in (self.up, self.down):
+                powers[0] = 1
+                np.cumprod(powers, out=powers)
+        return self.up[:n], self.down[:n]
+
+
+def run_hash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, powers: Powers) -> np.ndarray:
+    """A 64-bit hash of each run's sentence hashes, in order."""
+    up, down = powers.to(len(hashes) + 1)
+    sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(hashes * up[1:], dtype=np.uint64)])
+    mixed = (sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64)
+    return (mixed ^ (mixed >> np.uint64(29))) * np.uint64(FACTORS[1])
 
 
 def _hashed(docs: DataFrame, text: Column, *ids: Column) -> DataFrame:
-    """(ids, h, c, a, b): each run's 64-bit hash, 32 check bits, first sentence and the one past its last."""
-    ints = T.ArrayType(T.IntegerType())
-    added = T.StructType(
-        [T.StructField("h", T.ArrayType(T.LongType())), T.StructField("c", ints), T.StructField("a", ints), T.StructField("b", ints)]
-    )
+    """(ids, h, x): each run's 64-bit hash, and 32 check bits above its first sentence and length."""
+    longs = T.ArrayType(T.LongType())
+    added = T.StructType([T.StructField("h", longs), T.StructField("x", longs)])
 
     def make():
+        powers = [Powers(f) for f in FACTORS]
+
         def call(part: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {"h": [], "c": [], "a": [], "b": []}
+            out: dict[str, list] = {"h": [], "x": []}
             for text in part.column(part.num_columns - 1).to_pylist():
-                forms = sentences(text) if text else []
-                found = runs([n for _, n, _ in forms])
-                digests = [xxhash.xxh3_128_digest("\n".join([f for *_, f in forms[a:b]])) for a, b in found]
-                out["h"].append([int.from_bytes(d[:8], "little", signed=True) for d in digests])
-                out["c"].append([int.from_bytes(d[8:12], "little", signed=True) for d in digests])
-                out["a"].append([a for a, _ in found])
-                out["b"].append([b for _, b in found])
+                low = (text or "").lower()
+                text = low if text and len(low) == len(text) else text
+                words = [text[s:e].split() for s, e in sentences(text)] if text else []
+                a, b = runs(list(map(len, words)))
+                if not len(a):
+                    out["h"].append([])
+                    out["x"].append([])
+                    continue
+                hashes = np.fromiter((xxhash.xxh3_64_intdigest(" ".join(w)) for w in words), dtype=np.uint64, count=len(words))
+                h, check = (run_hash(hashes, a, b, p) for p in powers)
+                place = (a.astype(np.uint64) << np.uint64(RUN_BITS)) | (b - a).astype(np.uint64)
+                out["h"].append(h.view(np.int64))
+                out["x"].append(((check & np.uint64(0xFFFFFFFF00000000)) | place).view(np.int64))
             return out
 
         return call
@@ -112,13 +138,14 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tag = F.hash(F.col(text_col)).alias("tag")
     spans = _hashed(docs, F.col(text_col), F.col(id_col).alias("doc_id"), tag)
     seen = spans.select(F.explode("h").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h")
-    each = spans.select("doc_id", "tag", F.explode(F.arrays_zip("h", "c", "a", "b")).alias("x")).select("doc_id", "tag", "x.*")
+    each = spans.select("doc_id", "tag", F.explode(F.arrays_zip("h", "x")).alias("s")).select("doc_id", "tag", "s.h", "s.x")
     each = each.join(seen, F.col("h") == F.col("_h"), "left_semi")
-    place = F.struct("doc_id", "tag", "a")
+    each = each.select("doc_id", "tag", "h", F.shiftright("x", 32).alias("c"), F.col("x").bitwiseAND(0xFFFFFFFF).alias("p"))
+    place = F.struct("doc_id", "tag", "p")
     first = each.groupBy("h", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = first.select(F.col("h").alias("_h"), F.col("c").alias("_c"), "first")
     later = each.join(first, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "tag").agg(F.collect_set(F.struct("a", "b")).alias("drop"))
+    return later.groupBy("doc_id", "tag").agg(F.collect_set("p").alias("drop"))
 
 
 REMOVED = T.StructType(
@@ -132,21 +159,23 @@ REMOVED = T.StructType(
 )
 
 
-def without(text: str | None, drop: list[dict]) -> tuple[int, int, int, str, str | None]:
+def without(text: str | None, drop: list[int]) -> tuple[int, int, int, str, str | None]:
     """The columns of REMOVED for a text; ``removed`` lists code point ranges start:end."""
-    forms = sentences(text) if text else []
-    gone = {i for x in drop for i in range(x["a"], x["b"])}
+    low = (text or "").lower()
+    found = sentences(low if text and len(low) == len(text) else text) if text else []
+    gone = {i for p in drop for i in range(p >> RUN_BITS, (p >> RUN_BITS) + (p & ((1 << RUN_BITS) - 1)))}
     if not gone:
-        return len(forms), 0, 0, "", text
-    edges = [s for s, *_ in forms] + [len(text)]
-    kept = [text[: edges[0]]] + [text[edges[i] : edges[i + 1]] for i in range(len(forms)) if i not in gone]
+        return len(found), 0, 0, "", text
+    edges = [s for s, _ in found] + [len(text)]
+    kept = [text[: edges[0]]] + [text[edges[i] : edges[i + 1]] for i in range(len(found)) if i not in gone]
     ranges: list[list[int]] = []
     for i in sorted(gone):
         if ranges and ranges[-1][1] == edges[i]:
             ranges[-1][1] = edges[i + 1]
         else:
             ranges.append([edges[i], edges[i + 1]])
-    return len(forms), len(gone), sum(forms[i][1] for i in gone), ",".join(f"{a}:{b}" for a, b in ranges), "".join(kept).rstrip()
+    words = sum(len(text[edges[i] : edges[i + 1]].split()) for i in gone)
+    return len(found), len(gone), words, ",".join(f"{a}:{b}" for a, b in ranges), "".join(kept).strip()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
