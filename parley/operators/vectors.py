@@ -43,7 +43,11 @@ class DeterministicEmbedder:
     def buckets(self, text: Column) -> Column:
         """The bucket of each term, by built-in functions."""
         terms = F.filter(F.split(text, r"(?U)\s+"), lambda t: t != "")
-        whole = lambda t: F.conv(F.hex(F.reverse(F.unhex(F.left(F.sha2(t, 256), F.lit(16))))), 16, 10).cast("decimal(20,0)")
+
+        def whole(t: Column) -> Column:
+            digest = F.sha2(t, 256)
+            return F.conv(F.concat(*(F.substring(digest, 2 * k + 1, 2) for k in range(7, -1, -1))), 16, 10).cast("decimal(20,0)")
+
         return F.transform(terms, lambda t: (whole(t) % self.dimension).cast("int"))
 
     def embed(self, text: Column) -> Column:

@@ -52,7 +52,7 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
 
 def _first_bad_line(spark: SparkSession, path: str, parsed: T.StructType, needed: list[str]) -> int:
     """The number of the first bad line; only asked for once there is one, and read in the order of the file."""
-    numbered = spark.read.option("wholetext", "true").text(path).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
     rows = numbered.filter(F.trim("value") != "").select("n", F.from_json("value", parsed, {"columnNameOfCorruptRecord": "_bad"}).alias("m"))
     wrong = F.col("m").isNull() | F.col("m._bad").isNotNull()
     for name in needed:
@@ -118,5 +118,5 @@ def open_source(spark: SparkSession, name: str, path: str | None = None, command
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """(name, text): the ``.md`` files of a folder, each whole."""
-    rows = spark.read.option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
+    rows = spark.read.option("pathGlobFilter", "*.md").text(path, wholetext=True)
     return rows.select(F.col("_metadata.file_name").alias("name"), F.col("value").alias("text"))
