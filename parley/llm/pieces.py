@@ -33,7 +33,7 @@ NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 UNIGRAM, BPE = 1, 2
 #: At most so many bytes of model are sent to the executors; so many cuts are remembered by a worker.
 MODEL_BYTES = 64 << 20
-REMEMBERED = 150_000
+REMEMBERED = 300_000
 
 
 def wire(data: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -153,6 +153,7 @@ class Codec:
         from tokenizers import Tokenizer
 
         self.parsed, self.threads = parse(data), threads
+        self.cuttable = self.parsed.cuttable
         self.full = backend(self.parsed)
         self.model = Tokenizer(self.full.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
@@ -178,7 +179,7 @@ class Codec:
         return text.replace(" ", MARK) if p.escape else text
 
     def cuts(self, normal: str) -> list[str]:
-        return self.CUT.findall(normal) if self.parsed.cuttable else [normal] if normal else []
+        return self.CUT.findall(normal) if self.cuttable else [normal] if normal else []
 
     def learn(self, cuts: list[str]) -> None:
         """Encode cuts that aren't known by both libraries."""

@@ -1,0 +1,261 @@
+"""The corpus operators' parts that need no session."""
+
+from __future__ import annotations
+
+import math
+import random
+import struct
+
+import numpy as np
+import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from parley.llm import langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity
+
+PIECES = "/opt/tokenizers/piece_bpe_32k.model"
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+
+
+def test_mulaw_and_alaw_tables():
+    mu, a = telephony.mulaw_table(), telephony.alaw_table()
+    assert (mu[0xFF], mu[0x7F], mu[0x00], mu[0x80]) == (0, 0, -32124, 32124)
+    assert (a[0xD5], a[0x55], a[0xAA], a[0x2A]) == (8, -8, 32256, -32256)
+    assert len(set(mu.tolist())) == 255 and len(set(a.tolist())) == 256
+
+
+def plain_adpcm(block):
+    sample, index = struct.unpack("<h", block[:2])[0], min(block[2], 88)
+    out = [sample]
+    for byte in block[4:]:
+        for code in (byte & 15, byte >> 4):
+            step = telephony.STEPS[index]
+            d = (step >> 3) + (step if code & 4 else 0) + (step >> 1 if code & 2 else 0) + (step >> 2 if code & 1 else 0)
+            sample = max(-32768, min(32767, sample - d if code & 8 else sample + d))
+            index = max(0, min(88, index + telephony.INDEX_CHANGES[code & 7]))
+            out.append(sample)
+    return out
+
+
+def test_adpcm_against_a_plain_decoder():
+    data = np.random.default_rng(1).integers(0, 256, (7, 192), dtype=np.uint8)
+    assert telephony.decode_adpcm(data).tolist() == [plain_adpcm(bytes(b)) for b in data]
+
+
+@given(st.binary(max_size=500), st.sampled_from(telephony.CODECS))
+@settings(max_examples=60, deadline=None)
+def test_container_round_trip(data, codec):
+    data = telephony.padded(data)
+    assert len(data) % 192 == 0 and data
+    got = telephony.unwave(telephony.wave(data, codec))
+    assert got[0] == codec and got[2] == data
+    assert telephony.unwave(telephony.wave(data, codec)[:-5]) is None
+
+
+def test_damaged_containers():
+    for bad in (b"", b"RIFF", b"RIFF\0\0\0\0WAVE", b"RIFF\0\0\0\0WAVEdata\x05\0\0\0abcde", telephony.wave(b"x" * 191, "adpcm")):
+        assert telephony.unwave(bad) is None
+
+
+def test_upsampling_keeps_samples_and_ends():
+    x = np.array([0, 1000, -1000, 500, 7], dtype=np.int16)
+    both = telephony.upsample(np.concatenate([x, x[:2]]), np.array([5, 0, 2]))
+    assert both[0::2].tolist() == [*x, *x[:2]]
+    assert both[:10].tolist() == telephony.upsample(x, np.array([5])).tolist()
+    flat = telephony.upsample(np.full(40, 1234, dtype=np.int16), np.array([40]))
+    assert set(flat[10:-10].tolist()) == {1234}
+
+
+def test_toxic_grammar_scores_clauses():
+    lexicon = toxicity.Lexicon({"moron": 3.0}, {"réeux": 2.0})
+    scan = toxicity.Scanner(lexicon)
+    events = lambda t: [toxicity.EVENTS[int(np.argmax(w))] for _, _, w in scan.clauses(t)]
+    assert events("What a moron. Fine day.") == ["insult"]
+    assert events("you utter moron") == ["directed"]
+    assert events("you are not a moron!") == ["denied"]
+    assert events("he said: moron") == ["quoted"] and events('the word "moron" is rude') == ["quoted"]
+    assert events("i will find you and kill them") == ["threat"]
+    assert events("kill the lights") == [] and events("") == [] and events(None) == []
+    assert events("Réeuxpa, réeuxon, ok. réeux") == ["insult"]
+    start, end, _ = scan.clauses("Fine. A moron here. Bye")[0]
+    assert "Fine. A moron here. Bye"[start:end].strip() == "A moron here"
+
+
+def test_toxicity_learns():
+    rng = random.Random(1)
+    words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(200)]
+    texts, labels = [], []
+    for i in range(400):
+        y = int(i % 5 == 0)
+        texts.append(" ".join(rng.choices(words, k=30)) + (" " + rng.choice(["gormless", "twonk"]) if y else "") + ".")
+        labels.append(y)
+    model = toxicity.fit(texts, labels)
+    scan = toxicity.Scanner(model.lexicon)
+    p = model.score(np.array([scan.features(t) for t in [*texts, "", "what a twonk"]]))
+    assert ((p[:-2] >= 0.5) == np.array(labels)).mean() > 0.98 and p[-2] < 0.5 < p[-1]
+    empty = toxicity.fit([], [])
+    assert 0 <= empty.score(np.array([toxicity.Scanner(empty.lexicon).features("x")]))[0] <= 1
+
+
+def viterbi_by_brute_force(scores, penalty):
+    n, k = scores.shape
+    best, arg = -math.inf, None
+    for code in range(k**n):
+        path = [(code // k**i) % k for i in range(n)]
+        total = sum(scores[i, s] for i, s in enumerate(path)) - penalty * sum(a != b for a, b in zip(path, path[1:]))
+        if total > best:
+            best, arg = total, path
+    return best, arg
+
+
+def test_viterbi():
+    rng = np.random.default_rng(2)
+    sizes = np.array([4, 0, 6, 1])
+    scores = rng.normal(size=(sizes.sum(), 3)).astype(np.float32)
+    first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+    path = langid.viterbi(scores, first, sizes, 0.7)
+    for f, n in zip(first, sizes):
+        if n:
+            assert path[f : f + n].tolist() == viterbi_by_brute_force(scores[f : f + n], 0.7)[1]
+
+
+def test_language_spans():
+    en, de = "the cat and the dog were there with this ", "der hund und die katze waren nicht mit uns "
+    ru = "кот и собака были там "
+    model = langid.fit([en * 20, de * 20, ru * 20], ["en", "de", "ru"])
+    text = en * 3 + "42, " + de * 3 + ru
+    got = langid.label([text, "", None, "12 !", "Кот"], model, 8.0)
+    assert [s["lang"] for s in got["spans"][0]] == ["en", "de", "ru"]
+    assert all(text[s["start"] : s["end"]] == text[s["start"] : s["end"]].strip() for s in got["spans"][0])
+    assert got["lang_pred"] == [got["lang_pred"][0], "und", "und", "und", "ru"] and got["score"][1] == 0
+    assert langid.label(["abc"], langid.fit([], []), 8.0)["lang_pred"] == ["und"]
+
+
+def plain_runs(n):
+    out = set()
+    for a in range(len(n)):
+        for b in range(a + spans.SEVERAL, len(n) + 1):
+            if sum(n[a:b]) >= spans.LEAST:
+                out.add((a, b))
+                break
+    for b in range(spans.SEVERAL, len(n) + 1):
+        for a in range(b - spans.SEVERAL, -1, -1):
+            if sum(n[a:b]) >= spans.LEAST:
+                out.add((a, b))
+                break
+    return sorted(out)
+
+
+@given(st.lists(st.integers(1, 30), max_size=30))
+@settings(max_examples=100, deadline=None)
+def test_runs(sizes):
+    a, b = spans.runs(sizes)
+    assert list(zip(a.tolist(), b.tolist())) == plain_runs(sizes)
+    assert all(y - x < 1 << spans.RUN_BITS for x, y in zip(a, b))
+
+
+def test_run_hashes_agree_only_for_equal_runs():
+    h = np.array([5, 6, 7, 5, 6, 7, 6, 5], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    a, b = np.array([0, 3, 0, 6, 1]), np.array([2, 5, 3, 8, 3])
+    x = spans.run_hash(h, a, b, spans.Powers(spans.FACTORS[0]))
+    assert x[0] == x[1] and len(set(x.tolist())) == 4
+
+
+def test_sentences():
+    cut = lambda t: [t[a:b] for a, b in spans.sentences(t)]
+    assert cut("A b. C 4.0 d!\n\nE") == ["A b.", " C 4.0 d!", "E"] or cut("A b. C 4.0 d!\n\nE") == ["A b.", " C 4.0 d!", "\nE"]
+    assert cut("") == [] and cut(" \n ") == [] and len(cut("w " * 95)) == 5
+    assert spans.without(None, [])[-1] is None and spans.without("", [])[-1] == ""
+    assert spans.without("One two. Three. Four.", [(1 << spans.RUN_BITS) | 1]) == (3, 1, 1, "8:15", "One two. Four.")
+
+
+def test_depth_is_shortened_until_the_target():
+    assert neardup.depth_for(0.8, 0.99999) == 4 and neardup.depth_for(0.8, 0.9) == 6 and neardup.depth_for(0.1, 0.99999) == 1
+    long, short = neardup.multipliers(4, 6).reshape(4, 6), neardup.multipliers(4, 3).reshape(4, 3)
+    assert (long[:, :3] == short).all()
+
+
+def test_shingles_and_counts():
+    h = neardup.Hashes()
+    assert len(neardup.shingles("a b c", 5, h)) == 1 and len(neardup.shingles("", 5, h)) == 0 == len(neardup.shingles(None, 5, h))
+    assert neardup.set_key(neardup.shingles("A b, c d e f", 5, h)) == neardup.set_key(neardup.shingles("a b c d e f", 5, h))
+    rng = random.Random(3)
+    sets = [np.array(sorted(rng.sample(range(30), 20)), dtype=np.uint64) for _ in range(14)]
+    weights = np.array([rng.randrange(1, 4) for _ in sets])
+    similar = lambda x, y: len(set(x.tolist()) & set(y.tolist())) >= 0.6 * len(set(x.tolist()) | set(y.tolist()))
+    for left in (14, 5):
+        links, _ = neardup.counted(sets, left, weights, 0.6)
+        pairs = [(i, j) for i in range(14) for j in range(14) if i != j and (left == 14 or (i < left) != (j < left))]
+        want = [sum(weights[j] for i, j in pairs if i == k and similar(sets[i], sets[j])) for k in range(14)]
+        assert links.tolist() == want
+
+
+@pytest.mark.parametrize("text", ["token = 'abcdefgh'", "PASSWORD: x", "passwd=12345678 token: secret: abcdefghijk", "AKIA1234567890AB AKIA12", "é " + "0af" * 11, "api_key=ABCdef_.=-9", "to\u212aen=12345678"])
+def test_base_secrets(text):
+    import re
+
+    pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [("assign", m) for m in re.finditer(pattern, text, re.I | re.A) if len(m[2]) >= 8]
+    found += [("access", m) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [("hex", m) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    want = sorted((m.start(), secrets.KINDS.index(k), m.end()) for k, m in found)
+    assert [(s, k, e) for k, s, e in secrets.base_spans(text)] == want
+
+
+def test_dense_strings():
+    encode = secrets.encoding(open(RANKS, "rb").read()).encode_ordinary
+    dense = lambda t: [t[a:b] for _, a, b in secrets.dense_spans(t, encode, 2.0, [])]
+    key = "q8Xz4Lp0Wv7Rt2Yb9Kd1Nf6Hs3Jg5"
+    assert dense(f"my {key} here") == [key]
+    assert dense("d41d8cd98f00b204e9800998ecf8427e 123e4567-e89b-12d3-a456-426614174000 internationalisation_of_words_v2 aaaaaaaaaaaaaaaaaaaaaaaa 4041894974608795111122223333") == []
+    assert secrets.masked("a KEY b KEY2", [(0, 2, 5), (3, 4, 5), (0, 8, 12)], "*") == "a * b *"
+
+
+def test_pieces_parity():
+    import sentencepiece
+
+    data = open(PIECES, "rb").read()
+    codec, theirs = pieces.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    texts = ["", " ", "Hello world", "  two  spaces ", "tab\tand\nline", "naïve café 다중 🙂", "a" * 300, "<s> </s> <unk> <0x41>", "▁mark", "x  ", "\x00\x07", "Ünïcödé   ▁▁ mix"]
+    rng = random.Random(4)
+    texts += ["".join(rng.choices("ab cd▁eéß한🙂.\n<>/s0", k=rng.randrange(60))) for _ in range(150)]
+    for text, (ids, same) in zip(texts, codec.encode(texts)):
+        want = theirs.encode(text)
+        assert np.frombuffer(ids, "<i4").tolist() == want, text
+        assert same and (codec.decode(ids) == text.replace("▁", " ") or not text)
+    full = [e.ids for e in codec.full.encode_batch(texts, add_special_tokens=False)]
+    assert [f for f, t in zip(full, texts) if t] == [theirs.encode(t) for t in texts if t]
+
+
+def test_model_file_errors():
+    with pytest.raises((ValueError, IndexError)):
+        pieces.parse(b"\x0b\x01nonsense")
+
+
+def test_quality_model():
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefgh", k=rng.randrange(2, 9))) for _ in range(300)]
+    good = lambda: " ".join(rng.choices(words, k=60)).capitalize() + ". " + " ".join(rng.choices(words, k=9)) + "."
+    bad = lambda: " ".join(w + "&&&" for w in rng.choices(words, k=60))
+    positive, unlabelled = [good() for _ in range(400)], [good() if i % 4 else bad() for i in range(600)]
+    model = quality.fit(positive, unlabelled)
+    assert 0.6 < model.prior < 0.9
+    score = lambda ts: model.score(np.array([quality.features(t) for t in ts]))
+    assert (score([good() for _ in range(50)]) >= 0.7).mean() > 0.9 and (score([bad() for _ in range(50)]) < 0.7).mean() > 0.9
+    assert all(0 <= s <= 1 for s in score(["", None, "\n", "🙂" * 50]))
+    assert quality.fit([], []).score(np.array([quality.features("x")]))[0] == 0.5
+
+
+def test_reliabilities_find_the_good_labelers():
+    rng = random.Random(6)
+    counts = {}
+    for _ in range(4000):
+        y = rng.random() < 0.5
+        vote = lambda p: (1 if y else -1) if rng.random() < p else (-1 if y else 1)
+        key = (4, (0, vote(0.95), vote(0.9), vote(0.85), vote(0.5)))
+        counts[key] = counts.get(key, 0) + 1
+    prob = pii.reliabilities(counts)
+    assert prob[4, (0, 1, 1, 1, -1)] > 0.95 and prob[4, (0, -1, -1, -1, 1)] < 0.05
+    w = pii.classifier(counts, prob)
+    z = lambda p: sum(a * b for a, b in zip(w, pii.features(p)))
+    assert z((4, (0, 1, 1, 1, 0))) > 0 > z((4, (0, -1, -1, -1, 0)))
+    assert pii.reliabilities({}) == {}
