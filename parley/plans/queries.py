@@ -594,6 +594,38 @@ def newest_media(spark, d):
     return media.media_rows(v.media_messages(spark, d), kinds=["photo"], limit=200).select("chatId", "logId", "sentAt")
 
 
+@query(
+    f"""WITH {v.EV}, {FEEDS} SELECT chat_id, message_id, {LINE} AS line FROM fm WHERE chat_id = 'ev-click' AND "timestamp" >= TIMESTAMP '2024-01-15 00:00:00' AND NOT feed"""
+)
+def transcript_range(spark, d):
+    rows = transcript.in_range(_feeds(spark, d), "ev-click", "2024-01-15 00:00:00")
+    return transcript.transcript_lines(rows).filter(~F.col("feed")).select("chat_id", "message_id", "line")
+
+
+DOC_TIME = "strftime({0}, '%Y-%m-%dT%H:%M:%S') || '+00:00'"
+
+
+@query(
+    f"""{CV_WINDOWS} SELECT parent_id || '.md' AS name, 'parent_id: ' || parent_id || chr(10) || 'unit: parent_window' || chr(10) || 'chat_id: ' || chat_id || chr(10)
+      || 'time_range: ' || {DOC_TIME.format('started_at')} || '..' || {DOC_TIME.format('ended_at')} || chr(10) || 'child_chunk_ids: ' || children || chr(10) || '---' || chr(10) || text AS text FROM windows"""
+)
+def window_documents(spark, d):
+    made = build_windows(build_chunks(v.conversation_messages(spark, d)))
+    return made.select(F.concat("parent_id", F.lit(".md")).alias("name"), search.document(made).alias("text"))
+
+
+@query(
+    f"""WITH RECURSIVE {v.EV}, {v.OLD}, {v.chunk_ctes('ev')}, {v.window_ctes('chunks')}, {v.chunk_ctes('old', 'o')}, {v.window_ctes('ochunks', 'o')}
+    SELECT w.parent_id, sha256(w.text) AS content_hash, o.parent_id IS NOT NULL AS reused FROM windows w LEFT JOIN owindows o ON o.parent_id = w.parent_id AND sha256(o.text) = sha256(w.text)"""
+)
+def vector_reuse(spark, d):
+    embedder = vectors.DeterministicEmbedder(16)
+    old = build_windows(v.archived(build_chunks(v.older_messages(spark, d)))).withColumn("content_hash", vectors.content_hash(F.col("text")))
+    prior = v.archived(vectors.embedded(old.withColumn("vector", F.lit(None).cast("array<float>")), embedder))
+    now = build_windows(v.archived(build_chunks(v.event_messages(spark, d))))
+    return vectors.reused_or_pending(now, prior).select("parent_id", "content_hash", F.col("vector").isNotNull().alias("reused"))
+
+
 @query()
 def safe_filenames(spark, d):
     return v.load(spark, d, "pages").select("page_id", tx.safe_filename(F.col("url")).alias("name"))

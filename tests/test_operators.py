@@ -215,6 +215,24 @@ def test_media_frames_and_tiers(spark):
     assert [r.logId for r in media.media_rows(rows, limit=2, kinds=["image"]).collect()] == [1, 2]
 
 
+def test_cached_bodies(spark):
+    body = b"\xff\xd8\xff" + b"picture"
+    sealed = F.aes_encrypt(F.lit(b"w" * 256 + body), F.unhex(F.sha2(F.lit("pass").cast("binary"), 256)), F.lit("CBC"), F.lit("PKCS"))
+    assert bytes(one(spark, tx.decrypted_body(F.concat(F.lit(b"MAGI"), sealed), F.lit("pass").cast("binary")))) == body
+    assert one(spark, tx.decrypted_body(F.lit(b"MAGIshort"), F.lit("pass").cast("binary"))) is None
+    frames = spark.createDataFrame([(1, 5, 0, "5"), (1, 6, 0, "6")], "chatId bigint, logId bigint, idx bigint, stem string")
+    path = one(spark, media.cache_path("/b", F.lit(1), F.lit("5"), ".img"))
+    listing = spark.createDataFrame([(path,), ("/other",)], "path string")
+    got = {r.logId: r.cached_path for r in media.first_cached(frames, F.col("stem"), ".img", ["/a", "/b"], listing).collect()}
+    assert got == {5: path, 6: None}
+
+
+def test_merged_media_rows(spark):
+    a = spark.createDataFrame([(1, 1, 9, 2, 10, "old"), (1, 2, 9, 2, 30, "x")], MEDIA)
+    b = spark.createDataFrame([(1, 1, 9, 2, 20, "new"), (1, 3, 9, 2, 5, "y")], MEDIA)
+    assert [r.attachment for r in media.merged_media_rows([a, b], 2).collect()] == ["new", "x"]
+
+
 def test_config(tmp_path):
     path = tmp_path / "c.toml"
     path.write_text("chunk_gap_group_seconds = 5\n")
