@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +89,30 @@ def phrases(query: str) -> list[list[str]]:
     return [p for p in (fold(term) for term in query.split()) if p]
 
 
-def occurrences(words: Column, phrase: list[str]) -> Column:
-    """How often the tokens follow one another in an array of tokens."""
+def times(words: list[str], phrase: list[str]) -> int:
+    """How often the tokens of a phrase follow one another."""
     n = len(phrase)
     if n == 1:
-        return F.size(F.filter(words, lambda w: w == phrase[0]))
-    places = F.when(F.size(words) >= n, F.sequence(F.lit(1), F.size(words) - (n - 1))).otherwise(F.array().cast("array<int>"))
-    return F.size(F.filter(places, lambda i: F.slice(words, i, n) == F.array(*(F.lit(w) for w in phrase))))
+        return words.count(phrase[0])
+    return sum(words[i : i + n] == phrase for i, w in enumerate(words) if w == phrase[0])
+
+
+def phrase_counts(text: Column, wanted: list[list[str]]) -> Column:
+    """The number of tokens of a text, then how often it holds each phrase.
+
+    Declared not deterministic, so that a filter on it isn't pushed below and doesn't
+    tokenize the texts again.
+    """
+
+    def one(text: str | None) -> list[int]:
+        words = fold(text)
+        return [len(words), *(times(words, p) for p in wanted)]
+
+    @F.pandas_udf("array<int>")
+    def counts(texts: pd.Series) -> pd.Series:
+        return texts.map(one)
+
+    return counts.asNondeterministic()(text)
 
 
 def bm25_rows(chunks: DataFrame, query: str) -> DataFrame:
@@ -104,8 +122,8 @@ def bm25_rows(chunks: DataFrame, query: str) -> DataFrame:
     row, and meet them by a broadcast of that row.
     """
     wanted = phrases(query)
-    rows = chunks.withColumn("_w", tokens(F.col("text")))
-    rows = rows.select("*", F.size("_w").alias("_len"), *(occurrences(F.col("_w"), p).alias(f"_f{i}") for i, p in enumerate(wanted))).drop("_w")
+    rows = chunks.withColumn("_w", phrase_counts(F.col("text"), wanted))
+    rows = rows.select("*", F.col("_w")[0].alias("_len"), *(F.col("_w")[i + 1].alias(f"_f{i}") for i in range(len(wanted)))).drop("_w")
     if not wanted:
         return rows.filter("false").withColumn("raw_score", F.lit(0.0)).drop("_len")
     held = [F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_n{i}") for i in range(len(wanted))]
