@@ -158,7 +158,9 @@ class Codec:
         self.model = Tokenizer(self.full.model)
         self.reference = sentencepiece.SentencePieceProcessor(model_proto=data)
         self.bytes = [self._bytes(p, t) for p, _, t in self.parsed.pieces]
-        self.known: dict[str, tuple[bytes, bool]] = {}
+        self.known: dict[str, bytes] = {}
+        #: Known cuts on which the libraries differ.
+        self.apart: set[str] = set()
 
     def _bytes(self, piece: str, kind: int) -> bytes:
         if kind == BYTE:
@@ -194,21 +196,21 @@ class Codec:
             ids = code.ids
             # a lone marker can't be asked for alone: it must be its own piece
             same = theirs[cut] == ids if cut in theirs else ids == [self.reference.piece_to_id(cut)]
-            self.known[cut] = (np.array(ids, dtype="<i4").tobytes(), same)
+            self.known[cut] = struct.pack(f"<{len(ids)}i", *ids)
+            if not same:
+                self.apart.add(cut)
 
     def encode(self, texts: list[str]) -> list[tuple[bytes, bool]]:
         """(ids as little-endian 32-bit integers, do both libraries agree) of each text."""
         cut = [self.cuts(self.normal(t)) for t in texts]
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        new = list({c for cs in cut for c in cs if c not in self.known})
+            self.apart.clear()
+        new = list(set().union(*cut).difference(self.known))
         if new:
             self.learn(new)
-        out = []
-        for cs in cut:
-            found = [self.known[c] for c in cs]
-            out.append((b"".join([f[0] for f in found]), all(f[1] for f in found)))
-        return out
+        look = self.known.__getitem__
+        return [(b"".join(map(look, cs)), not self.apart or self.apart.isdisjoint(cs)) for cs in cut]
 
     def decode(self, ids: bytes) -> str:
         text = b"".join([self.bytes[i] for i in np.frombuffer(ids, dtype="<i4").tolist()]).decode("utf-8", "replace")
