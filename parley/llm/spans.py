@@ -140,11 +140,13 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     seen = spans.select(F.explode("h").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h")
     each = spans.select("doc_id", "tag", F.explode(F.arrays_zip("h", "x")).alias("s")).select("doc_id", "tag", "s.h", "s.x")
     each = each.join(seen, F.col("h") == F.col("_h"), "left_semi")
-    each = each.select("doc_id", "tag", "h", F.shiftright("x", 32).alias("c"), F.col("x").bitwiseAND(0xFFFFFFFF).alias("p"))
+    # a key of its own makes the sums below a new shuffle; by h they would hold the join's hot partitions together
+    key = F.struct("h", F.shiftright("x", 32).alias("c")).alias("k")
+    each = each.select("doc_id", "tag", key, F.col("x").bitwiseAND(0xFFFFFFFF).alias("p"))
     place = F.struct("doc_id", "tag", "p")
-    first = each.groupBy("h", "c").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select(F.col("h").alias("_h"), F.col("c").alias("_c"), "first")
-    later = each.join(first, (F.col("h") == F.col("_h")) & (F.col("c") == F.col("_c"))).filter(~place.eqNullSafe(F.col("first")))
+    first = each.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = first.select(F.col("k").alias("_k"), "first")
+    later = each.join(first, F.col("k") == F.col("_k")).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tag").agg(F.collect_set("p").alias("drop"))
 
 
