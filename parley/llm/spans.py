@@ -1,8 +1,10 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` and at line ends; a sentence
-of more than LONG words into pieces of PIECE words, so that one endless sentence is
-no hiding place).  From every sentence on, and up to every sentence, the shortest run
+A text is cut into sentences (after ``.``, ``!`` or ``?`` and at line ends).  A sentence
+of more than LONG words is cut further, before the word of least hash in each WINDOW of
+its words: such places depend on the words around them alone, so a passage is cut in the
+same places wherever in a sentence it stands.  Only a word said over and over leaves no
+such place; there pieces have PIECE words.  The pieces count as sentences.  From every sentence on, and up to every sentence, the shortest run
 of SEVERAL or more sentences with LEAST or more words is hashed.  Hashes that occur
 more than once in the corpus are repeated spans; the occurrence in the least id, at
 the least place, is the first and stays.  Sentences that any other occurrence covers
@@ -30,7 +32,7 @@ from pyspark.sql import types as T
 from parley.llm.common import map_texts
 
 SEVERAL, LEAST = 2, 20
-LONG, PIECE = 40, 20
+LONG, PIECE, WINDOW = 40, 20, 8
 END = re.compile(r"[.!?]+(?=\s)|\n")
 WORD = re.compile(r"\S+")
 #: A run has at most LEAST sentences, so its length fits these bits beside its first sentence.
@@ -39,23 +41,77 @@ RUN_BITS = 6
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
-def sentences(text: str) -> list[tuple[int, int]]:
-    """(start, end) of each sentence: what white space alone fills is none."""
+class Ranks(dict):
+    """31-bit hashes of words, remembered; short words, which are common, rank behind the others."""
+
+    def __missing__(self, word: str) -> int:
+        if len(self) > 400_000:
+            self.clear()
+        h = self[word] = (xxhash.xxh32_intdigest(word) >> 2) | (len(word) < 4) << 30
+        return h
+
+
+RANKS = Ranks()
+
+
+def cuts(parts: list[list[str]]) -> list[list[int]]:
+    """For each list of words, of WINDOW or more, the places before which it is cut, 0 first.
+
+    The leftmost least rank of every window is one, unless its word repeats the one before.
+    A piece of more than LONG words, which only repeated words leave, is cut each PIECE words.
+    """
+    sizes = np.fromiter(map(len, parts), dtype=np.int64, count=len(parts))
+    ranks = np.fromiter((RANKS[w] for words in parts for w in words), dtype=np.int64, count=int(sizes.sum()))
+    starts = np.cumsum(sizes) - sizes
+    of = np.repeat(np.arange(len(parts)), sizes)
+    least, width = ranks << 32 | np.arange(len(ranks)), 1
+    while width < WINDOW:
+        shift = min(width, WINDOW - width)
+        least, width = np.minimum(least[:-shift], least[shift:]), width + shift
+    at = np.unique(least[of[: len(least)] == of[WINDOW - 1 :]] & 0xFFFFFFFF)
+    at = at[ranks[at] != ranks[at - 1]]
+    at = np.unique(np.concatenate([starts, at]))
+    gaps = np.diff(np.append(at, len(ranks)))
+    for i in np.flatnonzero(gaps > LONG):
+        at = np.append(at, np.arange(at[i], at[i] + gaps[i], PIECE)[1:])
+    at = np.sort(at)
+    return [x.tolist() for x in np.split(at - starts[of[at]], np.searchsorted(at, starts[1:]))]
+
+
+def parted(text: str) -> list[tuple[int, int, list[str], list[int]]]:
+    """(start, end, lower-case words, places) of each sentence: what white space alone fills is none; ``places`` as in cuts."""
     out = []
     at = 0
     ends = [m.end() for m in END.finditer(text)]
     ends.append(len(text))
     for end in ends:
-        if end > at:
-            part = text[at:end]
-            # only a part with so much white space can have too many words
-            if end - at > 2 * LONG and len(part.split()) > LONG:
-                places = [m.start() for m in WORD.finditer(part)][::PIECE]
-                cuts = [at, *(at + p for p in places[1:]), end]
-                out += zip(cuts[:-1], cuts[1:])
-            elif not part.isspace():
-                out.append((at, end))
-            at = end
+        if words := text[at:end].lower().split():
+            out.append((at, end, words, [0]))
+        at = end
+    long = [i for i, x in enumerate(out) if len(x[2]) > LONG]
+    for i, places in zip(long, cuts([out[i][2] for i in long]) if long else ()):
+        out[i] = (*out[i][:3], places)
+    return out
+
+
+def pieces(text: str) -> list[list[str]]:
+    """The words of each sentence or piece of one."""
+    out = []
+    for _, _, words, places in parted(text):
+        out += (words[a:b] for a, b in zip(places, [*places[1:], len(words)]))
+    return out
+
+
+def sentences(text: str) -> list[tuple[int, int]]:
+    """(start, end) of each sentence or piece of one."""
+    out = []
+    for start, end, _, places in parted(text):
+        if len(places) > 1:
+            where = [m.start() for m in WORD.finditer(text, start, end)]
+            edges = [start, *(where[i] for i in places[1:]), end]
+            out += zip(edges[:-1], edges[1:])
+        else:
+            out.append((start, end))
     return out
 
 
@@ -109,7 +165,7 @@ def _hashed(docs: DataFrame, text: Column, *ids: Column) -> DataFrame:
             for text in part.column(part.num_columns - 1).to_pylist():
                 low = (text or "").lower()
                 text = low if text and len(low) == len(text) else text
-                words = [text[s:e].split() for s, e in sentences(text)] if text else []
+                words = pieces(text) if text else []
                 a, b = runs(list(map(len, words)))
                 if not len(a):
                     out["h"].append([])
@@ -164,10 +220,11 @@ REMOVED = T.StructType(
 def without(text: str | None, drop: list[int]) -> tuple[int, int, int, str, str | None]:
     """The columns of REMOVED for a text; ``removed`` lists code point ranges start:end."""
     low = (text or "").lower()
-    found = sentences(low if text and len(low) == len(text) else text) if text else []
+    low = low if text and len(low) == len(text) else text
     gone = {i for p in drop for i in range(p >> RUN_BITS, (p >> RUN_BITS) + (p & ((1 << RUN_BITS) - 1)))}
     if not gone:
-        return len(found), 0, 0, "", text
+        return sum(len(x[3]) for x in parted(low)) if text else 0, 0, 0, "", text
+    found = sentences(low) if text else []
     edges = [s for s, _ in found] + [len(text)]
     kept = [text[: edges[0]]] + [text[edges[i] : edges[i + 1]] for i in range(len(found)) if i not in gone]
     ranges: list[list[int]] = []

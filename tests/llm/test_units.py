@@ -169,6 +169,30 @@ def test_sentences():
     assert spans.without("One two. Three. Four.", [(1 << spans.RUN_BITS) | 1]) == (3, 1, 1, "8:15", "One two. Four.")
 
 
+def left_of(first, second):
+    """What a text that follows another keeps of its words, by looking at every run."""
+    runs_of = lambda p: [("\n".join(" ".join(w) for w in p[a:b]), a, b) for a, b in zip(*(x.tolist() for x in spans.runs(list(map(len, p)))))]
+    seen = {key for key, _, _ in runs_of(spans.pieces(first))}
+    mine = spans.pieces(second)
+    gone = {i for key, a, b in runs_of(mine) if key in seen for i in range(a, b)}
+    return [w for i, p in enumerate(mine) if i not in gone for w in p]
+
+
+def test_a_passage_within_long_sentences_is_found_at_any_offset():
+    rng = random.Random(11)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randrange(2, 9))) for _ in range(n)]
+    passage = words(70)
+    first = " ".join([*words(33), *passage, *words(20)])
+    for offset in range(45):
+        around = words(offset), words(25)
+        left = left_of(first, " ".join([*around[0], *passage, *around[1]]))
+        assert len(left) - offset - 25 <= 35
+        changed = [*passage[:10], "x", *passage[10:]]
+        assert len(left_of(first, " ".join([*around[0], *changed, *around[1]]))) <= offset + 25 + 50
+    assert [text.lower().split() for text in map(lambda p: first[p[0] : p[1]], spans.sentences(first))] == spans.pieces(first)
+    assert max(map(len, spans.pieces(first))) <= spans.LONG
+
+
 def test_depth_is_shortened_until_the_target():
     assert neardup.depth_for(0.8, 0.99999) == 4 and neardup.depth_for(0.8, 0.9) == 6 and neardup.depth_for(0.1, 0.99999) == 1
     long, short = neardup.multipliers(4, 6).reshape(4, 6), neardup.multipliers(4, 3).reshape(4, 3)
