@@ -11,7 +11,10 @@ the least place, is the first and stays.  Sentences that any other occurrence co
 are removed.
 
 Because runs start at every sentence and end at every sentence, a repeated passage of
-several sentences is covered from its first whole sentence to its last.
+several sentences is covered from its first whole sentence to its last.  No piece has
+more than LONG words, so any 50 words in a row that two texts share hold a hashed run,
+wherever in their sentences they start and end (a word longer where one repeats the
+word before it).
 
 Null texts stay null, empty ones empty; white space belongs to the sentence after it.
 Words are what white space separates, compared in lower case.  Rows equal in id and text are one document and get one result;
@@ -32,7 +35,8 @@ from pyspark.sql import types as T
 from parley.llm.common import map_texts
 
 SEVERAL, LEAST = 2, 20
-LONG, PIECE, WINDOW = 40, 20, 8
+#: A passage of 50 words loses at most 2 * WINDOW - 1 or LONG - 1 words at either end, which leaves LEAST.
+LONG, PIECE, WINDOW = 16, 20, 8
 END = re.compile(r"[.!?]+(?=\s)|\n")
 WORD = re.compile(r"\S+")
 #: A run has at most LEAST sentences, so its length fits these bits beside its first sentence.

@@ -193,6 +193,21 @@ def test_a_passage_within_long_sentences_is_found_at_any_offset():
     assert max(map(len, spans.pieces(first))) <= spans.LONG
 
 
+def test_any_fifty_shared_words_hold_a_run():
+    rng = random.Random(12)
+    words = lambda n: ["".join(rng.choices("abcdefghij", k=rng.randrange(3, 9))) for _ in range(n)]
+    for sizes in ((39, 3, 27), (29, 9, 3, 6, 26), (16,) * 6, (15,) * 6, (17,) * 6, (50, 52), (31, 31), (40, 40), (200,)):
+        for _ in range(30):
+            plain = words(sum(sizes))
+            ends = set(np.cumsum(sizes).tolist())
+            text = lambda ws, at: " ".join(w + "." * (at + i + 1 in ends) for i, w in enumerate(ws))
+            start = rng.randrange(sum(sizes) - 49)
+            shared = text(plain[start : start + 50], start)
+            left = left_of(text(plain, 0), " ".join([*words(rng.randrange(30)), shared, *words(rng.randrange(30))]))
+            assert len(set(left) & set(shared.split())) <= 30
+    assert len(left_of("a b c. d e f.", "a b c. d e f.")) == 6
+
+
 def test_depth_is_shortened_until_the_target():
     assert neardup.depth_for(0.8, 0.99999) == 4 and neardup.depth_for(0.8, 0.9) == 6 and neardup.depth_for(0.1, 0.99999) == 1
     long, short = neardup.multipliers(4, 6).reshape(4, 6), neardup.multipliers(4, 3).reshape(4, 3)
