@@ -1,6 +1,6 @@
 """Substring deduplication by sliding sentence spans.
 
-A text is cut into sentences (after ``.``, ``!`` or ``?`` and at line ends).  A sentence
+A text is cut into sentences (after ``.``, ``!``, ``?`` and their like in other scripts, and at line ends).  A sentence
 of more than LONG words is cut further, before the word of least hash in each WINDOW of
 its words: such places depend on the words around them alone, so a passage is cut in the
 same places wherever in a sentence it stands.  Only a word said over and over leaves no
@@ -17,7 +17,8 @@ wherever in their sentences they start and end (a word longer where one repeats
 word before it).
 
 Null texts stay null, empty ones empty; white space belongs to the sentence after it.
-Words are what white space separates, compared in lower case.  Rows equal in id and text are one document and get one result;
+Words are what white space separates, and each character of a script that is written without
+spaces; they are compared in lower case.  Rows equal in id and text are one document and get one result;
 different texts of one id are kept apart.
 """
 
@@ -28,23 +29,34 @@ import re
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import map_texts
+from parley.llm.common import map_texts, stored
 
 SEVERAL, LEAST = 2, 20
 #: A passage of 50 words loses at most 2 * WINDOW - 1 or LONG - 1 words at either end, which leaves LEAST.
 LONG, PIECE, WINDOW = 16, 20, 8
-END = re.compile(r"[.!?]+(?=\s)|\n")
-WORD = re.compile(r"\S+")
+#: Marks that end a sentence before white space, and those of scripts that put none after them.
+END = re.compile(r"[.!?؟۔։।॥።፧]+(?=\s)|[。！？．｡…།။។]+[」』”’）)]*|\n")
+#: Letters of scripts that write words without spaces between them; each character counts as a word.
+UNSPACED = "\u0e00-\u0eff\u0f40-\u0fbc\u1000-\u109f\u1780-\u17d3\u1950-\u19df\u1a20-\u1aad\u3005-\u3007\u3041-\u3096\u309d-\u309f\u30a1-\u30ff\u31f0-\u31ff\u3400-\u4dbf\u4e00-\u9fff\ua000-\ua48c\ua9e0-\ua9ff\uaa60-\uaa7f\uf900-\ufaff\uff66-\uff9f\U0001b000-\U0001b16f\U00020000-\U0003ffff"
+DENSE = re.compile(f"[{UNSPACED}]")
+WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 #: A run has at most LEAST sentences, so its length fits these bits beside its first sentence.
 RUN_BITS = 6
 #: Odd factors of the two hashes of a run of sentence hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
 
+def split(text: str) -> list[str]:
+    """The lower-case words of a part of a text."""
+    if text.isascii() or not DENSE.search(text):
+        return text.lower().split()
+    return [m.lower() for m in WORD.findall(text)]
+
+
 class Ranks(dict):
     """31-bit hashes of words, remembered; short words, which are common, rank behind the others."""
 
@@ -89,7 +101,7 @@ def parted(text: str) -> list[tuple[int, int, list[str], list[int]]]:
     ends = [m.end() for m in END.finditer(text)]
     ends.append(len(text))
     for end in ends:
-        if words := text[at:end].lower().split():
+        if words := split(text[at:end]):
             out.append((at, end, words, [0]))
         at = end
     long = [i for i, x in enumerate(out) if len(x[2]) > LONG]
@@ -167,8 +179,6 @@ def _hashed(docs: DataFrame, text: Column, *ids: Column) -> DataFrame:
         def call(part: pa.RecordBatch) -> dict[str, list]:
             out: dict[str, list] = {"h": [], "x": []}
             for text in part.column(part.num_columns - 1).to_pylist():
-                low = (text or "").lower()
-                text = low if text and len(low) == len(text) else text
                 words = pieces(text) if text else []
                 a, b = runs(list(map(len, words)))
                 if not len(a):
@@ -190,19 +200,18 @@ def _hashed(docs: DataFrame, text: Column, *ids: Column) -> DataFrame:
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, drop): the sentence runs to remove from each text that has any.
 
-    Counting hashes comes first, with partial sums before its shuffle; only spans
-    whose hash is repeated are then brought together with their first occurrence.
-    Both joins have unique keys on one side, so a passage that a third of all
-    documents share can be split like any other.
+    One shuffle by hash picks the spans whose hash stands in several places.  These
+    are stored, since a second use would hash all texts again, and brought together
+    with their first occurrence by sums with partial sums before their shuffle and by
+    a join with unique keys on one side, so a passage that many documents share can
+    be split there.
     """
     tag = F.hash(F.col(text_col)).alias("tag")
     spans = _hashed(docs, F.col(text_col), F.col(id_col).alias("doc_id"), tag)
-    seen = spans.select(F.explode("h").alias("_h")).groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("_h")
     each = spans.select("doc_id", "tag", F.explode(F.arrays_zip("h", "x")).alias("s")).select("doc_id", "tag", "s.h", "s.x")
-    each = each.join(seen, F.col("h") == F.col("_h"), "left_semi")
-    # a key of its own makes the sums below a new shuffle; by h they would hold the join's hot partitions together
+    each = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
     key = F.struct("h", F.shiftright("x", 32).alias("c")).alias("k")
-    each = each.select("doc_id", "tag", key, F.col("x").bitwiseAND(0xFFFFFFFF).alias("p"))
+    each = stored(each.select("doc_id", "tag", key, F.col("x").bitwiseAND(0xFFFFFFFF).alias("p")))
     place = F.struct("doc_id", "tag", "p")
     first = each.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     first = first.select(F.col("k").alias("_k"), "first")
@@ -223,12 +232,10 @@ REMOVED = T.StructType(
 
 def without(text: str | None, drop: list[int]) -> tuple[int, int, int, str, str | None]:
     """The columns of REMOVED for a text; ``removed`` lists code point ranges start:end."""
-    low = (text or "").lower()
-    low = low if text and len(low) == len(text) else text
     gone = {i for p in drop for i in range(p >> RUN_BITS, (p >> RUN_BITS) + (p & ((1 << RUN_BITS) - 1)))}
     if not gone:
-        return sum(len(x[3]) for x in parted(low)) if text else 0, 0, 0, "", text
-    found = sentences(low) if text else []
+        return sum(len(x[3]) for x in parted(text)) if text else 0, 0, 0, "", text
+    found = sentences(text) if text else []
     edges = [s for s, _ in found] + [len(text)]
     kept = [text[: edges[0]]] + [text[edges[i] : edges[i + 1]] for i in range(len(found)) if i not in gone]
     ranges: list[list[int]] = []
@@ -237,7 +244,7 @@ def without(text: str | None, drop: list[int]) -> tuple[int, int, int, str, str
             ranges[-1][1] = edges[i + 1]
         else:
             ranges.append([edges[i], edges[i + 1]])
-    words = sum(len(text[edges[i] : edges[i + 1]].split()) for i in gone)
+    words = sum(len(split(text[edges[i] : edges[i + 1]])) for i in gone)
     return len(found), len(gone), words, ",".join(f"{a}:{b}" for a, b in ranges), "".join(kept).strip()
 
 

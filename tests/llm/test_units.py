@@ -208,6 +208,23 @@ def test_any_fifty_shared_words_hold_a_run():
     assert len(left_of("a b c. d e f.", "a b c. d e f.")) == 6
 
 
+def test_spans_of_texts_without_spaces_and_of_letters_that_grow_in_lower_case():
+    rng = random.Random(13)
+    for a, b, mark in ((0x4E00, 0x9000, "。"), (0x3041, 0x3090, "！"), (0x0E01, 0x0E2E, " ")):
+        script = lambda n: "".join(chr(rng.randrange(a, b)) for _ in range(n))  # noqa: E731, B023
+        passage = script(30) + mark + script(30) + mark + script(40)
+        for around in (script(7), script(22)):
+            left = left_of(script(13) + passage + script(9), around + passage + script(9))
+            assert len(left) <= len(around) + 9 + 34
+    assert [("一二。三四！ab." + "c d")[x:y] for x, y in spans.sentences("一二。三四！ab." + "c d")] == ["一二。", "三四！", "ab.c d"]
+    words = ["".join(rng.choices("abcdefghij", k=6)).capitalize() for _ in range(60)]
+    passage = " ".join(words[:30]) + ". " + " ".join(words[30:]) + "."
+    assert len(left_of(passage, "\u0130stanbul. " + passage)) <= 1
+    text = "\u0130\u0130 x. " + passage
+    assert "".join(text[x:y] for x, y in spans.sentences(text)) == text
+    assert spans.without(text, [1])[4] == passage
+
+
 def test_depth_is_shortened_until_the_target():
     assert neardup.depth_for(0.8, 0.99999) == 4 and neardup.depth_for(0.8, 0.9) == 6 and neardup.depth_for(0.1, 0.99999) == 1
     long, short = neardup.multipliers(4, 6).reshape(4, 6), neardup.multipliers(4, 3).reshape(4, 3)
