@@ -121,6 +121,21 @@ def labelled_sample(
     return [(r["_t"], r["_y"]) for r in found]
 
 
+def sample(docs: DataFrame, train: Column, bound: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """The texts of at most ``bound`` rows, lowest hash of the id first, whatever is known of them.
+
+    The hash isn't that of labelled_sample, so the two choose independently.  As
+    there, only ids travel to the sort.  Rows with a null id or text are not used.
+    """
+    mine = docs.filter(train & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
+    mine = mine.select(F.col(id_col).alias("_id"), F.xxhash64(F.lit("sample"), F.col(id_col)).alias("_h"), F.xxhash64(text_col).alias("_v"))
+    picked = mine.orderBy("_h", "_id", "_v").limit(bound).select("_id", "_v").distinct()
+    texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_w"))
+    found = texts.join(F.broadcast(picked), (F.col("_i") == F.col("_id")) & (F.col("_w") == F.col("_v"))).select("_i", "_t").collect()
+    found.sort(key=lambda r: (r["_i"], r["_t"] or ""))
+    return [r["_t"] for r in found if r["_t"] is not None]
+
+
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Connected components by contraction: rows (node, root) for every node of an edge.
 

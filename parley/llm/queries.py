@@ -8,13 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import decontam, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity
-from parley.llm.common import crc_bucket, labelled_sample, table
+from parley.llm.common import crc_bucket, labelled_sample, sample, table
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
 VOCABULARY = f"{TOKENIZERS}/byte_bpe_50k.tiktoken"
 #: At most so many labelled rows of each label value are used to fit a classifier.
 FIT_ROWS = 2500
+#: At most so many training documents stand for the unlabelled ones.
+UNLABELLED_ROWS = 5000
 #: About so many training texts of each language are used to fit the language model.
 FIT_TEXTS = 300
 
@@ -87,22 +89,10 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:
-    """Fitted on trusted positives and, with labels hidden, a sample of the labelled training rows in their natural mix."""
+    """Fitted on trusted positives and on a sample of all training documents, whether labelled or not."""
     train = crc_bucket(F.col("doc_id"), 4) != 2
-    rows = labelled_sample(docs, labels, "quality", train, FIT_ROWS)
-    positive = [t for t, y in rows if y == 1]
-    share = quality_share(labels, train)
-    # the sample holds as many rows of each value as there are, up to the bound: bring it back to the natural mix
-    negative = [t for t, y in rows if y == 0]
-    n0 = min(len(negative), round(len(positive) * (1 - share) / max(share, 1e-9)))
-    n1 = min(len(positive), round(n0 * share / max(1 - share, 1e-9))) if n0 else len(positive)
-    return quality.fit(positive, positive[:n1] + negative[:n0])
-
-
-def quality_share(labels: DataFrame, train) -> float:
-    """The share of ones among all labelled training rows: one count over the whole table."""
-    row = labels.filter(train & F.col("quality").isin(0, 1)).agg(F.avg(F.col("quality").cast("double"))).first()
-    return float(row[0]) if row[0] is not None else 1.0
+    positive = [t for t, y in labelled_sample(docs, labels.filter(F.col("quality") == 1), "quality", train, FIT_ROWS) if y == 1]
+    return quality.fit(positive, sample(docs, train, UNLABELLED_ROWS))
 
 
 def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -104,6 +104,22 @@ def test_labelled_sample_is_bounded_and_ignores_held_out_rows(spark):
     assert all(zlib.crc32(t[1:].encode()) % 5 for t, _ in rows)
 
 
+def test_quality_learns_from_documents_without_labels(spark):
+    bad = lambda i: " ".join(w + "&&&" for w in prose(i).split())
+    docs = documents(spark, [(i, bad(i) if i >= 240 else prose(i)) for i in range(400)])
+    positives = spark.createDataFrame([(i, 1) for i in range(120)], "doc_id bigint, quality int")
+    model = q.quality_model(docs, positives)
+    score = lambda texts: [float(x) for x in model.score([quality.features(t) for t in texts])]
+    fine = score([prose(2000 + i) for i in range(40)])
+    assert sum(x < 0.5 for x in score([bad(1000 + i) for i in range(40)])) >= 34 and sum(x >= 0.5 for x in fine) >= 30
+    train = common.crc_bucket(F.col("doc_id"), 4) != 2
+    texts = common.sample(docs, train, 100)
+    ids = {t: i for i, t in ((r.doc_id, r.text) for r in docs.collect())}
+    assert len(texts) == 100 and all(zlib.crc32(str(ids[t]).encode()) % 4 != 2 for t in texts)
+    assert max(ids[t] for t in texts) > 350 and 20 < sum(ids[t] >= 240 for t in texts) < 60
+    assert len(common.sample(documents(spark, AWKWARD), F.lit(True), 100)) == 9
+
+
 def plain_spans(rows):
     """The sentences to drop of each (id, text), by looking at every run."""
     where = {}
