@@ -3,7 +3,7 @@
 Five small transducers read the tagged words of a clause: reported speech (what
 follows a verb of saying, or stands in quotes, is quoted), negation (a denied insult
 within a few words), target (a person is addressed), threat (a verb of harm with a
-target) and insult (an insult, with or without a target).  They are composed once
+target before or after it) and insult (an insult, with or without a target).  They are composed once
 into one deterministic machine over tags, whose arcs emit the events that a clause
 is scored by.  A clause is scored, not a word: the weights of its events' words are
 summed, those of quoted and denied ones apart.
@@ -31,7 +31,7 @@ from parley.llm.common import map_texts
 
 #: Closed word classes of the grammar in four languages.
 CLASSES = {
-    "TARGET": "you your yours you're u ur he him she her they them their du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes vosotros",
+    "TARGET": "you your yours yourself yourselves you're u ur he him she her they them their du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes vosotros",
     "NEGATION": "not no never isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco ningún",
     "REPORT": "said says say wrote writes told tells called calls quoted claimed claims sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó",
     "THREAT": "kill hurt beat destroy punch stab shoot strangle crush burn töten umbringen schlagen verletzen tuer frapper détruire matar golpear destruir",
@@ -42,7 +42,7 @@ EVENTS = ("insult", "directed", "denied", "quoted", "threat")
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 PIECE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]|[.!?;\n]+")
-#: So many words after a negation, or after a target, are in its scope.
+#: So many words after a negation, or after a target, are in its scope; a target may follow a threat by as many.
 SCOPE = 4
 
 
@@ -80,12 +80,20 @@ def within(opener: str, marks: dict[str, str]) -> Transducer:
 
 
 def emitting() -> Transducer:
-    """Insult and threat: the event of each tag, if any."""
+    """Insult and threat: the event of each tag, if any.  A THREAT without a target waits SCOPE words for one."""
     events = {
         "INSULT": "insult", "AT_INSULT": "directed", "AT_THREAT": "threat", "DENIED_INSULT": "denied", "DENIED_THREAT": "denied",
         "QUOTED_INSULT": "quoted", "QUOTED_THREAT": "quoted",
     }
-    return Transducer(0, lambda state, tag: (state, events.get(tag, "")))
+
+    def step(left, tag):
+        if tag == "THREAT":
+            return SCOPE, ""
+        if tag == "TARGET" and left:
+            return 0, "threat"
+        return max(0, left - 1), events.get(tag, "")
+
+    return Transducer(0, step)
 
 
 def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:

@@ -81,6 +81,15 @@ def test_toxic_grammar_scores_clauses():
     assert "Fine. A moron here. Bye"[start:end].strip() == "A moron here"
 
 
+def test_a_threat_may_stand_before_its_target():
+    scan = toxicity.Scanner(toxicity.Lexicon({"moron": 3.0}, {}))
+    found = lambda t: [{e: x for e, x in zip(toxicity.EVENTS, w) if x} for _, _, w in scan.clauses(t)]
+    assert found("I will kill you") == found("we will hurt them") == found("go kill yourself") == [{"threat": 1.0}]
+    assert found("kill one two three you") == [{"threat": 1.0}] and found("kill one two three four you") == []
+    assert found("kill. you") == [] and found("I will not kill you") == [{"denied": 1.0}] and found('"kill you"') == [{"quoted": 1.0}]
+    assert found("you kill them") == [{"threat": 1.0}] and found("kill you moron") == [{"threat": 1.0, "directed": 3.0}]
+
+
 def test_toxicity_learns():
     rng = random.Random(1)
     words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(200)]
