@@ -32,9 +32,11 @@ WORDS = ("password", "passwd", "secret", "token", "api")
 #: Strings of 20 or more key-like characters.
 LONG = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}")
 NOT_SECRET = re.compile(
-    r"(?:[0-9a-fA-F]+|[0-9+/_=-]+|[A-Za-z+/_=-]+|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}"
-    r"|(?:sha(?:1|256|384|512)|md5)[-_][0-9A-Za-z+/=]+|(?:[A-Za-z]{3,}|[0-9]{1,4})(?:[_/+=-]+(?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,4}|[a-z]))+[_/=-]*)"
+    r"(?:[0-9a-fA-F]+|[0-9+/_=-]+|[0-9a-fA-F]{8}-(?:[0-9a-fA-F]{4}-){3}[0-9a-fA-F]{12}|(?:sha(?:1|256|384|512)|md5)[-_][0-9A-Za-z+/=]+)"
 )
+#: Names made of words, if their words are words.
+NAME = re.compile(r"(?:[A-Za-z]{3,}|[0-9]{1,4})(?:[_/+=-]+(?:[A-Za-z]{2,}[0-9]{0,2}|[0-9]{1,4}|[a-z]))+[_/=-]*|[A-Za-z+/_=-]+")
+LETTERS = re.compile(r"[A-Za-z]+")
 
 #: At most so many bytes of vocabulary are sent to the executors.
 VOCABULARY_BYTES = 16 << 20
@@ -61,6 +63,14 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found, key=lambda s: (s[1], s[0]))
 
 
+def named(text: str, encode, least_ratio: float) -> bool:
+    """Whether a string is a name of words: the letters of its words are no denser than prose; one letter alone is a word."""
+    if not NAME.fullmatch(text):
+        return False
+    words = LETTERS.findall(text)
+    return sum(map(len, words)) >= least_ratio * sum(len(encode(w)) for w in words if len(w) > 1)
+
+
 def dense_spans(text: str, encode, least_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Strings with fewer than ``least_ratio`` characters a token that no other span covers."""
     out = []
@@ -68,7 +78,7 @@ def dense_spans(text: str, encode, least_ratio: float, taken: list[tuple[int, in
         s, e = m.span()
         if NOT_SECRET.fullmatch(m[0]) or any(s < b and a < e for _, a, b in taken):
             continue
-        if len(m[0]) < least_ratio * len(encode(m[0])):
+        if len(m[0]) < least_ratio * len(encode(m[0])) and not named(m[0], encode, least_ratio):
             out.append((3, s, e))
     return out
 

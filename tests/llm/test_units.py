@@ -275,6 +275,19 @@ def test_dense_strings():
     assert secrets.masked("a KEY b KEY2", [(0, 2, 5), (3, 4, 5), (0, 8, 12)], "*") == "a * b *"
 
 
+def test_random_strings_without_digits_are_found_and_names_are_not():
+    encode = secrets.encoding(open(RANKS, "rb").read()).encode_ordinary
+    dense = lambda t: secrets.dense_spans(t, encode, 2.0, [])
+    rng = random.Random(14)
+    for letters, least in (("abcdefghijklmnopqrstuvwxyz", 80), ("ABCDEFGHIJKLMNOPQRSTUVWXYZ", 95), ("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ", 98)):
+        assert sum(bool(dense("".join(rng.choices(letters, k=20)))) for _ in range(100)) >= least
+    base64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    assert sum(bool(dense("".join(rng.choices(base64, k=20)))) for _ in range(2000)) >= 1990
+    assert dense("kdJfQ/xPqLmZrTyWvBnCj") == [(3, 0, 21)]
+    names = "internationalisation_of_words_v2 getElementsByClassNameAndTag /usr/local/share/applications/files MAX_NUMBER_OF_CONNECTIONS_PER_HOST the-quick-brown-fox-jumps-over a/b/c/d/e/f/g/h/i/j/k/l --------------------------- counterrevolutionaries"
+    assert [names[a:b] for _, a, b in dense(names)] == []
+
+
 def test_pieces_parity():
     import sentencepiece
 
