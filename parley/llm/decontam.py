@@ -92,12 +92,12 @@ def _shape(n: int, window: int) -> tuple[int, int]:
 
 
 def hits(docs: DataFrame, windows: DataFrame, n: int, window: int, broadcast_rows: int) -> tuple[DataFrame, bool]:
-    """Rows (doc_id, k1, k2, n_words, at, item_id) of windows of n words that texts share with items.
+    """Rows (doc_id, k1, k2, n_words, at, item_id, n) of windows of n words that texts share with items.
 
     Where the items' fingerprints fit a broadcast, every text also has a row without
-    an item, and True is returned.
+    a hit, and True is returned.  Only ``n``, null there, tells hits: an item's id may be null.
     """
-    mine = windows.filter(F.col("n") == n).select("window", "item_id")
+    mine = windows.filter(F.col("n") == n).select("window", "item_id", "n")
     k, w = _shape(n, window)
     # exploding the bare column would make the optimiser infer a filter that holds all steps nested, computed many times over
     every = F.concat("kept", F.array(F.lit(_MARK).cast("bigint")))
@@ -109,7 +109,7 @@ def hits(docs: DataFrame, windows: DataFrame, n: int, window: int, broadcast_row
         rows = rows.select("doc_id", "k1", "k2", "words", F.posexplode(every).alias("at", "hash"))
         rows = rows.join(F.broadcast(prints), F.col("hash") == F.col("_kept"), "left_semi")
         rows = rows.select("doc_id", "k1", "k2", F.size("words").alias("n_words"), "at", "hash", F.when(F.col("hash") != _MARK, span).alias("_span"))
-        rows = rows.join(F.broadcast(mine), F.col("_span") == F.col("window"), "left").filter(F.col("item_id").isNotNull() | (F.col("hash") == _MARK))
+        rows = rows.join(F.broadcast(mine), F.col("_span") == F.col("window"), "left").filter(F.col("n").isNotNull() | (F.col("hash") == _MARK))
         return rows.drop("hash", "_span", "window"), True
     # many items: first the texts with a common fingerprint, by a shuffle of hashes alone
     some = rows.select("k1", "k2", F.explode(F.array_distinct(every)).alias("hash")).filter(F.col("hash") != _MARK)
@@ -133,7 +133,8 @@ def contamination(
 ) -> DataFrame:
     """(doc_id, n_words, n_hit, items): for each document its words, its words within shared windows, and the items they occur in.
 
-    A row for each row of ``docs``; ``items`` is a sorted array of ids as strings.
+    A row for each row of ``docs``; ``items`` is a sorted array of ids as strings,
+    a null id last.
     With ``keys``, also the columns k1 and k2 of ``text_keys``.
     """
     keyed = _keyed(docs, id_col, text_col)
@@ -142,9 +143,8 @@ def contamination(
     found, has_all = None, False
     for n in lengths:
         part, whole = hits(keyed, windows, n, window, broadcast_rows)
-        part = part.withColumn("n", F.when(F.col("item_id").isNotNull(), F.lit(n)))
         if has_all and whole:
-            part = part.filter("item_id is not null")
+            part = part.filter("n is not null")
         has_all = has_all or whole
         found = part if found is None else found.unionByName(part)
     if not has_all:
@@ -155,7 +155,7 @@ def contamination(
         F.first("n_words").alias("n_words"),
         F.count(F.when(F.col("n").isNull(), 1)).alias("_rows"),
         F.collect_set(F.when(F.col("n").isNotNull(), F.struct("at", "n"))).alias("_at"),
-        F.collect_set(F.col("item_id").cast("string")).alias("_items"),
+        F.collect_set(F.when(F.col("n").isNotNull(), F.struct(F.col("item_id").cast("string").alias("id")))).alias("_items"),
     )
     places = F.flatten(F.transform("_at", lambda x: F.sequence(x["at"], x["at"] + x["n"] - 1)))
     whole = whole.select(
@@ -163,7 +163,7 @@ def contamination(
         *(("k1", "k2") if keys else ()),
         F.col("n_words").cast("bigint").alias("n_words"),
         F.size(F.array_distinct(places)).cast("bigint").alias("n_hit"),
-        F.array_sort("_items").alias("items"),
+        F.array_sort(F.col("_items.id")).alias("items"),
         F.explode(F.sequence(F.lit(1), F.col("_rows").cast("int"))).alias("_copy"),
     )
     return whole.drop("_copy")

@@ -304,6 +304,16 @@ def test_contamination(spark, awkward, empty, broadcast_rows):
     assert all(r.n_hit == 0 for r in check(run(awkward, bench.limit(0))))
 
 
+@pytest.mark.parametrize("broadcast_rows", [300_000, 0])
+def test_contamination_by_items_without_an_id(spark, broadcast_rows):
+    bench = spark.createDataFrame([(None, prose(70, 40)), (None, prose(73, 15)), (1, prose(70, 12)), (None, "solo")], "item_id bigint, text string")
+    a = prose(70, 40).split()
+    rows = [(1, prose(1)), (2, " ".join(a[20:35])), (3, " ".join(a[:30])), (4, prose(73, 15) + " solo"), (5, None), (6, "solo")]
+    found = decontam.contamination(documents(spark, rows), bench, broadcast_rows=broadcast_rows).collect()
+    got = sorted((r.doc_id, r.n_hit, list(r["items"])) for r in found)
+    assert got == [(1, 0, []), (2, 15, [None]), (3, 30, ["1", None]), (4, 16, [None]), (5, 0, []), (6, 1, [None])]
+
+
 def test_secrets_and_pieces(awkward, empty):
     for docs, n in ((awkward, len(AWKWARD)), (empty, 0)):
         found = check(secrets.scan(docs, F.col("text"), F.col("doc_id"), vocabulary_path=q.VOCABULARY, mask="*"), n)
