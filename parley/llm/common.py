@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -14,6 +15,8 @@ from pyspark.sql import types as T
 SLICE_BYTES = 4 << 20
 #: Bytes of an Arrow batch between the JVM and Python at most (one row may be larger).
 BATCH_BYTES = 16 << 20
+#: Bytes of text that reach the driver to fit a model, at most.
+FIT_BYTES = 32 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,10 +26,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors see.
 
-    Only where that setting is absent (tests on one machine) a folder of the
-    session's own is used.
+    Only in local mode may that setting be absent: then one machine's temporary
+    folder is used.  Elsewhere that would lose rows without a word, so it raises.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/parley-checkpoints"
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"{tempfile.gettempdir()}/parley-checkpoints"
     return f"{root.rstrip('/')}/parley-{uuid.uuid4().hex}"
 
 
@@ -98,14 +105,33 @@ def crc_bucket(doc_id: Column, modulus: int) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))
 
 
+def text_keys(id_col: str, text_col: str) -> list[Column]:
+    """k1 and k2: 128 bits that stand for a document's id and text, so that texts of one id are told apart."""
+    i, t = F.col(id_col), F.col(text_col)
+    return [F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2")]
+
+
+def held_to(rows: DataFrame, group: Column, order: list[str], text_col: str, most: int) -> DataFrame:
+    """The first rows, by ``order``, of each group, as far as their texts hold ``most`` bytes; texts of over a sixteenth of that aren't used.
+
+    For bounded tables of few columns only: ``order`` must tell the rows apart, and
+    each group's sizes are summed in one task.
+    """
+    rows = stored(rows.withColumn("_group", group).filter(F.octet_length(text_col) <= most // 16))
+    upto = Window.partitionBy("_group").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    sums = rows.select("_group", *order, F.sum(F.octet_length(text_col)).over(upto).alias("_sum")).filter(F.col("_sum") <= most)
+    return rows.join(F.broadcast(sums.drop("_sum")), ["_group", *order], "left_semi").drop("_group")
+
+
 def labelled_sample(
-    docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame, labels: DataFrame, label: str, train: Column, bound: int, most: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text"
 ) -> list[tuple[str, int]]:
-    """At most ``bound`` (text, label) rows of each label value 0 and 1, lowest hash of the id first.
+    """At most ``bound`` (text, label) rows of each label value 0 and 1, and ``most`` bytes of text in all, lowest hash of the id first.
 
     Only ids travel to the sort; the texts of the chosen ids follow by a join
     against a list of at most ``2 * bound`` ids, and that is what reaches the
-    driver.  Rows with a null id, label or text are not used.
+    driver.  An id counts once, with its greatest label and its least text.  Rows
+    with a null id, label or text are not used.
     """
     mine = labels.select(F.col(id_col).alias("_id"), F.col(label).cast("int").alias("_y"))
     mine = mine.filter(F.col("_id").isNotNull() & F.col("_y").isin(0, 1)).groupBy("_id").agg(F.max("_y").alias("_y"))
@@ -113,27 +139,29 @@ def labelled_sample(
     mine = mine.withColumn("_h", F.xxhash64("_id"))
     picked = None
     for y in (0, 1):
-        some = mine.filter(F.col("_y") == y).orderBy("_h", "_id").limit(bound).select("_id", "_y")
+        some = mine.filter(F.col("_y") == y).orderBy("_h", "_id").limit(bound)
         picked = some if picked is None else picked.unionByName(some)
     texts = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t")).filter(F.col("_t").isNotNull())
-    found = texts.join(F.broadcast(picked), "_id").select("_id", "_t", "_y").collect()
-    found.sort(key=lambda r: (r["_id"], r["_t"]))
-    return [(r["_t"], r["_y"]) for r in found]
+    found = texts.join(F.broadcast(picked), "_id").groupBy("_id", "_h", "_y").agg(F.min("_t").alias("_t"))
+    found = held_to(found, F.col("_y"), ["_h", "_id"], "_t", most // 2).select("_id", "_t", "_y").collect()
+    return [(r["_t"], r["_y"]) for r in sorted(found, key=lambda r: (r["_id"], r["_t"]))]
 
 
-def sample(docs: DataFrame, train: Column, bound: int, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
-    """The texts of at most ``bound`` rows, lowest hash of the id first, whatever is known of them.
+def sample(docs: DataFrame, train: Column, bound: int, most: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text") -> list[str]:
+    """The texts of at most ``bound`` rows and ``most`` bytes, lowest hash of the id first, whatever is known of them.
 
     The hash isn't that of labelled_sample, so the two choose independently.  As
-    there, only ids travel to the sort.  Rows with a null id or text are not used.
+    there, only ids travel to the sort.  Equal rows count once.  Rows with a null id
+    or text are not used.
     """
     mine = docs.filter(train & F.col(id_col).isNotNull() & F.col(text_col).isNotNull())
     mine = mine.select(F.col(id_col).alias("_id"), F.xxhash64(F.lit("sample"), F.col(id_col)).alias("_h"), F.xxhash64(text_col).alias("_v"))
-    picked = mine.orderBy("_h", "_id", "_v").limit(bound).select("_id", "_v").distinct()
+    picked = mine.orderBy("_h", "_id", "_v").limit(bound).distinct()
     texts = docs.select(F.col(id_col).alias("_i"), F.col(text_col).alias("_t"), F.xxhash64(text_col).alias("_w"))
-    found = texts.join(F.broadcast(picked), (F.col("_i") == F.col("_id")) & (F.col("_w") == F.col("_v"))).select("_i", "_t").collect()
-    found.sort(key=lambda r: (r["_i"], r["_t"] or ""))
-    return [r["_t"] for r in found if r["_t"] is not None]
+    found = texts.join(F.broadcast(picked), (F.col("_i") == F.col("_id")) & (F.col("_w") == F.col("_v")))
+    found = found.groupBy("_h", "_id", "_v").agg(F.min("_t").alias("_t"))
+    found = held_to(found, F.lit(0), ["_h", "_id", "_v"], "_t", most).select("_id", "_t").collect()
+    return [r["_t"] for r in sorted(found, key=lambda r: (r["_id"], r["_t"]))]
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:

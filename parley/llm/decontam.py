@@ -20,6 +20,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from parley.llm.common import text_keys
+
 #: Words of a window; of a hashed gram; grams of a winnowing window.  K + W - 1 = WINDOW.
 WINDOW = 10
 K, W = 7, 4
@@ -68,12 +70,6 @@ def fingerprints(df: DataFrame, k: int, w: int) -> DataFrame:
     return _spread(df, "kept", "kept", w, lambda x, y: F.least(x, y))
 
 
-def text_keys(id_col: str, text_col: str) -> list[Column]:
-    """k1 and k2: 128 bits that stand for a document's id and text, so that texts of one id are told apart."""
-    i, t = F.col(id_col), F.col(text_col)
-    return [F.xxhash64(i, t).alias("k1"), F.xxhash64(t, i, F.lit(1)).alias("k2")]
-
-
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).alias("doc_id"), *text_keys(id_col, text_col), words(F.col(text_col)).alias("words"))
 

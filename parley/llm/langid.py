@@ -5,7 +5,10 @@ of its letters narrow the candidates; a Viterbi pass with a penalty for switchin
 labels the spans of a text.  All texts of a batch take each Viterbi step together.
 
 A text that is null or has no letters has no spans and the language ``und``.
-Digits, marks and symbols belong to no word.  Offsets count code points.
+Digits and symbols belong to no word, and marks only to that of a letter before them.
+Offsets count code points.  Of languages with equally many letters the first by name
+wins.  Repeated rows each get their result.  A very long text is one row of a batch:
+memory grows with it, by some hundred bytes a word.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import map_texts
+from parley.llm.common import FIT_BYTES, held_to, map_texts
 
 BITS = 16
 #: First and last code point of scripts; what none of them holds is script 0.
@@ -33,23 +36,22 @@ SAME = {2: 1, 4: 3, 14: 17, 18: 16}
 _TABLES: list[np.ndarray] = []
 
 
-def tables() -> tuple[np.ndarray, np.ndarray]:
-    """By code point: the lower-case letter or 0, and the script."""
+def tables() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """By code point: the lower-case letter or the mark or 0, the script, and whether it is a mark."""
     if not _TABLES:
-        letter = np.zeros(0x110000, dtype=np.uint32)
+        letter, mark = np.zeros(0x110000, dtype=np.uint32), np.zeros(0x110000, dtype=bool)
         for c in range(0x110000):
             kind = unicodedata.category(chr(c))
             if kind[0] == "L":
                 low = chr(c).lower()
                 letter[c] = ord(low) if len(low) == 1 else c
             elif kind in ("Mn", "Mc"):
-                letter[c] = c
+                letter[c], mark[c] = c, True
         script = np.zeros(0x110000, dtype=np.uint8)
         for i, (a, b) in enumerate(SCRIPTS, 1):
             script[a : b + 1] = SAME.get(i, i)
-        _TABLES[:] = [letter, script]
-    return _TABLES[0], _TABLES[1]
-
+        _TABLES[:] = [letter, script, mark]
+    return _TABLES[0], _TABLES[1], _TABLES[2]
 
 
 @dataclass
@@ -66,11 +68,19 @@ class Words:
 
 
 def split(texts: list[str | None]) -> Words:
-    letter, script = tables()
+    letter, script, marks = tables()
     joined = "\0".join(["", *(t or "" for t in texts), ""])
     codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype="<u4")
     low = letter[codes]
     inside = low > 0
+    # a mark belongs to the word that a letter began; marks without a letter are none
+    mark = marks[codes]
+    if mark.any():
+        at = np.arange(len(codes))
+        began = np.maximum.accumulate(np.where(inside & ~mark, at, -1))  # the last letter up to here
+        broken = np.maximum.accumulate(np.where(~inside, at, -1))  # the last place up to here that is in no word
+        inside &= began > broken
+        low = np.where(inside, low, 0)
     edges = np.flatnonzero(inside[1:] != inside[:-1]) + 1
     start, end = edges[0::2], edges[1::2]
     sizes = np.array([len(t or "") for t in texts], dtype=np.int64)
@@ -204,19 +214,25 @@ def identify(docs: DataFrame, text: Column, *ids: Column, model: Model, penalty:
     return map_texts(docs, [*ids, text.alias("_text")], make, added, len(ids))
 
 
-def sample(docs: DataFrame, train: Column, per_lang: int, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str]]:
-    """About ``per_lang`` (text, language) rows of each language, those with the lowest hash of the id.
+def sample(
+    docs: DataFrame, train: Column, per_lang: int, most: int = FIT_BYTES, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang"
+) -> list[tuple[str, str]]:
+    """About ``per_lang`` (text, language) rows of each language, those with the lowest hash of the id, and ``most`` bytes of text in all.
 
     A count of every language's rows over the whole table sets the hash bound;
-    never more than twice as many rows as asked for reach the driver.
+    never more than twice as many rows as asked for reach the driver.  An id counts
+    once for each of its languages, with its least text.
     """
-    rows = docs.filter(train & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull()).select(id_col, text_col, lang_col)
-    counts = {r[lang_col]: r["n"] for r in rows.groupBy(lang_col).agg(F.count("*").alias("n")).collect()}
+    rows = docs.filter(train & F.col(id_col).isNotNull() & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
+    rows = rows.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_t"), F.col(lang_col).alias("_lang"))
+    counts = {r["_lang"]: r["n"] for r in rows.groupBy("_lang").agg(F.count("*").alias("n")).collect()}
     if not counts:
         return []
     span = 1 << 30
     bound = F.lit(0)
     for lang, n in sorted(counts.items()):
-        bound = F.when(F.col(lang_col) == lang, F.lit(-(-span * per_lang // n))).otherwise(bound)
-    chosen = rows.filter(F.pmod(F.xxhash64(id_col), F.lit(span)) < bound).limit(2 * per_lang * len(counts)).collect()
-    return [(r[text_col], r[lang_col]) for r in sorted(chosen, key=lambda r: (r[id_col], r[text_col]))]
+        bound = F.when(F.col("_lang") == lang, F.lit(-(-span * per_lang // n))).otherwise(bound)
+    rows = rows.withColumn("_h", F.pmod(F.xxhash64("_id"), F.lit(span))).filter(F.col("_h") < bound)
+    chosen = rows.groupBy("_h", "_id", "_lang").agg(F.min("_t").alias("_t")).orderBy("_h", "_id", "_lang").limit(2 * per_lang * len(counts))
+    chosen = held_to(chosen, F.lit(0), ["_h", "_id", "_lang"], "_t", most).collect()
+    return [(r["_t"], r["_lang"]) for r in sorted(chosen, key=lambda r: (r["_id"], r["_t"], r["_lang"]))]

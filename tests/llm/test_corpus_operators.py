@@ -6,6 +6,7 @@ import hashlib
 import random
 import re
 import zlib
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -104,6 +105,26 @@ def test_labelled_sample_is_bounded_and_ignores_held_out_rows(spark):
     assert all(zlib.crc32(t[1:].encode()) % 5 for t, _ in rows)
 
 
+def test_samples_are_bounded_where_an_id_repeats(spark):
+    docs = documents(spark, [(1, f"t{i % 700}") for i in range(3000)] + [(2, "u" * 3000), (3, "v"), (4, "w")])
+    labels = spark.createDataFrame([(1, 1), (1, 0), (2, 0), (3, 0), (4, 0)], "doc_id bigint, toxic int")
+    assert sorted(common.labelled_sample(docs, labels, "toxic", F.lit(True), 5)) == [("t0", 1), ("u" * 3000, 0), ("v", 0), ("w", 0)]
+    assert sorted(common.labelled_sample(docs, labels, "toxic", F.lit(True), 5, most=4000)) == [("t0", 1), ("v", 0), ("w", 0)]
+    assert len(common.sample(docs, F.lit(True), 5)) <= 5 and len(common.sample(docs, F.lit(True), 10_000)) == 703
+    assert sorted(common.sample(docs, F.lit(True), 10_000, most=32)) == sorted(common.sample(docs, F.lit(True), 10_000, most=32)) != []
+    first = langid.sample(docs, F.lit(True), 2)
+    assert first == langid.sample(docs.repartition(7), F.lit(True), 2) and len(first) <= 4 and all(t == "t0" for t, _ in first if t[0] == "t")
+
+
+def test_a_shared_folder_is_asked_for(spark):
+    assert common.shared_dir(spark).startswith(spark.conf.get("spark.checkpoint.dir"))
+    session = lambda master: SimpleNamespace(conf=SimpleNamespace(get=lambda k, d: d), sparkContext=SimpleNamespace(master=master))
+    assert common.shared_dir(session("local[4]"))
+    for master in ("spark://host:7077", "local-cluster[3,2,1024]", "yarn"):
+        with pytest.raises(ValueError, match="checkpoint.dir"):
+            common.shared_dir(session(master))
+
+
 def test_quality_learns_from_documents_without_labels(spark):
     bad = lambda i: " ".join(w + "&&&" for w in prose(i).split())
     docs = documents(spark, [(i, bad(i) if i >= 240 else prose(i)) for i in range(400)])
@@ -193,6 +214,28 @@ def test_pii(spark, awkward, empty):
     check(pii.detect(empty, F.col("text"), F.col("doc_id")), 0)
 
 
+def test_looser_personal_data_is_decided_by_the_votes(spark):
+    rng = random.Random(21)
+    digit = lambda k: "".join(rng.choices("0123456789", k=k))
+    mail = lambda: f"{rng.choice(VOCABULARY)}.{digit(2)}@{rng.choice(VOCABULARY)}.com"
+    national = lambda: f"{rng.randrange(201, 989)}-{rng.randrange(201, 989)}-{digit(4)}"
+    rows, want = [], {}
+    for i in range(300):
+        kind, text = i % 5, prose(i, 12)
+        add = (f"mail {mail()}", f"phone: {national()}", f"order {national()}", f"ip {digit(2).strip('0') or 1}.2.3.4", f"number 9{digit(15)}")[kind]
+        rows.append((i, f"{text} {add} {text}"))
+        want[i] = kind
+    found = pii.detect(documents(spark, rows), F.col("text"), F.col("doc_id"))
+    added = {r.doc_id: [pii.KINDS[x.kind] for x in r.added] for r in found.collect()}
+    assert all(added[i] == ["national_phone"] for i in want if want[i] == 1)
+    assert not any(added[i] for i in want if want[i] in (0, 2, 3, 4))
+    spelled = pii.candidates(documents(spark, [(1, "write jane.doe (at) mail (dot) org or a[at]b.com"), (2, "4111 1111 1111 1112 x"), (3, "1.2.3.4 " * 600)]), F.col("text"), F.col("doc_id"))
+    got = {r.doc_id: r for r in spelled.collect()}
+    assert [(pii.KINDS[x.kind], x.start, x.end) for x in got[1].loose] == [("spelled_email", 6, 34), ("spelled_email", 38, 48)]
+    assert [(pii.KINDS[x.kind], x.start, x.end) for x in got[2].loose] == [("loose_card", 0, 19)]
+    assert [(x.start, x.end) for x in got[3].base] == [(8 * i, 8 * i + 7) for i in range(600)]
+
+
 def test_pii_mask(spark):
     docs = documents(spark, [(1, "🙂 write a@b.cd or 1.2.3.4."), (2, "none")])
     found = pii.detect(docs, F.col("text"), F.col("doc_id"), F.col("text").alias("t"))
@@ -249,6 +292,22 @@ def test_near_duplicates_across_cells(spark, awkward, empty, monkeypatch):
     check(neardup.join(empty), 0)
 
 
+@pytest.mark.parametrize("copies", [2, 12])
+def test_forest_at_both_levels(spark, copies):
+    """Copies that are alike keep the prefixes deep, those near the threshold shorten them; either way the classes are those of brute force."""
+    rows = [(1000 * i + k, changed(prose(400 + i, 200), 17 * i + k, k % copies)) for i in range(12) for k in range(5)]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.join(documents(spark, rows)).collect()}
+    assert got == plain_classes(rows)
+
+
+def test_near_duplicates_of_repeated_ids_keep_one_document(spark):
+    a, b = prose(80, 80), prose(81, 80)
+    docs = documents(spark, [(3, b), (5, a), (5, b), (3, changed(b, 1, 1)), (3, b), (7, a), (None, prose(82)), (None, prose(82)), (8, None), (9, "")])
+    docs = docs.select(*corpus_pipeline.COLUMNS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect()]
+    assert len(kept) == 4 and {(5, a), (None, prose(82)), (8, None)} < set(kept) and any(k == 3 and t in (b, changed(b, 1, 1)) for k, t in kept)
+
+
 def test_components(spark):
     rng = random.Random(9)
     edges = [(rng.randrange(120), rng.randrange(120)) for _ in range(90)] + [(i, i + 1) for i in range(200, 260)] + [(500, 501 + i) for i in range(50)]
@@ -326,6 +385,15 @@ def test_secrets_and_pieces(awkward, empty):
                 assert r.parity and r.round_trip and len(r.ids) == r.n_tokens
 
 
+def test_pieces_are_decoded(spark):
+    rows = [r for r in AWKWARD if r[0] is not None]
+    coded = pieces.encode(documents(spark, rows), F.col("text"), F.col("doc_id"), model_path=q.PIECES)
+    got = pieces.decode(coded, F.col("ids"), F.col("doc_id"), model_path=q.PIECES).collect()
+    assert sorted(((r.doc_id, r.text) for r in got), key=repr) == sorted(rows, key=repr)
+    odd = spark.createDataFrame([(1, [32_000]), (2, [-1]), (3, []), (4, [1, 2])], "doc_id bigint, ids array<int>")
+    assert [r.text for r in pieces.decode(odd, F.col("ids"), F.col("doc_id"), model_path=q.PIECES).orderBy("doc_id").collect()] == [None, None, "", ""]
+
+
 def test_queries_keep_their_contracts(spark):
     d = "/root/testdata/sf0.001"
     n = spark.read.parquet(f"{d}/documents.parquet").count()

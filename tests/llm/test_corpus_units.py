@@ -140,6 +140,13 @@ def test_language_spans():
     assert langid.label(["abc"], langid.fit([], []), 8.0)["lang_pred"] == ["und"]
 
 
+def test_marks_without_a_letter_are_no_words():
+    model = langid.fit(["the cat sat " * 20, "der hund bellt " * 20], ["en", "de"])
+    got = langid.label(["\u0301\u0301 \u0302", "12\u0301", "\u0301the cat", "the\u0301 cat"], model, 8.0)
+    assert got["lang_pred"] == ["und", "und", "en", "en"] and got["score"][:2] == [0, 0]
+    assert [(s[0]["start"], s[0]["end"]) for s in got["spans"][2:]] == [(1, 8), (0, 8)]
+
+
 def plain_runs(n):
     out = set()
     for a in range(len(n)):
@@ -236,8 +243,16 @@ def test_spans_of_texts_without_spaces_and_of_letters_that_grow_in_lower_case():
 
 def test_depth_is_shortened_until_the_target():
     assert neardup.depth_for(0.8, 0.99999) == 4 and neardup.depth_for(0.8, 0.9) == 6 and neardup.depth_for(0.1, 0.99999) == 1
-    long, short = neardup.multipliers(4, 6).reshape(4, 6), neardup.multipliers(4, 3).reshape(4, 3)
-    assert (long[:, :3] == short).all()
+    assert neardup.depth_of([0.99] * 50, 4, 0.99999, 24) == 6 and neardup.depth_of([0.8] * 50, 4, 0.99999, 24) == 4 == neardup.depth_of([], 4, 0.99999, 24)
+    assert neardup.depth_of([0.99] * 20 + [0.8], 4, 0.99999, 24) == 5
+    rng = random.Random(16)
+    grams = np.array(sorted(rng.getrandbits(64) for _ in range(90)), dtype=np.uint64)
+    factors = neardup.multipliers(24, neardup.DEEPEST)
+    found = neardup.labels(grams, factors, 24, 4)
+    other = neardup.labels(grams[:70], factors, 24, 4)
+    same = found == other
+    # equal deeper nodes have equal shallower ones
+    assert found.shape == (24, 3) and (same[:, 1] <= same[:, 0]).all() and (same[:, 2] <= same[:, 1]).all() and same[:, 0].any() and not same[:, 2].all()
 
 
 def test_shingles_and_counts():
@@ -296,14 +311,55 @@ def test_pieces_parity():
     texts = ["", " ", "Hello world", "  two  spaces ", "tab\tand\nline", "naïve café 다중 🙂", "a" * 300, "<s> </s> <unk> <0x41>", "▁mark", "x  ", "\x00\x07", "Ünïcödé   ▁▁ mix"]
     rng = random.Random(4)
     texts += ["".join(rng.choices("ab cd▁eéß한🙂.\n<>/s0", k=rng.randrange(60))) for _ in range(150)]
-    for text, (ids, same) in zip(texts, codec.encode(texts)):
+    for text, (ids, same, back) in zip(texts, codec.encode(texts)):
         want = theirs.encode(text)
         assert np.frombuffer(ids, "<i4").tolist() == want, text
-        assert same and (codec.decode(ids) == text.replace("▁", " ") or not text)
+        assert same and codec.decode(ids) == theirs.decode(want) == text.replace("▁", " ") and back == ("▁" not in text)
     full = [e.ids for e in codec.full.encode_batch(texts, add_special_tokens=False)]
     assert [f for f, t in zip(full, texts) if t] == [theirs.encode(t) for t in texts if t]
 
 
+def test_known_cuts_are_bounded_in_bytes(monkeypatch):
+    monkeypatch.setattr(pieces, "REMEMBERED", 2000)
+    codec = pieces.Codec(open(PIECES, "rb").read())
+    for k in range(20):
+        texts = [f"common w{k}x{i} {'z' * i}" for i in range(9)]
+        found = codec.encode(texts)
+        assert all(codec.decode(ids) == t and same and back for t, (ids, same, back) in zip(texts, found))
+        assert codec.held == sum(pieces.OVERHEAD + 2 * len(c) + len(x) for c, x in codec.known.items()) and len(codec.known) < 60
+
+
+def field(number, value):
+    """One field of a protobuf message."""
+    if isinstance(value, int):
+        return bytes([number << 3 & 0x7F | 0x80, number >> 4, value]) if number > 15 else bytes([number << 3, value])
+    if isinstance(value, float):
+        return bytes([number << 3 | 5]) + struct.pack("<f", value)
+    return bytes([number << 3 | 2]) + bytes([len(value)]) + value
+
+
+def unigram_model():
+    """A small model file: unigram pieces, byte fallback, white space squeezed."""
+    words = {"▁": -3.0, "▁the": -1.5, "the": -2.5, "▁cat": -2.0, "cat": -4.0, "s": -2.2, "c": -6.0, "a": -6.0, "t": -6.0, "h": -6.5, "e": -5.5, "▁th": -4.4, "at": -3.1}
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((f"<0x{i:02X}>", 0.0, 6) for i in range(256)), *((w, x, 1) for w, x in words.items())]
+    out = b"".join(field(1, field(1, w.encode()) + field(2, x) + field(3, k)) for w, x, k in rows)
+    return out + field(2, field(3, 1) + field(35, 1)) + field(3, field(3, 1) + field(4, 1) + field(5, 1))
+
+
+def test_a_unigram_model_with_byte_fallback_and_squeezed_spaces():
+    import sentencepiece
+
+    data = unigram_model()
+    codec, theirs = pieces.Codec(data), sentencepiece.SentencePieceProcessor(model_proto=data)
+    assert codec.parsed.kind == pieces.UNIGRAM and codec.parsed.byte_fallback and not codec.wordy and codec.cuttable
+    rng = random.Random(15)
+    texts = ["the cats", "  the   cat ", "catthe é🙂", "", " ", "x", "cat\ncat"] + ["".join(rng.choices("the cats  é", k=rng.randrange(30))) for _ in range(200)]
+    for text, (ids, same, back) in zip(texts, codec.encode(texts)):
+        want = theirs.encode(text)
+        assert same and np.frombuffer(ids, "<i4").tolist() == want, text
+        assert codec.decode(ids) == theirs.decode(want) and back == (theirs.decode(want) == text), text
+
+
 def test_model_file_errors():
     with pytest.raises((ValueError, IndexError)):
         pieces.parse(b"\x0b\x01nonsense")
@@ -329,11 +385,11 @@ def test_reliabilities_find_the_good_labelers():
     for _ in range(4000):
         y = rng.random() < 0.5
         vote = lambda p: (1 if y else -1) if rng.random() < p else (-1 if y else 1)
-        key = (4, (0, vote(0.95), vote(0.9), vote(0.85), vote(0.5)))
+        key = (4, (0, vote(0.95), vote(0.9), vote(0.85), vote(0.5), 0, 1))
         counts[key] = counts.get(key, 0) + 1
     prob = pii.reliabilities(counts)
-    assert prob[4, (0, 1, 1, 1, -1)] > 0.95 and prob[4, (0, -1, -1, -1, 1)] < 0.05
-    w = pii.classifier(counts, prob)
+    assert prob[4, (0, 1, 1, 1, -1, 0, 1)] > 0.95 and prob[4, (0, -1, -1, -1, 1, 0, 1)] < 0.05
+    w = pii.classifier({(*p, (i % 3, 1, 1, 1)): n for i, (p, n) in enumerate(counts.items())}, prob)
     z = lambda p: sum(a * b for a, b in zip(w, pii.features(p)))
-    assert z((4, (0, 1, 1, 1, 0))) > 0 > z((4, (0, -1, -1, -1, 0)))
+    assert z((4, (0, 1, 1, 1, 0, 0, 1), (0, 1, 1, 1))) > 0 > z((4, (0, -1, -1, -1, 0, 0, 1), (0, 1, 1, 1)))
     assert pii.reliabilities({}) == {}
