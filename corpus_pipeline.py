@@ -5,7 +5,7 @@ read again as the next stage's documents.  All but the last return the columns o
 ``documents``; further columns of the input are left behind.
 
 - ``quality`` drops documents that the positive-unlabelled classifier rejects.
-- ``near_duplicates`` keeps the document with the least id of each class of similar ones.
+- ``near_duplicates`` keeps one document of each class of similar ones, with the least id.
 - ``decontamination`` drops documents that share a window of words with the benchmark.
 - ``secrets`` replaces secrets in the texts and counts their characters again.
 - ``encoding`` returns the token ids of each text.
@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from parley.llm import decontam, neardup, pieces, quality, secrets
 from parley.llm import queries as q
-from parley.llm.common import stored, table
+from parley.llm.common import stored, table, text_keys
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 MASK = "[SECRET]"
@@ -37,11 +37,13 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def without_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     docs = docs.select(*COLUMNS)
-    found = neardup.join(docs)
-    least = found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select(F.col("doc_id").alias("_id")).distinct()
-    kept = docs.join(least, F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    # equal rows of one id are one document; different texts of one id were told apart above
-    return kept.withColumn("_h", F.xxhash64("text")).dropDuplicates(["doc_id", "_h"]).select(*COLUMNS)
+    found = neardup.join(docs, keys=True)
+    found = stored(found.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).select("class_key", "doc_id", "k1", "k2"))
+    # where texts of the least id are several of one class, or a row is repeated, one stays
+    least = found.groupBy("class_key").agg(F.min(F.struct("k1", "k2")).alias("k")).select(F.col("k.k1").alias("_k1"), F.col("k.k2").alias("_k2"))
+    k1, k2 = text_keys("doc_id", "text")
+    kept = docs.withColumns({"k1": k1, "k2": k2}).join(least, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left_semi")
+    return kept.dropDuplicates(["k1", "k2"]).select(*COLUMNS)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -49,7 +51,7 @@ def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark"), keys=True)
     bad = stored(found.filter("n_hit > 0").select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).distinct())
     bad = F.broadcast(bad) if bad.count() <= BROADCAST_KEYS else bad
-    k1, k2 = decontam.text_keys("doc_id", "text")
+    k1, k2 = text_keys("doc_id", "text")
     return docs.join(bad, (k1 == F.col("_k1")) & (k2 == F.col("_k2")), "left_anti").select(*COLUMNS)
 
 
