@@ -11,6 +11,8 @@ least t, over the same share of positives, bounds it from above at every t; the
 least such bound with a margin of two standard errors is taken.
 
 Texts that are null or empty get features of zero and a score like any other.
+Repeated rows each get their result, equal texts equal scores.  A very long text is
+read whole, in time and memory that grow with its length.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.llm import decontam, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity
-from parley.llm.common import crc_bucket, labelled_sample, sample, table
+from parley.llm.common import crc_bucket, labelled_sample, sample, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
 PIECES = f"{TOKENIZERS}/piece_bpe_32k.model"
@@ -24,9 +24,11 @@ FIT_TEXTS = 300
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     payload = F.coalesce("text", F.lit("")).cast("binary")
-    stored = telephony.store(docs, payload, F.col("doc_id"))
-    read = telephony.decode(stored, F.col("media"), F.col("doc_id"), F.col("n_bytes"), keep=())
-    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", telephony.features(read).alias("feature"))
+    # the media are written, and what is decoded is read from there
+    media = stored(telephony.store(docs, payload, F.col("doc_id")))
+    read = telephony.decode(media, F.col("media"), F.col("doc_id"), F.col("n_bytes"))
+    digests = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256")
+    return read.select(*digests, telephony.features(read).alias("feature"), "pcm")
 
 
 def op2_toxicity_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,6 +8,8 @@ secret: digests, UUIDs and other hexadecimal or decimal identifiers, and names m
 of words.
 
 Nulls and empty texts have no spans.  Offsets count code points, ends are exclusive.
+Repeated rows each get their result; spans that start together follow one another by
+kind.  A very long text is scanned in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -15,6 +17,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -74,9 +78,13 @@ def named(text: str, encode, least_ratio: float) -> bool:
 def dense_spans(text: str, encode, least_ratio: float, taken: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
     """Strings with fewer than ``least_ratio`` characters a token that no other span covers."""
     out = []
+    # of the spans that start before a place, the one that ends last says whether any reaches beyond it
+    starts = [a for _, a, _ in sorted(taken, key=lambda x: x[1])]
+    reach = list(accumulate((b for _, _, b in sorted(taken, key=lambda x: x[1])), max))
     for m in LONG.finditer(text):
         s, e = m.span()
-        if NOT_SECRET.fullmatch(m[0]) or any(s < b and a < e for _, a, b in taken):
+        before = bisect_left(starts, e)
+        if NOT_SECRET.fullmatch(m[0]) or before and reach[before - 1] > s:
             continue
         if len(m[0]) < least_ratio * len(encode(m[0])) and not named(m[0], encode, least_ratio):
             out.append((3, s, e))

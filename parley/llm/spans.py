@@ -46,6 +46,8 @@ DENSE = re.compile(f"[{UNSPACED}]")
 WORD = re.compile(f"[{UNSPACED}]|[^\\s{UNSPACED}]+")
 #: A run has at most LEAST sentences, so its length fits these bits beside its first sentence.
 RUN_BITS = 6
+#: At most so many hashes that occur so often in a sample are dealt to so many groups each.
+COMMON, OFTEN, SALTS = 10_000, 48, 1024
 #: Odd factors of the two hashes of a run of sentence hashes.
 FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 
@@ -197,19 +199,35 @@ def _hashed(docs: DataFrame, text: Column, *ids: Column) -> DataFrame:
     return map_texts(docs, [*ids, text.alias("_text")], make, added, len(ids))
 
 
+def common_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """(_h): at most COMMON hashes that a sixteenth of the documents hold most often, OFTEN or more times.
+
+    They only say how rows are dealt out; what is found doesn't depend on them, as
+    each of them is known to stand in several places.
+    """
+    some = docs.filter(F.pmod(F.xxhash64(id_col, text_col), F.lit(16)) == 0)
+    each = _hashed(some, F.col(text_col), F.col(id_col).alias("doc_id")).select(F.explode("h").alias("_h"))
+    counts = each.groupBy("_h").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= OFTEN)
+    return stored(counts.orderBy(F.col("n").desc(), "_h").limit(COMMON).select("_h"))
+
+
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, tag, drop): the sentence runs to remove from each text that has any.
 
-    One shuffle by hash picks the spans whose hash stands in several places.  These
+    One shuffle by hash picks the spans whose hash stands in several places; those of
+    hashes that are known to be common already are dealt to many tasks instead.  These
     are stored, since a second use would hash all texts again, and brought together
     with their first occurrence by sums with partial sums before their shuffle and by
     a join with unique keys on one side, so a passage that many documents share can
     be split there.
     """
     tag = F.hash(F.col(text_col)).alias("tag")
+    common = F.broadcast(common_hashes(docs, id_col, text_col))
     spans = _hashed(docs, F.col(text_col), F.col(id_col).alias("doc_id"), tag)
     each = spans.select("doc_id", "tag", F.explode(F.arrays_zip("h", "x")).alias("s")).select("doc_id", "tag", "s.h", "s.x")
-    each = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h"))).filter("n > 1")
+    each = each.join(common, F.col("h") == F.col("_h"), "left")
+    each = each.withColumn("salt", F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64("doc_id", "tag", "x"), F.lit(SALTS))).otherwise(0))
+    each = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))).filter("n > 1 or _h is not null")
     key = F.struct("h", F.shiftright("x", 32).alias("c")).alias("k")
     each = stored(each.select("doc_id", "tag", key, F.col("x").bitwiseAND(0xFFFFFFFF).alias("p")))
     place = F.struct("doc_id", "tag", "p")

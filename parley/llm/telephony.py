@@ -7,7 +7,8 @@ resamples 8 kHz to 16 kHz PCM.
 
 Nulls: a null payload is stored as null and decoded as null columns.  A container
 that is no readable WAVE of these codecs gets a null codec and null PCM; nothing
-raises.  Equal payloads give equal media and equal features.
+raises.  Equal payloads give equal media and equal features; repeated rows each get
+their result.  A very long recording is decoded in slices of its own, its PCM held whole.
 """
 
 from __future__ import annotations

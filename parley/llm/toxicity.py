@@ -1,18 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the tagged words of a clause: reported speech (what
-follows a verb of saying, or stands in quotes, is quoted), negation (a denied insult
-within a few words), target (a person is addressed), threat (a verb of harm with a
-target before or after it) and insult (an insult, with or without a target).  They are composed once
-into one deterministic machine over tags, whose arcs emit the events that a clause
-is scored by.  A clause is scored, not a word: the weights of its events' words are
+Five small transducers read the tagged words of a clause, each rewriting what the one
+before it wrote: reported speech (what follows a verb of saying, or stands in quotes, is
+quoted), negation (what follows one within a few words is denied), target (what follows
+a word for a person is aimed at it), threat (a verb of harm aimed at a target, or one that
+a target follows) and insult (an insult, aimed at somebody or not, or one that a target
+follows).  They are composed once into one deterministic machine over tags, whose arcs
+emit the events that a clause is scored by.  A clause is scored, not a word: the weights of its events' words are
 summed, those of quoted and denied ones apart.
 
 The lexicon of insults is learned: words, and beginnings of words, that labelled
 toxic texts hold far more often than others.  A logistic model over the clause
 scores, fitted on the same labelled rows, gives the score.
 
-Null and empty texts have no clauses and get the score of such a text.
+Null and empty texts have no clauses and get the score of such a text.  Repeated rows
+each get their result; of events of equal weight in a clause the first of EVENTS names
+it.  A very long text is read in one pass, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -79,23 +82,33 @@ def within(opener: str, marks: dict[str, str]) -> Transducer:
     return Transducer(0, step)
 
 
-def emitting() -> Transducer:
-    """Insult and threat: the event of each tag, if any.  A THREAT without a target waits SCOPE words for one."""
-    events = {
-        "INSULT": "insult", "AT_INSULT": "directed", "AT_THREAT": "threat", "DENIED_INSULT": "denied", "DENIED_THREAT": "denied",
-        "QUOTED_INSULT": "quoted", "QUOTED_THREAT": "quoted",
-    }
+def awaiting(aimed: str, plain: str, event: str, alone: str) -> Transducer:
+    """Writes ``event`` for ``aimed``, and for a target within SCOPE words after ``plain``; ``alone`` for ``plain`` itself."""
 
     def step(left, tag):
-        if tag == "THREAT":
-            return SCOPE, ""
+        if tag == aimed:
+            return 0, event
+        if tag in (f"DENIED_{plain}", f"QUOTED_{plain}"):
+            return max(0, left - 1), tag.split("_")[0].lower()
+        if tag == plain:
+            return SCOPE, alone
         if tag == "TARGET" and left:
-            return 0, "threat"
-        return max(0, left - 1), events.get(tag, "")
+            return 0, event
+        return max(0, left - 1), tag
 
     return Transducer(0, step)
 
 
+def threat() -> Transducer:
+    """A threat needs a target, before it or after."""
+    return awaiting("AT_THREAT", "THREAT", "threat", "OTHER")
+
+
+def insult() -> Transducer:
+    """An insult counts alone; one with a target, before it or after, is directed."""
+    return awaiting("AT_INSULT", "INSULT", "directed", "insult")
+
+
 def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:
     """The table of next states and of emitted events (-1: none) by state and tag of the machines in a row."""
     start = tuple(m.start for m in machines)
@@ -115,7 +128,7 @@ def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:
                 states[key] = len(todo)
                 todo.append(key)
             row.append(states[key])
-            out.append(EVENTS.index(symbol) if symbol else -1)
+            out.append(EVENTS.index(symbol) if symbol in EVENTS else -1)
         following.append(row)
         emitted.append(out)
     return following, emitted
@@ -124,7 +137,7 @@ def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:
 def grammar() -> tuple[list[list[int]], list[list[int]]]:
     negation = within("NEGATION", {"INSULT": "DENIED_INSULT", "THREAT": "DENIED_THREAT"})
     target = within("TARGET", {"INSULT": "AT_INSULT", "THREAT": "AT_THREAT"})
-    return compose(reported(), negation, target, emitting())
+    return compose(reported(), negation, target, threat(), insult())
 
 
 #: Lengths of the beginnings of words that may become lexicon entries.
@@ -138,15 +151,15 @@ class Lexicon:
     fixed: dict[str, str] = field(default_factory=lambda: {w: c for c, ws in CLASSES.items() for w in ws.split()})
 
     def look(self, word: str) -> tuple[str, float] | None:
-        """The tag and weight of a lower-case word, None for OTHER."""
+        """The tag and weight of a lower-case word, None for OTHER; a word of the closed classes is never an insult."""
+        tag = self.fixed.get(word)
+        if tag:
+            return tag, 1.0
         weight = self.words.get(word, 0.0)
         for k in PREFIXES:
             if len(word) > k:
                 weight = max(weight, self.prefixes.get(word[:k], 0.0))
-        if weight:
-            return "INSULT", weight
-        tag = self.fixed.get(word)
-        return (tag, 1.0) if tag else None
+        return ("INSULT", weight) if weight else None
 
 
 def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, lift: float = 12.0) -> Lexicon:

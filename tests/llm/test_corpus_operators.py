@@ -158,6 +158,17 @@ def plain_spans(rows):
     return cut, gone
 
 
+def test_common_passages_are_dealt_out_and_all_found(spark, monkeypatch):
+    monkeypatch.setattr(spans, "OFTEN", 3)
+    passage = prose(51, 60)
+    rows = [(i, prose(100 + i, 30) + " " + passage + " " + prose(500 + i, 30)) for i in range(150)]
+    docs = documents(spark, rows)
+    assert spans.common_hashes(docs, "doc_id", "text").count() > 0
+    got = {r.doc_id: r for r in spans.dedup(docs).collect()}
+    cut, gone = plain_spans(rows)
+    assert all(got[k].n_removed == len(gone.get((k, t), ())) for k, t in rows) and got[0].n_removed == 0 and min(got[i].words_removed for i in range(1, 150)) >= 40
+
+
 def test_sentence_spans(spark, awkward, empty):
     passage = prose(50, 55)
     rows = [(i, prose(100 + i, 40) + " " + passage + " " + prose(200 + i, 30)) for i in range(12)]

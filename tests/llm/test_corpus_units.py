@@ -88,6 +88,58 @@ def test_a_threat_may_stand_before_its_target():
     assert found("kill one two three you") == [{"threat": 1.0}] and found("kill one two three four you") == []
     assert found("kill. you") == [] and found("I will not kill you") == [{"denied": 1.0}] and found('"kill you"') == [{"quoted": 1.0}]
     assert found("you kill them") == [{"threat": 1.0}] and found("kill you moron") == [{"threat": 1.0, "directed": 3.0}]
+    assert found("moron, that is what you are") == [{"insult": 3.0, "directed": 1.0}] and found("moron one two three four you") == [{"insult": 3.0}]
+    assert found("he told us: I will kill you, moron") == [{"quoted": 4.0}]
+
+
+def plain_events(tags):
+    """The events of a clause's tags, by looking around each."""
+    out, quoted, said = [], False, False
+    waits = {"THREAT": None, "INSULT": None}
+    for i, tag in enumerate(tags):
+        if tag == "QUOTE":
+            quoted = not quoted
+        if tag == "REPORT":
+            said = True
+        near = lambda t: t in tags[max(0, i - toxicity.SCOPE) : i]  # noqa: E731, B023
+        event = None
+        if tag in waits:
+            if said or quoted:
+                event = "quoted"
+            elif near("NEGATION"):
+                event = "denied"
+            elif near("TARGET"):
+                event, waits[tag] = ("threat" if tag == "THREAT" else "directed"), None
+            else:
+                event, waits[tag] = (None if tag == "THREAT" else "insult"), i
+        elif tag == "TARGET":
+            for kind, name in (("THREAT", "threat"), ("INSULT", "directed")):
+                if event is None and waits[kind] is not None and i - waits[kind] <= toxicity.SCOPE:
+                    event, waits[kind] = name, None
+        out.append(event)
+    return out
+
+
+@given(st.lists(st.sampled_from(toxicity.TAGS), max_size=14))
+@settings(max_examples=300, deadline=None)
+def test_the_composed_machine_against_plain_rules(tags):
+    following, emitted = toxicity.grammar()
+    state, got = 0, []
+    for tag in tags:
+        k = toxicity.TAGS.index(tag)
+        got.append(toxicity.EVENTS[emitted[state][k]] if emitted[state][k] >= 0 else None)
+        state = following[state][k]
+    assert got == plain_events(tags)
+
+
+def test_reported_and_denied_insults_score_less():
+    rng = random.Random(17)
+    words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=30)) + (" you twonk." if i % 5 == 0 else ".") for i in range(400)]
+    model = toxicity.fit(texts, [int(i % 5 == 0) for i in range(400)])
+    scan = toxicity.Scanner(model.lexicon)
+    plain, denied, said, quoted = model.score(np.array([scan.features(t) for t in ("you twonk", "you are not a twonk", "he said you are a twonk", 'it was "you twonk" again')]))
+    assert plain > 0.5 > max(denied, said, quoted)
 
 
 def test_toxicity_learns():
