@@ -5,6 +5,7 @@ from __future__ import annotations
 import unicodedata
 
 import pandas as pd
+import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,73 +77,56 @@ def untypable(title: Column) -> Column:
     found = F.regexp_extract_all(title, F.lit(rf"([\p{{Cc}}{INVISIBLE}])"), F.lit(1))
 
     def shown(c: Column) -> Column:
-        code = F.hex(F.conv(F.hex(F.encode(c, "UTF-32BE")), 16, 10).cast("bigint"))
-        return F.concat(F.lit("U+"), F.lpad(code, 4, "0"))
+        return F.concat(F.lit("U+"), F.regexp_replace(F.right(F.hex(F.encode(c, "UTF-32")), F.lit(8)), "^0{1,4}", ""))
 
     return F.transform(found, shown)
 
 
+_WORD = regex.compile(r"[\p{L}\p{N}\p{Co}]+")
+
+
 def fold(text: str | None) -> list[str]:
     """The search tokens of a text: without diacritics, lower case, runs of letters, numbers and private-use characters."""
     if not text:
         return []
-    if text.isascii():
-        plain = text.lower()
-    else:
+    if not text.isascii():
         bare = "".join(c for c in unicodedata.normalize("NFD", text) if not unicodedata.combining(c))
-        plain = unicodedata.normalize("NFC", bare).lower()
-    out, start = [], None
-    for i, c in enumerate(plain):
-        inside = c.isalnum() if c.isascii() else unicodedata.category(c)[0] in "LN" or unicodedata.category(c) == "Co"
-        if inside and start is None:
-            start = i
-        elif not inside and start is not None:
-            out.append(plain[start:i])
-            start = None
-    if start is not None:
-        out.append(plain[start:])
-    return out
+        text = unicodedata.normalize("NFC", bare)
+    return _WORD.findall(text.lower())
 
 
-def tokens(text: Column) -> Column:
-    """``fold`` of a column."""
-
-    @F.pandas_udf("array<string>")
-    def folded(texts: pd.Series) -> pd.Series:
-        return texts.map(fold)
-
-    return folded(text)
+#: The longest stem and ending of a file name in bytes, and the name where nothing is left.
+STEM_BYTES, ENDING_BYTES, NAMELESS = 120, 16, "attachment"
+_DROPPED = regex.compile("[\u00ad\u180e\ufeff\u200b-\u200f\u202a-\u202e\u2060-\u2064\u2066-\u2069]+")
+_REPLACED = regex.compile(r"[/\\:\p{Cc}]")
+_NAMED = regex.compile(r"(?s)(.+)\.([^.]+)")
 
 
 def sanitize_filename(name: str) -> str:
-    """A file name that stays in its folder, shows its own ending and is at most 120 bytes long before it."""
-    invisible = {0x00AD, 0x180E, 0xFEFF, *range(0x200B, 0x2010), *range(0x202A, 0x202F), *range(0x2060, 0x2065), *range(0x2066, 0x206A)}
-    out = []
-    for c in unicodedata.normalize("NFC", name):
-        if ord(c) in invisible:
-            continue
-        if c in "/\\:" or unicodedata.category(c) == "Cc":
-            out.append("_")
-        else:
-            out.append(" " if c.isspace() else c)
-    clean = "".join(out).strip().lstrip(".").strip()
-    if not clean:
-        return "attachment"
-    stem, dot, ending = clean.rpartition(".")
-    if not dot or not stem or not ending or len(ending.encode()) > 16:
-        stem, ending = clean, ""
-    stem = stem.encode()[:120].decode("utf-8", "ignore") or "attachment"
-    return f"{stem}.{ending}" if ending else stem
+    """A file name that stays in its folder, shows its own ending and is at most STEM_BYTES long before it."""
+    name = _DROPPED.sub("", unicodedata.normalize("NFC", name))
+    name = regex.sub(r"\s", " ", _REPLACED.sub("_", name)).strip().lstrip(".").strip()
+    parts = _NAMED.fullmatch(name)
+    if parts and len(parts[2].encode()) <= ENDING_BYTES:
+        stem, ending = parts[1], f".{parts[2]}"
+    else:
+        stem, ending = name, ""
+    return (stem.encode()[:STEM_BYTES].decode("utf-8", "ignore") or NAMELESS) + ending
 
 
 def safe_filename(name: Column) -> Column:
-    """``sanitize_filename`` of a column; null stays null."""
+    """``sanitize_filename`` of a column; null stays null.  Only names beyond ASCII go through Python."""
 
     @F.pandas_udf("string")
     def sanitized(names: pd.Series) -> pd.Series:
         return names.map(lambda n: None if n is None else sanitize_filename(n))
 
-    return sanitized(name)
+    plain = name.rlike(r"^[\x00-\x7F]*$")
+    bare = F.trim(F.regexp_replace(F.trim(F.regexp_replace(name, r"[/\\\\:\x00-\x1F\x7F]", "_")), r"^\.+", ""))
+    shape = r"^(.+)\.([^.]{1,%d})$" % ENDING_BYTES
+    whole = F.concat(F.left(F.regexp_extract(bare, shape, 1), F.lit(STEM_BYTES)), F.lit("."), F.regexp_extract(bare, shape, 2))
+    ascii_name = F.when(bare == "", NAMELESS).when(bare.rlike(shape), whole).otherwise(F.left(bare, F.lit(STEM_BYTES)))
+    return F.when(plain, ascii_name).otherwise(sanitized(F.when(~plain, name)))
 
 
 def sanitized_part(s: Column) -> Column:

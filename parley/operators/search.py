@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parley.functions.text import fold, like_ascii, rfc3339, snippet, tokens
+from parley.functions.text import fold, like_ascii, rfc3339, snippet
 from parley.schema import DEFAULT_LIMIT, EmptyQuery, checked_limit
 
 K1, B = 1.2, 0.75
@@ -28,12 +31,12 @@ def ranked(rows: DataFrame, order: list[Column], limit: int) -> DataFrame:
     return top.withColumn("score", F.lit(1.0) / F.col("rank"))
 
 
-def hits(top: DataFrame, ranker: str, query: str, length: int, refs: DataFrame | None = None) -> DataFrame:
-    """Search hits of ranked chunks; ``refs`` gives the chunks they reply to."""
+def hits(top: DataFrame, ranker: str, query: str, length: int, refs: DataFrame | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Search hits of ranked chunks; ``refs`` gives the chunks they reply to, ``ids`` their ids if these are known apart."""
     if refs is None:
         rows = top.withColumn("parent_chunk_ids", F.array().cast("array<string>"))
     else:
-        parents = refs.join(F.broadcast(top.select("chunk_id")), F.col("child_chunk_id") == F.col("chunk_id"), "left_semi")
+        parents = refs.join(F.broadcast((top if ids is None else ids).select("chunk_id")), F.col("child_chunk_id") == F.col("chunk_id"), "left_semi")
         parents = parents.groupBy(F.col("child_chunk_id").alias("_c")).agg(F.array_sort(F.collect_set("parent_chunk_id")).alias("parent_chunk_ids"))
         rows = top.join(parents, F.col("chunk_id") == F.col("_c"), "left")
         rows = rows.withColumn("parent_chunk_ids", F.coalesce("parent_chunk_ids", F.array().cast("array<string>")))
@@ -89,83 +92,104 @@ def phrases(query: str) -> list[list[str]]:
     return [p for p in (fold(term) for term in query.split()) if p]
 
 
-def times(words: list[str], phrase: list[str]) -> int:
-    """How often the tokens of a phrase follow one another."""
-    n = len(phrase)
-    if n == 1:
-        return words.count(phrase[0])
-    return sum(words[i : i + n] == phrase for i, w in enumerate(words) if w == phrase[0])
+#: The term of the row that every chunk has in the index, whether it has tokens or not.
+EVERY = ""
+#: About the tokens in a batch of postings.
+BATCH_TOKENS = 200_000
 
 
-def phrase_counts(text: Column, wanted: list[list[str]]) -> Column:
-    """The number of tokens of a text, then how often it holds each phrase.
+def postings(chunks: DataFrame) -> DataFrame:
+    """(term, chunk_id, tf, positions, len, and the chunks' other columns but the text): an inverted index of the chunks' tokens.
 
-    Declared not deterministic, so that a filter on it isn't pushed below and doesn't
-    tokenize the texts again.
+    A chunk is one row, so its terms are gathered where it is read: nothing is
+    shuffled.  ``len`` is the chunk's number of tokens; each chunk also has a row of
+    the term EVERY, without positions.
     """
-
-    def one(text: str | None) -> list[int]:
-        words = fold(text)
-        return [len(words), *(times(words, p) for p in wanted)]
-
-    @F.pandas_udf("array<int>")
-    def counts(texts: pd.Series) -> pd.Series:
-        return texts.map(one)
-
-    return counts.asNondeterministic()(text)
-
-
-def bm25_rows(chunks: DataFrame, query: str) -> DataFrame:
-    """Chunks that hold every phrase of the query, with ``raw_score`` (the lower, the better).
-
-    One pass over the chunks makes a few numbers for each; the corpus totals are one
-    row, and meet them by a broadcast of that row.
+    others = [f for f in chunks.schema.fields if f.name not in ("text", "tf", "positions", "len", "term")]
+    rows = chunks.select(*(f.name for f in others), "text")
+    added = "term string, tf bigint, positions array<int>, len bigint"
+    schema = T.StructType([*others, *T.StructType.fromDDL(added).fields])
+
+    def posted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            owners, terms, sizes, offsets, places = [], [], [], [0], []
+
+            def made() -> pa.RecordBatch:
+                kept = [batch.column(i).take(pa.array(owners, pa.int64())) for i in range(len(others))]  # noqa: B023
+                counts = np.diff(offsets).astype(np.int64)  # noqa: B023
+                lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(places, pa.int32()))  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, pa.array(terms, pa.string()), pa.array(counts), lists, pa.array(sizes, pa.int64())], names=schema.names)  # noqa: B023
+
+            for i, text in enumerate(batch.column(len(others)).to_pylist()):
+                words = fold(text)
+                at: dict[str, list[int]] = {EVERY: []}
+                for k, word in enumerate(words):
+                    at.setdefault(word, []).append(k)
+                for word, found in at.items():
+                    terms.append(word)
+                    places += found
+                    offsets.append(len(places))
+                owners += [i] * len(at)
+                sizes += [len(words)] * len(at)
+                if len(places) > BATCH_TOKENS:
+                    yield made()
+                    owners, terms, sizes, offsets, places = [], [], [], [0], []
+            if owners:
+                yield made()
+
+    return rows.mapInArrow(posted, schema)
+
+
+def bm25_rows(index: DataFrame, query: str) -> DataFrame:
+    """(chunk_id, started_at, raw_score) of the chunks that hold every phrase of the query; the lower the score, the better.
+
+    Only the postings of the query's terms are read, and one row of every chunk for
+    the totals; where a phrase stands is the common part of its terms' shifted places.
     """
     wanted = phrases(query)
-    rows = chunks.withColumn("_w", phrase_counts(F.col("text"), wanted))
-    rows = rows.select("*", F.col("_w")[0].alias("_len"), *(F.col("_w")[i + 1].alias(f"_f{i}") for i in range(len(wanted)))).drop("_w")
     if not wanted:
-        return rows.filter("false").withColumn("raw_score", F.lit(0.0)).drop("_len")
-    held = [F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_n{i}") for i in range(len(wanted))]
-    totals = rows.agg(F.count(F.lit(1)).alias("_all"), F.avg("_len").alias("_avg"), *held)
-    rows = rows.filter(reduce(lambda a, b: a & b, (F.col(f"_f{i}") > 0 for i in range(len(wanted)))))
-    rows = rows.crossJoin(F.broadcast(totals))
+        return index.select("chunk_id", "started_at", F.lit(0.0).alias("raw_score")).filter("false")
+    words = sorted({w for p in wanted for w in p})
+    mine = index.filter(F.col("term").isin(words)).groupBy("chunk_id").agg(
+        F.max("len").alias("_len"), F.max("started_at").alias("started_at"), *(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_p{i}") for i, w in enumerate(words))
+    )
+
+    def frequency(phrase: list[str]) -> Column:
+        places = [F.transform(F.col(f"_p{words.index(w)}"), _back(k)) for k, w in enumerate(phrase)]
+        return F.coalesce(F.size(reduce(F.array_intersect, places)), F.lit(0))
+
+    found = [F.greatest(frequency(p), F.lit(0)).alias(f"_f{i}") for i, p in enumerate(wanted)]
+    mine = mine.select("chunk_id", "started_at", "_len", *found)
+    held = mine.agg(*(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_n{i}") for i in range(len(wanted))))
+    totals = index.filter(F.col("term") == EVERY).agg(F.count(F.lit(1)).alias("_all"), F.avg("len").alias("_avg"))
+    rows = mine.filter(reduce(lambda a, b: a & b, (F.col(f"_f{i}") > 0 for i in range(len(wanted)))))
+    rows = rows.crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(held))
     score = F.lit(0.0)
     for i in range(len(wanted)):
         n, f = F.col(f"_n{i}"), F.col(f"_f{i}").cast("double")
         idf = F.log((F.col("_all") - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
         score = score + idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))))
-    rows = rows.withColumn("raw_score", -score)
-    return rows.drop("_len", "_all", "_avg", *(f"_{x}{i}" for x in "fn" for i in range(len(wanted))))
+    return rows.select("chunk_id", "started_at", (-score).alias("raw_score"))
 
 
-def bm25_search(chunks: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, refs: DataFrame | None = None) -> DataFrame:
-    """Chunks that hold every term of the query, best BM25 score first, then earliest."""
-    _checked(query)
-    order = [F.col("raw_score"), F.col("started_at"), F.col("chunk_id")]
-    return hits(ranked(bm25_rows(chunks, query), order, limit), "bm25", query, length, refs)
+def _back(k: int) -> Callable[[Column], Column]:
+    return lambda x: x - k
 
 
-def postings(chunks: DataFrame) -> DataFrame:
-    """(term, chunk_id, tf, positions): an inverted index of the chunks' tokens."""
-    words = chunks.select("chunk_id", F.posexplode(tokens(F.col("text"))).alias("pos", "term"))
-    return words.groupBy("term", "chunk_id").agg(F.count(F.lit(1)).alias("tf"), F.array_sort(F.collect_list("pos")).alias("positions"))
-
-
-def bm25_from_postings(index: DataFrame, chunks: DataFrame, term: str) -> DataFrame:
-    """(chunk_id, raw_score) of a one-token query by the inverted index."""
-    word = fold(term)
-    if len(word) != 1:
-        raise EmptyQuery("the index answers terms of one token")
-    sizes = index.groupBy("chunk_id").agg(F.sum("tf").alias("len"))
-    totals = chunks.select("chunk_id").join(sizes, "chunk_id", "left").agg(F.count(F.lit(1)).alias("_all"), F.avg(F.coalesce("len", F.lit(0))).alias("_avg"))
-    mine = index.filter(F.col("term") == word[0]).select("chunk_id", "tf")
-    count = mine.agg(F.count(F.lit(1)).alias("_n"))
-    rows = mine.join(sizes, "chunk_id").crossJoin(F.broadcast(totals)).crossJoin(F.broadcast(count))
-    idf = F.log((F.col("_all") - F.col("_n") + 0.5) / (F.col("_n") + 0.5))
-    idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
-    return rows.select("chunk_id", (-idf * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("_avg"))))).alias("raw_score"))
+def bm25_search(chunks: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, refs: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
+    """Chunks that hold every term of the query, best BM25 score first, then earliest.
+
+    ``index`` is the stored ``postings`` of the chunks; without it they are made here.
+    The ids of the first ``limit`` chunks come to the driver and go out again to fetch
+    their rows, so the ranking is worked out once.
+    """
+    _checked(query)
+    index = postings(chunks.select("chunk_id", "started_at", "text")) if index is None else index
+    order = [F.col("raw_score"), F.col("started_at"), F.col("chunk_id")]
+    best = ranked(bm25_rows(index, query), order, limit).select("chunk_id", "raw_score", "rank", "score")
+    best = chunks.sparkSession.createDataFrame(best.collect(), best.schema)
+    return hits(chunks.join(F.broadcast(best), "chunk_id"), "bm25", query, length, refs, best)
 
 
 def term_search(windows: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, headers: bool = False) -> DataFrame:

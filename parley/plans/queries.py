@@ -333,8 +333,13 @@ def bm25_sql(phrases: list[list[str]], limit: int) -> str:
     SELECT rank, chunk_id, raw_score FROM r WHERE rank <= {limit}"""
 
 
+def _index(spark, d) -> DataFrame:
+    """The stored index that an archive would have."""
+    return v.archived(search.postings(v.document_chunks(spark, d).select("chunk_id", "started_at", "text")))
+
+
 def _bm25(spark, d, text: str, limit: int) -> DataFrame:
-    rows = search.bm25_rows(v.document_chunks(spark, d), text).withColumn("raw_score", F.round("raw_score", 9))
+    rows = search.bm25_rows(_index(spark, d), text).withColumn("raw_score", F.round("raw_score", 9))
     return search.ranked(rows, [F.col("raw_score"), F.col("started_at"), F.col("chunk_id")], limit).select("rank", "chunk_id", "raw_score")
 
 
@@ -353,8 +358,8 @@ def bm25_phrase(spark, d):
     SELECT term, chunk_id, count(*) AS tf, string_agg(CAST(pos AS VARCHAR), ',' ORDER BY pos) AS positions FROM e GROUP BY term, chunk_id"""
 )
 def inverted_index(spark, d):
-    rows = search.postings(v.document_chunks(spark, d))
-    return rows.select("term", "chunk_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
+    rows = search.postings(v.document_chunks(spark, d).select("chunk_id", "text"))
+    return rows.filter(F.col("term") != search.EVERY).select("term", "chunk_id", "tf", F.array_join(F.col("positions").cast("array<string>"), ",").alias("positions"))
 
 
 @query(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -20,7 +22,9 @@ def archived(df: DataFrame) -> DataFrame:
     """The frame as a stored table: the state that an archive would have."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir("/tmp/parley-checkpoints")
+        if context.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(f"{tempfile.gettempdir()}/parley-checkpoints")
     return df.checkpoint()
 
 

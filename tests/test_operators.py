@@ -47,16 +47,16 @@ def test_bm25_against_sqlite(spark):
     db.execute("CREATE VIRTUAL TABLE f USING fts5(id UNINDEXED, text)")
     db.executemany("INSERT INTO f VALUES (?, ?)", [(f"d{i:03}", t) for i, t in enumerate(texts)])
     frame_ = docs(spark, texts)
+    index = search.postings(frame_.select("chunk_id", "started_at", "text")).cache()
+    assert index.filter("term = ''").count() == len(texts) and index.filter("term = 'quick'").agg({"tf": "sum"}).first()[0] == 3
     for query in ("fox", "brown fox", "brown-fox", "cafe", "the dog", "missing"):
         match = " ".join(f'"{t}"' for t in query.split())
         want = dict(db.execute("SELECT id, bm25(f) FROM f WHERE f MATCH ?", (match,)).fetchall())
-        got = {r.chunk_id: r.raw_score for r in search.bm25_rows(frame_, query).collect()}
+        got = {r.chunk_id: r.raw_score for r in search.bm25_rows(index, query).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[k] - want[k]) < 1e-9 for k in want)
-    index = search.postings(frame_)
-    got = {r.chunk_id: r.raw_score for r in search.bm25_from_postings(index, frame_, "fox").collect()}
-    want = {r.chunk_id: r.raw_score for r in search.bm25_rows(frame_, "fox").collect()}
-    assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-12 for k in want)
+    found = search.bm25_search(frame_, "brown fox", 2, index=index).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == [1, 2] and [r.chunk_id for r in found] == [r.chunk_id for r in search.bm25_search(frame_, "brown fox", 2).orderBy("rank").collect()]
 
 
 def test_search_limits_and_errors(spark):
