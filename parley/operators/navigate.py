@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from parley.functions.text import untypable
 from parley.operators.ordered import SLICE_SECONDS, with_previous
-from parley.operators.windows import window_children
 from parley.schema import BadRoomName, MissingChunk
 
 SUMMARY = ["chunk_id", "account_hash", "chat_id", "chat_name", "sender_nickname", "started_at", "ended_at", "message_count"]
@@ -17,11 +16,11 @@ def _lists(ids: DataFrame, key: str, value: str, to: str) -> DataFrame:
     return ids.groupBy(F.col(key).alias("_k")).agg(F.array_sort(F.collect_set(value)).alias(to))
 
 
-def chunk_summaries(chunks: DataFrame, refs: DataFrame, windows: DataFrame, chat_id: str | None = None) -> DataFrame:
-    """Chunks without their text, with the chunks they reply to and the windows they are in."""
+def chunk_summaries(chunks: DataFrame, refs: DataFrame, children: DataFrame, chat_id: str | None = None) -> DataFrame:
+    """Chunks without their text, with the chunks they reply to and the windows they are in (``children``: parent_id, chunk_id)."""
     rows = chunks.select(*SUMMARY) if chat_id is None else chunks.filter(F.col("chat_id") == chat_id).select(*SUMMARY)
     parents = _lists(refs, "child_chunk_id", "parent_chunk_id", "parent_chunk_ids")
-    inside = _lists(window_children(windows), "chunk_id", "parent_id", "window_ids")
+    inside = _lists(children, "chunk_id", "parent_id", "window_ids")
     rows = rows.join(parents, F.col("chunk_id") == F.col("_k"), "left").drop("_k")
     rows = rows.join(inside, F.col("chunk_id") == F.col("_k"), "left").drop("_k")
     none = F.array().cast("array<string>")
@@ -49,15 +48,19 @@ def get_window(windows: DataFrame, parent_id: str) -> DataFrame:
     return windows.filter(F.col("parent_id") == parent_id)
 
 
-def windows_of_chunk(windows: DataFrame, chunk_id: str) -> DataFrame:
-    """The windows that hold a chunk, by id; none is an error."""
-    found = windows.filter(F.array_contains("child_chunk_ids", chunk_id)).orderBy("parent_id")
-    if found.isEmpty():
+def windows_of_chunk(windows: DataFrame, children: DataFrame, chunk_id: str) -> DataFrame:
+    """The windows that hold a chunk, by id; none is an error.
+
+    Their ids come from the table of children and go into the filter of the windows,
+    so that both scans can be pruned; a chunk is in a few windows at most.
+    """
+    ids = [r[0] for r in children.filter(F.col("chunk_id") == chunk_id).select("parent_id").distinct().collect()]
+    if not ids:
         raise MissingChunk(f"no window holds {chunk_id}")
-    return found
+    return windows.filter(F.col("parent_id").isin(ids)).orderBy("parent_id")
 
 
-def chunk_context(chunks: DataFrame, windows: DataFrame, chunk_id: str) -> DataFrame:
+def chunk_context(chunks: DataFrame, children: DataFrame, chunk_id: str) -> DataFrame:
     """One row: the chunk, its previous and next chunk in the room, and its windows' ids."""
     mine = chunks.filter(F.col("chunk_id") == chunk_id)
     key = mine.select(F.col("chat_id").alias("_chat"), F.struct("started_at", "chunk_id").alias("_key"))
@@ -67,7 +70,7 @@ def chunk_context(chunks: DataFrame, windows: DataFrame, chunk_id: str) -> DataF
         F.max_by(F.when(place < F.col("_key"), whole), F.when(place < F.col("_key"), place)).alias("previous"),
         F.min_by(F.when(place > F.col("_key"), whole), F.when(place > F.col("_key"), place)).alias("next"),
     )
-    inside = windows.filter(F.array_contains("child_chunk_ids", chunk_id)).agg(F.array_sort(F.collect_set("parent_id")).alias("window_ids"))
+    inside = children.filter(F.col("chunk_id") == chunk_id).agg(F.array_sort(F.collect_set("parent_id")).alias("window_ids"))
     return mine.crossJoin(F.broadcast(around)).crossJoin(F.broadcast(inside))
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 MISSING = "parent_not_in_archive"
 
 
-def owner_of(chunks: DataFrame) -> DataFrame:
-    """(message_id, chunk_id): the chunk of each message, the least where there are several."""
+def owner_of(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
+    """(message_id, chunk_id): the chunk of each message, or of those ``wanted``, the least where there are several."""
     each = chunks.select(F.explode("message_ids").alias("message_id"), "chunk_id")
+    each = each if wanted is None else each.join(wanted, "message_id", "left_semi")
     return each.groupBy("message_id").agg(F.min("chunk_id").alias("chunk_id"))
 
 
@@ -19,10 +20,12 @@ def reply_edges(messages: DataFrame, chunks: DataFrame) -> DataFrame:
     edges = messages.filter("reply_to_message_id is not null").select(
         F.col("message_id").alias("child_message_id"), F.col("reply_to_message_id").alias("parent_message_id")
     )
-    owners = owner_of(chunks)
+    edges = edges.distinct()
+    wanted = edges.select(F.explode(F.array("child_message_id", "parent_message_id")).alias("message_id")).distinct()
+    owners = owner_of(chunks, wanted)
     child = owners.select(F.col("message_id").alias("child_message_id"), F.col("chunk_id").alias("child_chunk_id"))
     parent = owners.select(F.col("message_id").alias("parent_message_id"), F.col("chunk_id").alias("parent_chunk_id"))
-    edges = edges.distinct().join(child, "child_message_id", "left").join(parent, "parent_message_id", "left")
+    edges = edges.join(child, "child_message_id", "left").join(parent, "parent_message_id", "left")
     reason = F.when(F.col("parent_chunk_id").isNull(), MISSING)
     return edges.select("child_message_id", "parent_message_id", "child_chunk_id", "parent_chunk_id", reason.alias("unresolved_reason"))
 

@@ -11,9 +11,9 @@ from parley.schema import MESSAGE_KEY, MESSAGE_VALUES
 
 
 def latest_of_batch(batch: DataFrame, key: list[str], ordinal: str | None = None) -> DataFrame:
-    """One row of each key: the last by the input's ordinal, the greatest row where there is none."""
-    rank = F.struct(ordinal) if ordinal else F.struct(*(c for c in batch.columns if c not in key))
-    others = [c for c in batch.columns if c not in key]
+    """One row of each key: the last by the input's ordinal, which isn't kept; the greatest row where there is none."""
+    others = [c for c in batch.columns if c not in key and c != ordinal]
+    rank = F.struct(ordinal, *others) if ordinal else F.struct(*others)
     picked = batch.groupBy(*key).agg(F.max_by(F.struct(*others), rank).alias("_r"))
     return picked.select(*key, *(F.col("_r")[c].alias(c) for c in others))
 

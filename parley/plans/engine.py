@@ -5,7 +5,6 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
-from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,14 +13,19 @@ from pyspark.sql import functions as F
 from parley.operators import incremental, media, navigate, replies, search, transcript, upsert
 from parley.operators.chunking import build_chunks, chunk_messages
 from parley.operators.vectors import DeterministicEmbedder, Embedder, archive_revision
-from parley.operators.windows import build_windows, window_children
+from parley.operators.windows import build_windows
 from parley.plans.freshness import recommendation
 from parley.plans.semantic import SemanticIndex
-from parley.plans.store import TableStore
-from parley.schema import DEFAULT_LIMIT, MESSAGE_KEY, MESSAGES, Config, IndexMissing, MissingChunk, ParleyError
+from parley.plans.store import PART, Change, TableStore, by_part
+from parley.schema import DEFAULT_LIMIT, MESSAGE_KEY, MESSAGE_VALUES, MESSAGES, ORDINAL, PERIODS, ChunkSettings, Config, IndexMissing, MissingChunk, ParleyError
 from parley.sources.adapters import Source
 
-TABLES = ("messages", "chats", "sync_cursors", "chunks", "windows", "reply_edges", "chunk_parent_refs")
+TABLES = ("messages", "chats", "sync_cursors", "chunks", "windows", "window_children", "reply_edges", "chunk_parent_refs", "postings")
+
+
+def _within(parts: set[str], buckets: set[str]) -> set[str]:
+    """The parts of some buckets."""
+    return {p for p in parts if p[:4] in buckets}
 
 
 class Engine:
@@ -36,75 +40,161 @@ class Engine:
     def table(self, name: str) -> DataFrame:
         return self.store.table(name)
 
-    def _archived(self) -> DataFrame:
-        return self.table("messages") if self.store.has("messages") else self.spark.createDataFrame([], MESSAGES)
-
     def register_views(self) -> None:
-        """The tables as temporary views, with the link tables."""
+        """The tables as temporary views, with the table of messages in chunks."""
         for name in TABLES:
             self.table(name).createOrReplaceTempView(name)
         chunk_messages(self.table("chunks")).createOrReplaceTempView("chunk_messages")
-        window_children(self.table("windows")).createOrReplaceTempView("window_children")
 
     def sync(self, source: Source | DataFrame, source_name: str = "source", prune: str | None = None, touched: bool = False) -> dict:
         """Upsert a source's messages and rebuild what they touch.
 
-        ``prune``: ``preview`` reports archived messages that the source no longer has,
-        ``delete`` removes them.  Everything becomes visible at once, or not at all.
+        Of several rows of one key the last by the column ``ordinal`` counts, if the
+        source has one.  Tables lie in parts, by bucket of the room and by period, and
+        only parts that hold something changed are written.  ``prune``: ``preview``
+        reports archived messages that the source no longer has, ``delete`` removes
+        them.  Everything becomes visible at once, or not at all; a second writer is
+        turned away.
         """
         began = time.time()
         batch = source if isinstance(source, DataFrame) else source.messages()
-        batch = upsert.latest_of_batch(batch, MESSAGE_KEY).persist()
-        archive = self._archived()
+        batch = upsert.latest_of_batch(batch, MESSAGE_KEY, ORDINAL if ORDINAL in batch.columns else None).persist()
+        kept = [batch]
+        try:
+            with self.store.change() as change:
+                return self._sync(change, batch, kept, source_name, prune, touched, began)
+        finally:
+            for frame in kept:
+                frame.unpersist()
+
+    def _part(self, rows: DataFrame, ts: str | None = None, bucket: str = "chat_id") -> DataFrame:
+        return by_part(rows, bucket, ts, PERIODS[self.config.archive_period], self.config.room_buckets)
+
+    def _parts_of(self, rows: DataFrame, ts: str | None = None) -> set[str]:
+        """The parts of rows: at most a few for each bucket and period."""
+        return {r[0] for r in self._part(rows, ts).select(PART).distinct().collect()}
+
+    def _sync(self, change: Change, batch: DataFrame, kept: list[DataFrame], source_name: str, prune: str | None, touched: bool, began: float) -> dict:
+        settings = self.config.chunks
+        layout = {"period": self.config.archive_period, "buckets": self.config.room_buckets}
+        facts = change.old["facts"]
+        drifted = facts.get("chunk_settings") != asdict(settings) or facts.get("layout") != layout or not change.has("chunks")
+        have = change.parts("messages") if facts.get("layout") == layout else None
+        # what is archived of the rooms that the batch names
+        rooms = batch.select("chat_id").distinct()
+        near = None if have is None else _within(have, self._parts_of(rooms))
+        archive = change.table("messages", near) if change.has("messages") else self.spark.createDataFrame([], MESSAGES)
         changed = upsert.changes(archive, batch).persist()
+        kept.append(changed)
         counts = upsert.sync_counts(changed).first().asDict()
-        read_ms = int((time.time() - began) * 1000)
-        merged = upsert.merged(archive, batch)
+        news = changed.filter("change <> 'unchanged'").select(*MESSAGE_KEY, *MESSAGE_VALUES)
         hit = upsert.touched_chats(changed).select("chat_id", "earliest")
         gone = None
         if prune:
-            gone = upsert.deletions(merged, batch).persist()
+            gone = upsert.deletions(upsert.merged(archive, news), batch).persist()
+            kept.append(gone)
             counts["deletable"] = gone.count()
             if prune == "delete" and counts["deletable"]:
-                merged = merged.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
                 whole = gone.select("chat_id", F.lit(None).cast("timestamp").alias("earliest")).distinct()
                 hit = hit.join(whole.select("chat_id"), "chat_id", "left_anti").unionByName(whole)
-        settings = self.config.chunks
-        facts = self.store.facts()
-        drifted = facts.get("chunk_settings") != asdict(settings) or not self.store.has("chunks")
+        deleting = gone is not None and prune == "delete" and counts["deletable"]
+        hit = hit.persist()
+        kept.append(hit)
+        read_ms = int((time.time() - began) * 1000)
         rebuild_from = time.time()
-        merged = merged.persist()
+        rebuilt = hit.count()
+
         if drifted:
-            chunks = build_chunks(merged, settings).persist()
-            windows = build_windows(chunks)
-            rebuilt = merged.select("chat_id").distinct().count()
-        else:
-            hit = hit.persist()
-            rebuilt = hit.count()
-            chunks, windows = incremental.rebuild(merged, self.table("chunks"), self.table("windows"), hit, settings)
-            chunks = chunks.persist()
-        stored = self.table("sync_cursors") if self.store.has("sync_cursors") else None
+            old = change.table("messages") if change.has("messages") else archive
+            merged = upsert.merged(old, news)
+            merged = merged.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti") if deleting else merged
+            change.write("messages", self._part(merged, "timestamp"), None, ("chat_id", "timestamp", "message_id"))
+            messages = change.table("messages")
+            change.write("chunks", self._part(build_chunks(messages, settings), "started_at"), None, ("chat_id", "started_at"))
+            change.write("windows", self._part(build_windows(change.table("chunks")), "started_at"), None, ("chat_id", "started_at"))
+            change.write("chats", self._part(upsert.chats_of(messages)))
+            self._link(change, None, None)
+            rebuilt = messages.select("chat_id").distinct().count()
+        elif rebuilt:
+            self._rebuild(change, news, changed, gone if deleting else None, hit, settings)
+        cursors = change.table("sync_cursors") if change.has("sync_cursors") else None
+        change.write("sync_cursors", upsert.sync_cursor(batch, cursors).coalesce(1))
         report = {**counts, "rebuilt_chats": rebuilt, "full_rebuild": drifted}
-        new = {
-            "messages": merged.repartition("chat_id", F.to_date("timestamp")).sortWithinPartitions("chat_id", "timestamp", "message_id"),
-            "chats": upsert.chats_of(merged),
-            "sync_cursors": upsert.sync_cursor(batch, stored),
-            "chunks": chunks,
-            "windows": windows,
-            "reply_edges": replies.reply_edges(merged, chunks),
-            "chunk_parent_refs": replies.chunk_parent_refs(merged, chunks),
-        }
-        at = dt.datetime.now(dt.UTC).isoformat()
-        self.store.commit(new, {"chunk_settings": asdict(settings), "last_sync": {"completed_at": at, "source": source_name}})
-        report["total_messages"], report["chunks"] = self.table("messages").count(), self.table("chunks").count()
+        report["total_messages"], report["chunks"] = change.table("messages").count(), change.table("chunks").count()
         if touched:
             report["touched"] = sorted(r["chat_id"] for r in hit.select("chat_id").limit(100_000).collect())
+        at = dt.datetime.now(dt.UTC).isoformat()
+        change.commit({"chunk_settings": asdict(settings), "layout": layout, "last_sync": {"completed_at": at, "source": source_name}})
         report["timings_ms"] = {"read_source": read_ms, "rebuild_chunks": int((time.time() - rebuild_from) * 1000)}
-        for frame in (batch, changed, merged, chunks, gone):
-            if frame is not None:
-                frame.unpersist()
         return report
 
+    def _rebuild(self, change: Change, news: DataFrame, changed: DataFrame, gone: DataFrame | None, hit: DataFrame, settings: ChunkSettings) -> None:
+        """Write the parts that hold changed messages, and those of their rooms from the rebuild's floors on."""
+        old_places = changed.filter("change = 'updated'").select("chat_id", F.col("old_timestamp").alias("timestamp"))
+        places = news.select("chat_id", "timestamp").unionByName(old_places)
+        places = places if gone is None else places.unionByName(gone.select("chat_id", "timestamp"))
+        parts = self._parts_of(places, "timestamp")
+        merged = upsert.merged(change.table("messages", parts), news)
+        merged = merged if gone is None else merged.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
+        change.write("messages", self._part(merged, "timestamp"), parts, ("chat_id", "timestamp", "message_id"))
+
+        buckets = self._parts_of(hit)
+        chunks = change.table("chunks", _within(change.parts("chunks"), buckets))
+        floors = incremental.tail_floors(chunks, hit).persist()
+        try:
+            # the first part of each bucket that a rebuild reaches; none: all of the bucket's
+            reach = self._part(self._part(floors.withColumn("at", F.coalesce("floor", F.to_timestamp(F.lit("0001-01-01"))))).withColumnRenamed(PART, "b"), "at")
+            firsts = {r["b"]: r["first"] for r in reach.groupBy("b").agg(F.min(F.when(F.col("floor").isNull(), F.col("b")).otherwise(F.col(PART))).alias("first")).collect()}
+            late = lambda name: {p for p in change.parts(name) if p[:4] in firsts and p >= firsts[p[:4]]}
+            tail = incremental.tail_messages(change.table("messages", late("messages")), floors)
+            fresh = build_chunks(tail, settings).persist()
+            try:
+                old_chunks, old_windows = late("chunks"), late("windows")
+                ids = change.table("chunks", old_chunks).select(F.explode("message_ids").alias("message_id"))
+                change.write("chunks", self._part(upsert.replace_tail(change.table("chunks", old_chunks), fresh, floors), "started_at"), old_chunks, ("chat_id", "started_at"))
+                windows = upsert.replace_tail(change.table("windows", old_windows), build_windows(fresh), floors)
+                change.write("windows", self._part(windows, "started_at"), old_windows, ("chat_id", "started_at"))
+            finally:
+                fresh.unpersist()
+        finally:
+            floors.unpersist()
+        mine = change.table("messages", _within(change.parts("messages"), buckets))
+        change.write("chats", self._part(upsert.chats_of(mine)), buckets)
+        ids = ids.unionByName(tail.select("message_id")).distinct()
+        self._link(change, {"chunks": old_chunks, "windows": old_windows, "buckets": buckets}, ids)
+
+    def _link(self, change: Change, replaced: dict[str, set[str]] | None, ids: DataFrame | None) -> None:
+        """Write what follows from chunks and windows: search postings, windows' children, reply edges and references.
+
+        ``replaced`` names the parts that were written anew, ``ids`` the messages whose
+        chunks were; None: all.
+        """
+        was = replaced or {}
+        fresh = lambda name: None if replaced is None else {p for p, tag in change.tables[name]["parts"].items() if tag == change.tag}
+        light = change.table("chunks", fresh("chunks")).select("chunk_id", "chat_id", "started_at", "text")
+        change.write("postings", self._part(search.postings(light), "started_at"), was.get("chunks"), ("term",))
+        windows = change.table("windows", fresh("windows"))
+        children = windows.select("chat_id", "started_at", "parent_id", F.posexplode("child_chunk_ids").alias("ordinal", "chunk_id"))
+        change.write("window_children", self._part(children, "started_at"), was.get("windows"), ("chunk_id",))
+
+        buckets = was.get("buckets")
+        if buckets is not None:
+            # replies of other rooms whose parent's chunk is another now
+            far = change.table("reply_edges", change.parts("reply_edges") - buckets)
+            far = far.join(ids.withColumnRenamed("message_id", "parent_message_id"), "parent_message_id", "left_semi")
+            buckets = buckets | self._parts_of(far)
+        replying = change.table("messages", None if buckets is None else _within(change.parts("messages"), buckets))
+        replying = replying.filter("reply_to_message_id is not null").select("chat_id", "message_id", "reply_to_message_id")
+        if buckets is not None and replying.isEmpty():
+            edges = change.table("reply_edges", set())
+        else:
+            rooms = replying.select(F.col("chat_id"), F.col("message_id").alias("child_message_id"), F.col("reply_to_message_id").alias("parent_message_id")).distinct()
+            edges = replies.reply_edges(replying, change.table("chunks")).join(rooms, ["child_message_id", "parent_message_id"])
+        change.write("reply_edges", self._part(edges), buckets)
+        edges = change.table("reply_edges", fresh("reply_edges"))
+        refs = edges.filter("parent_chunk_id is not null and child_chunk_id <> parent_chunk_id").select("chat_id", "child_chunk_id", "parent_chunk_id")
+        change.write("chunk_parent_refs", self._part(refs.distinct()), buckets)
+
     def index(self, full: bool = False, dry_run: bool = False) -> dict | DataFrame:
         return self.index_store.plan(self.table("windows")) if dry_run else self.index_store.build(self.table("windows"), full)
 
@@ -115,8 +205,10 @@ class Engine:
         """Hits by ``keyword``, ``bm25``, ``semantic`` or ``terms``."""
         length = self.config.snippet_length
         if ranker in ("keyword", "bm25"):
-            run: Callable = search.keyword_search if ranker == "keyword" else search.bm25_search
-            return run(self.table("chunks"), query, limit, length, self.table("chunk_parent_refs"))
+            chunks, refs = self.table("chunks"), self.table("chunk_parent_refs")
+            if ranker == "keyword":
+                return search.keyword_search(chunks, query, limit, length, refs)
+            return search.bm25_search(chunks, query, limit, length, refs, self.table("postings"))
         if ranker == "semantic":
             return self.index_store.search(self.table("windows"), query, limit, length)
         if ranker == "terms":
@@ -130,13 +222,13 @@ class Engine:
         return found
 
     def chunk_context(self, chunk_id: str) -> DataFrame:
-        return navigate.chunk_context(self.table("chunks"), self.table("windows"), chunk_id)
+        return navigate.chunk_context(self.table("chunks"), self.table("window_children"), chunk_id)
 
     def chunk_parent(self, chunk_id: str) -> DataFrame:
-        return navigate.windows_of_chunk(self.table("windows"), chunk_id)
+        return navigate.windows_of_chunk(self.table("windows"), self.table("window_children"), chunk_id)
 
     def chunks(self, chat_id: str | None = None) -> DataFrame:
-        rows = navigate.chunk_summaries(self.table("chunks"), self.table("chunk_parent_refs"), self.table("windows"), chat_id)
+        rows = navigate.chunk_summaries(self.table("chunks"), self.table("chunk_parent_refs"), self.table("window_children"), chat_id)
         return rows.orderBy("started_at", "chunk_id")
 
     def source_chats(self, source: Source) -> DataFrame:

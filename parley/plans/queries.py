@@ -255,7 +255,7 @@ def chunk_neighbours(spark, d):
 )
 def chunk_summaries(spark, d):
     rows, made = _ev(spark, d)
-    out = navigate.chunk_summaries(made, replies.chunk_parent_refs(rows, made), build_windows(made))
+    out = navigate.chunk_summaries(made, replies.chunk_parent_refs(rows, made), window_children(build_windows(made)))
     return out.select("chunk_id", "account_hash", "chat_id", "chat_name", "sender_nickname", clock("started_at"), clock("ended_at"), "message_count", listed("parent_chunk_ids"), listed("window_ids"))
 
 

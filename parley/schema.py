@@ -21,6 +21,8 @@ MESSAGES = T.StructType(
         *_strings("reply_to_message_id", null=True),
     ]
 )
+#: The column by which a source says which of several rows of one key came last.
+ORDINAL = "ordinal"
 MESSAGE_KEY = ["account_hash", "chat_id", "message_id"]
 #: Columns whose difference makes an archived message an updated one.
 MESSAGE_VALUES = [f.name for f in MESSAGES.fields if f.name not in MESSAGE_KEY]
@@ -30,6 +32,8 @@ CHUNKER_VERSION = 2
 PARENT_GAP_SECONDS = 300
 PARENT_MAX_CHARS = 3000
 MAX_LIMIT = 100_000
+#: Patterns of the periods that tables are partitioned by.
+PERIODS = {"month": "yyyy-MM", "day": "yyyy-MM-dd"}
 DEFAULT_LIMIT = 10
 
 
@@ -114,6 +118,9 @@ class Config:
     embedding_batch_size: int = 64
     vector_dimension: int = 768
     snippet_length: int = 80
+    #: Tables are written by bucket of the room and by ``month`` or ``day``; a change rewrites the parts that it touches.
+    archive_period: str = "month"
+    room_buckets: int = 64
 
     @classmethod
     def load(cls, path: str | None) -> Config:
@@ -129,6 +136,8 @@ class Config:
                 raise BadConfig(f"unknown setting {name!r}")
             if type(value) is not known[name]:
                 raise BadConfig(f"{name} must be of type {known[name].__name__}")
+        if values.get("archive_period", "month") not in PERIODS:
+            raise BadConfig(f"archive_period must be one of {', '.join(PERIODS)}")
         return cls(**values)
 
     @property

@@ -7,12 +7,12 @@ import subprocess
 from collections.abc import Callable
 from typing import Protocol
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from parley.operators.upsert import chats_of
-from parley.schema import MESSAGES, BadSource
+from parley.schema import MESSAGES, ORDINAL, BadSource
 
 
 class Source(Protocol):
@@ -32,41 +32,60 @@ def _typed(rows: DataFrame) -> DataFrame:
     return rows.select(*(f.name for f in MESSAGES.fields))
 
 
+def _rows(lines: DataFrame) -> tuple[DataFrame, Column]:
+    """Lines (``value`` and further columns) parsed as ``m``, and whether one is malformed or lacks a field."""
+    parsed = T.StructType([*_nullable(MESSAGES).fields, T.StructField("_bad", T.StringType())])
+    rows = lines.filter(F.trim("value") != "").withColumn("m", F.from_json("value", parsed, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}))
+    wrong = F.col("m").isNull() | F.col("m._bad").isNotNull()
+    for f in MESSAGES.fields:
+        if not f.nullable:
+            wrong = wrong | F.col(f"m.{f.name}").isNull()
+    return rows, wrong
+
+
+def _lines(spark: SparkSession, path: str) -> DataFrame:
+    """The lines of files, with the file and a number that grows along it.
+
+    Rows of a file's split come in order, and its splits start at growing offsets, so
+    the two together are the line's place.
+    """
+    lines = spark.read.text(path).withColumn("_file", F.input_file_name()).withColumn("_start", F.input_file_block_start())
+    return lines.withColumn("_n", F.monotonically_increasing_id())
+
+
 def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
-    """Messages from lines of JSON; blank lines are skipped, unknown fields ignored.
+    """Messages from lines of JSON, with the column ORDINAL by their place; blank lines are skipped, unknown fields ignored.
 
     The first line that is malformed or lacks a field raises BadSource with its number,
     without its content.
     """
-    parsed = T.StructType([*_nullable(MESSAGES).fields, T.StructField("_bad", T.StringType())])
-    lines = spark.read.text(path)
-    rows = lines.filter(F.trim("value") != "").select("value", F.from_json("value", parsed, {"columnNameOfCorruptRecord": "_bad", "mode": "PERMISSIVE"}).alias("m"))
-    needed = [f.name for f in MESSAGES.fields if not f.nullable]
-    wrong = F.col("m").isNull() | F.col("m._bad").isNotNull()
-    for name in needed:
-        wrong = wrong | F.col(f"m.{name}").isNull()
-    if not rows.filter(wrong).isEmpty():
-        raise BadSource(f"line {_first_bad_line(spark, path, parsed, needed)} of the source is malformed")
-    return _typed(rows.select("m.*"))
+    rows, wrong = _rows(_lines(spark, path))
+    bad = rows.filter(wrong).agg(F.min(F.struct("_file", "_start", "_n")).alias("at")).first()["at"]
+    if bad is not None:
+        raise BadSource(f"line {_line_number(spark, path, bad)} of the source is malformed")
+    place = F.struct("_file", "_start", "_n").alias(ORDINAL)
+    return rows.select("m.*", place).select(*(f.name for f in MESSAGES.fields), ORDINAL)
 
 
-def _first_bad_line(spark: SparkSession, path: str, parsed: T.StructType, needed: list[str]) -> int:
-    """The number of the first bad line; only asked for once there is one, and read in the order of the file."""
-    numbered = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    rows = numbered.filter(F.trim("value") != "").select("n", F.from_json("value", parsed, {"columnNameOfCorruptRecord": "_bad"}).alias("m"))
-    wrong = F.col("m").isNull() | F.col("m._bad").isNotNull()
-    for name in needed:
-        wrong = wrong | F.col(f"m.{name}").isNull()
-    return int(rows.filter(wrong).agg(F.min("n")).first()[0]) + 1
+def _line_number(spark: SparkSession, path: str, bad) -> int:
+    """The number in its file of a line that is asked for by its place: a count of the lines before it."""
+    before = (F.col("_start") < bad["_start"]) | ((F.col("_start") == bad["_start"]) & (F.col("_n") < bad["_n"]))
+    return _lines(spark, path).filter((F.col("_file") == bad["_file"]) & before).count() + 1
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Messages from a file that is one JSON array."""
+    """Messages from a file that is one JSON array; any record that is none or lacks a field is an error."""
+    wrong = None
+    for f in MESSAGES.fields:
+        if not f.nullable:
+            wrong = F.col(f.name).isNull() if wrong is None else wrong | F.col(f.name).isNull()
     try:
         rows = spark.read.schema(_nullable(MESSAGES)).json(path, multiLine=True, mode="FAILFAST")
-        rows.limit(1).count()
+        lacking = rows.filter(wrong).count()
     except Exception as e:
         raise BadSource("the source is not an array of messages") from e
+    if lacking:
+        raise BadSource(f"{lacking} records of the source lack a field")
     return _typed(rows)
 
 

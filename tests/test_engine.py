@@ -94,6 +94,61 @@ def test_engine(spark, tmp_path):
     assert json.loads(result_json(engine.chunks("c")))[0]["chat_id"] == "c"
 
 
+def test_a_sync_writes_only_what_it_touches(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"))
+    month = 60 * 24 * 31
+    rows = [message(i, i * month / 4 + k, "ab"[k % 2], chat=f"r{r}", reply=f"r{r}-{i}" if k == 1 else None) for r in range(3) for i in range(12) for k in (0, 1)]
+    rows = [(*m[:4], f"{m[4]}-{k % 2}" if k % 2 else m[4], *m[5:]) for k, m in enumerate(rows)]
+    engine.sync(frame(spark, rows))
+    before = engine.store.manifest()["tables"]
+    late = message(99, 11 * month / 4 + 2, chat="r1", text="late", reply="r0-0")
+    moved = message(3, 5 * month / 4, chat="r2", text="moved")
+    engine.sync(frame(spark, [late]))
+    after = engine.store.manifest()["tables"]
+    for name in ("messages", "chunks", "windows", "postings"):
+        new = {p for p, tag in after[name]["parts"].items() if before[name]["parts"].get(p) != tag}
+        assert len(new) == 1 and len(after[name]["parts"]) > 8, name
+    engine.sync(frame(spark, [moved]))
+    # a parent of another room's reply gets another chunk
+    engine.sync(frame(spark, [message(500, 1, "a", chat="r0", text="beside")]))
+    whole = Engine(spark, str(tmp_path / "whole"), Config(archive_period="day", room_buckets=3))
+    whole.sync(engine.table("messages"))
+    for name in ("messages", "chunks", "windows", "window_children", "reply_edges", "chunk_parent_refs", "chats", "postings"):
+        assert rows_of(engine.table(name)) == rows_of(whole.table(name)), name
+    assert engine.search("bm25", "late").first().parent_chunk_ids == [r.chunk_id for r in engine.table("chunks").collect() if "r0-0" in r.message_ids]
+    # what the change before the last one replaced is gone, what readers of the last version need is there
+    parts = {f"{p}" for p in after["messages"]["parts"]}
+    assert parts and engine.sync(frame(spark, [late]))["rebuilt_chats"] == 0
+
+
+def test_the_last_row_of_a_key_wins(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"))
+    rows = frame(spark, [message(1, text="zzz"), message(1, text="aaa")])
+    tagged = spark.createDataFrame([(*r, i) for i, r in enumerate(rows.collect())], "account_hash string, chat_id string, chat_name string, chat_type string, message_id string, sender_id string, sender_nickname string, timestamp timestamp, text string, message_type string, reply_to_message_id string, ordinal bigint")
+    engine.sync(tagged)
+    assert [r.text for r in engine.table("messages").collect()] == ["aaa"] and "ordinal" not in engine.table("messages").columns
+    path = lines(tmp_path / "a.jsonl", [record(1, 0, "zzz"), record(2, 1), record(1, 0, "later edit")])
+    other = Engine(spark, str(tmp_path / "other"))
+    other.sync(open_source(spark, "fixture", path))
+    assert {r.text for r in other.table("messages").collect()} == {"later edit", "hello there"}
+
+
+def test_a_second_writer_is_turned_away_and_a_dead_one_is_not_waited_for(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"))
+    with engine.store.files.lock(), pytest.raises(Busy):
+        engine.sync(frame(spark, [message(1)]))
+    engine.store.files.write("LOCK", "of a writer that died")
+    with pytest.raises(Busy):
+        engine.sync(frame(spark, [message(1)]))
+    with engine.store.files.lock(stale_after=-1):
+        assert engine.store.files.exists("LOCK")
+    assert engine.sync(frame(spark, [message(1)]))["inserted"] == 1
+    with pytest.raises(RuntimeError), engine.store.change() as change:
+        change.write("extra", spark.range(3).toDF("x"))
+        raise RuntimeError
+    assert not engine.store.has("extra") and not engine.store.files.names("extra")
+
+
 def test_settings_drift_rebuilds(spark, tmp_path):
     rows = frame(spark, [message(1), message(2, 5)])
     Engine(spark, str(tmp_path / "l")).sync(rows)

@@ -146,12 +146,12 @@ def test_replies_and_context(spark):
     assert replies.chunk_parent_refs(rows, chunks).count() == 2
     windows = build_windows(chunks).cache()
     middle = chunks.filter(F.array_contains("message_ids", "c-3")).first().chunk_id
-    context = navigate.chunk_context(chunks, windows, middle).first()
+    context = navigate.chunk_context(chunks, window_children(windows), middle).first()
     assert context.previous.chunk_id != middle != context.next.chunk_id and len(context.window_ids) == 1
     ends = navigate.chunk_neighbours(chunks).filter(F.col("previous_chunk_id").isNull()).count()
     assert ends == 2
     with pytest.raises(MissingChunk):
-        navigate.windows_of_chunk(windows, "nope")
+        navigate.windows_of_chunk(windows, window_children(windows), "nope")
 
 
 def test_chat_identity(spark):
