@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -173,3 +178,45 @@ def tier_counts(plan: DataFrame) -> DataFrame:
 def media_totals(plan: DataFrame) -> DataFrame:
     """Frames and bytes by room and tier with all subtotals."""
     return plan.rollup("chatId", "tier").agg(F.count(F.lit(1)).alias("frames"), F.sum("bytes").alias("bytes"))
+
+
+WRITTEN = "name string, bytes bigint, checksum_sha1 string, error string"
+
+
+def write_bodies(bodies: DataFrame, folder: str) -> DataFrame:
+    """(name, bytes, checksum_sha1, error) of each row (name, body) after its body has been written to a file of that name.
+
+    ``folder`` is on any file system that all executors reach.  A body is written
+    beside its place and then moved there, so that a file is whole or absent, and a
+    task that runs again does no harm.  A name that leaves the folder, a null body and
+    a failure to write are reported in ``error`` and stop nothing else.
+    """
+
+    def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+
+        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system.create_dir(root, recursive=True)
+        for batch in batches:
+            out: dict[str, list] = {"name": [], "bytes": [], "checksum_sha1": [], "error": []}
+            for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                problem = None
+                if not name or "/" in name or "\\" in name or name.startswith("."):
+                    problem = "not a file name"
+                elif body is None:
+                    problem = "no body"
+                else:
+                    beside = f"{root}/.{uuid.uuid4().hex}.part"
+                    try:
+                        with system.open_output_stream(beside) as stream:
+                            stream.write(body)
+                        system.move(beside, f"{root}/{name}")
+                    except OSError as e:
+                        problem = type(e).__name__
+                out["name"].append(name)
+                out["bytes"].append(None if problem else len(body))
+                out["checksum_sha1"].append(None if problem else hashlib.sha1(body).hexdigest())
+                out["error"].append(problem)
+            yield pa.RecordBatch.from_pydict(out, schema=pa.schema([("name", pa.string()), ("bytes", pa.int64()), ("checksum_sha1", pa.string()), ("error", pa.string())]))
+
+    return bodies.select(F.col("name").cast("string"), F.col("body").cast("binary")).mapInArrow(written, WRITTEN)

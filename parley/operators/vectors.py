@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Callable
 from typing import Protocol
 
 import numpy as np
@@ -12,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.operators.search import ranked, window_hits
-from parley.schema import DEFAULT_LIMIT, DimensionMismatch, EmptyQuery, checked_limit
+from parley.schema import DEFAULT_LIMIT, BadConfig, Config, DimensionMismatch, EmptyQuery, checked_limit
 
 
 class Embedder(Protocol):
@@ -166,10 +167,35 @@ def archive_revision(windows: DataFrame, shards: int = 256) -> str:
     return hashlib.sha256(text.encode()).hexdigest()
 
 
-def semantic_search(windows: DataFrame, vectors: DataFrame, embedder: Embedder, query: str, limit: int = DEFAULT_LIMIT, length: int = 80) -> DataFrame:
-    """Window hits by vector similarity."""
+def nearest(vectors: DataFrame, embedder: Embedder, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(chunk_id, raw_score, rank, score) of the vectors most like a query."""
     if not query.strip():
         raise EmptyQuery("the query is empty")
-    top = vector_topk(vectors, embedder.embed_query(query), limit).withColumnRenamed("chunk_id", "_id")
-    rows = windows.join(F.broadcast(top), F.col("parent_id") == F.col("_id")).drop("_id")
+    return vector_topk(vectors, embedder.embed_query(query), limit)
+
+
+def semantic_hits(windows: DataFrame, best: DataFrame, query: str, length: int = 80) -> DataFrame:
+    """Window hits of ranked vectors."""
+    rows = windows.join(F.broadcast(best.withColumnRenamed("chunk_id", "_id")), F.col("parent_id") == F.col("_id")).drop("_id")
     return window_hits(rows, "semantic", query, length)
+
+
+def semantic_search(windows: DataFrame, vectors: DataFrame, embedder: Embedder, query: str, limit: int = DEFAULT_LIMIT, length: int = 80) -> DataFrame:
+    """Window hits by vector similarity."""
+    return semantic_hits(windows, nearest(vectors, embedder, query, limit), query, length)
+
+
+#: How to make the embedder of a model's name, from dimension and batch size; ``register_model`` adds to it.
+MODELS: dict[str, Callable[[int, int], Embedder]] = {"deterministic": lambda dimension, batch: DeterministicEmbedder(dimension)}
+
+
+def register_model(name: str, call: Callable[[list[str]], list]) -> None:
+    """Let settings name a model: a function from texts to vectors, called in batches on the executors."""
+    MODELS[name] = lambda dimension, batch: ModelEmbedder(name, dimension, call, batch)
+
+
+def embedder_of(config: Config) -> Embedder:
+    """The embedder that the settings name."""
+    if config.embedder_model not in MODELS:
+        raise BadConfig(f"unknown embedder_model {config.embedder_model!r}")
+    return MODELS[config.embedder_model](config.vector_dimension, config.embedding_batch_size)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
+from collections.abc import Callable
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,13 +13,13 @@ from pyspark.sql import functions as F
 
 from parley.operators import incremental, media, navigate, replies, search, transcript, upsert
 from parley.operators.chunking import build_chunks, chunk_messages
-from parley.operators.vectors import DeterministicEmbedder, Embedder, archive_revision
+from parley.operators.vectors import Embedder, archive_revision, embedder_of
 from parley.operators.windows import build_windows
 from parley.plans.freshness import recommendation
 from parley.plans.semantic import SemanticIndex
 from parley.plans.store import PART, Change, TableStore, by_part
 from parley.schema import DEFAULT_LIMIT, MESSAGE_KEY, MESSAGE_VALUES, MESSAGES, ORDINAL, PERIODS, ChunkSettings, Config, IndexMissing, MissingChunk, ParleyError
-from parley.sources.adapters import Source
+from parley.sources.adapters import Source, open_source
 
 TABLES = ("messages", "chats", "sync_cursors", "chunks", "windows", "window_children", "reply_edges", "chunk_parent_refs", "postings")
 
@@ -34,7 +35,7 @@ class Engine:
     def __init__(self, spark: SparkSession, root: str, config: Config | None = None, embedder: Embedder | None = None):
         self.spark, self.root, self.config = spark, root.rstrip("/"), config or Config()
         self.store = TableStore(spark, f"{self.root}/archive")
-        self.embedder = embedder or DeterministicEmbedder(self.config.vector_dimension)
+        self.embedder = embedder or embedder_of(self.config)
         self.index_store = SemanticIndex(spark, f"{self.root}/{self.config.semantic_dir}", self.embedder)
 
     def table(self, name: str) -> DataFrame:
@@ -196,7 +197,10 @@ class Engine:
         change.write("chunk_parent_refs", self._part(refs.distinct()), buckets)
 
     def index(self, full: bool = False, dry_run: bool = False) -> dict | DataFrame:
-        return self.index_store.plan(self.table("windows")) if dry_run else self.index_store.build(self.table("windows"), full)
+        if dry_run:
+            return self.index_store.plan(self.table("windows"))
+        now = self.store.manifest()
+        return self.index_store.build(self.store.read("windows", now["tables"]["windows"]), full, now["version"])
 
     def wipe_index(self, confirm: bool = False) -> None:
         self.index_store.wipe(confirm)
@@ -210,7 +214,7 @@ class Engine:
                 return search.keyword_search(chunks, query, limit, length, refs)
             return search.bm25_search(chunks, query, limit, length, refs, self.table("postings"))
         if ranker == "semantic":
-            return self.index_store.search(self.table("windows"), query, limit, length)
+            return self.index_store.search(self.table("windows"), query, limit, length, lambda: self.store.manifest()["version"])
         if ranker == "terms":
             return search.term_search(self.table("windows"), query, limit, length)
         raise ParleyError(f"unknown ranker {ranker!r}")
@@ -231,6 +235,10 @@ class Engine:
         rows = navigate.chunk_summaries(self.table("chunks"), self.table("chunk_parent_refs"), self.table("window_children"), chat_id)
         return rows.orderBy("started_at", "chunk_id")
 
+    def source(self, path: str | None = None, command: list[str] | None = None, read: Callable[[], DataFrame] | None = None) -> Source:
+        """The source of the kind that the settings name."""
+        return open_source(self.spark, self.config.source_adapter, path, command, read)
+
     def source_chats(self, source: Source) -> DataFrame:
         return source.chats().orderBy("chat_id")
 
@@ -240,6 +248,18 @@ class Engine:
     def media_plan(self, rows: DataFrame, probes: DataFrame, now_epoch: int, **options) -> DataFrame:
         return media.tier_plan(media.media_frames(rows), probes, now_epoch, **options)
 
+    def media_get(self, rows: DataFrame, probes: DataFrame, now_epoch: int, chat_id: int, log_id: int, **options) -> DataFrame:
+        """The plan of one message's media."""
+        return self.media_plan(media.media_rows(rows, chat_id, log_id=log_id), probes, now_epoch, **options)
+
+    def media_backfill(self, rows: DataFrame, probes: DataFrame, now_epoch: int, kinds: list[str] = (), **options) -> DataFrame:
+        """(chatId, tier_counts, frames, bytes) of every room with media of the kinds, planned at once."""
+        wanted = rows.filter(F.col("type").isin(media.types_of(list(kinds))))
+        return media.tier_counts(self.media_plan(wanted, probes, now_epoch, **options))
+
+    def media_write(self, bodies: DataFrame, folder: str) -> DataFrame:
+        return media.write_bodies(bodies, folder)
+
     def doctor(self) -> dict:
         """Whether a sync or an index is due, and why."""
         facts = self.store.facts()

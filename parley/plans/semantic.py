@@ -5,12 +5,13 @@ from __future__ import annotations
 import datetime as dt
 import json
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators.search import document
-from parley.operators.vectors import Embedder, archive_revision, content_hash, embedded, reused_or_pending, semantic_search
+from parley.operators.vectors import Embedder, archive_revision, content_hash, embedded, nearest, reused_or_pending, semantic_hits
 from parley.plans.store import POINTER, Files, valid_name
 from parley.schema import DEFAULT_LIMIT, IndexCorrupt, IndexMissing, IndexStale, NotConfirmed
 
@@ -55,59 +56,95 @@ class SemanticIndex:
         action = F.when(F.col("vector").isNull(), "embed").otherwise("reuse")
         return rows.select(F.col("parent_id").alias("chunk_id"), action.alias("action"), F.concat("parent_id", F.lit(".md")).alias("path"))
 
-    def verify(self, windows: DataFrame) -> None:
-        """Raise unless the current generation holds exactly the windows' ids and contents."""
-        found = self.cursor()
+    def _holds(self, vectors: DataFrame, windows: DataFrame) -> bool:
+        """Are the vectors exactly those of the windows' ids and contents, and of the embedder's dimension?"""
+        want = windows.select(F.col("parent_id").alias("chunk_id"), content_hash(F.col("text")).alias("content_hash"))
+        have = vectors.select("chunk_id", "content_hash", F.lit(1).alias("_n"))
+        both = want.withColumn("_n", F.lit(-1)).unionByName(have).groupBy("chunk_id", "content_hash").agg(F.sum("_n").alias("_n"))
+        return both.filter("_n <> 0").isEmpty() and vectors.filter(F.size("vector") != self.embedder.dimension).isEmpty()
+
+    def verify(self, windows: DataFrame, version: int | None = None) -> str:
+        """The current generation's name; raises unless it holds exactly the windows' ids and contents.
+
+        A generation is checked when it is built.  Where ``version``, the archive's, is
+        still the one that it was built from, nothing is read again.
+        """
+        name, found = self._current(), self.cursor()
+        if found["embedder_id"] != self.embedder.id or found["dimension"] != self.embedder.dimension:
+            raise IndexStale("the index was built by another embedder")
+        if version is not None and found.get("archive_version") == version:
+            return name
         if found["archive_revision"] != archive_revision(windows):
             raise IndexStale("the archive has changed since the index was built")
-        want = windows.select(F.col("parent_id").alias("chunk_id"), content_hash(F.col("text")).alias("content_hash"))
-        have = self.vectors().select("chunk_id", "content_hash")
-        if found["dimension"] != self.embedder.dimension or not (want.exceptAll(have).isEmpty() and have.exceptAll(want).isEmpty()):
+        if not self._holds(self.vectors(), windows):
             raise IndexCorrupt("the generation doesn't hold what its cursor says")
+        return name
 
-    def build(self, windows: DataFrame, full: bool = False) -> dict:
-        """Publish a generation for the windows, reusing vectors whose text is unchanged unless ``full``."""
+    def build(self, windows: DataFrame, full: bool = False, version: int | None = None) -> dict:
+        """Publish a generation for the windows, reusing vectors whose text is unchanged unless ``full``.
+
+        ``self_healed`` says whether what was there differed from the windows, or was
+        damaged.  The new generation is checked before the pointer is moved.
+        """
         with self.files.lock():
-            healed = False
-            prior = None
+            healed, prior = False, None
+            revision = archive_revision(windows)
             if not full:
                 try:
-                    if self.cursor()["embedder_id"] == self.embedder.id:
+                    cursor = self.cursor()
+                    if cursor["embedder_id"] == self.embedder.id and cursor["dimension"] == self.embedder.dimension:
                         prior = self.vectors()
-                        prior.limit(1).count()
+                        healed = cursor["archive_revision"] != revision or not self._holds(prior, windows)
+                    else:
+                        healed = True
                 except IndexMissing:
-                    prior = None
+                    pass
                 except Exception:  # noqa: BLE001  a damaged generation of any kind is built anew
                     prior, healed = None, True
             if prior is None:
                 prior = self.spark.createDataFrame([], "chunk_id string, content_hash string, vector array<float>")
-            revision = archive_revision(windows)
             name = f"g{uuid.uuid4().hex}"
             staging = f"generations/{name}"
-            prepared = reused_or_pending(windows, prior)
-            counts = prepared.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("vector").isNull(), 1)).alias("new")).first()
-            embedded(prepared, self.embedder).write.parquet(self.files.at(f"{staging}/vectors"))
-            documents = windows.select(F.concat("parent_id", F.lit(".md")).alias("name"), document(windows).alias("text"))
-            documents.write.parquet(self.files.at(f"{staging}/documents"))
-            facts = {
-                "embedder_id": self.embedder.id,
-                "dimension": self.embedder.dimension,
-                "archive_revision": revision,
-                "semantic_units": counts["all"],
-                "embedded_texts": counts["new"],
-                "completed_at": dt.datetime.now(dt.UTC).isoformat(),
-            }
-            Files(self.spark, self.files.at(staging)).write("cursor.json", json.dumps(facts, sort_keys=True))
+            try:
+                prepared = reused_or_pending(windows, prior)
+                counts = prepared.agg(F.count(F.lit(1)).alias("all"), F.count(F.when(F.col("vector").isNull(), 1)).alias("new")).first()
+                embedded(prepared, self.embedder).write.parquet(self.files.at(f"{staging}/vectors"))
+                documents = windows.select(F.concat("parent_id", F.lit(".md")).alias("name"), document(windows).alias("text"))
+                documents.write.parquet(self.files.at(f"{staging}/documents"))
+                if not self._holds(self.spark.read.parquet(self.files.at(f"{staging}/vectors")), windows):
+                    raise IndexStale("the archive changed while the index was built")
+                facts = {
+                    "embedder_id": self.embedder.id,
+                    "dimension": self.embedder.dimension,
+                    "archive_revision": revision,
+                    "archive_version": version,
+                    "semantic_units": counts["all"],
+                    "embedded_texts": counts["new"],
+                    "completed_at": dt.datetime.now(dt.UTC).isoformat(),
+                }
+                Files(self.spark, self.files.at(staging)).write("cursor.json", json.dumps(facts, sort_keys=True))
+            except Exception:
+                self.files.delete(staging)
+                raise
             self.files.write(POINTER, name)
             for old in self.files.names("generations"):
                 if old != name:
                     self.files.delete(f"generations/{old}")
             return {**facts, "reused": counts["all"] - counts["new"], "self_healed": healed}
 
-    def search(self, windows: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80) -> DataFrame:
-        """Hits by similarity; a missing, stale or damaged index is an error."""
-        self.verify(windows)
-        return semantic_search(windows, self.vectors(), self.embedder, query, limit, length)
+    def search(self, windows: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, version: Callable[[], int] | None = None) -> DataFrame:
+        """Hits by similarity; a missing, stale or damaged index is an error.
+
+        The scan of the vectors is done here, and gives at most ``limit`` ids; then the
+        index and the archive are looked at again.  ``version`` tells the archive's.
+        """
+        before = version() if version else None
+        name = self.verify(windows, before)
+        best = nearest(self.vectors(), self.embedder, query, limit)
+        best = self.spark.createDataFrame(best.collect(), best.schema)
+        if self._current() != name or version and version() != before:
+            raise IndexStale("the index or the archive changed while the search was running")
+        return semantic_hits(windows, best, query, length)
 
     def wipe(self, confirm: bool = False) -> None:
         if not confirm:

@@ -7,7 +7,7 @@ from parley.operators.vectors import DeterministicEmbedder
 from parley.plans.engine import Engine, result_json
 from parley.plans.freshness import recommendation
 from parley.plans.store import Files
-from parley.schema import BadSource, Busy, Config, EmptyQuery, IndexMissing, IndexStale, NotConfirmed
+from parley.schema import BadConfig, BadSource, Busy, Config, EmptyQuery, IndexCorrupt, IndexMissing, IndexStale, NotConfirmed
 from parley.sources import tables
 from parley.sources.adapters import open_source, read_documents, read_json_array, read_jsonl
 from parley.streaming.ingest import message_stream, session_counts, sync_stream
@@ -149,6 +149,59 @@ def test_a_second_writer_is_turned_away_and_a_dead_one_is_not_waited_for(spark,
     assert not engine.store.has("extra") and not engine.store.files.names("extra")
 
 
+def test_settings_are_followed(spark, tmp_path):
+    from parley.operators.vectors import register_model
+
+    register_model("lengths", lambda texts: [[float(len(t)), 1.0, 0.0] for t in texts])
+    engine = Engine(spark, str(tmp_path / "lake"), Config(embedder_model="lengths", vector_dimension=3, embedding_batch_size=2, source_adapter="array"))
+    assert (engine.embedder.id, engine.embedder.dimension, engine.embedder.batch) == ("lengths", 3, 2)
+    (tmp_path / "a.json").write_text(json.dumps([record(1, 0), record(2, 1)]))
+    assert engine.sync(engine.source(str(tmp_path / "a.json")))["inserted"] == 2
+    engine.index()
+    assert engine.search("semantic", "x").count() == 1
+    with pytest.raises(BadConfig):
+        Engine(spark, str(tmp_path / "x"), Config(embedder_model="unknown"))
+    (tmp_path / "bad.json").write_text(json.dumps([record(1, 0), {"account_hash": "h"}]))
+    with pytest.raises(BadSource):
+        engine.source(str(tmp_path / "bad.json")).messages()
+
+
+def test_index_heals_validates_and_looks_again(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"), embedder=DeterministicEmbedder(8))
+    engine.sync(frame(spark, [message(i, i * 400) for i in range(4)]))
+    assert not engine.index()["self_healed"] and not engine.index()["self_healed"]
+    other = Engine(spark, str(tmp_path / "lake"), embedder=DeterministicEmbedder(16))
+    with pytest.raises(IndexStale):
+        other.search("semantic", "text")
+    # a generation that lost vectors is found out where the archive's version doesn't vouch for it, and healed
+    folder = engine.index_store.files.at(f"generations/{engine.index_store._current()}/vectors")
+    kept = engine.index_store.vectors().limit(2).toPandas()
+    spark.createDataFrame(kept, engine.index_store.vectors().schema).write.mode("overwrite").parquet(folder)
+    with pytest.raises(IndexCorrupt):
+        engine.index_store.verify(engine.table("windows"))
+    healed = engine.index()
+    assert healed["self_healed"] and (healed["embedded_texts"], healed["reused"]) == (2, 2)
+    versions = iter([7, 8])
+    with pytest.raises(IndexStale):
+        engine.index_store.search(engine.table("windows"), "text", version=lambda: next(versions))
+    assert engine.search("semantic", "text").count() == 4
+    engine.sync(frame(spark, [message(9, 9000)]))
+    assert engine.index()["self_healed"]
+
+
+def test_media_calls(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"))
+    rows = spark.createDataFrame([(1, 10, 5, 2, 100, '{"url":"http://x/a?expires=999999","cs":"ab","s":5}'), (1, 11, 5, 18, 101, '{"name":"f.txt","size":3}'), (2, 12, 6, 3, 102, None)], "chatId bigint, logId bigint, authorId bigint, type int, sentAt bigint, attachment string")
+    probes = spark.createDataFrame([(1, 10, 0, False, True, True, False, False, False)], "chatId bigint, logId bigint, idx bigint, existing boolean, full_cached boolean, full_ok boolean, thumb_cached boolean, thumb_ok boolean, fetched_ok boolean")
+    got = {r.chatId: (r.tier_counts, r.frames) for r in engine.media_backfill(rows, probes, 0).collect()}
+    assert got == {1: ({"full": 1, "stub": 1}, 2), 2: ({"stub": 1}, 1)}
+    assert [r.tier for r in engine.media_get(rows, probes, 0, 1, 10).collect()] == ["full"]
+    bodies = spark.createDataFrame([("a.bin", b"xyz"), ("../b", b"x"), ("c", None), ("é.jpg", b"")], "name string, body binary")
+    done = {r.name: (r.bytes, r.error) for r in engine.media_write(bodies, str(tmp_path / "out")).collect()}
+    assert done == {"a.bin": (3, None), "../b": (None, "not a file name"), "c": (None, "no body"), "é.jpg": (0, None)}
+    assert (tmp_path / "out" / "a.bin").read_bytes() == b"xyz" and sorted(p.name for p in (tmp_path / "out").iterdir()) == ["a.bin", "é.jpg"]
+
+
 def test_settings_drift_rebuilds(spark, tmp_path):
     rows = frame(spark, [message(1), message(2, 5)])
     Engine(spark, str(tmp_path / "l")).sync(rows)
