@@ -631,7 +631,11 @@ def vector_reuse(spark, d):
     return vectors.reused_or_pending(now, prior).select("parent_id", "content_hash", F.col("vector").isNotNull().alias("reused"))
 
 
-@query()
+@query(
+    r"""WITH a AS (SELECT page_id, trim(regexp_replace(trim(regexp_replace(url, '[/\\:\x00-\x1F\x7F]', '_', 'g')), '^[.]+', '')) AS n FROM pages),
+    b AS (SELECT *, regexp_matches(n, '^(.+)[.]([^.]{1,16})$') AS e FROM a)
+    SELECT page_id, CASE WHEN n = '' THEN 'attachment' WHEN e THEN substr(regexp_extract(n, '^(.+)[.]([^.]{1,16})$', 1), 1, 120) || '.' || regexp_extract(n, '^(.+)[.]([^.]{1,16})$', 2) ELSE substr(n, 1, 120) END AS name FROM b"""
+)
 def safe_filenames(spark, d):
     return v.load(spark, d, "pages").select("page_id", tx.safe_filename(F.col("url")).alias("name"))
 
