@@ -6,6 +6,7 @@ import datetime as dt
 import json
 import time
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
 from pyspark.sql import DataFrame, SparkSession
@@ -29,6 +30,13 @@ def _within(parts: set[str], buckets: set[str]) -> set[str]:
     return {p for p in parts if p[:4] in buckets}
 
 
+def _together(*calls: Callable[[], object]) -> None:
+    """Run calls that each start jobs at the same time; the first error is raised when all have ended."""
+    with ThreadPoolExecutor(len(calls)) as pool:
+        for done in [pool.submit(call) for call in calls]:
+            done.result()
+
+
 class Engine:
     """One archive and its index."""
 
@@ -112,12 +120,14 @@ class Engine:
             change.write("messages", self._part(merged, "timestamp"), None, ("chat_id", "timestamp", "message_id"))
             messages = change.table("messages")
             change.write("chunks", self._part(build_chunks(messages, settings), "started_at"), None, ("chat_id", "started_at"))
-            change.write("windows", self._part(build_windows(change.table("chunks")), "started_at"), None, ("chat_id", "started_at"))
-            change.write("chats", self._part(upsert.chats_of(messages)))
+            _together(
+                lambda: change.write("windows", self._part(build_windows(change.table("chunks")), "started_at"), None, ("chat_id", "started_at")),
+                lambda: change.write("chats", self._part(upsert.chats_of(messages))),
+            )
             self._link(change, None, None)
             rebuilt = messages.select("chat_id").distinct().count()
         elif rebuilt:
-            self._rebuild(change, news, changed, gone if deleting else None, hit, settings)
+            self._rebuild(change, news, changed, gone if deleting else None, hit, settings, kept)
         cursors = change.table("sync_cursors") if change.has("sync_cursors") else None
         change.write("sync_cursors", upsert.sync_cursor(batch, cursors).coalesce(1))
         report = {**counts, "rebuilt_chats": rebuilt, "full_rebuild": drifted}
@@ -129,7 +139,7 @@ class Engine:
         report["timings_ms"] = {"read_source": read_ms, "rebuild_chunks": int((time.time() - rebuild_from) * 1000)}
         return report
 
-    def _rebuild(self, change: Change, news: DataFrame, changed: DataFrame, gone: DataFrame | None, hit: DataFrame, settings: ChunkSettings) -> None:
+    def _rebuild(self, change: Change, news: DataFrame, changed: DataFrame, gone: DataFrame | None, hit: DataFrame, settings: ChunkSettings, kept: list[DataFrame]) -> None:
         """Write the parts that hold changed messages, and those of their rooms from the rebuild's floors on."""
         old_places = changed.filter("change = 'updated'").select("chat_id", F.col("old_timestamp").alias("timestamp"))
         places = news.select("chat_id", "timestamp").unionByName(old_places)
@@ -142,25 +152,25 @@ class Engine:
         buckets = self._parts_of(hit)
         chunks = change.table("chunks", _within(change.parts("chunks"), buckets))
         floors = incremental.tail_floors(chunks, hit).persist()
-        try:
-            # the first part of each bucket that a rebuild reaches; none: all of the bucket's
-            reach = self._part(self._part(floors.withColumn("at", F.coalesce("floor", F.to_timestamp(F.lit("0001-01-01"))))).withColumnRenamed(PART, "b"), "at")
-            firsts = {r["b"]: r["first"] for r in reach.groupBy("b").agg(F.min(F.when(F.col("floor").isNull(), F.col("b")).otherwise(F.col(PART))).alias("first")).collect()}
-            late = lambda name: {p for p in change.parts(name) if p[:4] in firsts and p >= firsts[p[:4]]}
-            tail = incremental.tail_messages(change.table("messages", late("messages")), floors)
-            fresh = build_chunks(tail, settings).persist()
-            try:
-                old_chunks, old_windows = late("chunks"), late("windows")
-                ids = change.table("chunks", old_chunks).select(F.explode("message_ids").alias("message_id"))
-                change.write("chunks", self._part(upsert.replace_tail(change.table("chunks", old_chunks), fresh, floors), "started_at"), old_chunks, ("chat_id", "started_at"))
-                windows = upsert.replace_tail(change.table("windows", old_windows), build_windows(fresh), floors)
-                change.write("windows", self._part(windows, "started_at"), old_windows, ("chat_id", "started_at"))
-            finally:
-                fresh.unpersist()
-        finally:
-            floors.unpersist()
+        kept.append(floors)
+        # the first part of each bucket that a rebuild reaches; none: all of the bucket's
+        reach = self._part(self._part(floors.withColumn("at", F.coalesce("floor", F.to_timestamp(F.lit("0001-01-01"))))).withColumnRenamed(PART, "b"), "at")
+        firsts = {r["b"]: r["first"] for r in reach.groupBy("b").agg(F.min(F.when(F.col("floor").isNull(), F.col("b")).otherwise(F.col(PART))).alias("first")).collect()}
+        late = lambda name: {p for p in change.parts(name) if p[:4] in firsts and p >= firsts[p[:4]]}
+        tail = incremental.tail_messages(change.table("messages", late("messages")), floors)
+        fresh = build_chunks(tail, settings).persist()
+        kept.append(fresh)
+        old_chunks, old_windows = late("chunks"), late("windows")
+        ids = change.table("chunks", old_chunks).select(F.explode("message_ids").alias("message_id"))
+        rebuilt = upsert.replace_tail(change.table("chunks", old_chunks), fresh, floors)
+        windows = upsert.replace_tail(change.table("windows", old_windows), build_windows(fresh), floors)
         mine = change.table("messages", _within(change.parts("messages"), buckets))
-        change.write("chats", self._part(upsert.chats_of(mine)), buckets)
+        fresh.count()  # worked out once, before the writes that share it start together
+        _together(
+            lambda: change.write("chunks", self._part(rebuilt, "started_at"), old_chunks, ("chat_id", "started_at")),
+            lambda: change.write("windows", self._part(windows, "started_at"), old_windows, ("chat_id", "started_at")),
+            lambda: change.write("chats", self._part(upsert.chats_of(mine)), buckets),
+        )
         ids = ids.unionByName(tail.select("message_id")).distinct()
         self._link(change, {"chunks": old_chunks, "windows": old_windows, "buckets": buckets}, ids)
 
@@ -173,12 +183,15 @@ class Engine:
         was = replaced or {}
         fresh = lambda name: None if replaced is None else {p for p, tag in change.tables[name]["parts"].items() if tag == change.tag}
         light = change.table("chunks", fresh("chunks")).select("chunk_id", "chat_id", "started_at", "text")
-        change.write("postings", self._part(search.postings(light), "started_at"), was.get("chunks"), ("term",))
         windows = change.table("windows", fresh("windows"))
         children = windows.select("chat_id", "started_at", "parent_id", F.posexplode("child_chunk_ids").alias("ordinal", "chunk_id"))
-        change.write("window_children", self._part(children, "started_at"), was.get("windows"), ("chunk_id",))
+        _together(
+            lambda: change.write("postings", self._part(search.postings(light), "started_at"), was.get("chunks"), ("term",)),
+            lambda: change.write("window_children", self._part(children, "started_at"), was.get("windows"), ("chunk_id",)),
+            lambda: self._link_replies(change, was.get("buckets"), ids, fresh),
+        )
 
-        buckets = was.get("buckets")
+    def _link_replies(self, change: Change, buckets: set[str] | None, ids: DataFrame | None, fresh: Callable[[str], set[str] | None]) -> None:
         if buckets is not None:
             # replies of other rooms whose parent's chunk is another now
             far = change.table("reply_edges", change.parts("reply_edges") - buckets)

@@ -397,12 +397,21 @@ def embedding_buckets(spark, d):
     return v.load(spark, d, "conversations").select("conv_id", "turn", made.buckets(F.col("text")).alias("buckets"))
 
 
-@query()
+@query(
+    rf"""{CV_WINDOWS}, tok AS (SELECT parent_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS t FROM windows),
+    cnt AS (SELECT parent_id, CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, CAST(count(*) AS DOUBLE) AS n FROM tok GROUP BY ALL),
+    qv AS (SELECT CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(['the', 'was', 'that', 'of']) AS t) GROUP BY 1),
+    p AS (SELECT parent_id, sum(cnt.n * coalesce(qv.n, 0)) / sqrt(sum(cnt.n * cnt.n)) / (SELECT sqrt(sum(n * n)) FROM qv) AS p FROM cnt LEFT JOIN qv USING (b) GROUP BY parent_id),
+    r AS (SELECT parent_id AS chunk_id, round(p, 3) AS raw_score, row_number() OVER (ORDER BY round(p, 3) DESC, parent_id) AS rank FROM p WHERE p > 0)
+    SELECT rank, chunk_id, raw_score FROM r WHERE rank <= 50"""
+)
 def semantic_search(spark, d):
-    made = build_windows(build_chunks(v.conversation_messages(spark, d)))
+    made = v.archived(build_windows(build_chunks(v.conversation_messages(spark, d))))
     embedder = vectors.DeterministicEmbedder(256)
-    stored = vectors.embedded(made.withColumn("content_hash", vectors.content_hash(F.col("text"))).withColumn("vector", F.lit(None).cast("array<float>")), embedder)
-    return vectors.semantic_search(made, stored, embedder, "the was that of", 50)
+    pending = vectors.reused_or_pending(made, spark.createDataFrame([], "chunk_id string, content_hash string, vector array<float>"))
+    rows = vectors.embedded(pending, embedder).select("chunk_id", vectors.dot(F.col("vector"), embedder.embed_query("the was that of")).alias("p")).filter("p > 0")
+    best = search.ranked(rows.select("chunk_id", F.round(F.col("p").cast("double"), 3).alias("raw_score")), [F.col("raw_score").desc(), F.col("chunk_id")], 50)
+    return vectors.semantic_hits(made, best, "the was that of").select("rank", "chunk_id", "raw_score")
 
 
 # --- application tables ---------------------------------------------------------------------
