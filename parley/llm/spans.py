@@ -232,7 +232,8 @@ def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     each = stored(each.select("doc_id", "tag", key, F.col("x").bitwiseAND(0xFFFFFFFF).alias("p")))
     place = F.struct("doc_id", "tag", "p")
     first = each.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = first.select(F.col("k").alias("_k"), "first")
+    # stored, so that the join's sides are plain shuffles and the tasks of a common span can be split
+    first = stored(first.select(F.col("k").alias("_k"), "first"))
     later = each.join(first, F.col("k") == F.col("_k")).filter(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "tag").agg(F.collect_set("p").alias("drop"))
 
@@ -248,11 +249,11 @@ REMOVED = T.StructType(
 )
 
 
-def without(text: str | None, drop: list[int]) -> tuple[int, int, int, str, str | None]:
-    """The columns of REMOVED for a text; ``removed`` lists code point ranges start:end."""
+def without(text: str | None, drop: list[int]) -> tuple[int | None, int, int, str, str | None]:
+    """The columns of REMOVED for a text; ``removed`` lists code point ranges start:end, sentences are counted where some go."""
     gone = {i for p in drop for i in range(p >> RUN_BITS, (p >> RUN_BITS) + (p & ((1 << RUN_BITS) - 1)))}
     if not gone:
-        return sum(len(x[3]) for x in parted(text)) if text else 0, 0, 0, "", text
+        return None, 0, 0, "", text
     found = sentences(text) if text else []
     edges = [s for s, _ in found] + [len(text)]
     kept = [text[: edges[0]]] + [text[edges[i] : edges[i + 1]] for i in range(len(found)) if i not in gone]
