@@ -25,8 +25,8 @@ from parley.llm.common import text_keys
 #: Words of a window; of a hashed gram; grams of a winnowing window.  K + W - 1 = WINDOW.
 WINDOW = 10
 K, W = 7, 4
-#: The item side is broadcast up to so many fingerprint rows; beyond, the join shuffles.
-BROADCAST_ROWS = 300_000
+#: The item side is broadcast up to so many fingerprint rows and bytes of windows; beyond, the join shuffles.
+BROADCAST_ROWS, BROADCAST_BYTES = 300_000, 64 << 20
 #: Fixed value: a word.
 WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 #: The hash that every text has once, so that a text without hits keeps a row.
@@ -98,7 +98,8 @@ def hits(docs: DataFrame, windows: DataFrame, n: int, window: int, broadcast_row
     # exploding the bare column would make the optimiser infer a filter that holds all steps nested, computed many times over
     every = F.concat("kept", F.array(F.lit(_MARK).cast("bigint")))
     prints = fingerprints(mine.select(F.split("window", " ").alias("words")), k, w).select(F.explode(every).alias("_kept")).distinct()
-    few = mine.count() <= broadcast_rows and prints.count() <= broadcast_rows
+    size = mine.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.octet_length("window") + F.octet_length(F.coalesce(F.col("item_id").cast("string"), F.lit("")))), F.lit(0)).alias("bytes")).first()
+    few = size["rows"] <= broadcast_rows and size["bytes"] <= BROADCAST_BYTES and prints.count() <= broadcast_rows
     rows = fingerprints(docs, k, w)
     span = lowered(F.concat_ws(" ", F.slice("words", F.col("at") + 1, n)))
     if few:
