@@ -17,6 +17,8 @@ from parley.functions.text import safe_filename
 KINDS = {"photo": (2, 27), "video": (3,), "file": (18,)}
 ALIASES = {"image": "photo"}
 ALBUM, VIDEO, FILE = 27, 3, 18
+#: What an album's attachment lists, and what another's has.
+LISTS, SINGLES = ("wl", "hl", "csl", "sl", "imageUrls"), ("w", "h", "cs", "s", "size", "name", "url")
 #: No body of more bytes is fetched.
 MAX_FETCH_BYTES = 512 << 20
 
@@ -61,17 +63,15 @@ def media_frames(rows: DataFrame) -> DataFrame:
 
     A malformed attachment counts as an empty one.
     """
-    a = object_only(F.col("attachment"))
-    one = lambda key: F.get_json_object(a, f"$.{key}")
-    many = lambda key: F.from_json(F.get_json_object(a, f"$.{key}"), "array<string>")
-    is_array = F.get_json_object(a, "$.csl").startswith("[")
-    csl = many("csl")
-    album = (F.col("type") == ALBUM) & F.coalesce(is_array, F.lit(False)) & csl.isNotNull()
-    places = F.when(album, F.when(F.size(csl) > 0, F.sequence(F.lit(0), F.size(csl) - 1)).otherwise(F.array().cast("array<int>"))).otherwise(F.array(F.lit(0)))
-    rows = rows.select(
-        "chatId", "logId", "authorId", "type", "sentAt", a.alias("_a"), album.alias("_album"), *(many(k).alias(f"_{k}") for k in ("wl", "hl", "csl", "sl", "imageUrls")),
-        F.explode(places).alias("idx"), *(one(k).alias(f"_1{k}") for k in ("w", "h", "cs", "s", "size", "name", "url")),
-    )
+    # one parse an attachment; every value as text, that of an array as its JSON
+    parsed = F.from_json(object_only(F.col("attachment")), ", ".join(f"{k} string" for k in (*LISTS, *SINGLES)))
+    rows = rows.select("chatId", "logId", "authorId", "type", "sentAt", parsed.alias("_a"))
+    album = (F.col("type") == ALBUM) & F.coalesce(F.col("_a.csl").startswith("["), F.lit(False))
+    many = lambda key: F.when(album, F.from_json(F.col(f"_a.{key}"), "array<string>"))
+    rows = rows.select("*", *(many(k).alias(f"_{k}") for k in LISTS))
+    album = F.col("_csl").isNotNull()
+    places = F.when(album, F.when(F.size("_csl") > 0, F.sequence(F.lit(0), F.size("_csl") - 1)).otherwise(F.array().cast("array<int>"))).otherwise(F.array(F.lit(0)))
+    rows = rows.select("chatId", "logId", "authorId", "type", "sentAt", album.alias("_album"), *(f"_{k}" for k in LISTS), F.explode(places).alias("idx"), *(F.col(f"_a.{k}").alias(f"_1{k}") for k in SINGLES))
     at = lambda key: F.get(F.col(f"_{key}"), F.col("idx"))
     is_file = F.col("type") == FILE
     kind = F.when(is_file, "file").when(F.col("type") == VIDEO, "video").otherwise("photo")

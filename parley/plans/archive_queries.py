@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
-from parley.operators import media, navigate, replies, search, vectors
+from parley.operators import media, navigate, replies, search, transcript, vectors
 from parley.operators.chunking import build_chunks
 from parley.operators.windows import build_windows, window_children
 from parley.plans import queries as q
@@ -314,7 +314,14 @@ def freshness_table(spark, d):
     return spark.createDataFrame(rows, "synced boolean, indexed boolean, damaged boolean, present boolean, behind boolean, sync_first boolean, index_first boolean")
 
 
-# --- media ----------------------------------------------------------------------------------
+# --- transcripts and media ------------------------------------------------------------------
+
+
+@query(f"SELECT file_name, line FROM (SELECT file_name, unnest(string_split(body, chr(10))) AS line FROM ({q.ORACLES['transcripts']})) WHERE line <> ''")
+def transcript_files(spark, d):
+    path = folder(spark)
+    transcript.write_transcripts(q.feeds(spark, d), path)
+    return spark.read.text(path).filter("value <> ''").select("file_name", F.col("value").alias("line"))
 
 
 @query(

@@ -472,7 +472,7 @@ fm AS (
 )"""
 
 
-def _feeds(spark, d):
+def feeds(spark, d):
     e = F.col("sender_id").cast("bigint") % 9
     text = F.when(e == 1, F.concat(F.lit('  {"feedType":'), "sender_id", F.lit("}"))).when(e == 2, '{"member":null}').when(e == 3, '["feedType"]').when(e == 4, '{"feedType":').otherwise(F.col("text"))
     kind = F.when(e.between(1, 4), "type_0").otherwise(F.col("message_type"))
@@ -481,7 +481,7 @@ def _feeds(spark, d):
 
 @query(f"WITH {v.EV}, {FEEDS} SELECT message_id, feed FROM fm")
 def feed_filter(spark, d):
-    return _feeds(spark, d).select("message_id", tx.is_feed(F.col("message_type"), F.col("text")).alias("feed"))
+    return feeds(spark, d).select("message_id", tx.is_feed(F.col("message_type"), F.col("text")).alias("feed"))
 
 
 LINE = """'**[' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strftime("timestamp", '%f') = '000000' THEN '' WHEN strftime("timestamp", '%f') LIKE '%000' THEN '.' || substr(strftime("timestamp", '%f'), 1, 3) ELSE '.' || strftime("timestamp", '%f') END || '+00:00] ' || sender_nickname || '**: ' || text"""
@@ -489,7 +489,7 @@ LINE = """'**[' || strftime("timestamp", '%Y-%m-%dT%H:%M:%S') || CASE WHEN strft
 
 @query(f"WITH {v.EV}, {FEEDS} SELECT chat_id, message_id, feed, {LINE} AS line FROM fm")
 def transcript_lines(spark, d):
-    return transcript.transcript_lines(_feeds(spark, d)).select("chat_id", "message_id", "feed", "line")
+    return transcript.transcript_lines(feeds(spark, d)).select("chat_id", "message_id", "feed", "line")
 
 
 REPORTS = """
@@ -502,7 +502,7 @@ rep AS (
 
 @query(f"WITH {v.EV}, {FEEDS}, {REPORTS} SELECT * FROM named")
 def transcript_reports(spark, d):
-    return transcript.transcript_reports(_feeds(spark, d))
+    return transcript.transcript_reports(feeds(spark, d))
 
 
 @query(
@@ -511,7 +511,7 @@ def transcript_reports(spark, d):
       || CASE WHEN feed_skipped > 0 THEN '- system feed messages skipped: ' || feed_skipped || chr(10) ELSE '' END || chr(10) || body AS body FROM named JOIN b USING (chat_id)"""
 )
 def transcripts(spark, d):
-    return transcript.transcripts(_feeds(spark, d)).select("file_name", "body")
+    return transcript.transcripts(feeds(spark, d)).select("file_name", "body")
 
 
 MEDIA = """
@@ -612,7 +612,7 @@ def newest_media(spark, d):
     f"""WITH {v.EV}, {FEEDS} SELECT chat_id, message_id, {LINE} AS line FROM fm WHERE chat_id = 'ev-click' AND "timestamp" >= TIMESTAMP '2024-01-15 00:00:00' AND NOT feed"""
 )
 def transcript_range(spark, d):
-    rows = transcript.in_range(_feeds(spark, d), "ev-click", "2024-01-15 00:00:00")
+    rows = transcript.in_range(feeds(spark, d), "ev-click", "2024-01-15 00:00:00")
     return transcript.transcript_lines(rows).filter(~F.col("feed")).select("chat_id", "message_id", "line")
 
 
