@@ -87,7 +87,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    return secrets.scan(docs, F.col("text"), F.col("doc_id"), vocabulary_path=VOCABULARY)
+    found = secrets.scan(docs, F.col("text"), F.col("doc_id"), vocabulary_path=VOCABULARY)
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans", "n_token")
 
 
 def quality_model(docs: DataFrame, labels: DataFrame) -> quality.Model:

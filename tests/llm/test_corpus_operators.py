@@ -400,16 +400,90 @@ def test_pieces_are_decoded(spark):
     assert [r.text for r in pieces.decode(odd, F.col("ids"), F.col("doc_id"), model_path=q.PIECES).orderBy("doc_id").collect()] == [None, None, "", ""]
 
 
+def sha(text):
+    return hashlib.sha256(text.encode() if isinstance(text, str) else text).hexdigest()
+
+
+def plain_secrets(text):
+    pattern = r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    found = [("assign", m) for m in re.finditer(pattern, text, re.I | re.A) if len(m[2]) >= 8]
+    found += [("access", m) for m in re.finditer(r"AKIA[A-Z0-9]+", text) if len(m[0]) >= 16] + [("hex", m) for m in re.finditer(r"[0-9a-f]+", text) if len(m[0]) >= 32]
+    order = ("assign", "access", "hex")
+    return sorted(((k, *m.span()) for k, m in found), key=lambda x: (x[1], order.index(x[0])))
+
+
+COLUMNS = {
+    "op1_telephony_audio": ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
+    "op2_toxicity_grammar": ["doc_id", "held_out", "score", "predicted"],
+    "op3_language_spans": ["doc_id", "held_out", "lang_pred", "score"],
+    "op4_sentence_spans": ["doc_id"],
+    "op5_pii_weak_supervision": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
+    "op6_ngram_jaccard": ["doc_id", "class_id", "n_links"],
+    "op7_winnowing": ["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
+    "op8_sentencepiece": ["doc_id", "n_tokens"],
+    "op9_secret_scan": ["doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans"],
+    "op10_quality_pu": ["doc_id", "held_out", "score", "predicted"],
+}
+
+
 def test_queries_keep_their_contracts(spark):
+    """Columns, folds, counts and digests of every query over a whole table, against plain computations."""
+    import sentencepiece
+
     d = "/root/testdata/sf0.001"
-    n = spark.read.parquet(f"{d}/documents.parquet").count()
-    held = {"op2_toxicity_grammar": (5, 0), "op3_language_spans": (5, 0), "op10_quality_pu": (4, 2)}
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{d}/documents.parquet").collect()}
+    items = [(r.item_id, r.text) for r in spark.read.parquet(f"{d}/benchmark.parquet").collect()]
+    theirs = sentencepiece.SentencePieceProcessor(model_file=q.PIECES)
+    classes = plain_classes(list(texts.items()))
+    held = {"op2_toxicity_grammar": (5, 0, 0.5), "op3_language_spans": (5, 0, None), "op10_quality_pu": (4, 2, 0.7)}
     for name, f in q.QUERIES.items():
-        rows = f(spark, d).collect()
-        assert len(rows) == n, name
-        if name in held:
-            m, k = held[name]
-            assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % m == k) for r in rows)
+        frame = f(spark, d)
+        assert frame.columns[: len(COLUMNS[name])] == COLUMNS[name], name
+        rows = frame.collect()
+        assert sorted(r.doc_id for r in rows) == sorted(texts), name
+        for r in rows:
+            text = texts[r.doc_id]
+            if name in held:
+                m, k, least = held[name]
+                assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % m == k) and 0 <= r.score <= 1
+                assert least is None or r.predicted == int(r.score >= least)
+            elif name.startswith("op1_"):
+                raw = text.encode()
+                payload = raw + b" " * (-len(raw) % 192 or (0 if raw else 192))
+                assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), sha(payload), zlib.crc32(payload[-16:]))
+                codec = telephony.CODECS[zlib.crc32(payload) % 3]
+                assert r.media_sha256 == sha(telephony.wave(payload, codec)) and r.feature.split(":")[0] == codec and len(r.pcm) == 2 * int(r.feature.split(":")[1])
+            elif name.startswith("op5_"):
+                base = plain_base(text)
+                assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(k == x for k, *_ in base) for x in BASE]
+                listed = [f"{k}:{a}:{b}" for k, a, b in base]
+                assert r.base_sha256 == sha(",".join(listed)) and set(listed) <= set(r.spans.split(","))
+            elif name.startswith("op6_"):
+                assert (r.class_id, r.n_links) == classes[r.doc_id]
+            elif name.startswith("op7_"):
+                n_words, n_hit, found = plain_hits(text, items)
+                assert (r.n_words, r.n_hit, r.n_items, r.items_sha256, r.contaminated) == (n_words, n_hit, len(found), sha(",".join(found)), n_hit > 0)
+            elif name.startswith("op8_"):
+                ids = theirs.encode(text)
+                assert r.n_tokens == len(ids) and r.ids_sha256 == sha(b"".join(i.to_bytes(4, "little") for i in ids)) and r.parity and r.round_trip == (theirs.decode(ids) == text)
+            elif name.startswith("op9_"):
+                base = plain_secrets(text)
+                assert [r.n_assign, r.n_access, r.n_hex] == [sum(k == x for k, *_ in base) for x in ("assign", "access", "hex")]
+                listed = [f"{k}:{a}:{b}" for k, a, b in base]
+                assert r.base_sha256 == sha(",".join(listed)) and set(filter(None, listed)) <= set(r.spans.split(","))
+
+
+def test_fitted_queries_over_empty_tables(spark, tmp_path):
+    """Without documents, without labels, and with labels of extra columns and clashing names."""
+    d = "/root/testdata/sf0.001"
+    few = spark.read.parquet(f"{d}/documents.parquet").limit(30)
+    labels = spark.read.parquet(f"{d}/labels.parquet").withColumns({"text": F.lit("x"), "_id": F.lit("y"), "_h": F.lit(1), "_y": F.lit(2)})
+    for k, (docs, marks) in enumerate([(few.limit(0), labels), (few, labels.limit(0)), (few.limit(0), labels.limit(0)), (few, labels)]):
+        docs.write.parquet(f"{tmp_path}/{k}/documents.parquet")
+        marks.write.parquet(f"{tmp_path}/{k}/labels.parquet")
+        for name in ("op2_toxicity_grammar", "op3_language_spans", "op10_quality_pu"):
+            rows = q.QUERIES[name](spark, f"{tmp_path}/{k}").collect()
+            assert len(rows) == docs.count() and all(0 <= r.score <= 1 for r in rows), (k, name)
 
 
 def test_pipeline(spark, tmp_path):

@@ -431,6 +431,35 @@ def test_quality_model():
     assert quality.fit([], []).score(np.array([quality.features("x")]))[0] == 0.5
 
 
+def test_descent_reaches_the_least_non_negative_risk():
+    rng = np.random.default_rng(7)
+    p, u = rng.normal(1, 1, (300, 3)), np.vstack([rng.normal(1, 1, (280, 3)), rng.normal(-1, 1, (120, 3))])
+    decay = 1e-3
+
+    def risk(w, b, prior):
+        """The risk as it is defined, text by text."""
+        z = lambda x: sum(wi * xi for wi, xi in zip(w, x)) + b
+        loss = lambda x, sign: math.log1p(math.exp(-sign * z(x)))
+        plus, minus = sum(loss(x, 1) for x in p) / len(p), sum(loss(x, -1) for x in p) / len(p)
+        unlabelled = sum(loss(x, -1) for x in u) / len(u)
+        return prior * plus + max(0.0, unlabelled - prior * minus) + decay / 2 * sum(x * x for x in w)
+
+    w, b = quality.descend(p, u, 0.7, 1500, 0.03, decay)
+    best = risk(w, b, 0.7)
+    for _ in range(25):
+        assert best <= risk(w + rng.normal(0, 0.15, 3), b + rng.normal(0, 0.15), 0.7) + 1e-4
+
+
+def test_dense_spans_skip_whatever_touches_another_span():
+    encode = lambda s: s  # noqa: E731  every character a token
+    rng = random.Random(18)
+    for _ in range(200):
+        text = " ".join("".join(rng.choices("aZ9kQ", k=rng.randrange(12, 40))) for _ in range(6))
+        taken = [(0, a, a + rng.randrange(1, 30)) for a in (rng.randrange(len(text)) for _ in range(rng.randrange(4)))]
+        want = [(s, e) for _, s, e in secrets.dense_spans(text, encode, 2.0, []) if not any(s < b and a < e for _, a, b in taken)]
+        assert [(s, e) for _, s, e in secrets.dense_spans(text, encode, 2.0, taken)] == want
+
+
 def test_reliabilities_find_the_good_labelers():
     rng = random.Random(6)
     counts = {}
