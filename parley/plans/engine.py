@@ -192,9 +192,10 @@ class Engine:
         )
 
     def _link_replies(self, change: Change, buckets: set[str] | None, ids: DataFrame | None, fresh: Callable[[str], set[str] | None]) -> None:
-        if buckets is not None:
+        others = set() if buckets is None else change.parts("reply_edges") - buckets
+        if others:
             # replies of other rooms whose parent's chunk is another now
-            far = change.table("reply_edges", change.parts("reply_edges") - buckets)
+            far = change.table("reply_edges", others)
             far = far.join(ids.withColumnRenamed("message_id", "parent_message_id"), "parent_message_id", "left_semi")
             buckets = buckets | self._parts_of(far)
         replying = change.table("messages", None if buckets is None else _within(change.parts("messages"), buckets))
