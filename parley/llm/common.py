@@ -100,6 +100,20 @@ def map_texts(
     return source.mapInArrow(run, schema)
 
 
+def arrow_rows(rows: DataFrame, call: Callable[[pa.RecordBatch], list[list]], added: str, keep: int) -> DataFrame:
+    """The first ``keep`` columns and those that ``call`` makes of each Arrow batch of ``rows``."""
+    extra = T._parse_datatype_string(added)
+    schema = T.StructType([*rows.schema.fields[:keep], *extra.fields])
+    types = [f.type for f in arrow_schema(extra)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            arrays = [batch.column(i) for i in range(keep)] + [pa.array(c, t) for c, t in zip(call(batch), types)]
+            yield pa.RecordBatch.from_arrays(arrays, names=schema.names)
+
+    return rows.mapInArrow(run, schema)
+
+
 def crc_bucket(doc_id: Column, modulus: int) -> Column:
     """crc32 of the id as text, modulo ``modulus``; null for a null id."""
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(modulus))

@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import decontam, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity
+from parley.llm import bytebpe, decontam, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity, whitening
 from parley.llm.common import crc_bucket, labelled_sample, sample, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -21,6 +22,12 @@ UNLABELLED_ROWS = 5000
 FIT_TEXTS = 300
 
 
+def rank_file(path: str) -> bytes:
+    """The content of a file of ranks, which the driver reads and tasks get."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
 def op1_telephony_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     payload = F.coalesce("text", F.lit("")).cast("binary")
@@ -106,7 +113,18 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    known = {"ranks": rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
+    found = bytebpe.encode(table(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"), **known)
+    found = bytebpe.decode(found, F.col("tokens"), F.col("doc_id"), F.col("n_tokens"), F.sha2("tokens", 256).alias("ids_sha256"), **known)
+    return found.select("doc_id", "n_tokens", "ids_sha256", F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op4_sentence_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op8_sentencepiece, op9_secret_scan, op10_quality_pu)
+    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op4_sentence_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op8_sentencepiece, op9_secret_scan, op10_quality_pu, op12_byte_bpe, op13_whitening)
 }
 ORACLES: dict[str, str] = {"op7_winnowing": decontam.ORACLE}
