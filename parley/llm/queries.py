@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from parley.llm import bytebpe, decontam, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity, whitening
+from parley.llm import bytebpe, decontam, hardneg, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity, whitening
 from parley.llm.common import crc_bucket, labelled_sample, sample, stored, table
 
 TOKENIZERS = "/opt/tokenizers"
@@ -113,6 +113,14 @@ def op10_quality_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings")
+    vector = F.when(whitening.usable(F.col("embedding")), whitening.fixed(F.col("embedding"), 256, 0))
+    # labels of every seventh row are wrong on purpose
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hardneg.mine(rows, vector, F.col("vec_id") % 50 == 0, label)
+
+
 def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = {"ranks": rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken")), "pattern": public_tokenizers.PATTERN}
     found = bytebpe.encode(table(spark, sf_dir, "documents"), F.col("text"), F.col("doc_id"), **known)
@@ -125,6 +133,6 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op4_sentence_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op8_sentencepiece, op9_secret_scan, op10_quality_pu, op12_byte_bpe, op13_whitening)
+    f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op4_sentence_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op8_sentencepiece, op9_secret_scan, op10_quality_pu, op11_hard_negatives, op12_byte_bpe, op13_whitening)
 }
 ORACLES: dict[str, str] = {"op7_winnowing": decontam.ORACLE}

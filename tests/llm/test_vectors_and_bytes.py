@@ -13,7 +13,7 @@ import regex
 import tiktoken
 from pyspark.sql import functions as F
 
-from parley.llm import bytebpe, whitening
+from parley.llm import bytebpe, hardneg, whitening
 from parley.llm import queries as q
 
 RANKS = q.rank_file(public_tokenizers.path("byte_bpe_50k.tiktoken"))
@@ -132,3 +132,52 @@ def test_whitening_without_variance(spark):
     assert whitening.whiten(vectors(spark, [])).collect() == [] and whitening.whiten(vectors(spark, [(1, []), (2, None)])).collect() == []
     with pytest.raises(Exception, match="too large"):
         whitening.whiten(vectors(spark, [(1, [1e30])])).collect()
+
+
+def plain_negatives(rows, positives=5, negatives=3):
+    """The contract by brute force; ``rows`` are (id, label, integers, is an anchor)."""
+    out = []
+    for i, (a, label, x, anchor) in enumerate(rows):
+        if not anchor:
+            continue
+        scored = [(-int(np.dot(x, y)), b, m) for j, (b, m, y, _) in enumerate(rows) if j != i]
+        for ps, p, _ in sorted(s for s in scored if s[2] == label)[:positives]:
+            inside = sorted(s for s in scored if s[2] != label and 50 * -ps <= 100 * -s[0] <= 95 * -ps)[:negatives]
+            out += [(a, p, n + 1, b, -ps, -s) for n, (s, b, _) in enumerate(inside)]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("cell, block, pivots", [(8192, 256, 16), (7, 3, 4), (40, 2, 1)])
+def test_hard_negatives_as_brute_force(spark, monkeypatch, cell, block, pivots):
+    """Ties, repeated ids and rows, a common vector, and rows that take no part; cells of every size give the same."""
+    for name, value in (("CELL", cell), ("BLOCK", block), ("PIVOTS", pivots)):
+        monkeypatch.setattr(hardneg, name, value)
+    rng = np.random.default_rng(8)
+    centres = rng.normal(size=(6, 8))
+    raw = [(i, (centres[i % 6] + rng.normal(size=8) * 0.4).round(1).tolist(), int(rng.integers(4))) for i in range(260)]
+    raw += [(1000 + i, raw[3][1], i % 3) for i in range(60)] + [(50, raw[50][1], raw[50][2]), (50, raw[9][1], 1), (20, [0.0] * 8, 0), (20, [0.0] * 8, 1)]
+    bad = [(None, raw[0][1], 1), (5, None, 1), (10, raw[0][1], None), (15, [1.0, None] + [0.0] * 6, 1), (25, [float("nan")] * 8, 1), (35, [float("-inf")] * 8, 1), (45, [1.0], 0)]
+    schema = "vec_id bigint, embedding array<double>, label int, cell int, block string, x string"
+    table = spark.createDataFrame([(i, v, y, 1, "b", "c") for i, v, y in raw + bad], schema).repartition(5)
+    vector = F.when(whitening.usable(F.col("embedding")), whitening.fixed(F.col("embedding"), 16, 0))
+    found = hardneg.mine(table, vector, F.col("vec_id") % 5 == 0, F.col("label"))
+    rows = [(i, y, np.floor(16 * np.array(v)).astype(int), i % 5 == 0) for i, v, y in raw]
+    assert sorted(map(tuple, found.collect())) == plain_negatives(rows)
+
+
+def test_hard_negatives_of_few_rows(spark):
+    schema = "vec_id bigint, embedding array<double>, label int"
+    vector = whitening.fixed(F.col("embedding"), 1, 0)
+    for raw in ([], [(0, [1.0, 2.0], 1)], [(0, [], 1), (1, [], 1)], [(0, [3.0], 1), (1, [2.0], 1), (2, [1.0], 0), (3, [1.5e5], 0)]):
+        found = hardneg.mine(spark.createDataFrame(raw, schema), vector, F.col("vec_id") == 0, F.col("label"))
+        assert found.columns == ["anchor_id", "positive_id", "rank", "negative_id", "positive_score", "negative_score"]
+        assert [tuple(r) for r in found.collect()] == ([(0, 1, 1, 2, 6, 3)] if len(raw) == 4 else [])
+
+
+def test_products_are_exact():
+    rng = np.random.default_rng(2)
+    for size in (100, 1 << 20, 1 << 28):
+        a, b = (rng.integers(-size, size, size=(5, 9)) for _ in range(2))
+        assert hardneg.products(a, b).tolist() == (a.astype(object) @ b.T.astype(object)).tolist()
+    with pytest.raises(OverflowError):
+        hardneg.products(np.array([[1 << 40]]), np.array([[1 << 40]]))
