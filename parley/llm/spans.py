@@ -19,7 +19,7 @@ word before it).
 Null texts stay null, empty ones empty; white space belongs to the sentence after it.
 Words are what white space separates, and each character of a script that is written without
 spaces; they are compared in lower case.  Rows equal in id and text are one document and get one result;
-different texts of one id are kept apart.
+different texts of one id, or of none, are kept apart by 128 bits of id and text.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from parley.llm.common import map_texts, stored
+from parley.llm.common import map_texts, stored, text_keys
 
 SEVERAL, LEAST = 2, 20
 #: A passage of 50 words loses at most 2 * WINDOW - 1 or LONG - 1 words at either end, which leaves LEAST.
@@ -171,17 +171,18 @@ def run_hash(hashes: np.ndarray, a: np.ndarray, b: np.ndarray, powers: Powers) -
 
 
 def _hashed(docs: DataFrame, text: Column, *ids: Column) -> DataFrame:
-    """(ids, h, x): each run's 64-bit hash, and 32 check bits above its first sentence and length."""
+    """(ids, h, x, n): each run's 64-bit hash, 32 check bits above its first sentence and length, and the number of sentences."""
     longs = T.ArrayType(T.LongType())
-    added = T.StructType([T.StructField("h", longs), T.StructField("x", longs)])
+    added = T.StructType([T.StructField("h", longs), T.StructField("x", longs), T.StructField("n", T.LongType())])
 
     def make():
         powers = [Powers(f) for f in FACTORS]
 
         def call(part: pa.RecordBatch) -> dict[str, list]:
-            out: dict[str, list] = {"h": [], "x": []}
+            out: dict[str, list] = {"h": [], "x": [], "n": []}
             for text in part.column(part.num_columns - 1).to_pylist():
                 words = pieces(text) if text else []
+                out["n"].append(len(words))
                 a, b = runs(list(map(len, words)))
                 if not len(a):
                     out["h"].append([])
@@ -212,35 +213,39 @@ def common_hashes(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def repeated(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, tag, drop): the sentence runs to remove from each text that has any.
+    """(k1, k2, n_sentences, drop): each document by its text_keys, with its number of sentences and the runs to remove.
 
     One shuffle by hash picks the spans whose hash stands in several places; those of
-    hashes that are known to be common already are dealt to many tasks instead.  These
-    are stored, since a second use would hash all texts again, and brought together
-    with their first occurrence by sums with partial sums before their shuffle and by
-    a join with unique keys on one side, so a passage that many documents share can
+    hashes that are known to be common already are dealt to many tasks instead.  A row
+    without a hash carries a document's number of sentences through it.  These rows
+    are stored, since a second use would hash all texts again, and spans are brought
+    together with their first occurrence by sums with partial sums before their shuffle
+    and by a join with unique keys on one side, so a passage that many documents share can
     be split there.
     """
-    tag = F.hash(F.col(text_col)).alias("tag")
     common = F.broadcast(common_hashes(docs, id_col, text_col))
-    spans = _hashed(docs, F.col(text_col), F.col(id_col).alias("doc_id"), tag)
-    each = spans.select("doc_id", "tag", F.explode(F.arrays_zip("h", "x")).alias("s")).select("doc_id", "tag", "s.h", "s.x")
+    spans = _hashed(docs, F.col(text_col), F.col(id_col).alias("doc_id"), *text_keys(id_col, text_col))
+    counted = F.array(F.struct(F.lit(None).cast("bigint").alias("h"), F.col("n").alias("x")))
+    each = spans.select("doc_id", "k1", "k2", F.explode(F.concat(F.arrays_zip("h", "x"), counted)).alias("s")).select("doc_id", "k1", "k2", "s.h", "s.x")
     each = each.join(common, F.col("h") == F.col("_h"), "left")
-    each = each.withColumn("salt", F.when(F.col("_h").isNotNull(), F.pmod(F.xxhash64("doc_id", "tag", "x"), F.lit(SALTS))).otherwise(0))
-    each = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))).filter("n > 1 or _h is not null")
-    key = F.struct("h", F.shiftright("x", 32).alias("c")).alias("k")
-    each = stored(each.select("doc_id", "tag", key, F.col("x").bitwiseAND(0xFFFFFFFF).alias("p")))
-    place = F.struct("doc_id", "tag", "p")
-    first = each.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    dealt = F.when(F.col("h").isNull(), F.col("k1")).when(F.col("_h").isNotNull(), F.pmod(F.xxhash64("k1", "x"), F.lit(SALTS))).otherwise(0)
+    each = each.withColumn("salt", dealt)
+    each = each.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("h", "salt"))).filter("n > 1 or _h is not null or h is null")
+    key = F.when(F.col("h").isNotNull(), F.struct("h", F.shiftright("x", 32).alias("c"))).alias("k")
+    each = stored(each.select("doc_id", "k1", "k2", key, F.col("x").bitwiseAND(0xFFFFFFFF).alias("p")))
+    place = F.struct("doc_id", "k1", "k2", "p")
+    found = each.filter("k is not null")
+    first = found.groupBy("k").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     # stored, so that the join's sides are plain shuffles and the tasks of a common span can be split
     first = stored(first.select(F.col("k").alias("_k"), "first"))
-    later = each.join(first, F.col("k") == F.col("_k")).filter(~place.eqNullSafe(F.col("first")))
-    return later.groupBy("doc_id", "tag").agg(F.collect_set("p").alias("drop"))
+    later = found.join(first, F.col("k") == F.col("_k")).filter(~place.eqNullSafe(F.col("first")))
+    nothing = F.lit(None).cast("bigint")
+    rows = later.select("k1", "k2", nothing.alias("n"), "p").unionByName(each.filter("k is null").select("k1", "k2", F.col("p").alias("n"), nothing.alias("p")))
+    return rows.groupBy("k1", "k2").agg(F.max("n").alias("n_sentences"), F.collect_set("p").alias("drop"))
 
 
 REMOVED = T.StructType(
     [
-        T.StructField("n_sentences", T.LongType()),
         T.StructField("n_removed", T.LongType()),
         T.StructField("words_removed", T.LongType()),
         T.StructField("removed", T.StringType()),
@@ -249,11 +254,11 @@ REMOVED = T.StructType(
 )
 
 
-def without(text: str | None, drop: list[int]) -> tuple[int | None, int, int, str, str | None]:
-    """The columns of REMOVED for a text; ``removed`` lists code point ranges start:end, sentences are counted where some go."""
+def without(text: str | None, drop: list[int]) -> tuple[int, int, str, str | None]:
+    """The columns of REMOVED for a text; ``removed`` lists code point ranges start:end."""
     gone = {i for p in drop for i in range(p >> RUN_BITS, (p >> RUN_BITS) + (p & ((1 << RUN_BITS) - 1)))}
     if not gone:
-        return None, 0, 0, "", text
+        return 0, 0, "", text
     found = sentences(text) if text else []
     edges = [s for s, _ in found] + [len(text)]
     kept = [text[: edges[0]]] + [text[edges[i] : edges[i + 1]] for i in range(len(found)) if i not in gone]
@@ -264,21 +269,21 @@ def without(text: str | None, drop: list[int]) -> tuple[int | None, int, int, st
         else:
             ranges.append([edges[i], edges[i + 1]])
     words = sum(len(split(text[edges[i] : edges[i + 1]])) for i in gone)
-    return len(found), len(gone), words, ",".join(f"{a}:{b}" for a, b in ranges), "".join(kept).strip()
+    return len(gone), words, ",".join(f"{a}:{b}" for a, b in ranges), "".join(kept).strip()
 
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, columns of REMOVED): one row for each row of ``docs``, its text without the repeated sentences."""
-    gone = repeated(docs, id_col, text_col).select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag"), "drop")
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.hash(F.col(text_col)).alias("tag"), F.col(text_col).alias("text"))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("tag") == F.col("_tag")), "left")
+    """(doc_id, n_sentences, columns of REMOVED): one row for each row of ``docs``, its text without the repeated sentences."""
+    gone = repeated(docs, id_col, text_col).select(F.col("k1").alias("_k1"), F.col("k2").alias("_k2"), "n_sentences", "drop")
+    rows = docs.select(F.col(id_col).alias("doc_id"), *text_keys(id_col, text_col), F.col(text_col).alias("text"))
+    rows = rows.join(gone, (F.col("k1") == F.col("_k1")) & (F.col("k2") == F.col("_k2")), "left")
 
     def make():
         def call(part: pa.RecordBatch) -> dict[str, list]:
-            drops = part.column(1).to_pylist()
-            found = [without(t, d or []) for t, d in zip(part.column(2).to_pylist(), drops)]
+            drops, texts = (part.column(i).to_pylist() for i in (2, 3))
+            found = [without(t, d or []) for t, d in zip(texts, drops)]
             return {f.name: [x[k] for x in found] for k, f in enumerate(REMOVED.fields)}
 
         return call
 
-    return map_texts(rows, [F.col("doc_id"), F.col("drop"), F.col("text")], make, REMOVED, 1)
+    return map_texts(rows, [F.col(c) for c in ("doc_id", "n_sentences", "drop", "text")], make, REMOVED, 2)

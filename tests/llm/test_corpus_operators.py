@@ -5,10 +5,12 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import time
 import zlib
 from types import SimpleNamespace
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -169,6 +171,51 @@ def test_common_passages_are_dealt_out_and_all_found(spark, monkeypatch):
     assert all(got[k].n_removed == len(gone.get((k, t), ())) for k, t in rows) and got[0].n_removed == 0 and min(got[i].words_removed for i in range(1, 150)) >= 40
 
 
+def plain_cut(text):
+    """The sentences of a text in Latin letters, word by word: long ones are cut before the least word of every eight."""
+    out = []
+    for line in re.findall(r"[^\n]*\n|[^\n]+", text or ""):
+        for sentence in re.split(r"(?<=[.!?])(?=\s)", line):
+            words = sentence.lower().split()
+            rank = [(len(w) < 4, xxhash.xxh32_intdigest(w) >> 2) for w in words]
+            places = {0} if words else set()
+            if len(words) > 16:
+                for a in range(len(words) - 7):
+                    least = min(range(a, a + 8), key=lambda i: (rank[i], i))  # noqa: B023
+                    if least and words[least] != words[least - 1]:
+                        places.add(least)
+                for a, b in zip(sorted(places), [*sorted(places)[1:], len(words)]):
+                    places |= set(range(a, b, 20)) if b - a > 16 else set()
+            places = sorted(places)
+            out += (words[a:b] for a, b in zip(places, [*places[1:], len(words)]))
+    return out
+
+
+def test_every_text_has_its_sentences_counted_and_cut_as_by_a_plain_cutter(spark):
+    rng = random.Random(12)
+    rows = [(i, prose(300 + i, rng.randrange(1, 200))) for i in range(30)]
+    rows += [(100 + i, " ".join(rng.choices(VOCABULARY[:40] + ["a", "to", "a"], k=rng.randrange(1, 120)))) for i in range(30)]
+    rows += [(200, None), (201, ""), (202, "a " * 90), (203, "One. Two!\n\n Three? four"), (204, rows[3][1] + "\n" + rows[4][1])]
+    got = {r.doc_id: r for r in spans.dedup(documents(spark, rows)).collect()}
+    for k, t in rows:
+        assert spans.pieces(t or "") == plain_cut(t) and got[k].n_sentences == len(plain_cut(t))
+
+
+@pytest.mark.parametrize("key", [7, None])
+def test_texts_of_one_id_keep_their_own_spans(spark, monkeypatch, key):
+    """Different texts of one id, or of none, share a passage; each loses its own sentences, and one of them none."""
+    passage = prose(52, 60)
+    texts = [prose(700 + i, 10 + 3 * i) + " " + passage + " " + prose(800 + i, 12) for i in range(20)]
+    rows = [(key, t) for t in texts] + [(key, texts[0])]
+    got = spans.dedup(documents(spark, rows)).collect()
+    assert len(got) == 21 and sum(r.n_removed == 0 for r in got) in (1, 2)
+    assert sorted(r.n_sentences for r in got) == sorted(len(plain_cut(t)) for _, t in rows)
+    middle = passage.split(". ")[3]
+    for r in got:
+        mine = [t for t in texts if r.text == t] if r.n_removed == 0 else [t for t in texts if middle not in r.text and t.startswith(r.text[:30])]
+        assert len(mine) == 1 and r.n_sentences == len(plain_cut(mine[0]))
+
+
 def test_sentence_spans(spark, awkward, empty):
     passage = prose(50, 55)
     rows = [(i, prose(100 + i, 40) + " " + passage + " " + prose(200 + i, 30)) for i in range(12)]
@@ -311,6 +358,19 @@ def test_forest_at_both_levels(spark, copies):
     assert got == plain_classes(rows)
 
 
+@pytest.mark.parametrize("key", [7, None])
+def test_near_copies_under_one_id_are_verified_once_each(spark, key):
+    """Thousands of near copies of one id, or of none, and rows that repeat: the same links as with ids of their own, in about the same time."""
+    base = prose(90, 150)
+    texts = [changed(base, i, 1) for i in range(1500)] + [prose(91, 30)]
+    own = sorted(r.n_links for r in neardup.join(documents(spark, list(enumerate(texts)))).collect())
+    began = time.time()
+    got = neardup.join(documents(spark, [(key, t) for t in texts])).collect()
+    assert sorted(r.n_links for r in got) == own and {r.class_id for r in got} == {key} and time.time() - began < 60
+    again = neardup.join(documents(spark, [(key, t) for t in texts[:40]] + [(key, texts[0])] * 200)).collect()
+    assert len(again) == 240 and max(r.n_links for r in again) >= 200 and {r.class_id for r in again} == {key}
+
+
 def test_near_duplicates_of_repeated_ids_keep_one_document(spark):
     a, b = prose(80, 80), prose(81, 80)
     docs = documents(spark, [(3, b), (5, a), (5, b), (3, changed(b, 1, 1)), (3, b), (7, a), (None, prose(82)), (None, prose(82)), (8, None), (9, "")])
