@@ -28,6 +28,24 @@ def tail_floors(chunks: DataFrame, touched: DataFrame, gap: int = PARENT_GAP_SEC
     return touched.select("chat_id").join(floors, "chat_id", "left")
 
 
+def long_gaps(windows: DataFrame, gap: int = PARENT_GAP_SECONDS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """(chat_id, started_at): where a room's chunks go on after a gap of more than ``gap`` seconds, from its windows.
+
+    A window starts at each such place, so windows, which are far fewer than chunks,
+    tell all of them.
+    """
+    mine = windows.filter("ordinal = 0").select("chat_id", "started_at", "ended_at", "parent_id")
+    rows = with_previous(mine, ["chat_id"], ["started_at", "ended_at", "parent_id"], "started_at", {"ended_at": F.col("ended_at")}, slice_seconds)
+    return rows.filter(gap_seconds(F.col("prev.ended_at"), F.col("started_at")) > gap).select("chat_id", "started_at")
+
+
+def floors_of(gaps: DataFrame, touched: DataFrame) -> DataFrame:
+    """(chat_id, earliest, floor): tail_floors from the places of ``long_gaps``."""
+    hit = touched.select(F.col("chat_id").alias("_chat"), F.col("earliest").alias("_e"))
+    last = gaps.join(hit, (F.col("chat_id") == F.col("_chat")) & (F.col("started_at") < F.col("_e"))).groupBy("chat_id").agg(F.max("started_at").alias("floor"))
+    return touched.select("chat_id", "earliest").join(last, "chat_id", "left")
+
+
 def tail_messages(messages: DataFrame, floors: DataFrame) -> DataFrame:
     """The messages of the touched rooms from their floor on."""
     f = floors.select(F.col("chat_id").alias("_chat"), F.col("floor").alias("_floor"))

@@ -6,6 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 MISSING = "parent_not_in_archive"
+#: What an edge is, of a message's account and room, and what follows from where its ends are.
+EDGE = ["account_hash", "chat_id", "child_message_id", "parent_message_id"]
+OWNED = ["child_chunk_id", "parent_chunk_id", "unresolved_reason"]
 
 
 def owner_of(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
@@ -15,6 +18,20 @@ def owner_of(chunks: DataFrame, wanted: DataFrame | None = None) -> DataFrame:
     return each.groupBy("message_id").agg(F.min("chunk_id").alias("chunk_id"))
 
 
+def edges_of(messages: DataFrame) -> DataFrame:
+    """The columns EDGE of every reply."""
+    ends = [F.col("message_id").alias("child_message_id"), F.col("reply_to_message_id").alias("parent_message_id")]
+    return messages.filter("reply_to_message_id is not null").select("account_hash", "chat_id", *ends).distinct()
+
+
+def with_owners(edges: DataFrame, owners: DataFrame) -> DataFrame:
+    """Edges with the columns OWNED; ``owners`` has one chunk of each message_id."""
+    child = owners.select(F.col("message_id").alias("child_message_id"), F.col("chunk_id").alias("child_chunk_id"))
+    parent = owners.select(F.col("message_id").alias("parent_message_id"), F.col("chunk_id").alias("parent_chunk_id"))
+    edges = edges.join(child, "child_message_id", "left").join(parent, "parent_message_id", "left")
+    return edges.select(*EDGE, "child_chunk_id", "parent_chunk_id", F.when(F.col("parent_chunk_id").isNull(), MISSING).alias("unresolved_reason"))
+
+
 def reply_edges(messages: DataFrame, chunks: DataFrame) -> DataFrame:
     """Every reply with the chunks of both ends, and a reason where the parent isn't there."""
     edges = messages.filter("reply_to_message_id is not null").select(

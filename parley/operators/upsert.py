@@ -9,13 +9,28 @@ from pyspark.sql import functions as F
 
 from parley.schema import MESSAGE_KEY, MESSAGE_VALUES
 
+FIRST = "_first"
 
-def latest_of_batch(batch: DataFrame, key: list[str], ordinal: str | None = None) -> DataFrame:
-    """One row of each key: the last by the input's ordinal, which isn't kept; the greatest row where there is none."""
+
+def latest_of_batch(batch: DataFrame, key: list[str], ordinal: str | None = None, first: list[str] = ()) -> DataFrame:
+    """One row of each key: the last by the input's ordinal, which isn't kept; the greatest row where there is none.
+
+    With ``first``, also the column FIRST: of the key's first row, its place in the
+    input (by ordinal, else by time and key) and these columns.
+    """
     others = [c for c in batch.columns if c not in key and c != ordinal]
     rank = F.struct(ordinal, *others) if ordinal else F.struct(*others)
-    picked = batch.groupBy(*key).agg(F.max_by(F.struct(*others), rank).alias("_r"))
-    return picked.select(*key, *(F.col("_r")[c].alias(c) for c in others))
+    found = [F.max_by(F.struct(*others), rank).alias("_r")]
+    if first:
+        place = F.struct(ordinal) if ordinal else F.struct("timestamp", *key)
+        found.append(F.min(F.struct(place.alias("place"), *first)).alias(FIRST))
+    picked = batch.groupBy(*key).agg(*found)
+    return picked.select(*key, *(F.col("_r")[c].alias(c) for c in others), *([FIRST] if first else []))
+
+
+def first_of_rooms(batch: DataFrame) -> DataFrame:
+    """(chat_id, chat_name, chat_type): each room of a batch of latest_of_batch as the batch's first message of it has it."""
+    return batch.groupBy("chat_id").agg(F.min(FIRST).alias("_f")).select("chat_id", "_f.chat_name", "_f.chat_type")
 
 
 def differs(old: str, new: str, columns: list[str]) -> Column:
@@ -82,10 +97,11 @@ def deletions(archive: DataFrame, source: DataFrame) -> DataFrame:
     return inside.join(source.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
 
 
-def replace_tail(chunks: DataFrame, rebuilt: DataFrame, floors: DataFrame) -> DataFrame:
-    """Chunks with those of the touched rooms from their floor on replaced; a null floor replaces the whole room."""
+def replace_tail(chunks: DataFrame, rebuilt: DataFrame, floors: DataFrame, at_floor: bool = False) -> DataFrame:
+    """Chunks with those of the touched rooms from their floor on replaced; a null floor replaces the whole room.  ``at_floor``: what starts at the floor stays."""
     f = floors.select(F.col("chat_id").alias("_chat"), F.col("floor").alias("_floor"))
-    gone = (F.col("chat_id") == F.col("_chat")) & (F.col("_floor").isNull() | (F.col("started_at") >= F.col("_floor")))
+    beyond = F.col("started_at") > F.col("_floor") if at_floor else F.col("started_at") >= F.col("_floor")
+    gone = (F.col("chat_id") == F.col("_chat")) & (F.col("_floor").isNull() | beyond)
     return chunks.join(f, gone, "left_anti").unionByName(rebuilt.select(*chunks.columns))
 
 

@@ -9,7 +9,7 @@ from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.operators import incremental, media, navigate, replies, search, transcript, upsert
@@ -18,11 +18,17 @@ from parley.operators.vectors import Embedder, archive_revision, embedder_of
 from parley.operators.windows import build_windows
 from parley.plans.freshness import recommendation
 from parley.plans.semantic import SemanticIndex
-from parley.plans.store import PART, Change, TableStore, by_part
-from parley.schema import DEFAULT_LIMIT, MESSAGE_KEY, MESSAGE_VALUES, MESSAGES, ORDINAL, PERIODS, ChunkSettings, Config, IndexMissing, MissingChunk, ParleyError
+from parley.plans.store import PART, Change, TableStore, bucket_of, by_part
+from parley.schema import DEFAULT_LIMIT, MESSAGE_KEY, MESSAGE_VALUES, MESSAGES, ORDINAL, PERIODS, ROOM, ChunkSettings, Config, IndexMissing, MissingChunk, ParleyError
 from parley.sources.adapters import Source, open_source
 
 TABLES = ("messages", "chats", "sync_cursors", "chunks", "windows", "window_children", "reply_edges", "chunk_parent_refs", "postings")
+#: Stored tables that follow from the messages, and the number of their layout.
+DERIVED, LAYOUT = ("chunks", "windows", "window_children", "reply_edges", "chunk_parent_refs", "postings", "gaps", "message_places"), 2
+#: The first letters of the parts that messages' new places are added in, and how many such parts gather before all are written anew.
+DELTA, DELTAS = "delta-", 32
+#: So many ids are looked up by a list.
+FEW = 1_000
 
 
 def _within(parts: set[str], buckets: set[str]) -> set[str]:
@@ -46,14 +52,25 @@ class Engine:
         self.embedder = embedder or embedder_of(self.config)
         self.index_store = SemanticIndex(spark, f"{self.root}/{self.config.semantic_dir}", self.embedder)
 
-    def table(self, name: str) -> DataFrame:
-        return self.store.table(name)
+    def table(self, name: str, now: dict | None = None) -> DataFrame:
+        """A table of the archive as it is now, or by a manifest that was read before: all of a call's tables are of one version."""
+        tables = (now or self.store.manifest())["tables"]
+        if name == "window_children":
+            windows = self.store.read("windows", tables["windows"])
+            return windows.select("chat_id", "started_at", "parent_id", F.posexplode("child_chunk_ids").alias("ordinal", "chunk_id"))
+        rows = self.store.read("reply_edges" if name == "chunk_parent_refs" else name, tables["reply_edges" if name == "chunk_parent_refs" else name])
+        if name == "reply_edges":
+            return rows.drop("account_hash").distinct()
+        if name == "chunk_parent_refs":
+            return rows.filter("parent_chunk_id is not null and child_chunk_id <> parent_chunk_id").select("chat_id", "child_chunk_id", "parent_chunk_id").distinct()
+        return rows
 
     def register_views(self) -> None:
         """The tables as temporary views, with the table of messages in chunks."""
+        now = self.store.manifest()
         for name in TABLES:
-            self.table(name).createOrReplaceTempView(name)
-        chunk_messages(self.table("chunks")).createOrReplaceTempView("chunk_messages")
+            self.table(name, now).createOrReplaceTempView(name)
+        chunk_messages(self.table("chunks", now)).createOrReplaceTempView("chunk_messages")
 
     def sync(self, source: Source | DataFrame, source_name: str = "source", prune: str | None = None, touched: bool = False) -> dict:
         """Upsert a source's messages and rebuild what they touch.
@@ -67,7 +84,7 @@ class Engine:
         """
         began = time.time()
         batch = source if isinstance(source, DataFrame) else source.messages()
-        batch = upsert.latest_of_batch(batch, MESSAGE_KEY, ORDINAL if ORDINAL in batch.columns else None).persist()
+        batch = upsert.latest_of_batch(batch, MESSAGE_KEY, ORDINAL if ORDINAL in batch.columns else None, ROOM).persist()
         kept = [batch]
         try:
             with self.store.change() as change:
@@ -85,53 +102,65 @@ class Engine:
 
     def _sync(self, change: Change, batch: DataFrame, kept: list[DataFrame], source_name: str, prune: str | None, touched: bool, began: float) -> dict:
         settings = self.config.chunks
-        layout = {"period": self.config.archive_period, "buckets": self.config.room_buckets}
+        layout = {"period": self.config.archive_period, "buckets": self.config.room_buckets, "tables": LAYOUT}
         facts = change.old["facts"]
         drifted = facts.get("chunk_settings") != asdict(settings) or facts.get("layout") != layout or not change.has("chunks")
-        have = change.parts("messages") if facts.get("layout") == layout else None
-        # what is archived of the rooms that the batch names
-        rooms = batch.select("chat_id").distinct()
-        near = None if have is None else _within(have, self._parts_of(rooms))
-        archive = change.table("messages", near) if change.has("messages") else self.spark.createDataFrame([], MESSAGES)
-        changed = upsert.changes(archive, batch).persist()
+        room, key = self._bucket("chat_id"), self._bucket("message_id")
+        near = batch.agg(F.collect_set(room).alias("rooms"), F.collect_set(key).alias("keys"), F.count(F.lit(1)).alias("n")).first()
+        rooms, rows = set(near["rooms"]), batch.select(*MESSAGE_KEY, *MESSAGE_VALUES)
+
+        # what is archived of the batch's keys: of the parts that the index of places names, no others are read
+        if not change.has("messages"):
+            archive = self.spark.createDataFrame([], MESSAGES)
+        elif drifted:
+            archive = change.table("messages")
+        else:
+            found = self._places(change, rows.select(*MESSAGE_KEY), set(near["keys"]), near["n"])
+            archive = change.table("messages", self._parts_of(found.withColumnRenamed("at", "timestamp"), "timestamp"))
+        changed = upsert.changes(archive, rows).persist()
         kept.append(changed)
-        counts = upsert.sync_counts(changed).first().asDict()
-        news = changed.filter("change <> 'unchanged'").select(*MESSAGE_KEY, *MESSAGE_VALUES)
+        real = F.col("change") != "unchanged"
+        new_part = self._part(changed.withColumn("_t", F.col("timestamp")), "_t").withColumnRenamed(PART, "_new")
+        both = self._part(new_part.withColumn("_o", F.coalesce("old_timestamp", "timestamp")), "_o")
+        what = both.agg(
+            *(F.count(F.when(F.col("change") == c, 1)).alias(c) for c in ("inserted", "updated", "unchanged")),
+            F.collect_set(F.when(real, F.col("_new"))).alias("new"), F.collect_set(F.when(F.col("change") == "updated", F.col(PART))).alias("old"),
+            F.count_distinct(F.when(real, F.col("chat_id"))).alias("rooms"), F.collect_set(F.when(real, room)).alias("buckets"),
+        ).first()
+        counts = {c: what[c] for c in ("inserted", "updated", "unchanged")}
+        news = changed.filter(real).select(*MESSAGE_KEY, *MESSAGE_VALUES)
         hit = upsert.touched_chats(changed).select("chat_id", "earliest")
+        parts, buckets, rebuilt = {*what["new"], *what["old"]}, set(what["buckets"]), what["rooms"]
         gone = None
         if prune:
-            gone = upsert.deletions(upsert.merged(archive, news), batch).persist()
+            mine = archive if drifted or not change.has("messages") else change.table("messages", _within(change.parts("messages"), rooms))
+            gone = upsert.deletions(upsert.merged(mine, news), batch).persist()
             kept.append(gone)
             counts["deletable"] = gone.count()
             if prune == "delete" and counts["deletable"]:
                 whole = gone.select("chat_id", F.lit(None).cast("timestamp").alias("earliest")).distinct()
                 hit = hit.join(whole.select("chat_id"), "chat_id", "left_anti").unionByName(whole)
-        deleting = gone is not None and prune == "delete" and counts["deletable"]
+                parts |= self._parts_of(gone.select("chat_id", "timestamp"), "timestamp")
+                buckets |= self._parts_of(whole)
+                rebuilt = hit.count()
+        gone = gone if prune == "delete" and counts["deletable"] else None
         hit = hit.persist()
         kept.append(hit)
         read_ms = int((time.time() - began) * 1000)
         rebuild_from = time.time()
-        rebuilt = hit.count()
 
+        always = [lambda: self._write_cursors(change, batch), lambda: self._write_chats(change, batch, rooms, drifted)]
         if drifted:
-            old = change.table("messages") if change.has("messages") else archive
-            merged = upsert.merged(old, news)
-            merged = merged.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti") if deleting else merged
-            change.write("messages", self._part(merged, "timestamp"), None, ("chat_id", "timestamp", "message_id"))
-            messages = change.table("messages")
-            change.write("chunks", self._part(build_chunks(messages, settings), "started_at"), None, ("chat_id", "started_at"))
-            _together(
-                lambda: change.write("windows", self._part(build_windows(change.table("chunks")), "started_at"), None, ("chat_id", "started_at")),
-                lambda: change.write("chats", self._part(upsert.chats_of(messages))),
-            )
-            self._link(change, None, None)
-            rebuilt = messages.select("chat_id").distinct().count()
+            merged = upsert.merged(archive, news)
+            merged = merged if gone is None else merged.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
+            _together(*always, lambda: self._rebuild_all(change, merged, settings))
+            rebuilt = change.table("messages").select("chat_id").distinct().count()
         elif rebuilt:
-            self._rebuild(change, news, changed, gone if deleting else None, hit, settings, kept)
-        cursors = change.table("sync_cursors") if change.has("sync_cursors") else None
-        change.write("sync_cursors", upsert.sync_cursor(batch, cursors).coalesce(1))
+            self._rebuild(change, news, gone, hit, parts, buckets, settings, kept, always)
+        else:
+            _together(*always)
         report = {**counts, "rebuilt_chats": rebuilt, "full_rebuild": drifted}
-        report["total_messages"], report["chunks"] = change.table("messages").count(), change.table("chunks").count()
+        report["total_messages"], report["chunks"] = change.rows("messages"), change.rows("chunks")
         if touched:
             report["touched"] = sorted(r["chat_id"] for r in hit.select("chat_id").limit(100_000).collect())
         at = dt.datetime.now(dt.UTC).isoformat()
@@ -139,76 +168,161 @@ class Engine:
         report["timings_ms"] = {"read_source": read_ms, "rebuild_chunks": int((time.time() - rebuild_from) * 1000)}
         return report
 
-    def _rebuild(self, change: Change, news: DataFrame, changed: DataFrame, gone: DataFrame | None, hit: DataFrame, settings: ChunkSettings, kept: list[DataFrame]) -> None:
-        """Write the parts that hold changed messages, and those of their rooms from the rebuild's floors on."""
-        old_places = changed.filter("change = 'updated'").select("chat_id", F.col("old_timestamp").alias("timestamp"))
-        places = news.select("chat_id", "timestamp").unionByName(old_places)
-        places = places if gone is None else places.unionByName(gone.select("chat_id", "timestamp"))
-        parts = self._parts_of(places, "timestamp")
-        merged = upsert.merged(change.table("messages", parts), news)
-        merged = merged if gone is None else merged.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
-        change.write("messages", self._part(merged, "timestamp"), parts, ("chat_id", "timestamp", "message_id"))
-
-        buckets = self._parts_of(hit)
-        chunks = change.table("chunks", _within(change.parts("chunks"), buckets))
-        floors = incremental.tail_floors(chunks, hit).persist()
-        kept.append(floors)
-        # the first part of each bucket that a rebuild reaches; none: all of the bucket's
-        reach = self._part(self._part(floors.withColumn("at", F.coalesce("floor", F.to_timestamp(F.lit("0001-01-01"))))).withColumnRenamed(PART, "b"), "at")
-        firsts = {r["b"]: r["first"] for r in reach.groupBy("b").agg(F.min(F.when(F.col("floor").isNull(), F.col("b")).otherwise(F.col(PART))).alias("first")).collect()}
-        late = lambda name: {p for p in change.parts(name) if p[:4] in firsts and p >= firsts[p[:4]]}
-        tail = incremental.tail_messages(change.table("messages", late("messages")), floors)
-        fresh = build_chunks(tail, settings).persist()
-        kept.append(fresh)
-        old_chunks, old_windows = late("chunks"), late("windows")
-        ids = change.table("chunks", old_chunks).select(F.explode("message_ids").alias("message_id"))
-        rebuilt = upsert.replace_tail(change.table("chunks", old_chunks), fresh, floors)
-        windows = upsert.replace_tail(change.table("windows", old_windows), build_windows(fresh), floors)
-        mine = change.table("messages", _within(change.parts("messages"), buckets))
-        fresh.count()  # worked out once, before the writes that share it start together
+    def _bucket(self, column: str) -> Column:
+        return bucket_of(F.col(column), self.config.room_buckets)
+
+    def _places(self, change: Change, keys: DataFrame, buckets: set[str], n: int) -> DataFrame:
+        """(MESSAGE_KEY, at, chunk_id) of the messages, of those archived, that have the ids of ``keys``; ``n`` of them at most.
+
+        Reads the ids' buckets and what was added since these were written.  The latest
+        row of a message counts; one without a time says that it was deleted.
+        """
+        parts = {p for p in change.parts("message_places") if p in buckets or p.startswith(DELTA)}
+        rows = change.table("message_places", parts)
+        ids = keys.select("message_id").distinct()
+        if n <= FEW:  # so that row groups are skipped by their bounds
+            rows = rows.filter(F.col("message_id").isin([r[0] for r in ids.collect()]))
+        else:
+            rows = rows.join(ids, "message_id", "left_semi")
+        last = rows.groupBy(*MESSAGE_KEY).agg(F.max_by(F.struct("at", "chunk_id"), "version").alias("_p"))
+        return last.select(*MESSAGE_KEY, "_p.at", "_p.chunk_id").filter("at is not null")
+
+    def _write_cursors(self, change: Change, batch: DataFrame) -> None:
+        cursors = change.table("sync_cursors") if change.has("sync_cursors") else None
+        change.write("sync_cursors", upsert.sync_cursor(batch, cursors).coalesce(1))
+
+    def _write_chats(self, change: Change, batch: DataFrame, rooms: set[str], drifted: bool) -> None:
+        """The rooms' rows, as the batch's first message of each has it; only parts in which something differs are written."""
+        new = upsert.first_of_rooms(batch)
+        old = change.table("chats", None if drifted else rooms) if change.has("chats") else self.spark.createDataFrame([], new.schema)
+        every = not change.has("chats") or drifted
+        if not every:
+            rooms = self._parts_of(upsert.changes(old, new, ["chat_id"], ["chat_name", "chat_type"]).filter("change <> 'unchanged'"))
+            if not rooms:
+                return
+            old, new = change.table("chats", rooms), new.filter(self._bucket("chat_id").isin(sorted(rooms)))
+        change.write("chats", self._part(upsert.merged(old, new, ["chat_id"], ["chat_name", "chat_type"])), None if every else rooms)
+
+    def _rebuild_all(self, change: Change, messages: DataFrame, settings: ChunkSettings) -> None:
+        """Write all tables that follow from all messages."""
+        for name in DERIVED:
+            change.drop(name)
+        change.write("messages", self._part(messages, "timestamp"), None, ("chat_id", "timestamp", "message_id"), counted=True)
+        messages = change.table("messages")
+        change.write("chunks", self._part(build_chunks(messages, settings), "started_at"), None, ("chat_id", "started_at"), counted=True)
+        chunks = change.table("chunks")
+        change.write("windows", self._part(build_windows(chunks), "started_at"), None, ("chat_id", "started_at"))
+        light = chunks.select("chunk_id", "chat_id", "started_at", "text")
+        owners = replies.owner_of(chunks)
+        places = self._placed(messages.select(*MESSAGE_KEY, F.col("timestamp").alias("at")), chunks, change.old["version"] + 1)
         _together(
-            lambda: change.write("chunks", self._part(rebuilt, "started_at"), old_chunks, ("chat_id", "started_at")),
-            lambda: change.write("windows", self._part(windows, "started_at"), old_windows, ("chat_id", "started_at")),
-            lambda: change.write("chats", self._part(upsert.chats_of(mine)), buckets),
+            lambda: change.write("gaps", self._part(incremental.long_gaps(change.table("windows")), "started_at"), None, ("chat_id", "started_at")),
+            lambda: change.write("postings", self._part(search.postings(light), "started_at"), None, ("term",)),
+            lambda: change.write("reply_edges", self._part(replies.with_owners(replies.edges_of(messages), owners))),
+            lambda: change.write("message_places", self._part(places, bucket="message_id"), None, ("message_id",)),
         )
-        ids = ids.unionByName(tail.select("message_id")).distinct()
-        self._link(change, {"chunks": old_chunks, "windows": old_windows, "buckets": buckets}, ids)
 
-    def _link(self, change: Change, replaced: dict[str, set[str]] | None, ids: DataFrame | None) -> None:
-        """Write what follows from chunks and windows: search postings, windows' children, reply edges and references.
+    def _placed(self, messages: DataFrame, chunks: DataFrame, version: int) -> DataFrame:
+        """Rows of the table of places: each message's time, and the chunk of its account and room that holds it."""
+        each = chunks.select("account_hash", "chat_id", F.explode("message_ids").alias("message_id"), "chunk_id")
+        return messages.join(each, MESSAGE_KEY, "left").select(*MESSAGE_KEY, "at", "chunk_id", F.lit(version).cast("bigint").alias("version"))
 
-        ``replaced`` names the parts that were written anew, ``ids`` the messages whose
-        chunks were; None: all.
-        """
-        was = replaced or {}
-        fresh = lambda name: None if replaced is None else {p for p, tag in change.tables[name]["parts"].items() if tag == change.tag}
-        light = change.table("chunks", fresh("chunks")).select("chunk_id", "chat_id", "started_at", "text")
-        windows = change.table("windows", fresh("windows"))
-        children = windows.select("chat_id", "started_at", "parent_id", F.posexplode("child_chunk_ids").alias("ordinal", "chunk_id"))
+    def _rebuild(
+        self, change: Change, news: DataFrame, gone: DataFrame | None, hit: DataFrame, parts: set[str], buckets: set[str], settings: ChunkSettings, kept: list[DataFrame],
+        always: list[Callable[[], object]],
+    ) -> None:
+        """Write the parts that hold changed messages, and those of their rooms from the rebuild's floors on."""
+        left = lambda rows: rows if gone is None else rows.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
+        floors, firsts = self._floors(change, hit, buckets, kept)
+        late = {name: {p for p in change.parts(name) if p[:4] in firsts and p >= firsts[p[:4]]} for name in ("messages", "chunks", "windows", "gaps", "postings")}
+        before = incremental.tail_messages(change.table("messages", late["messages"]), floors)
+        tail = left(upsert.merged(before, news)).persist()
+        fresh = build_chunks(tail, settings).persist()
+        made = build_windows(fresh).persist()
+        kept += [tail, fresh, made]
+        n = fresh.agg(F.coalesce(F.sum("message_count"), F.lit(0))).first()[0]
+        old = {name: change.table(name, late[name]) for name in ("chunks", "windows", "gaps", "postings")}
+        messages = change.table("messages", parts)
+        light = fresh.select("chunk_id", "chat_id", "started_at", "text")
+        keys = before.select(*MESSAGE_KEY) if gone is None else before.select(*MESSAGE_KEY).unionByName(gone.select(*MESSAGE_KEY))
+        gaps = upsert.replace_tail(old["gaps"], incremental.long_gaps(made), floors, at_floor=True)
+        put = lambda name, rows, order, **more: change.write(name, self._part(rows, "started_at"), late[name], order, **more)
         _together(
-            lambda: change.write("postings", self._part(search.postings(light), "started_at"), was.get("chunks"), ("term",)),
-            lambda: change.write("window_children", self._part(children, "started_at"), was.get("windows"), ("chunk_id",)),
-            lambda: self._link_replies(change, was.get("buckets"), ids, fresh),
+            *always,
+            lambda: change.write("messages", self._part(left(upsert.merged(messages, news)), "timestamp"), parts, ("chat_id", "timestamp", "message_id"), counted=True),
+            lambda: put("chunks", upsert.replace_tail(old["chunks"], fresh, floors), ("chat_id", "started_at"), counted=True),
+            lambda: put("windows", upsert.replace_tail(old["windows"], made, floors), ("chat_id", "started_at")),
+            lambda: put("gaps", gaps, ("chat_id", "started_at")),
+            lambda: put("postings", upsert.replace_tail(old["postings"], search.postings(light), floors), ("term",)),
+            lambda: self._relink(change, tail, fresh, keys, gone, buckets, n),
         )
 
-    def _link_replies(self, change: Change, buckets: set[str] | None, ids: DataFrame | None, fresh: Callable[[str], set[str] | None]) -> None:
-        others = set() if buckets is None else change.parts("reply_edges") - buckets
-        if others:
-            # replies of other rooms whose parent's chunk is another now
-            far = change.table("reply_edges", others)
-            far = far.join(ids.withColumnRenamed("message_id", "parent_message_id"), "parent_message_id", "left_semi")
-            buckets = buckets | self._parts_of(far)
-        replying = change.table("messages", None if buckets is None else _within(change.parts("messages"), buckets))
-        replying = replying.filter("reply_to_message_id is not null").select("chat_id", "message_id", "reply_to_message_id")
-        if buckets is not None and replying.isEmpty():
-            edges = change.table("reply_edges", set())
-        else:
-            rooms = replying.select(F.col("chat_id"), F.col("message_id").alias("child_message_id"), F.col("reply_to_message_id").alias("parent_message_id")).distinct()
-            edges = replies.reply_edges(replying, change.table("chunks")).join(rooms, ["child_message_id", "parent_message_id"])
-        change.write("reply_edges", self._part(edges), buckets)
-        edges = change.table("reply_edges", fresh("reply_edges"))
-        refs = edges.filter("parent_chunk_id is not null and child_chunk_id <> parent_chunk_id").select("chat_id", "child_chunk_id", "parent_chunk_id")
-        change.write("chunk_parent_refs", self._part(refs.distinct()), buckets)
+    def _floors(self, change: Change, hit: DataFrame, buckets: set[str], kept: list[DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+        """Where each touched room's rebuild starts, and the first part of each bucket that this reaches.
+
+        The long gaps are looked for in the latest periods up to the change first; all
+        earlier ones are read only where a room has none there.
+        """
+        upto = {r["b"]: r["p"] for r in self._part(self._part(hit.filter("earliest is not null")).withColumnRenamed(PART, "b"), "earliest").groupBy("b").agg(F.max(PART).alias("p")).collect()}
+        mine = sorted(p for p in change.parts("gaps") if p[:4] in upto and p <= upto[p[:4]])
+        recent = {p for b in upto for p in [x for x in mine if x[:4] == b][-2:]}
+        for chosen in (recent, set(mine)):
+            floors = incremental.floors_of(change.table("gaps", chosen), hit).persist()
+            kept.append(floors)
+            reach = self._part(self._part(floors).withColumnRenamed(PART, "b").withColumn("_at", F.coalesce("floor", F.to_timestamp(F.lit("0001-01-01")))), "_at")
+            first = F.min(F.when(F.col("floor").isNull(), F.col("b")).otherwise(F.col(PART))).alias("first")
+            found = reach.groupBy("b").agg(first, F.count(F.when(F.col("floor").isNull() & F.col("earliest").isNotNull(), 1)).alias("open")).collect()
+            if chosen == set(mine) or not any(r["open"] for r in found):
+                break
+        return floors.drop("earliest"), {r["b"]: r["first"] for r in found}
+
+    def _relink(self, change: Change, tail: DataFrame, fresh: DataFrame, keys: DataFrame, gone: DataFrame | None, buckets: set[str], n: int) -> None:
+        """Write the reply edges with an end in the rebuilt tails anew, and the places of the tails' messages.
+
+        ``keys`` are the messages that the tails had before.  Other edges keep their chunks.
+        """
+        version = change.old["version"] + 1
+        placed = self._placed(tail.select(*MESSAGE_KEY, F.col("timestamp").alias("at")), fresh, version).persist()
+        try:
+            inside = keys.unionByName(tail.select(*MESSAGE_KEY)).distinct()
+            ids = inside.select("message_id").distinct()
+            edges = change.table("reply_edges")
+            ends = edges.join(ids.withColumnRenamed("message_id", "parent_message_id"), "parent_message_id", "left_semi")
+            buckets = buckets | self._parts_of(ends.unionByName(edges.join(ids.withColumnRenamed("message_id", "child_message_id"), "child_message_id", "left_semi")))
+            # edges of the buckets, without those of the tails' messages, which come from the messages
+            child = inside.withColumnRenamed("message_id", "child_message_id")
+            others = change.table("reply_edges", buckets & change.parts("reply_edges")).join(child, [*MESSAGE_KEY[:2], "child_message_id"], "left_anti")
+            new = replies.edges_of(tail)
+            lost = ids if gone is None else ids.unionByName(gone.select("message_id")).distinct()
+            tied = lambda c: F.col(c).isNotNull()
+            marked = others.join(lost.select(F.col("message_id").alias("parent_message_id"), F.lit(1).alias("_p")), "parent_message_id", "left")
+            marked = marked.join(lost.select(F.col("message_id").alias("child_message_id"), F.lit(1).alias("_c")), "child_message_id", "left")
+            again = marked.filter(tied("_p") | tied("_c")).select(*replies.EDGE).unionByName(new).persist()
+            same = marked.filter(~(tied("_p") | tied("_c"))).select(*replies.EDGE, *replies.OWNED)
+            wanted = again.select(F.explode(F.array("child_message_id", "parent_message_id")).alias("message_id")).distinct().persist()
+            asked = wanted.agg(F.collect_set(self._bucket("message_id")).alias("b"), F.count(F.lit(1)).alias("n")).first()
+            # elsewhere: chunks of messages of the ids that aren't in the tails
+            elsewhere = self._places(change, wanted, set(asked["b"]), asked["n"]).join(inside, MESSAGE_KEY, "left_anti").select("message_id", "chunk_id")
+            owners = elsewhere.unionByName(placed.select("message_id", "chunk_id")).filter("chunk_id is not null").groupBy("message_id").agg(F.min("chunk_id").alias("chunk_id"))
+            rows = same.unionByName(replies.with_owners(again, owners))
+            writes = [lambda: change.write("message_places", *self._moved(change, placed, gone, version, n))]
+            if buckets & change.parts("reply_edges") or asked["n"]:
+                writes.append(lambda: change.write("reply_edges", self._part(rows), buckets))
+            _together(*writes)
+        finally:
+            placed.unpersist()
+
+    def _moved(self, change: Change, placed: DataFrame, gone: DataFrame | None, version: int, n: int) -> tuple[DataFrame, set[str] | None, tuple[str, ...]]:
+        """What to write of the table of places, and which parts that replaces: a part beside the others, or all anew where much has gathered."""
+        if gone is not None:
+            none = [F.lit(None).cast(kind).alias(c) for c, kind in (("at", "timestamp"), ("chunk_id", "string"))]
+            placed = placed.unionByName(gone.select(*MESSAGE_KEY, *none, F.lit(version).cast("bigint").alias("version")))
+        deltas = sum(p.startswith(DELTA) for p in change.parts("message_places"))
+        if deltas < DELTAS and n * DELTAS <= change.rows("messages"):
+            return placed.withColumn(PART, F.lit(f"{DELTA}{version:012}")), set(), ("message_id",)
+        every = change.table("message_places").unionByName(placed)
+        last = every.groupBy(*MESSAGE_KEY).agg(F.max_by(F.struct("at", "chunk_id", "version"), "version").alias("_p")).select(*MESSAGE_KEY, "_p.*").filter("at is not null")
+        return self._part(last, bucket="message_id"), None, ("message_id",)
 
     def index(self, full: bool = False, dry_run: bool = False) -> dict | DataFrame:
         if dry_run:
@@ -221,16 +335,16 @@ class Engine:
 
     def search(self, ranker: str, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
         """Hits by ``keyword``, ``bm25``, ``semantic`` or ``terms``."""
-        length = self.config.snippet_length
+        length, now = self.config.snippet_length, self.store.manifest()
         if ranker in ("keyword", "bm25"):
-            chunks, refs = self.table("chunks"), self.table("chunk_parent_refs")
+            chunks, refs = self.table("chunks", now), self.table("chunk_parent_refs", now)
             if ranker == "keyword":
                 return search.keyword_search(chunks, query, limit, length, refs)
-            return search.bm25_search(chunks, query, limit, length, refs, self.table("postings"))
+            return search.bm25_search(chunks, query, limit, length, refs, self.table("postings", now))
         if ranker == "semantic":
-            return self.index_store.search(self.table("windows"), query, limit, length, lambda: self.store.manifest()["version"])
+            return self.index_store.search(self.table("windows", now), query, limit, length, lambda: self.store.manifest()["version"])
         if ranker == "terms":
-            return search.term_search(self.table("windows"), query, limit, length)
+            return search.term_search(self.table("windows", now), query, limit, length)
         raise ParleyError(f"unknown ranker {ranker!r}")
 
     def chunk_get(self, chunk_id: str, redact: bool = False, ids: bool = False) -> DataFrame:
@@ -240,13 +354,16 @@ class Engine:
         return found
 
     def chunk_context(self, chunk_id: str) -> DataFrame:
-        return navigate.chunk_context(self.table("chunks"), self.table("window_children"), chunk_id)
+        now = self.store.manifest()
+        return navigate.chunk_context(self.table("chunks", now), self.table("window_children", now), chunk_id)
 
     def chunk_parent(self, chunk_id: str) -> DataFrame:
-        return navigate.windows_of_chunk(self.table("windows"), self.table("window_children"), chunk_id)
+        now = self.store.manifest()
+        return navigate.windows_of_chunk(self.table("windows", now), self.table("window_children", now), chunk_id)
 
     def chunks(self, chat_id: str | None = None) -> DataFrame:
-        rows = navigate.chunk_summaries(self.table("chunks"), self.table("chunk_parent_refs"), self.table("window_children"), chat_id)
+        now = self.store.manifest()
+        rows = navigate.chunk_summaries(self.table("chunks", now), self.table("chunk_parent_refs", now), self.table("window_children", now), chat_id)
         return rows.orderBy("started_at", "chunk_id")
 
     def source(self, path: str | None = None, command: list[str] | None = None, read: Callable[[], DataFrame] | None = None) -> Source:

@@ -23,6 +23,8 @@ MESSAGES = T.StructType(
 )
 #: The column by which a source says which of several rows of one key came last.
 ORDINAL = "ordinal"
+#: What a sync takes of a room from the first of its messages.
+ROOM = ["chat_name", "chat_type"]
 MESSAGE_KEY = ["account_hash", "chat_id", "message_id"]
 #: Columns whose difference makes an archived message an updated one.
 MESSAGE_VALUES = [f.name for f in MESSAGES.fields if f.name not in MESSAGE_KEY]

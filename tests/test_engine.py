@@ -137,11 +137,11 @@ def test_a_second_writer_is_turned_away_and_a_dead_one_is_not_waited_for(spark,
     engine = Engine(spark, str(tmp_path / "lake"))
     with engine.store.files.lock(), pytest.raises(Busy):
         engine.sync(frame(spark, [message(1)]))
-    engine.store.files.write("LOCK", "of a writer that died")
+    engine.store.files.write("LOCK.000000000041", "of a writer that died")
     with pytest.raises(Busy):
         engine.sync(frame(spark, [message(1)]))
     with engine.store.files.lock(stale_after=-1):
-        assert engine.store.files.exists("LOCK")
+        assert engine.store.files.exists("LOCK.000000000042")
     assert engine.sync(frame(spark, [message(1)]))["inserted"] == 1
     with pytest.raises(RuntimeError), engine.store.change() as change:
         change.write("extra", spark.range(3).toDF("x"))
