@@ -16,7 +16,7 @@ def gap_seconds(before: Column, after: Column) -> Column:
     return F.timestamp_diff("SECOND", before, after)
 
 
-def chunk_boundaries(messages: DataFrame, settings: ChunkSettings = ChunkSettings(), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def chunk_boundaries(messages: DataFrame, settings: ChunkSettings = ChunkSettings(), slice_seconds: int | None = SLICE_SECONDS) -> DataFrame:
     """Messages with ``starts`` (does a chunk start here?) and ``opening`` (time and id of the chunk's first message).
 
     A chunk starts at a room's first message, where account or sender changes, on
@@ -42,7 +42,7 @@ def chunk_id(account: Column, chat: Column, first: Column, last: Column) -> Colu
     return F.concat(F.lit("chunk_"), F.left(F.sha2(F.concat_ws("|", account, chat, first, last, F.lit("v1")), 256), F.lit(16)))
 
 
-def build_chunks(messages: DataFrame, settings: ChunkSettings = ChunkSettings(), slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def build_chunks(messages: DataFrame, settings: ChunkSettings = ChunkSettings(), slice_seconds: int | None = SLICE_SECONDS) -> DataFrame:
     """Chunks with their text (messages joined by line ends) and the ordered ids of their messages.
 
     The grouping key is a chunk's first message, so that a room with most of all

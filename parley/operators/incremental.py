@@ -12,7 +12,7 @@ from parley.operators.windows import build_windows
 from parley.schema import PARENT_GAP_SECONDS, ChunkSettings
 
 
-def tail_floors(chunks: DataFrame, touched: DataFrame, gap: int = PARENT_GAP_SECONDS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def tail_floors(chunks: DataFrame, touched: DataFrame, gap: int = PARENT_GAP_SECONDS, slice_seconds: int | None = SLICE_SECONDS) -> DataFrame:
     """(chat_id, floor): where each touched room's rebuild has to start; null means the whole room.
 
     The floor is the start of the latest chunk before the change that has a gap of
@@ -28,7 +28,7 @@ def tail_floors(chunks: DataFrame, touched: DataFrame, gap: int = PARENT_GAP_SEC
     return touched.select("chat_id").join(floors, "chat_id", "left")
 
 
-def long_gaps(windows: DataFrame, gap: int = PARENT_GAP_SECONDS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def long_gaps(windows: DataFrame, gap: int = PARENT_GAP_SECONDS, slice_seconds: int | None = SLICE_SECONDS) -> DataFrame:
     """(chat_id, started_at): where a room's chunks go on after a gap of more than ``gap`` seconds, from its windows.
 
     A window starts at each such place, so windows, which are far fewer than chunks,
@@ -54,7 +54,7 @@ def tail_messages(messages: DataFrame, floors: DataFrame) -> DataFrame:
 
 
 def rebuild(
-    messages: DataFrame, chunks: DataFrame, windows: DataFrame, touched: DataFrame, settings: ChunkSettings = ChunkSettings(), slice_seconds: int = SLICE_SECONDS
+    messages: DataFrame, chunks: DataFrame, windows: DataFrame, touched: DataFrame, settings: ChunkSettings = ChunkSettings(), slice_seconds: int | None = SLICE_SECONDS
 ) -> tuple[DataFrame, DataFrame]:
     """(chunks, windows) after a change, equal to what a full build over ``messages`` gives; ``touched`` has chat_id and earliest (null: the whole room)."""
     floors = tail_floors(chunks, touched, PARENT_GAP_SECONDS, slice_seconds)

@@ -2,7 +2,9 @@
 
 A window over a whole room puts the busiest room in one task.  Rooms are therefore
 cut into slices of time; within a slice a window does the work, and the few rows at
-slice edges get what they need from a table of one row a slice.
+slice edges get what they need from a table of one row a slice.  Without a slice length a
+plain window over the key does it, which is the shorter plan where the rows are known to
+be few.
 """
 
 from __future__ import annotations
@@ -20,11 +22,14 @@ def slice_of(ts: Column, seconds: int = SLICE_SECONDS) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
-def with_previous(df: DataFrame, key: list[str], order: list[str], ts: str, carried: dict[str, Column], seconds: int = SLICE_SECONDS) -> DataFrame:
-    """``df`` with the columns ``prev`` (a struct of ``carried`` of the row before in the order within the key) and ``slice``.
+def with_previous(df: DataFrame, key: list[str], order: list[str], ts: str, carried: dict[str, Column], seconds: int | None = SLICE_SECONDS) -> DataFrame:
+    """``df`` with the columns ``prev`` (a struct of ``carried`` of the row before in the order within the key) and, if cut, ``slice``.
 
     ``order`` must be a total order that starts with ``ts``.
     """
+    if seconds is None:
+        own = F.struct(*(c.alias(n) for n, c in carried.items()))
+        return df.withColumn("prev", F.lag(own).over(Window.partitionBy(*key).orderBy(*order)))
     df = df.withColumn("slice", slice_of(F.col(ts), seconds)).withColumn("_own", F.struct(*(c.alias(n) for n, c in carried.items())))
     inner = Window.partitionBy(*key, "slice").orderBy(*order)
     df = df.withColumn("prev", F.lag("_own").over(inner))
@@ -36,7 +41,7 @@ def with_previous(df: DataFrame, key: list[str], order: list[str], ts: str, carr
 
 
 def with_runs(
-    df: DataFrame, key: list[str], order: list[str], ts: str, carried: dict[str, Column], needs: list[str], starts: Callable[[Column], Column], seconds: int = SLICE_SECONDS
+    df: DataFrame, key: list[str], order: list[str], ts: str, carried: dict[str, Column], needs: list[str], starts: Callable[[Column], Column], seconds: int | None = SLICE_SECONDS
 ) -> DataFrame:
     """``df`` with ``starts`` (does a run start at this row?) and ``opening`` (``order`` of the first row of its run).
 
@@ -45,6 +50,12 @@ def with_runs(
     total order that starts with ``ts``.  The rows are read twice, once for the slices'
     edges, and shuffled by key and slice.
     """
+    if seconds is None:
+        along = Window.partitionBy(*key).orderBy(*order)
+        df = with_previous(df, key, order, ts, carried, None)
+        df = df.withColumn("starts", F.col("prev").isNull() | starts(F.col("prev"))).drop("prev")
+        upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        return df.withColumn("opening", F.last(F.when(F.col("starts"), F.struct(*order)), ignorenulls=True).over(upto))
     df = df.withColumn("slice", slice_of(F.col(ts), seconds)).withColumn("_own", F.struct(*(c.alias(n) for n, c in carried.items())))
     inner = Window.partitionBy(*key, "slice").orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)

@@ -44,7 +44,7 @@ def _folder(limit: int, burst: int, chars: int):
     return fold
 
 
-def window_numbers(chunks: DataFrame, gap: int = PARENT_GAP_SECONDS, max_chars: int = PARENT_MAX_CHARS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def window_numbers(chunks: DataFrame, gap: int = PARENT_GAP_SECONDS, max_chars: int = PARENT_MAX_CHARS, slice_seconds: int | None = SLICE_SECONDS) -> DataFrame:
     """Chunks with ``burst`` (a run of chunks without a long gap) and ``window_no`` within it."""
     df = chunks.withColumn("first_message_id", F.col("message_ids")[0])
 
@@ -64,7 +64,7 @@ def window_id(account: Column, chat: Column, first: Column, last: Column, ordina
     return F.concat(F.lit("window_"), F.left(F.sha2(F.concat(head, text), 256), F.lit(16)))
 
 
-def build_windows(chunks: DataFrame, gap: int = PARENT_GAP_SECONDS, max_chars: int = PARENT_MAX_CHARS, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+def build_windows(chunks: DataFrame, gap: int = PARENT_GAP_SECONDS, max_chars: int = PARENT_MAX_CHARS, slice_seconds: int | None = SLICE_SECONDS) -> DataFrame:
     """Windows with their text and the ordered ids of their children.
 
     Only a window of a single chunk can be longer than ``max_chars``; it is cut into

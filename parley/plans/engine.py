@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from parley.operators import incremental, media, navigate, replies, search, transcript, upsert
 from parley.operators.chunking import build_chunks, chunk_messages
+from parley.operators.ordered import SLICE_SECONDS
 from parley.operators.vectors import Embedder, archive_revision, embedder_of
 from parley.operators.windows import build_windows
 from parley.plans.freshness import recommendation
@@ -27,8 +28,10 @@ TABLES = ("messages", "chats", "sync_cursors", "chunks", "windows", "window_chil
 DERIVED, LAYOUT = ("chunks", "windows", "window_children", "reply_edges", "chunk_parent_refs", "postings", "gaps", "message_places"), 2
 #: The first letters of the parts that messages' new places are added in, and how many such parts gather before all are written anew.
 DELTA, DELTAS = "delta-", 32
-#: So many ids are looked up by a list.
+#: So many ids are looked up by a list, and a batch of no more rows is a small one.
 FEW = 1_000
+#: What a small batch touches goes through the driver if it has no more rows and bytes of text than these: plans of local rows are short.
+FEW_TOUCHED, FEW_BYTES = 20_000, 8 << 20
 
 
 def _within(parts: set[str], buckets: set[str]) -> set[str]:
@@ -43,6 +46,26 @@ def _together(*calls: Callable[[], object]) -> None:
             done.result()
 
 
+class Kept:
+    """Frames that are worked out once: kept by the executors, or as local rows where they are known to be few."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.few, self._frames = spark, False, []
+
+    def keep(self, frame: DataFrame) -> DataFrame:
+        if self.few:
+            return self.local(frame)
+        self._frames.append(frame.persist())
+        return frame
+
+    def local(self, frame: DataFrame) -> DataFrame:
+        return self.spark.createDataFrame(frame.toArrow(), frame.schema)
+
+    def release(self) -> None:
+        for frame in self._frames:
+            frame.unpersist()
+
+
 class Engine:
     """One archive and its index."""
 
@@ -84,30 +107,39 @@ class Engine:
         """
         began = time.time()
         batch = source if isinstance(source, DataFrame) else source.messages()
-        batch = upsert.latest_of_batch(batch, MESSAGE_KEY, ORDINAL if ORDINAL in batch.columns else None, ROOM).persist()
-        kept = [batch]
+        kept = Kept(self.spark)
+        batch = kept.keep(upsert.latest_of_batch(batch, MESSAGE_KEY, ORDINAL if ORDINAL in batch.columns else None, ROOM))
         try:
             with self.store.change() as change:
                 return self._sync(change, batch, kept, source_name, prune, touched, began)
         finally:
-            for frame in kept:
-                frame.unpersist()
+            kept.release()
 
     def _part(self, rows: DataFrame, ts: str | None = None, bucket: str = "chat_id") -> DataFrame:
         return by_part(rows, bucket, ts, PERIODS[self.config.archive_period], self.config.room_buckets)
 
-    def _parts_of(self, rows: DataFrame, ts: str | None = None) -> set[str]:
-        """The parts of rows: at most a few for each bucket and period."""
-        return {r[0] for r in self._part(rows, ts).select(PART).distinct().collect()}
+    def _parts_of(self, rows: DataFrame, ts: str | None = None, few: bool = False) -> set[str]:
+        """The parts of rows: at most a few for each bucket and period.  ``few``: are there so few rows that they need no aggregation?"""
+        parts = self._part(rows, ts).select(PART)
+        return {r[0] for r in (parts if few else parts.distinct()).collect()}
 
-    def _sync(self, change: Change, batch: DataFrame, kept: list[DataFrame], source_name: str, prune: str | None, touched: bool, began: float) -> dict:
+    def _sync(self, change: Change, batch: DataFrame, kept: Kept, source_name: str, prune: str | None, touched: bool, began: float) -> dict:
         settings = self.config.chunks
         layout = {"period": self.config.archive_period, "buckets": self.config.room_buckets, "tables": LAYOUT}
         facts = change.old["facts"]
         drifted = facts.get("chunk_settings") != asdict(settings) or facts.get("layout") != layout or not change.has("chunks")
         room, key = self._bucket("chat_id"), self._bucket("message_id")
-        near = batch.agg(F.collect_set(room).alias("rooms"), F.collect_set(key).alias("keys"), F.count(F.lit(1)).alias("n")).first()
-        rooms, rows = set(near["rooms"]), batch.select(*MESSAGE_KEY, *MESSAGE_VALUES)
+        if not drifted and not prune:
+            some = batch.limit(FEW + 1).toArrow()
+            kept.few = some.num_rows <= FEW and some.nbytes <= FEW_BYTES
+            batch = self.spark.createDataFrame(some, batch.schema) if kept.few else batch
+        rows = batch.select(*MESSAGE_KEY, *MESSAGE_VALUES)
+        if kept.few:  # local rows: no job
+            near = batch.select(room.alias("room"), key.alias("key"), "message_id").collect()
+            rooms, keys, ids = {r["room"] for r in near}, {r["key"] for r in near}, [r["message_id"] for r in near]
+        else:
+            near = batch.agg(F.collect_set(room).alias("rooms"), F.collect_set(key).alias("keys")).first()
+            rooms, keys, ids = set(near["rooms"]), set(near["keys"]), rows.select("message_id").distinct()
 
         # what is archived of the batch's keys: of the parts that the index of places names, no others are read
         if not change.has("messages"):
@@ -115,10 +147,9 @@ class Engine:
         elif drifted:
             archive = change.table("messages")
         else:
-            found = self._places(change, rows.select(*MESSAGE_KEY), set(near["keys"]), near["n"])
-            archive = change.table("messages", self._parts_of(found.withColumnRenamed("at", "timestamp"), "timestamp"))
-        changed = upsert.changes(archive, rows).persist()
-        kept.append(changed)
+            found = self._places(change, ids, keys)
+            archive = change.table("messages", self._parts_of(found.withColumnRenamed("at", "timestamp"), "timestamp", kept.few))
+        changed = kept.keep(upsert.changes(archive, rows))
         real = F.col("change") != "unchanged"
         new_part = self._part(changed.withColumn("_t", F.col("timestamp")), "_t").withColumnRenamed(PART, "_new")
         both = self._part(new_part.withColumn("_o", F.coalesce("old_timestamp", "timestamp")), "_o")
@@ -134,8 +165,7 @@ class Engine:
         gone = None
         if prune:
             mine = archive if drifted or not change.has("messages") else change.table("messages", _within(change.parts("messages"), rooms))
-            gone = upsert.deletions(upsert.merged(mine, news), batch).persist()
-            kept.append(gone)
+            gone = kept.keep(upsert.deletions(upsert.merged(mine, news), batch))
             counts["deletable"] = gone.count()
             if prune == "delete" and counts["deletable"]:
                 whole = gone.select("chat_id", F.lit(None).cast("timestamp").alias("earliest")).distinct()
@@ -144,8 +174,7 @@ class Engine:
                 buckets |= self._parts_of(whole)
                 rebuilt = hit.count()
         gone = gone if prune == "delete" and counts["deletable"] else None
-        hit = hit.persist()
-        kept.append(hit)
+        hit = kept.keep(hit)
         read_ms = int((time.time() - began) * 1000)
         rebuild_from = time.time()
 
@@ -171,19 +200,15 @@ class Engine:
     def _bucket(self, column: str) -> Column:
         return bucket_of(F.col(column), self.config.room_buckets)
 
-    def _places(self, change: Change, keys: DataFrame, buckets: set[str], n: int) -> DataFrame:
-        """(MESSAGE_KEY, at, chunk_id) of the messages, of those archived, that have the ids of ``keys``; ``n`` of them at most.
+    def _places(self, change: Change, ids: list[str] | DataFrame, buckets: set[str]) -> DataFrame:
+        """(MESSAGE_KEY, at, chunk_id) of the archived messages that have one of the ids, a short list or a column ``message_id`` without repeats.
 
         Reads the ids' buckets and what was added since these were written.  The latest
         row of a message counts; one without a time says that it was deleted.
         """
-        parts = {p for p in change.parts("message_places") if p in buckets or p.startswith(DELTA)}
-        rows = change.table("message_places", parts)
-        ids = keys.select("message_id").distinct()
-        if n <= FEW:  # so that row groups are skipped by their bounds
-            rows = rows.filter(F.col("message_id").isin([r[0] for r in ids.collect()]))
-        else:
-            rows = rows.join(ids, "message_id", "left_semi")
+        rows = change.table("message_places", {p for p in change.parts("message_places") if p in buckets or p.startswith(DELTA)})
+        # a list skips row groups by their bounds
+        rows = rows.filter(F.col("message_id").isin(ids)) if isinstance(ids, list) else rows.join(ids, "message_id", "left_semi")
         last = rows.groupBy(*MESSAGE_KEY).agg(F.max_by(F.struct("at", "chunk_id"), "version").alias("_p"))
         return last.select(*MESSAGE_KEY, "_p.at", "_p.chunk_id").filter("at is not null")
 
@@ -228,7 +253,7 @@ class Engine:
         return messages.join(each, MESSAGE_KEY, "left").select(*MESSAGE_KEY, "at", "chunk_id", F.lit(version).cast("bigint").alias("version"))
 
     def _rebuild(
-        self, change: Change, news: DataFrame, gone: DataFrame | None, hit: DataFrame, parts: set[str], buckets: set[str], settings: ChunkSettings, kept: list[DataFrame],
+        self, change: Change, news: DataFrame, gone: DataFrame | None, hit: DataFrame, parts: set[str], buckets: set[str], settings: ChunkSettings, kept: Kept,
         always: list[Callable[[], object]],
     ) -> None:
         """Write the parts that hold changed messages, and those of their rooms from the rebuild's floors on."""
@@ -236,28 +261,42 @@ class Engine:
         floors, firsts = self._floors(change, hit, buckets, kept)
         late = {name: {p for p in change.parts(name) if p[:4] in firsts and p >= firsts[p[:4]]} for name in ("messages", "chunks", "windows", "gaps", "postings")}
         before = incremental.tail_messages(change.table("messages", late["messages"]), floors)
-        tail = left(upsert.merged(before, news)).persist()
-        fresh = build_chunks(tail, settings).persist()
-        made = build_windows(fresh).persist()
-        kept += [tail, fresh, made]
-        n = fresh.agg(F.coalesce(F.sum("message_count"), F.lit(0))).first()[0]
+        keys = before.select(*MESSAGE_KEY) if gone is None else before.select(*MESSAGE_KEY).unionByName(gone.select(*MESSAGE_KEY))
+        tail = left(upsert.merged(before, news))
+        if kept.few:
+            # no more rows than are few, and one beyond that says that there are more
+            some = before.limit(FEW_TOUCHED + 1).toArrow()
+            kept.few = some.num_rows <= FEW_TOUCHED and some.nbytes <= 4 * FEW_BYTES
+            if kept.few:
+                before = self.spark.createDataFrame(some, before.schema)
+                keys, tail = before.select(*MESSAGE_KEY), upsert.merged(before, news)
+        slices = None if kept.few else SLICE_SECONDS
+        tail = kept.keep(tail)
+        fresh = kept.keep(build_chunks(tail, settings, slices))
+        n = some.num_rows + FEW if kept.few else tail.count()
         old = {name: change.table(name, late[name]) for name in ("chunks", "windows", "gaps", "postings")}
         messages = change.table("messages", parts)
         light = fresh.select("chunk_id", "chat_id", "started_at", "text")
-        keys = before.select(*MESSAGE_KEY) if gone is None else before.select(*MESSAGE_KEY).unionByName(gone.select(*MESSAGE_KEY))
-        gaps = upsert.replace_tail(old["gaps"], incremental.long_gaps(made), floors, at_floor=True)
         put = lambda name, rows, order, **more: change.write(name, self._part(rows, "started_at"), late[name], order, **more)
+
+        def windows() -> None:
+            made = kept.keep(build_windows(fresh, slice_seconds=slices))
+            gaps = upsert.replace_tail(old["gaps"], incremental.long_gaps(made, slice_seconds=slices), floors, at_floor=True)
+            _together(
+                lambda: put("windows", upsert.replace_tail(old["windows"], made, floors), ("chat_id", "started_at")),
+                lambda: put("gaps", gaps, ("chat_id", "started_at")),
+            )
+
         _together(
             *always,
             lambda: change.write("messages", self._part(left(upsert.merged(messages, news)), "timestamp"), parts, ("chat_id", "timestamp", "message_id"), counted=True),
             lambda: put("chunks", upsert.replace_tail(old["chunks"], fresh, floors), ("chat_id", "started_at"), counted=True),
-            lambda: put("windows", upsert.replace_tail(old["windows"], made, floors), ("chat_id", "started_at")),
-            lambda: put("gaps", gaps, ("chat_id", "started_at")),
+            windows,
             lambda: put("postings", upsert.replace_tail(old["postings"], search.postings(light), floors), ("term",)),
-            lambda: self._relink(change, tail, fresh, keys, gone, buckets, n),
+            lambda: self._relink(change, tail, fresh, keys, gone, buckets, n, kept),
         )
 
-    def _floors(self, change: Change, hit: DataFrame, buckets: set[str], kept: list[DataFrame]) -> tuple[DataFrame, dict[str, str]]:
+    def _floors(self, change: Change, hit: DataFrame, buckets: set[str], kept: Kept) -> tuple[DataFrame, dict[str, str]]:
         """Where each touched room's rebuild starts, and the first part of each bucket that this reaches.
 
         The long gaps are looked for in the latest periods up to the change first; all
@@ -267,8 +306,7 @@ class Engine:
         mine = sorted(p for p in change.parts("gaps") if p[:4] in upto and p <= upto[p[:4]])
         recent = {p for b in upto for p in [x for x in mine if x[:4] == b][-2:]}
         for chosen in (recent, set(mine)):
-            floors = incremental.floors_of(change.table("gaps", chosen), hit).persist()
-            kept.append(floors)
+            floors = kept.keep(incremental.floors_of(change.table("gaps", chosen), hit))
             reach = self._part(self._part(floors).withColumnRenamed(PART, "b").withColumn("_at", F.coalesce("floor", F.to_timestamp(F.lit("0001-01-01")))), "_at")
             first = F.min(F.when(F.col("floor").isNull(), F.col("b")).otherwise(F.col(PART))).alias("first")
             found = reach.groupBy("b").agg(first, F.count(F.when(F.col("floor").isNull() & F.col("earliest").isNotNull(), 1)).alias("open")).collect()
@@ -276,41 +314,39 @@ class Engine:
                 break
         return floors.drop("earliest"), {r["b"]: r["first"] for r in found}
 
-    def _relink(self, change: Change, tail: DataFrame, fresh: DataFrame, keys: DataFrame, gone: DataFrame | None, buckets: set[str], n: int) -> None:
+    def _relink(self, change: Change, tail: DataFrame, fresh: DataFrame, keys: DataFrame, gone: DataFrame | None, buckets: set[str], n: int, kept: Kept) -> None:
         """Write the reply edges with an end in the rebuilt tails anew, and the places of the tails' messages.
 
         ``keys`` are the messages that the tails had before.  Other edges keep their chunks.
         """
         version = change.old["version"] + 1
-        placed = self._placed(tail.select(*MESSAGE_KEY, F.col("timestamp").alias("at")), fresh, version).persist()
-        try:
-            inside = keys.unionByName(tail.select(*MESSAGE_KEY)).distinct()
-            ids = inside.select("message_id").distinct()
-            edges = change.table("reply_edges")
-            ends = edges.join(ids.withColumnRenamed("message_id", "parent_message_id"), "parent_message_id", "left_semi")
-            buckets = buckets | self._parts_of(ends.unionByName(edges.join(ids.withColumnRenamed("message_id", "child_message_id"), "child_message_id", "left_semi")))
-            # edges of the buckets, without those of the tails' messages, which come from the messages
-            child = inside.withColumnRenamed("message_id", "child_message_id")
-            others = change.table("reply_edges", buckets & change.parts("reply_edges")).join(child, [*MESSAGE_KEY[:2], "child_message_id"], "left_anti")
-            new = replies.edges_of(tail)
-            lost = ids if gone is None else ids.unionByName(gone.select("message_id")).distinct()
-            tied = lambda c: F.col(c).isNotNull()
-            marked = others.join(lost.select(F.col("message_id").alias("parent_message_id"), F.lit(1).alias("_p")), "parent_message_id", "left")
-            marked = marked.join(lost.select(F.col("message_id").alias("child_message_id"), F.lit(1).alias("_c")), "child_message_id", "left")
-            again = marked.filter(tied("_p") | tied("_c")).select(*replies.EDGE).unionByName(new).persist()
-            same = marked.filter(~(tied("_p") | tied("_c"))).select(*replies.EDGE, *replies.OWNED)
-            wanted = again.select(F.explode(F.array("child_message_id", "parent_message_id")).alias("message_id")).distinct().persist()
-            asked = wanted.agg(F.collect_set(self._bucket("message_id")).alias("b"), F.count(F.lit(1)).alias("n")).first()
-            # elsewhere: chunks of messages of the ids that aren't in the tails
-            elsewhere = self._places(change, wanted, set(asked["b"]), asked["n"]).join(inside, MESSAGE_KEY, "left_anti").select("message_id", "chunk_id")
-            owners = elsewhere.unionByName(placed.select("message_id", "chunk_id")).filter("chunk_id is not null").groupBy("message_id").agg(F.min("chunk_id").alias("chunk_id"))
-            rows = same.unionByName(replies.with_owners(again, owners))
-            writes = [lambda: change.write("message_places", *self._moved(change, placed, gone, version, n))]
-            if buckets & change.parts("reply_edges") or asked["n"]:
-                writes.append(lambda: change.write("reply_edges", self._part(rows), buckets))
-            _together(*writes)
-        finally:
-            placed.unpersist()
+        placed = kept.keep(self._placed(tail.select(*MESSAGE_KEY, F.col("timestamp").alias("at")), fresh, version))
+        inside = keys.unionByName(tail.select(*MESSAGE_KEY))
+        ids = inside.select("message_id").distinct()
+        ends = [ids.select(F.col("message_id").alias(f"_{c}"), F.lit(True).alias(c)) for c in ("p", "c")]
+        child = inside.withColumnRenamed("message_id", "child_message_id")
+        tied = F.coalesce("p", "c", F.lit(False))
+
+        def others(parts: set[str] | None) -> DataFrame:
+            """Edges that aren't those of the tails' messages, which come from the messages; with ``p`` or ``c`` where an end is in a tail."""
+            rows = change.table("reply_edges", parts).join(child, [*MESSAGE_KEY[:2], "child_message_id"], "left_anti")
+            return rows.join(ends[0], F.col("parent_message_id") == F.col("_p"), "left").join(ends[1], F.col("child_message_id") == F.col("_c"), "left")
+
+        again = kept.keep(others(None).filter(tied).select(*replies.EDGE).unionByName(replies.edges_of(tail)))
+        buckets = buckets | self._parts_of(again, few=kept.few)
+        moved = lambda: change.write("message_places", *self._moved(change, placed, gone, version, n))
+        if kept.few:  # local rows: no job
+            near = again.select("child_message_id", "parent_message_id", self._bucket("child_message_id").alias("c"), self._bucket("parent_message_id").alias("p")).collect()
+            wanted, where = sorted({x for r in near for x in r[:2]}), {x for r in near for x in r[2:]}
+        else:
+            wanted = again.select(F.explode(F.array("child_message_id", "parent_message_id")).alias("message_id")).distinct()
+            where = set(wanted.agg(F.collect_set(self._bucket("message_id"))).first()[0])
+        # chunks of messages with these ids that aren't in the tails
+        elsewhere = self._places(change, wanted, where).join(inside, MESSAGE_KEY, "left_anti").select("message_id", "chunk_id")
+        owners = elsewhere.unionByName(placed.select("message_id", "chunk_id")).filter("chunk_id is not null").groupBy("message_id").agg(F.min("chunk_id").alias("chunk_id"))
+        same = others(buckets).filter(~tied).select(*replies.EDGE, *replies.OWNED)
+        rows = same.unionByName(replies.with_owners(again, kept.keep(owners)))
+        _together(moved, lambda: change.write("reply_edges", self._part(rows), buckets))
 
     def _moved(self, change: Change, placed: DataFrame, gone: DataFrame | None, version: int, n: int) -> tuple[DataFrame, set[str] | None, tuple[str, ...]]:
         """What to write of the table of places, and which parts that replaces: a part beside the others, or all anew where much has gathered."""
