@@ -1,19 +1,21 @@
 """Toxicity by a weighted finite-state grammar over clauses.
 
-Five small transducers read the tagged words of a clause, each rewriting what the one
-before it wrote: reported speech (what follows a verb of saying, or stands in quotes, is
-quoted), negation (what follows one within a few words is denied), target (what follows
-a word for a person is aimed at it), threat (a verb of harm aimed at a target, or one that
-a target follows) and insult (an insult, aimed at somebody or not, or one that a target
-follows).  They are composed once into one deterministic machine over tags, whose arcs
+Five small transducers read the tagged words of a text, each rewriting what the one
+before it wrote: threat (a verb of harm with somebody as its object, which stands next to it, before it
+only where the pronoun can't be a subject; verbs that are harmless as often need a word of
+intention before them), reported speech (what follows a verb of saying in its sentence,
+or stands in quotes, which stay open over sentence marks, is quoted), negation (what follows one within a few words is denied), target
+(what follows a word for a person is aimed at it) and insult (an insult, aimed at somebody or not, or one that a
+target follows).  They are composed once into one deterministic machine over tags, whose arcs
 emit the events that a clause is scored by.  A clause is scored, not a word: the weights of its events' words are
 summed, those of quoted and denied ones apart.
 
-The lexicon of insults is learned: words, and beginnings of words, that labelled
-toxic texts hold far more often than others.  A logistic model over the clause
+The lexicon is learned: insults are words, and beginnings of words, that labelled
+toxic texts hold far more often than others; words that stand there before an object join
+the verbs of harm, which are known by stems and endings.  A logistic model over the clause
 scores, fitted on the same labelled rows, gives the score.
 
-Null and empty texts have no clauses and get the score of such a text.  Repeated rows
+Null and empty texts have no clauses and get the score of such a text; where no toxic text is known all get about 0.  Repeated rows
 each get their result; of events of equal weight in a clause the first of EVENTS names
 it.  A very long text is read in one pass, in time that grows with its length.
 """
@@ -34,18 +36,28 @@ from parley.llm.common import map_texts
 
 #: Closed word classes of the grammar in four languages.
 CLASSES = {
-    "TARGET": "you your yours yourself yourselves you're u ur he him she her they them their du dich dir dein deine ihr euch tu te toi ton ta vous votre tú ti tus usted ustedes vosotros",
-    "NEGATION": "not no never isn't aren't wasn't don't doesn't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco ningún",
+    "TARGET": "your yours you're u ur he she they their du dein deine ihr tu toi ton ta votre tú tus vosotros",
+    "OBJECT": "you yourself yourselves him her them ti usted ustedes",
+    "CLITIC": "dich dir euch ihn te vous os",
+    "NEGATION": "not no never isn't aren't wasn't don't doesn't won't can't nicht kein keine nie niemals pas jamais aucun nunca jamás tampoco ningún",
     "REPORT": "said says say wrote writes told tells called calls quoted claimed claims sagte sagt schrieb nannte dit disait écrit appelé dijo dice escribió llamó",
-    "THREAT": "kill hurt beat destroy punch stab shoot strangle crush burn töten umbringen schlagen verletzen tuer frapper détruire matar golpear destruir",
+    "WILL": "will going gonna shall i'll we'll he'll she'll they'll werde werden wird vais va allons voy vamos van",
 }
-TAGS = ("INSULT", *CLASSES, "QUOTE", "OTHER")
+#: Stems of verbs of harm by language, those that mean harm by themselves first, and the endings they take.
+HARM = {
+    "en": ("kill murder slaughter strangl stab stabb behead", "hurt beat punch burn crush destroy smash shoot", " s e es d ed ing en er"),
+    "de": ("töt ermord erwürg erschieß erstech umbring", "schlag verletz verbrenn zerstör prügel", " e en st t est et te ten"),
+    "fr": ("tue assassine égorge étrangle", "frappe blesse brûle", " s z r nt rai ras ra rons rez ront"),
+    "es": ("mat asesin estrangul degoll", "golpe destroz lastim", "ar o as a amos an aré arás ará arán é ó aron ando"),
+}
+KINDS = ("THREAT", "HARM")
+TAGS = ("INSULT", *CLASSES, *KINDS, "QUOTE", "END", "OTHER")
 #: What an arc may emit.
 EVENTS = ("insult", "directed", "denied", "quoted", "threat")
 
 WORD = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?")
 PIECE = re.compile(r"[^\W\d_]+(?:'[^\W\d_]+)?|[\"“”«»„]|[.!?;\n]+")
-#: So many words after a negation, or after a target, are in its scope; a target may follow a threat by as many.
+#: So many words after a negation, a target or a word of intention are in its scope; a target may follow an insult by as many.
 SCOPE = 4
 
 
@@ -57,58 +69,63 @@ class Transducer:
     step: Callable[[Hashable, str], tuple[Hashable, str]]
 
 
+def threat() -> Transducer:
+    """Writes ATTACK where a verb of harm and its object have met, and one symbol for all words for persons."""
+
+    def step(state, tag):
+        clitic, will, verb = state
+        harm = tag == "THREAT" or tag == "HARM" and will > 0
+        met = harm and clitic or verb and tag in ("OBJECT", "CLITIC")
+        after = tag == "CLITIC" and not met, SCOPE if tag == "WILL" else 0 if tag == "END" else max(0, will - 1), harm and not met
+        if met:
+            return after, "ATTACK"
+        return after, "TARGET" if tag in ("OBJECT", "CLITIC") else "OTHER" if tag in ("WILL", *KINDS) else tag
+
+    return Transducer((False, 0, False), step)
+
+
 def reported() -> Transducer:
-    """Turns insults and threats into QUOTED ones after a verb of saying and within quotes."""
+    """Turns insults and attacks into QUOTED ones after a verb of saying and within quotes."""
 
     def step(state, tag):
         said, quoted = state
         if tag == "QUOTE":
             return (said, not quoted), "OTHER"
-        if tag == "REPORT":
-            return (True, quoted), "OTHER"
-        return state, f"QUOTED_{tag}" if (said or quoted) and tag in ("INSULT", "THREAT") else tag
+        if tag in ("REPORT", "END"):
+            return (tag == "REPORT", quoted), "OTHER" if tag == "REPORT" else tag
+        return state, f"QUOTED_{tag}" if (said or quoted) and tag in ("INSULT", "ATTACK") else tag
 
     return Transducer((False, False), step)
 
 
-def within(opener: str, marks: dict[str, str]) -> Transducer:
-    """For SCOPE words after ``opener`` rewrites the tags in ``marks``."""
+def within(openers: tuple[str, ...], marks: dict[str, str]) -> Transducer:
+    """For SCOPE words after one of ``openers`` rewrites the tags in ``marks``."""
 
     def step(left, tag):
-        if tag == opener:
-            return SCOPE, tag
-        return max(0, left - 1), marks.get(tag, tag) if left else tag
+        out = marks.get(tag, tag) if left else tag
+        return SCOPE if tag in openers else 0 if tag == "END" else max(0, left - 1), out
 
     return Transducer(0, step)
 
 
-def awaiting(aimed: str, plain: str, event: str, alone: str) -> Transducer:
-    """Writes ``event`` for ``aimed``, and for a target within SCOPE words after ``plain``; ``alone`` for ``plain`` itself."""
+def insult() -> Transducer:
+    """Writes the events: an insult counts alone; one with a target, before it or within SCOPE words after, is directed."""
 
     def step(left, tag):
-        if tag == aimed:
-            return 0, event
-        if tag in (f"DENIED_{plain}", f"QUOTED_{plain}"):
-            return max(0, left - 1), tag.split("_")[0].lower()
-        if tag == plain:
-            return SCOPE, alone
+        rest = max(0, left - 1)
+        if tag in ("END", "AT_INSULT"):
+            return 0, "directed" if tag == "AT_INSULT" else tag
+        if tag == "INSULT":
+            return SCOPE, "insult"
         if tag == "TARGET" and left:
-            return 0, event
-        return max(0, left - 1), tag
+            return 0, "directed"
+        if tag == "ATTACK":
+            return rest, "threat"
+        return rest, tag.split("_")[0].lower() if tag.endswith(("_INSULT", "_ATTACK")) else tag
 
     return Transducer(0, step)
 
 
-def threat() -> Transducer:
-    """A threat needs a target, before it or after."""
-    return awaiting("AT_THREAT", "THREAT", "threat", "OTHER")
-
-
-def insult() -> Transducer:
-    """An insult counts alone; one with a target, before it or after, is directed."""
-    return awaiting("AT_INSULT", "INSULT", "directed", "insult")
-
-
 def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:
     """The table of next states and of emitted events (-1: none) by state and tag of the machines in a row."""
     start = tuple(m.start for m in machines)
@@ -135,9 +152,19 @@ def compose(*machines: Transducer) -> tuple[list[list[int]], list[list[int]]]:
 
 
 def grammar() -> tuple[list[list[int]], list[list[int]]]:
-    negation = within("NEGATION", {"INSULT": "DENIED_INSULT", "THREAT": "DENIED_THREAT"})
-    target = within("TARGET", {"INSULT": "AT_INSULT", "THREAT": "AT_THREAT"})
-    return compose(reported(), negation, target, threat(), insult())
+    negation = within(("NEGATION",), {"INSULT": "DENIED_INSULT", "ATTACK": "DENIED_ATTACK"})
+    target = within(("TARGET", "ATTACK", "DENIED_ATTACK", "QUOTED_ATTACK"), {"INSULT": "AT_INSULT"})
+    return compose(threat(), reported(), negation, target, insult())
+
+
+def verb_of_harm(word: str) -> str | None:
+    """THREAT or HARM for a form of a verb of harm."""
+    for *stems, endings in HARM.values():
+        allowed = endings.split(" ")
+        for kind, known in zip(KINDS, stems):
+            if any(word.startswith(x) and word[len(x) :] in allowed for x in known.split()):
+                return kind
+    return None
 
 
 #: Lengths of the beginnings of words that may become lexicon entries.
@@ -148,13 +175,18 @@ PREFIXES = range(4, 8)
 class Lexicon:
     words: dict[str, float]
     prefixes: dict[str, float]
+    #: Learned words that harm the object that follows them.
+    threats: dict[str, float] = field(default_factory=dict)
     fixed: dict[str, str] = field(default_factory=lambda: {w: c for c, ws in CLASSES.items() for w in ws.split()})
 
     def look(self, word: str) -> tuple[str, float] | None:
         """The tag and weight of a lower-case word, None for OTHER; a word of the closed classes is never an insult."""
         tag = self.fixed.get(word)
+        tag = tag or verb_of_harm(word)
         if tag:
             return tag, 1.0
+        if word in self.threats:
+            return "THREAT", self.threats[word]
         weight = self.words.get(word, 0.0)
         for k in PREFIXES:
             if len(word) > k:
@@ -162,16 +194,30 @@ class Lexicon:
         return ("INSULT", weight) if weight else None
 
 
+def plain(text: str) -> str:
+    """The text in lower case, with one kind of apostrophe."""
+    return text.lower().replace("’", "'")
+
+
+def before_objects(text: str) -> set[str]:
+    """The words that stand right before an object, of a text in plain form."""
+    words = PIECE.findall(text)
+    objects = {*CLASSES["OBJECT"].split(), *CLASSES["CLITIC"].split()}
+    known = {w for ws in CLASSES.values() for w in ws.split()}
+    return {a for a, b in zip(words, words[1:]) if b in objects and a not in known and WORD.fullmatch(a)}
+
+
 def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, lift: float = 12.0) -> Lexicon:
     """Words and beginnings found in ``least`` toxic texts and, smoothed, ``lift`` times as often in them as in others.
 
     A beginning counts only through words that are not entries themselves, and is
-    dropped where a shorter beginning already qualifies.
+    dropped where a shorter beginning already qualifies.  Words right before an object
+    that toxic texts have as much more often, and that are no insults, are verbs of harm.
     """
     n = max(1, sum(toxic)), max(1, len(toxic) - sum(toxic))
 
     def sets() -> Iterator[set[str]]:
-        return (set(WORD.findall(t.lower())) for t in texts)
+        return (set(WORD.findall(plain(t))) for t in texts)
 
     def chosen(items: Iterator[set[str]]) -> dict[str, float]:
         seen = Counter(), Counter()
@@ -187,7 +233,9 @@ def learn_lexicon(texts: list[str], toxic: list[int], least: int = 4, lift: floa
     words = chosen(sets())
     prefixes = chosen({w[:k] for w in s if w not in words for k in PREFIXES if len(w) > k} for s in sets())
     kept = {p: v for p, v in prefixes.items() if not any(p[:k] in prefixes for k in PREFIXES if k < len(p))}
-    return Lexicon(words, kept)
+    lexicon = Lexicon(words, kept)
+    lexicon.threats = {w: v for w, v in chosen(before_objects(plain(t)) for t in texts).items() if lexicon.look(w) is None}
+    return lexicon
 
 
 @dataclass
@@ -215,21 +263,22 @@ class Scanner:
         """(start, end, weight by event) of each clause with an event; offsets count code points."""
         if not text:
             return []
-        hits = self.looked(set(WORD.findall(text.lower())))
-        if not any(tag in ("INSULT", "THREAT") for tag, _ in hits.values()):
+        hits = self.looked(set(WORD.findall(plain(text))))
+        if not any(tag in ("INSULT", *KINDS) for tag, _ in hits.values()):
             return []
         following, emitted = self.tables
-        quote, other = TAGS.index("QUOTE"), TAGS.index("OTHER")
+        quote, other, stop = (TAGS.index(t) for t in ("QUOTE", "OTHER", "END"))
         out, state, sums, start, end = [], 0, None, 0, 0
-        for m in PIECE.finditer(text):
+        for m in PIECE.finditer(text.replace("’", "'")):
             piece = m[0]
             if piece[0] in ".!?;\n":
                 if sums:
                     out.append((start, m.start(), sums))
-                state, sums, start = 0, None, m.end()
+                # quotes stay open up to the end of the line
+                state, sums, start = 0 if "\n" in piece else following[state][stop], None, m.end()
                 continue
             end = m.end()
-            weight, tag = 0.0, quote if piece[0] in "\"“”«»„" else other
+            weight, tag = 1.0, quote if piece[0] in "\"“”«»„" else other
             if tag == other:
                 found = hits.get(piece.lower())
                 if found:
@@ -243,9 +292,9 @@ class Scanner:
             out.append((start, end, sums))
         return out
 
-    def features(self, text: str | None) -> list[float]:
-        """For each event: the number of clauses, the summed and the greatest weight; then clauses a 100 words."""
-        found = self.clauses(text)
+    def features(self, text: str | None, found: list[tuple[int, int, list[float]]] | None = None) -> list[float]:
+        """For each event: the number of clauses, the summed and the greatest weight; then clauses a 100 words.  ``found``: the clauses, if known."""
+        found = self.clauses(text) if found is None else found
         if not found:
             return [0.0] * (3 * len(EVENTS) + 1)
         sums = np.array([s for _, _, s in found])
@@ -271,6 +320,8 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, decay: float = 1e-
     """
     lexicon = learn_lexicon(texts, toxic)
     width = 3 * len(EVENTS) + 1
+    if not any(toxic):
+        return Model(lexicon, np.zeros(width), -30.0)
     x = np.zeros((len(texts), width))
     for half in (0, 1):
         other = [i for i in range(len(texts)) if i % 2 != half]
@@ -281,7 +332,7 @@ def fit(texts: list[str], toxic: list[int], steps: int = 400, decay: float = 1e-
     full = np.hstack([x, np.ones((len(x), 1))])
     w = np.zeros(width + 1)
     ridge = np.diag([decay * max(1, len(x))] * width + [1e-6])
-    for _ in range(30 if len(x) else 0):
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(full @ w, -30, 30)))
         step = np.linalg.solve(full.T @ (full * (p * (1 - p) + 1e-9)[:, None]) + ridge, full.T @ (p - y) + ridge @ w)
         w -= step
@@ -301,8 +352,8 @@ def score(docs: DataFrame, text: Column, *ids: Column, model: Model, spans: bool
 
         def call(part: pa.RecordBatch) -> dict[str, list]:
             texts = part.column(part.num_columns - 1).to_pylist()
-            x = np.array([scanner.features(t) for t in texts])
-            found = [scanner.clauses(t) if r.any() else [] for t, r in zip(texts, x)]
+            found = [scanner.clauses(t) for t in texts]
+            x = np.array([scanner.features(t, f) for t, f in zip(texts, found)])
             out: dict[str, list] = {"score": model.score(x).tolist(), "n_clauses": [len(f) for f in found]}
             if spans:
                 out["spans"] = [",".join(f"{EVENTS[int(np.argmax(w))]}:{a}:{b}" for a, b, w in f) for f in found]

@@ -81,41 +81,73 @@ def test_toxic_grammar_scores_clauses():
     assert "Fine. A moron here. Bye"[start:end].strip() == "A moron here"
 
 
-def test_a_threat_may_stand_before_its_target():
-    scan = toxicity.Scanner(toxicity.Lexicon({"moron": 3.0}, {}))
-    found = lambda t: [{e: x for e, x in zip(toxicity.EVENTS, w) if x} for _, _, w in scan.clauses(t)]
-    assert found("I will kill you") == found("we will hurt them") == found("go kill yourself") == [{"threat": 1.0}]
-    assert found("kill one two three you") == [{"threat": 1.0}] and found("kill one two three four you") == []
-    assert found("kill. you") == [] and found("I will not kill you") == [{"denied": 1.0}] and found('"kill you"') == [{"quoted": 1.0}]
-    assert found("you kill them") == [{"threat": 1.0}] and found("kill you moron") == [{"threat": 1.0, "directed": 3.0}]
-    assert found("moron, that is what you are") == [{"insult": 3.0, "directed": 1.0}] and found("moron one two three four you") == [{"insult": 3.0}]
-    assert found("he told us: I will kill you, moron") == [{"quoted": 4.0}]
+def clauses_of(text, lexicon=None):
+    scan = toxicity.Scanner(lexicon or toxicity.Lexicon({"moron": 3.0, "idiot": 2.0}, {}))
+    return [{e: x for e, x in zip(toxicity.EVENTS, w) if x} for _, _, w in scan.clauses(text)]
+
+
+@pytest.mark.parametrize("text", ["I will kill you", "we will hurt them", "go kill yourself", "I will murder you", "I am killing you", "He killed you", "Ich töte dich", "je te tuerai", "Ich werde dich töten", "you kill them", "voy a golpear os", "They're gonna shoot him"])
+def test_threats(text):
+    assert clauses_of(text) == [{"threat": 1.0}]
+
+
+@pytest.mark.parametrize("text", ["burn calories and you feel fine", "We beat them 3-1 yesterday", "kill the process, you can restart it", "kill. you", "you kill the lights", "mate you", "will you burn", "tu mates", "I shoot him an e-mail"])
+def test_no_threats(text):
+    assert clauses_of(text) == []
+
+
+def test_threats_with_what_stands_around_them():
+    assert clauses_of("I will not kill you") == [{"denied": 1.0}] and clauses_of('"kill you"') == [{"quoted": 1.0}]
+    assert clauses_of("kill you moron") == [{"directed": 3.0, "threat": 1.0}]
+    assert clauses_of("moron, that is what you are") == [{"insult": 3.0, "directed": 1.0}] and clauses_of("moron one two three four you") == [{"insult": 3.0}]
+    assert clauses_of("he told us: I will kill you, moron") == [{"quoted": 4.0}]
+
+
+def test_quotes_stay_open_over_sentence_marks_and_apostrophes_are_one():
+    assert clauses_of('He said: "You are a moron. You are an idiot."') == [{"quoted": 3.0}, {"quoted": 2.0}]
+    assert clauses_of('He said: "You are a moron. Fine." You are an idiot.') == [{"quoted": 3.0}, {"directed": 2.0}]
+    assert clauses_of('an open " quote\nYou moron') == [{"directed": 3.0}]
+    assert clauses_of("You aren’t a moron") == clauses_of("You aren't a moron") == [{"denied": 3.0}]
+
+
+def test_threats_are_learned_and_without_toxic_texts_nothing_is_toxic():
+    rng = random.Random(21)
+    words = ["".join(rng.choices("abcdefg", k=6)) for _ in range(200)]
+    texts = [" ".join(rng.choices(words, k=30)) + (" i zorgle you." if i % 4 == 0 else " i greet you.") for i in range(200)]
+    lexicon = toxicity.learn_lexicon([t for t in texts] + ["they zorgle fast " + t for t in texts[1::2]], [int(i % 4 == 0) for i in range(200)] + [0] * 100)
+    assert "zorgle" in lexicon.threats and "greet" not in lexicon.threats and clauses_of("we zorgle them", lexicon)[0].keys() == {"threat"} and clauses_of("we zorgle", lexicon) == []
+    for texts, labels in (([], []), (["fine", "well"], [0, 0])):
+        none = toxicity.fit(texts, labels)
+        assert max(none.score(np.array([toxicity.Scanner(none.lexicon).features(t) for t in ("", "fine", "I will kill you")]))) < 0.01
 
 
 def plain_events(tags):
-    """The events of a clause's tags, by looking around each."""
-    out, quoted, said = [], False, False
-    waits = {"THREAT": None, "INSULT": None}
+    """The events of a text's tags, by looking around each."""
+    out, quoted, said, start, wait, met = [], False, False, 0, None, set()
     for i, tag in enumerate(tags):
-        if tag == "QUOTE":
-            quoted = not quoted
-        if tag == "REPORT":
-            said = True
-        near = lambda t: t in tags[max(0, i - toxicity.SCOPE) : i]  # noqa: E731, B023
+        near = lambda *t: any(x in t for x in tags[max(start, i - toxicity.SCOPE) : i])  # noqa: E731, B023
+        verb = lambda k: k >= start and (tags[k] == "THREAT" or tags[k] == "HARM" and "WILL" in tags[max(start, k - toxicity.SCOPE) : k])  # noqa: E731, B023
+        if tag == "END":
+            said, start, wait = False, i + 1, None
+        quoted ^= tag == "QUOTE"
+        said |= tag == "REPORT"
+        attack = verb(i) and i > start and tags[i - 1] == "CLITIC" and i - 1 not in met or tag in ("OBJECT", "CLITIC") and i > start and verb(i - 1) and i - 1 not in met
         event = None
-        if tag in waits:
+        if attack:
+            met.add(i)
+        if attack or tag == "INSULT":
             if said or quoted:
                 event = "quoted"
             elif near("NEGATION"):
                 event = "denied"
-            elif near("TARGET"):
-                event, waits[tag] = ("threat" if tag == "THREAT" else "directed"), None
+            elif attack:
+                event = "threat"
+            elif near("TARGET", "OBJECT", "CLITIC") or any(k in met for k in range(max(start, i - toxicity.SCOPE), i)):
+                event, wait = "directed", None
             else:
-                event, waits[tag] = (None if tag == "THREAT" else "insult"), i
-        elif tag == "TARGET":
-            for kind, name in (("THREAT", "threat"), ("INSULT", "directed")):
-                if event is None and waits[kind] is not None and i - waits[kind] <= toxicity.SCOPE:
-                    event, waits[kind] = name, None
+                event, wait = "insult", i
+        elif tag in ("TARGET", "OBJECT", "CLITIC") and wait is not None and i - wait <= toxicity.SCOPE:
+            event, wait = "directed", None
         out.append(event)
     return out
 
