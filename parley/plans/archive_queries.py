@@ -21,9 +21,8 @@ from parley.operators.windows import build_windows, window_children
 from parley.plans import queries as q
 from parley.plans import views as v
 from parley.plans.engine import Engine
-from parley.plans.freshness import recommendation
 from parley.plans.queries import clock, listed, query, sql_clock
-from parley.schema import MAX_LIMIT, MESSAGES, Config, InvalidLimit, checked_limit
+from parley.schema import MESSAGES, Config
 from parley.sources import tables as app
 from parley.sources.adapters import open_source, read_documents
 from parley.streaming.ingest import message_stream, session_counts, sync_stream
@@ -70,20 +69,80 @@ def _nation_messages(spark, d):
     )
 
 
-@query(f"WITH {NATION_SQL}")
+def _arrays(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
+    """Write rows as files of one JSON array each, rows of a key in one file and in order."""
+    messages = [f.name for f in MESSAGES.fields]
+    place = F.struct(*order, _json(rows.select(*messages)).alias("j"))
+    each = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(64))).agg(F.array_sort(F.collect_list(place)).alias("a"))
+    each.select(F.concat(F.lit("["), F.array_join("a.j", ","), F.lit("]")).alias("value")).repartition(64).write.text(path)
+
+
+@query(f"WITH {v.EV} SELECT {MESSAGE_SQL} FROM ev")
 def json_array_source(spark, d):
     path = folder(spark)
-    rows = _nation_messages(spark, d)
-    array = rows.agg(F.concat(F.lit("["), F.array_join(F.collect_list(_json(rows)), ","), F.lit("]")))  # the 25 nations
-    array.coalesce(1).write.text(path)
+    _arrays(v.event_messages(spark, d), path, "message_id", ["timestamp", "message_id"])
     return shown_messages(open_source(spark, "array", path).messages())
 
 
-@query(f"WITH {NATION_SQL} WHERE text = 'NATION_3'")
+#: Puts lines of JSON together to an array.
+ECHO = "import glob, sys; print('[' + ','.join(line for f in sorted(glob.glob(sys.argv[1] + '/part-*')) for line in open(f)) + ']')"
+
+
+@query(f"WITH {NATION_SQL}")
 def command_source(spark, d):
-    row = _nation_messages(spark, d).filter("text = 'NATION_3'")
-    line = row.select(_json(row)).first()[0]
-    return shown_messages(open_source(spark, "command", command=[sys.executable, "-c", "import sys; print('[' + sys.argv[1] + ']')", line]).messages())
+    path = folder(spark)
+    rows = _nation_messages(spark, d)
+    rows.select(_json(rows)).write.text(path)
+    command = [sys.executable, "-c", ECHO, path.removeprefix("file://")]
+    return shown_messages(open_source(spark, "command", command=command).messages())
+
+
+CUSTOMER_SQL = """SELECT 'k' || c_custkey AS message_id, 'aaa ' || c_name AS text FROM customer"""
+
+
+def _twice(spark, d) -> DataFrame:
+    """Each customer as two messages of one key, of which the later has the lesser text."""
+    rows = v.load(spark, d, "customer")
+    key = F.col("c_custkey")
+    at = F.timestamp_micros(F.unix_micros(F.to_timestamp(F.lit(v.BASE))) + key.cast("bigint") * 60_000_000)
+    return rows.withColumn("n", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        F.lit("h").alias("account_hash"), F.concat(F.lit("r"), (key % 40).cast("string")).alias("chat_id"), F.lit("Room").alias("chat_name"), F.lit("group").alias("chat_type"), F.concat(F.lit("k"), key.cast("string")).alias("message_id"),
+        F.lit("s").alias("sender_id"), F.lit("s").alias("sender_nickname"), at.alias("timestamp"), F.concat(F.when(F.col("n") == 0, "zzz ").otherwise("aaa "), "c_name").alias("text"), F.lit("text").alias("message_type"),
+        F.lit(None).cast("string").alias("reply_to_message_id"), "n",
+    )
+
+
+@query(CUSTOMER_SQL)
+def last_row_of_an_array(spark, d):
+    engine, path = _engine(spark), folder(spark)
+    _arrays(_twice(spark, d), path, "message_id", ["message_id", "n"])
+    engine.sync(open_source(spark, "array", path))
+    return engine.table("messages").select("message_id", "text")
+
+
+@query(CUSTOMER_SQL)
+def last_line_of_a_stream(spark, d):
+    engine = _engine(spark)
+    inbox = f"{engine.root}/inbox"
+    rows = _twice(spark, d)
+    messages = [f.name for f in MESSAGES.fields]
+    lines = rows.select("message_id", "n", _json(rows.select(*messages)).alias("j")).repartition(8, "message_id").sortWithinPartitions("message_id", "n")
+    lines.select("j").write.text(inbox)
+    sync_stream(engine, message_stream(spark, inbox), f"{engine.root}/progress").awaitTermination()
+    return engine.table("messages").select("message_id", "text")
+
+
+@query("SELECT DISTINCT 'r' || c_custkey % 40 AS chat_id, CASE WHEN c_custkey % 40 % 2 = 0 THEN 'New ' || c_custkey % 40 ELSE 'Room' END AS chat_name FROM customer")
+def chats_after_a_rename(spark, d):
+    engine = _engine(spark)
+    rows = _twice(spark, d).filter("n = 1").drop("n")
+    engine.sync(rows)
+    room = F.substring("chat_id", 2, 9)
+    later = rows.filter(room.cast("int") % 2 == 0).withColumns(
+        {"message_id": F.concat("message_id", F.lit("-later")), "timestamp": F.col("timestamp") + F.expr("INTERVAL 900 DAYS"), "chat_name": F.concat(F.lit("New "), room)}
+    )
+    engine.sync(later)
+    return engine.table("chats").select("chat_id", "chat_name")
 
 
 @query("SELECT n_name || '.md' AS name, 'line one' || chr(10) || n_nationkey AS text FROM nation")
@@ -128,17 +187,6 @@ def untypable_names(spark, d):
     return v.load(spark, d, "customer").select("c_custkey", F.array_join(tx.untypable(name), ",").alias("bad"))
 
 
-@query("SELECT CAST(n AS BIGINT) AS n, n BETWEEN 1 AND 100000 AS allowed FROM (SELECT unnest([-1, 0, 1, 10, 99999, 100000, 100001]) AS n)")
-def limit_bounds(spark, d):
-    def allowed(n: int) -> bool:
-        try:
-            return checked_limit(n) == n
-        except InvalidLimit:
-            return False
-
-    return spark.createDataFrame([(n, allowed(n)) for n in (-1, 0, 1, 10, MAX_LIMIT - 1, MAX_LIMIT, MAX_LIMIT + 1)], "n bigint, allowed boolean")
-
-
 # --- navigation and hits --------------------------------------------------------------------
 
 EV_WINDOWS = f"WITH RECURSIVE {v.EV}, {v.chunk_ctes('ev')}, {v.window_ctes('chunks')}"
@@ -301,19 +349,6 @@ def vector_upsert(spark, d):
     return merged.select(F.col("chunk_id").alias("vec_id"), "origin", F.round(F.col("vector")[0].cast("double"), 4).alias("first"))
 
 
-@query(
-    """WITH c AS (SELECT s.x AS synced, i.x AS indexed, d.x AS damaged, p.x AS present, e.x AS behind FROM (SELECT unnest([true, false]) AS x) s, (SELECT unnest([true, false]) AS x) i, (SELECT unnest([true, false]) AS x) d, (SELECT unnest([true, false]) AS x) p, (SELECT unnest([true, false]) AS x) e)
-    SELECT *, NOT synced OR (NOT damaged AND indexed AND NOT present) AS sync_first, CASE WHEN NOT synced THEN NOT indexed ELSE damaged OR NOT indexed OR NOT present OR behind END AS index_first FROM c"""
-)
-def freshness_table(spark, d):
-    rows = []
-    for k in range(32):
-        synced, indexed, damaged, present, behind = (bool(k >> i & 1) for i in range(5))
-        got = recommendation(synced, indexed, "damage" if damaged else None, present, not behind)
-        rows.append((synced, indexed, damaged, present, behind, got["sync_before_search"], got["index_before_semantic_search"]))
-    return spark.createDataFrame(rows, "synced boolean, indexed boolean, damaged boolean, present boolean, behind boolean, sync_first boolean, index_first boolean")
-
-
 # --- transcripts and media ------------------------------------------------------------------
 
 

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from parley.schema import MESSAGES
+from parley.shared import shared_root
 
 ACCOUNT = "acct"
 #: The instant from which a conversation's times are counted.
@@ -18,16 +17,6 @@ def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder that all executors share; in local mode it may be the machine's own."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if spark.sparkContext.master.split("[")[0] != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = f"{tempfile.gettempdir()}/parley-checkpoints"
-    return root.rstrip("/")
-
-
 def archived(df: DataFrame) -> DataFrame:
     """The frame as a stored table: the state that an archive would have."""
     context = df.sparkSession.sparkContext

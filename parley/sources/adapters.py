@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import json
-import subprocess
+import re
 from collections.abc import Callable
 from typing import Protocol
 
@@ -13,6 +12,8 @@ from pyspark.sql import types as T
 
 from parley.operators.upsert import chats_of
 from parley.schema import MESSAGES, ORDINAL, BadSource
+from parley.shared import staged
+from parley.sources.records import array_records, command_records
 
 
 class Source(Protocol):
@@ -27,11 +28,6 @@ def _nullable(schema: T.StructType) -> T.StructType:
     return T.StructType([T.StructField(f.name, f.dataType, True) for f in schema.fields])
 
 
-def _typed(rows: DataFrame) -> DataFrame:
-    """Parsed rows in the column order of MESSAGES."""
-    return rows.select(*(f.name for f in MESSAGES.fields))
-
-
 def _rows(lines: DataFrame) -> tuple[DataFrame, Column]:
     """Lines (``value`` and further columns) parsed as ``m``, and whether one is malformed or lacks a field."""
     parsed = T.StructType([*_nullable(MESSAGES).fields, T.StructField("_bad", T.StringType())])
@@ -73,36 +69,34 @@ def _line_number(spark: SparkSession, path: str, bad) -> int:
     return _lines(spark, path).filter((F.col("_file") == bad["_file"]) & before).count() + 1
 
 
-def read_json_array(spark: SparkSession, path: str) -> DataFrame:
-    """Messages from a file that is one JSON array; any record that is none or lacks a field is an error."""
-    wrong = None
-    for f in MESSAGES.fields:
-        if not f.nullable:
-            wrong = F.col(f.name).isNull() if wrong is None else wrong | F.col(f.name).isNull()
+def _messages(records: DataFrame, place: Column) -> DataFrame:
+    """Messages of records (column ``value``), with the column ORDINAL; any that is malformed or lacks a field is an error."""
+    rows, wrong = _rows(records)
     try:
-        rows = spark.read.schema(_nullable(MESSAGES)).json(path, multiLine=True, mode="FAILFAST")
         lacking = rows.filter(wrong).count()
     except Exception as e:
         raise BadSource("the source is not an array of messages") from e
     if lacking:
         raise BadSource(f"{lacking} records of the source lack a field")
-    return _typed(rows)
+    return rows.select("m.*", place.alias(ORDINAL)).select(*(f.name for f in MESSAGES.fields), ORDINAL)
+
+
+def read_json_array(spark: SparkSession, path: str) -> DataFrame:
+    """Messages from files that are one JSON array each, with the column ORDINAL by their place; any record that is none or lacks a field is an error."""
+    return _messages(array_records(spark, path), F.struct("file", "place"))
 
 
 def read_command(spark: SparkSession, command: list[str], timeout: float = 600.0) -> DataFrame:
-    """Messages that a command prints as one JSON array; a failure carries what it says on its error stream."""
-    done = subprocess.run(command, capture_output=True, timeout=timeout, check=False)
-    if done.returncode:
-        raise BadSource(f"the source command failed with {done.returncode}: {done.stderr.decode(errors='replace').strip()[:500]}")
+    """Messages that a command prints as one JSON array, with the column ORDINAL; a failure carries what it says on its error stream.
+
+    The command runs once, in a task; its records are stored as they come.
+    """
     try:
-        records = json.loads(done.stdout)
-    except ValueError as e:
-        raise BadSource("the source command printed no JSON") from e
-    if not isinstance(records, list) or any(not isinstance(r, dict) for r in records):
-        raise BadSource("the source command printed no array of messages")
-    texts = spark.createDataFrame([(json.dumps(r),) for r in records], "value string")
-    rows = texts.select(F.from_json("value", _nullable(MESSAGES)).alias("m")).select("m.*")
-    return _typed(rows)
+        found = staged(command_records(spark, command, timeout))
+    except Exception as e:
+        said = re.search(r"the source command [^\n]*", str(e))
+        raise BadSource(said[0] if said else "the source command failed") from e
+    return _messages(found, F.struct("place"))
 
 
 class FrameSource:

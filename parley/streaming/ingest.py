@@ -12,22 +12,34 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from parley.plans.engine import Engine
-from parley.schema import MESSAGES
+from parley.schema import MESSAGES, ORDINAL
+
+
+#: Where a line of a stream comes from: files by the time of their writing, then their names, then places within.
+PLACE = ("_written", "_file", "_start")
 
 
 def message_stream(spark: SparkSession, path: str, files_per_trigger: int | None = None) -> DataFrame:
-    """Messages from a folder that JSON-lines files arrive in."""
-    reader = spark.readStream.schema(MESSAGES)
+    """Messages from a folder that JSON-lines files arrive in, with the columns PLACE."""
+    reader = spark.readStream
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.json(path)
+    of = ("file_modification_time", "file_path", "file_block_start")
+    lines = reader.text(path).filter(F.trim("value") != "").select("value", *(F.col(f"_metadata.{m}").alias(c) for m, c in zip(of, PLACE)))
+    return lines.select(F.from_json("value", MESSAGES).alias("m"), *PLACE).select("m.*", *PLACE)
 
 
 def sync_stream(engine: Engine, messages: DataFrame, checkpoint: str, available_now: bool = True) -> StreamingQuery:
-    """Sync each micro-batch; with ``available_now`` the query ends when all that is there has been read."""
+    """Sync each micro-batch; with ``available_now`` the query ends when all that is there has been read.
+
+    Of several rows of one key in a micro-batch the last counts, if the stream has the
+    columns PLACE: rows of a file's block come in order.
+    """
 
     def each(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
+            if set(PLACE) <= set(batch.columns):
+                batch = batch.withColumn(ORDINAL, F.struct(*PLACE, F.monotonically_increasing_id())).drop(*PLACE)
             engine.sync(batch, "stream")
 
     writer = messages.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
