@@ -1,7 +1,9 @@
 """Comparing a row with its predecessor without a task for each key.
 
 A window over a whole room puts the busiest room in one task.  Rooms are therefore
-cut into slices of time; within a slice a window does the work, and the few rows at
+cut into slices: by time, and where very many rows have one time or a short span, also at
+rows that a hash picks out, one of CUT_EACH on average, wherever they stand in the order.
+Within a slice a window does the work, and the few rows at
 slice edges get what they need from a table of one row a slice.  Without a slice length a
 plain window over the key does it, which is the shorter plan where the rows are known to
 be few.
@@ -16,12 +18,30 @@ from pyspark.sql import functions as F
 
 #: Seconds of a slice.
 SLICE_SECONDS = 86_400
+#: Of so many rows about one begins a new slice.
+CUT_EACH = 65_536
 
 
 def slice_of(ts: Column, seconds: int = SLICE_SECONDS) -> Column:
     return F.floor(F.unix_micros(ts) / F.lit(seconds * 1_000_000)).cast("bigint")
 
 
+def sliced(df: DataFrame, key: list[str], order: list[str], ts: str, seconds: int) -> DataFrame:
+    """``df`` with the column ``slice``: its span of time, and the number of picked rows of this span up to the row.
+
+    The picked rows are a hash's choice, so every reading of ``df`` cuts it alike; they
+    are joined to rows of their key and span, by a broadcast where Spark finds
+    them few, else in tasks that it can split.
+    """
+    span, place = slice_of(F.col(ts), seconds), F.struct(*order)
+    picked = df.filter(F.pmod(F.xxhash64(*key, *order), F.lit(CUT_EACH)) == 0)
+    cuts = picked.groupBy(*(F.col(c).alias(f"_k{i}") for i, c in enumerate(key)), span.alias("_s")).agg(F.collect_set(place).alias("_cuts"))
+    rows = df.withColumn("_span", span).join(cuts, (F.col("_span") == F.col("_s")) & _equal(key), "left")
+    number = F.coalesce(F.size(F.filter("_cuts", lambda c: c <= place)), F.lit(0))
+    rows = rows.withColumn("slice", F.struct(F.col("_span").alias("span"), F.greatest(number, F.lit(0)).alias("n")))
+    return rows.drop("_span", "_s", "_cuts", *(f"_k{i}" for i in range(len(key))))
+
+
 def with_previous(df: DataFrame, key: list[str], order: list[str], ts: str, carried: dict[str, Column], seconds: int | None = SLICE_SECONDS) -> DataFrame:
     """``df`` with the columns ``prev`` (a struct of ``carried`` of the row before in the order within the key) and, if cut, ``slice``.
 
@@ -30,7 +50,7 @@ def with_previous(df: DataFrame, key: list[str], order: list[str], ts: str, carr
     if seconds is None:
         own = F.struct(*(c.alias(n) for n, c in carried.items()))
         return df.withColumn("prev", F.lag(own).over(Window.partitionBy(*key).orderBy(*order)))
-    df = df.withColumn("slice", slice_of(F.col(ts), seconds)).withColumn("_own", F.struct(*(c.alias(n) for n, c in carried.items())))
+    df = sliced(df, key, order, ts, seconds).withColumn("_own", F.struct(*(c.alias(n) for n, c in carried.items())))
     inner = Window.partitionBy(*key, "slice").orderBy(*order)
     df = df.withColumn("prev", F.lag("_own").over(inner))
     edges = df.groupBy(*key, "slice").agg(F.max_by("_own", F.struct(*order)).alias("_last"))
@@ -56,7 +76,7 @@ def with_runs(
         df = df.withColumn("starts", F.col("prev").isNull() | starts(F.col("prev"))).drop("prev")
         upto = along.rowsBetween(Window.unboundedPreceding, Window.currentRow)
         return df.withColumn("opening", F.last(F.when(F.col("starts"), F.struct(*order)), ignorenulls=True).over(upto))
-    df = df.withColumn("slice", slice_of(F.col(ts), seconds)).withColumn("_own", F.struct(*(c.alias(n) for n, c in carried.items())))
+    df = sliced(df, key, order, ts, seconds).withColumn("_own", F.struct(*(c.alias(n) for n, c in carried.items())))
     inner = Window.partitionBy(*key, "slice").orderBy(*order)
     upto = inner.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     df = df.withColumn("prev", F.lag("_own").over(inner))

@@ -273,7 +273,7 @@ class Engine:
         slices = None if kept.few else SLICE_SECONDS
         tail = kept.keep(tail)
         fresh = kept.keep(build_chunks(tail, settings, slices))
-        n = some.num_rows + FEW if kept.few else tail.count()
+        n = some.num_rows + news.count() if kept.few else tail.count()
         old = {name: change.table(name, late[name]) for name in ("chunks", "windows", "gaps", "postings")}
         messages = change.table("messages", parts)
         light = fresh.select("chunk_id", "chat_id", "started_at", "text")

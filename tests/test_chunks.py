@@ -63,6 +63,24 @@ def test_chunks_against_a_plain_loop(spark, slice_seconds):
     assert rows_of(got) == sorted(want, key=repr)
 
 
+def test_an_instant_of_very_many_messages_is_cut_by_count(spark, monkeypatch):
+    """All messages of one room have one time: their slices stay small, and chunks and windows are those of the plain loops."""
+    from parley.operators import ordered
+
+    monkeypatch.setattr(ordered, "CUT_EACH", 50)
+    rows = [message(i, 5, "ab"[i // 7 % 2], text="x" * (i % 90), type_="text" if i % 11 else "type_2") for i in range(3000)]
+    rows += [message(9000 + i, i / 3, "ab"[i % 2], chat="d") for i in range(40)]
+    df = frame(spark, rows)
+    sizes = [r["count"] for r in ordered.sliced(df, ["chat_id"], ["timestamp", "message_id", "account_hash"], "timestamp", 86_400).groupBy("chat_id", "slice").count().collect()]
+    assert sum(sizes) == len(rows) and len(sizes) > 20 and max(sizes) < 800
+    got = build_chunks(df).select("chunk_id", "started_at", "ended_at", "text", "message_ids")
+    want = [(chunk_id(c[0][0], c[0][1], c[0][4], c[-1][4]), c[0][7], c[-1][7], "\n".join(r[8] for r in c), [r[4] for r in c]) for c in plain_chunks(rows)]
+    assert rows_of(got) == sorted(want, key=repr)
+    made = build_chunks(df)
+    assert rows_of(build_windows(made)) == rows_of(build_windows(made, slice_seconds=None))
+    assert rows_of(build_chunks(df, slice_seconds=None)) == rows_of(made)
+
+
 def test_two_accounts_break_chunks_and_no_message_is_lost(spark):
     rows = [message(i, i, account=a) for i in range(4) for a in ("x", "y")]
     chunks = build_chunks(frame(spark, rows))

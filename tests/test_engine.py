@@ -1,4 +1,6 @@
 import json
+import random
+import time
 
 import pytest
 from helpers import frame, message, rows_of
@@ -6,10 +8,11 @@ from helpers import frame, message, rows_of
 from parley.operators.vectors import DeterministicEmbedder
 from parley.plans.engine import Engine, result_json
 from parley.plans.freshness import recommendation
-from parley.plans.store import Files
+from parley.plans.store import Files, TableStore
 from parley.schema import BadConfig, BadSource, Busy, Config, EmptyQuery, IndexCorrupt, IndexMissing, IndexStale, NotConfirmed
 from parley.sources import tables
 from parley.sources.adapters import open_source, read_documents, read_json_array, read_jsonl
+from parley.sources.records import records
 from parley.streaming.ingest import message_stream, session_counts, sync_stream
 
 
@@ -121,6 +124,70 @@ def test_a_sync_writes_only_what_it_touches(spark, tmp_path):
     assert parts and engine.sync(frame(spark, [late]))["rebuilt_chats"] == 0
 
 
+def test_an_append_reads_only_what_can_hold_its_keys_and_ends(spark, tmp_path, monkeypatch):
+    """Of messages, gaps and places only the parts named by the keys and the change's time are read."""
+    from parley.plans import engine as module
+
+    monkeypatch.setattr(module, "DELTAS", 8)  # so that a small archive's places aren't gathered anew at once
+    engine = Engine(spark, str(tmp_path / "lake"))
+    month = 60 * 24 * 31
+    engine.sync(frame(spark, [message(10 * r + i, i * month, chat=f"r{r}") for r in range(4) for i in range(9)]))
+    whole = {n: set(t["parts"]) for n, t in engine.store.manifest()["tables"].items()}
+    read: dict[str, set] = {}
+    plain = TableStore.read
+
+    def noted(self, name, table, parts=None):
+        read.setdefault(name, set()).update(set(table["parts"]) if parts is None else set(parts) & set(table["parts"]))
+        return plain(self, name, table, parts)
+
+    monkeypatch.setattr(TableStore, "read", noted)
+    late = message(99, 8 * month + 600, chat="r1", text="late")
+    report = engine.sync(frame(spark, [late]))
+    assert (report["inserted"], report["total_messages"], report["chunks"]) == (1, 37, 37)
+    room = next(p[:4] for p in whole["chunks"] if len(read["chunks"]) == 1 and p in read["chunks"])
+    assert all(p.startswith(room) for n in ("messages", "chunks", "windows", "gaps", "postings") for p in read[n])
+    assert {n: len(read[n]) for n in ("messages", "chunks", "windows", "postings")} == {"messages": 1, "chunks": 1, "windows": 1, "postings": 1} and len(read["gaps"]) <= 2
+    assert len(read["message_places"]) <= 1 < len(whole["message_places"])
+    read.clear()
+    moved = engine.sync(frame(spark, [message(11, month, chat="r1", text="edited"), late]))
+    assert (moved["inserted"], moved["updated"], moved["unchanged"], moved["total_messages"]) == (0, 1, 1, 37)
+    assert len(read["message_places"]) <= 3  # two ids' buckets, and what the sync before added
+
+
+@pytest.mark.parametrize("few", [True, False])
+def test_many_small_changes_equal_a_full_build(spark, tmp_path, monkeypatch, few):
+    """Appends, edits, moves, deletions, replies across rooms and ids that two accounts share; places are gathered anew in between."""
+    from parley.plans import engine as module
+
+    monkeypatch.setattr(module, "DELTAS", 3)
+    monkeypatch.setattr(module, "FEW", 1000 if few else -1)
+    rng = random.Random(31)
+    config = Config(room_buckets=4)
+    engine = Engine(spark, str(tmp_path / "lake"), config)
+    reply = lambda: rng.choice([None, None, f"{rng.choice('ab')}-{rng.randrange(40)}"])
+    some = lambda n, ids: [message(i, rng.randrange(4000), rng.choice("xy"), chat=chat, reply=reply(), account=account, text=f"t{rng.randrange(9)}") for i in rng.choices(ids, k=n) for chat in "ab" for account in rng.choice([["p"], ["p", "q"]])]
+    engine.sync(frame(spark, list({(m[0], m[1], m[4]): m for m in some(20, range(30))}.values())))
+    for step in range(4):
+        batch = list({(m[0], m[1], m[4]): m for m in some(2, range(40))}.values())
+        if step == 2:
+            engine.sync(frame(spark, batch[:2]), prune="delete")
+        report = engine.sync(frame(spark, batch))
+        assert report["total_messages"] == engine.table("messages").count() and report["chunks"] == engine.table("chunks").count()
+    whole = Engine(spark, str(tmp_path / "whole"), config)
+    whole.sync(engine.table("messages"))
+    for name in ("messages", "chunks", "windows", "window_children", "reply_edges", "chunk_parent_refs", "postings", "gaps"):
+        assert rows_of(engine.table(name)) == rows_of(whole.table(name)), name
+
+
+def test_rooms_follow_renames(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"))
+    engine.sync(frame(spark, [message(1, name="Old"), message(1, chat="d", name="Other")]))
+    engine.sync(frame(spark, [message(2, 5, name="New"), message(3, 9, name="Newer")]))
+    assert rows_of(engine.table("chats").select("chat_id", "chat_name")) == [("c", "New"), ("d", "Other")]
+    engine.sync(frame(spark, [message(0, -5, name="Old again")]))
+    assert rows_of(engine.table("chats").select("chat_id", "chat_name")) == [("c", "Old again"), ("d", "Other")]
+
+
 def test_the_last_row_of_a_key_wins(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "lake"))
     rows = frame(spark, [message(1, text="zzz"), message(1, text="aaa")])
@@ -149,6 +216,70 @@ def test_a_second_writer_is_turned_away_and_a_dead_one_is_not_waited_for(spark,
     assert not engine.store.has("extra") and not engine.store.files.names("extra")
 
 
+def test_two_writers_who_find_one_stale_lock(spark, tmp_path):
+    """Only one of them gets the next lease, and a writer whose lease has passed on can't commit."""
+    store = TableStore(spark, str(tmp_path / "s"))
+    store.files.write("LOCK.000000000007", "of a writer that died")
+    with store.files.lock(stale_after=-1) as first:
+        assert first.file == "LOCK.000000000008" and store.files._leases("LOCK") == [first.file]
+        with pytest.raises(Busy), store.files.lock():  # it saw the dead one too, but comes second
+            pass
+    assert not store.files._leases("LOCK")
+    with pytest.raises(Busy), store.change() as change:
+        change.write("t", spark.range(2).toDF("x"))
+        store.files.write("LOCK.000000000002", "taken by another while this one slept")
+        change.commit()
+    assert not store.has("t") and not store.files.names("t") and store.files._leases("LOCK")[-1] == "LOCK.000000000002"
+    for lease in store.files._leases("LOCK"):
+        store.files.delete(lease)
+    with pytest.raises(Busy), store.change() as change:
+        change.write("t", spark.range(2).toDF("x"))
+        Files(spark, str(tmp_path / "s")).write("CURRENT", json.dumps({"version": 5, "tables": {}, "facts": {}, "dropped": []}))
+        change.commit()
+    with store.files.lock(stale_after=0.5) as held:
+        before = store.files.age(held.file)
+        time.sleep(1.2)
+        assert held.held() and store.files.age(held.file) < 1 and before < 1  # renewed meanwhile
+
+
+def test_a_call_reads_one_version(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"))
+    engine.sync(frame(spark, [message(1, text="alpha")]))
+    now = engine.store.manifest()
+    engine.sync(frame(spark, [message(2, 1, text="beta")]))
+    assert engine.table("chunks", now).count() == 1 and engine.table("chunks", now).first().text == "alpha" and engine.table("postings", now).count() == 2
+
+
+def test_records_of_an_array_in_pieces():
+    whole = [{"a": i, "b": "]},{" * (i % 3), "c": ["x", {"d": '"'}]} for i in range(50)]
+    for text in (json.dumps(whole), json.dumps(whole, indent=2), json.dumps(whole, ensure_ascii=False) + " \n"):
+        for size in (1, 7, 10_000):
+            assert [json.loads(r) for r in records(iter([text[i : i + size] for i in range(0, len(text), size)]))] == whole
+    assert list(records(iter([" [ ", "] "]))) == []
+    for bad in ("", "{}", "[1]", '[{"a":1}', '[{"a":1} {"b":2}]', '[{"a":1}] x', '[{"a":', "[,]"):
+        with pytest.raises(ValueError):
+            list(records(iter(bad)))
+
+
+def test_orders_of_sources(spark, tmp_path):
+    """Of two rows of a key in an array, in a command's output and in a stream the later one counts."""
+    both = [record(1, 0, "zzz first"), record(2, 1), record(1, 0, "aaa edited")]
+    (tmp_path / "a.json").write_text(json.dumps(both))
+    inbox = tmp_path / "in"
+    inbox.mkdir()
+    lines(inbox / "0.jsonl", both)
+    engines = [Engine(spark, str(tmp_path / f"lake{i}")) for i in range(3)]
+    engines[0].sync(open_source(spark, "array", str(tmp_path / "a.json")))
+    engines[1].sync(open_source(spark, "command", command=["cat", str(tmp_path / "a.json")]))
+    sync_stream(engines[2], message_stream(spark, str(inbox)), str(tmp_path / "cp")).awaitTermination()
+    for engine in engines:
+        assert {r.text for r in engine.table("messages").collect()} == {"aaa edited", "hello there"}
+    with pytest.raises(BadSource, match="no array"):
+        open_source(spark, "command", command=["echo", "nothing"]).messages()
+    with pytest.raises(BadSource):
+        open_source(spark, "command", command=["/nowhere/at/all"]).messages()
+
+
 def test_settings_are_followed(spark, tmp_path):
     from parley.operators.vectors import register_model
 
