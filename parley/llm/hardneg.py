@@ -355,3 +355,14 @@ def mine(
     near = near.select("block", "pos", F.col("rank").alias("band"), F.col("id").alias("positive_id"), score.alias("positive_score"))
     found = hard.join(near, ["block", "pos", "band"]).join(ids, ["block", "pos"])
     return found.select("anchor_id", "positive_id", "rank", F.col("id").alias("negative_id"), "positive_score", F.col("score").alias("negative_score"))
+
+
+#: The contract's rows over the table ``embeddings``, all scores of all anchors, in DuckDB's SQL.
+ORACLE = """WITH r AS (
+  SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda c: floor(256 * CAST(c AS DOUBLE))) AS x
+  FROM embeddings WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: isfinite(c))) = len(embedding)),
+s AS (SELECT a.vec_id AS anchor_id, a.label AS mine, r.vec_id, r.label, CAST(list_inner_product(a.x, r.x) AS BIGINT) AS score FROM r AS a JOIN r ON a.vec_id <> r.vec_id WHERE a.vec_id % 50 = 0),
+p AS (SELECT anchor_id, vec_id AS positive_id, score AS positive_score FROM s WHERE label = mine QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5),
+n AS (SELECT p.*, s.vec_id AS negative_id, s.score AS negative_score, row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY s.score DESC, s.vec_id) AS place
+  FROM p JOIN s ON s.anchor_id = p.anchor_id AND s.label <> s.mine WHERE 50 * positive_score <= 100 * s.score AND 100 * s.score <= 95 * positive_score)
+SELECT anchor_id, positive_id, CAST(place AS INTEGER) AS "rank", negative_id, positive_score, negative_score FROM n WHERE place <= 3"""

@@ -135,4 +135,4 @@ def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_telephony_audio, op2_toxicity_grammar, op3_language_spans, op4_sentence_spans, op5_pii_weak_supervision, op6_ngram_jaccard, op7_winnowing, op8_sentencepiece, op9_secret_scan, op10_quality_pu, op11_hard_negatives, op12_byte_bpe, op13_whitening)
 }
-ORACLES: dict[str, str] = {"op7_winnowing": decontam.ORACLE}
+ORACLES: dict[str, str] = {"op7_winnowing": decontam.ORACLE, "op11_hard_negatives": hardneg.ORACLE}
