@@ -128,7 +128,7 @@ def test_an_append_reads_only_what_can_hold_its_keys_and_ends(spark, tmp_path, m
     """Of messages, gaps and places only the parts named by the keys and the change's time are read."""
     from parley.plans import engine as module
 
-    monkeypatch.setattr(module, "DELTAS", 8)  # so that a small archive's places aren't gathered anew at once
+    monkeypatch.setattr(module, "DELTAS", 2)  # so that a small archive's places aren't gathered anew at once
     engine = Engine(spark, str(tmp_path / "lake"))
     month = 60 * 24 * 31
     engine.sync(frame(spark, [message(10 * r + i, i * month, chat=f"r{r}") for r in range(4) for i in range(9)]))
