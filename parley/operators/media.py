@@ -5,13 +5,15 @@ from __future__ import annotations
 import hashlib
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from parley.functions.jsonpath import as_long, as_text, object_only
 from parley.functions.text import safe_filename
+from parley.shared import file_system
 
 #: Message types by kind.
 KINDS = {"photo": (2, 27), "video": (3,), "file": (18,)}
@@ -112,6 +114,17 @@ def cache_path(root: str, chat_id: Column, key: Column, ending: Column | str) ->
     return F.concat(F.lit(root.rstrip("/") + "/"), F.sha1(F.reverse(chat_id.cast("string")).cast("binary")), F.lit("/"), F.sha1(F.reverse(key).cast("binary")), ending)
 
 
+def cache_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
+    """(path, length) of the files below cache folders, bodies unread; paths are written as ``cache_path`` writes them."""
+    frames = []
+    for root in roots:
+        base = root.rstrip("/")
+        files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(base).select("path", "length")
+        # what stands before the two last steps of a path is the root, however the file system spells it
+        frames.append(files.select(F.concat(F.lit(base + "/"), F.substring_index("path", "/", -2)).alias("path"), "length"))
+    return reduce(DataFrame.unionByName, frames)
+
+
 def first_cached(frames: DataFrame, key: Column, ending: str, roots: list[str], listing: DataFrame) -> DataFrame:
     """``frames`` with ``cached_path``: the path below the first root that the listing (path) has."""
     paths = F.array(*(F.struct(F.lit(i).alias("n"), cache_path(r, F.col("chatId"), key, ending).alias("p")) for i, r in enumerate(roots)))
@@ -193,9 +206,7 @@ def write_bodies(bodies: DataFrame, folder: str) -> DataFrame:
     """
 
     def written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        system, root = fs.FileSystem.from_uri(folder) if "://" in folder else (fs.LocalFileSystem(), folder)
+        system, root = file_system(folder)
         system.create_dir(root, recursive=True)
         for batch in batches:
             out: dict[str, list] = {"name": [], "bytes": [], "checksum_sha1": [], "error": []}

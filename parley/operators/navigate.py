@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions.text import untypable
-from parley.operators.ordered import SLICE_SECONDS, with_previous
+from parley.operators.ordered import SLICE_SECONDS, slice_of, with_previous
 from parley.schema import BadRoomName, MissingChunk
 
 SUMMARY = ["chunk_id", "account_hash", "chat_id", "chat_name", "sender_nickname", "started_at", "ended_at", "message_count"]
@@ -74,18 +74,25 @@ def chunk_context(chunks: DataFrame, children: DataFrame, chunk_id: str) -> Data
     return mine.crossJoin(F.broadcast(around)).crossJoin(F.broadcast(inside))
 
 
-def chat_identity(messages: DataFrame) -> DataFrame:
-    """(chat_id, chat_name, peers_later): how many other rooms of the name have a later last message."""
-    last = messages.groupBy("chat_id", "chat_name").agg(F.max("timestamp").alias("named"))
-    mine = messages.groupBy("chat_id").agg(F.max("timestamp").alias("last"), F.min_by("chat_name", F.struct("timestamp", "message_id")).alias("chat_name"))
-    peers = last.select(F.col("chat_id").alias("_p"), F.col("chat_name").alias("_n"), "named")
-    # the rank among rooms of one name comes from counts by time, not from pairs of rooms
-    marks = peers.select(F.col("_n").alias("n"), F.col("named").alias("t"), F.lit(1).alias("one"), F.col("_p").alias("p"), F.lit(None).cast("string").alias("ask"))
-    asks = mine.select(F.col("chat_name").alias("n"), F.col("last").alias("t"), F.lit(0).alias("one"), F.lit(None).cast("string").alias("p"), F.col("chat_id").alias("ask"))
-    later = Window.partitionBy("n").orderBy(F.col("t").desc()).rangeBetween(Window.unboundedPreceding, Window.currentRow)
-    same = Window.partitionBy("n", "t")
-    rows = marks.unionByName(asks).withColumn("_upto", F.sum("one").over(later) - F.sum("one").over(same))
-    return rows.filter("ask is not null").select(F.col("ask").alias("chat_id"), F.col("n").alias("chat_name"), F.col("_upto").cast("bigint").alias("peers_later"))
+def chat_identity(messages: DataFrame, slice_seconds: int = SLICE_SECONDS) -> DataFrame:
+    """(chat_id, chat_name, peers_later): how many other rooms of the name have a later last message.
+
+    Rooms are counted by name and time before anything is sorted.  Of a name that very
+    many rooms have, a window holds one number for each slice of time, or the different
+    times within one slice.
+    """
+    last = messages.groupBy("chat_id", "chat_name").agg(F.max("timestamp").alias("t"))
+    mine = messages.groupBy("chat_id").agg(F.max("timestamp").alias("t"), F.min_by("chat_name", F.struct("timestamp", "message_id")).alias("chat_name"))
+    marks = last.select(F.col("chat_name").alias("n"), "t", F.lit(1).alias("one")).unionByName(mine.select(F.col("chat_name").alias("n"), "t", F.lit(0).alias("one")))
+    times = marks.groupBy("n", "t").agg(F.sum("one").alias("c")).withColumn("slice", slice_of(F.col("t"), slice_seconds))
+    before = (Window.unboundedPreceding, -1)
+    slices = times.groupBy(F.col("n").alias("_n"), F.col("slice").alias("_s")).agg(F.sum("c").alias("_c"))
+    slices = slices.withColumn("_later", F.coalesce(F.sum("_c").over(Window.partitionBy("_n").orderBy(F.col("_s").desc()).rowsBetween(*before)), F.lit(0))).drop("_c")
+    times = times.withColumn("_in", F.coalesce(F.sum("c").over(Window.partitionBy("n", "slice").orderBy(F.col("t").desc()).rowsBetween(*before)), F.lit(0)))
+    later = times.join(slices, F.col("n").eqNullSafe(F.col("_n")) & (F.col("slice") == F.col("_s")))
+    later = later.select(F.col("n").alias("_n"), F.col("t").alias("_t"), (F.col("_later") + F.col("_in")).cast("bigint").alias("peers_later"))
+    rows = mine.join(later, F.col("chat_name").eqNullSafe(F.col("_n")) & (F.col("t") == F.col("_t")))
+    return rows.select("chat_id", "chat_name", "peers_later")
 
 
 def validate_room_name(spark, room: str) -> None:

@@ -141,17 +141,18 @@ def postings(chunks: DataFrame) -> DataFrame:
 
 
 def bm25_rows(index: DataFrame, query: str) -> DataFrame:
-    """(chunk_id, started_at, raw_score) of the chunks that hold every phrase of the query; the lower the score, the better.
+    """(chunk_id, chat_id where the index has it, started_at, raw_score) of the chunks that hold every phrase of the query; the lower the score, the better.
 
     Only the postings of the query's terms are read, and one row of every chunk for
     the totals; where a phrase stands is the common part of its terms' shifted places.
     """
     wanted = phrases(query)
+    own = [c for c in ("chat_id", "started_at") if c in index.columns]
     if not wanted:
-        return index.select("chunk_id", "started_at", F.lit(0.0).alias("raw_score")).filter("false")
+        return index.select("chunk_id", *own, F.lit(0.0).alias("raw_score")).filter("false")
     words = sorted({w for p in wanted for w in p})
     mine = index.filter(F.col("term").isin(words)).groupBy("chunk_id").agg(
-        F.max("len").alias("_len"), F.max("started_at").alias("started_at"), *(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_p{i}") for i, w in enumerate(words))
+        F.max("len").alias("_len"), *(F.max(c).alias(c) for c in own), *(F.first(F.when(F.col("term") == w, F.col("positions")), ignorenulls=True).alias(f"_p{i}") for i, w in enumerate(words))
     )
 
     def frequency(phrase: list[str]) -> Column:
@@ -159,7 +160,7 @@ def bm25_rows(index: DataFrame, query: str) -> DataFrame:
         return F.coalesce(F.size(reduce(F.array_intersect, places)), F.lit(0))
 
     found = [F.greatest(frequency(p), F.lit(0)).alias(f"_f{i}") for i, p in enumerate(wanted)]
-    mine = mine.select("chunk_id", "started_at", "_len", *found)
+    mine = mine.select("chunk_id", *own, "_len", *found)
     held = mine.agg(*(F.count(F.when(F.col(f"_f{i}") > 0, 1)).alias(f"_n{i}") for i in range(len(wanted))))
     totals = index.filter(F.col("term") == EVERY).agg(F.count(F.lit(1)).alias("_all"), F.avg("len").alias("_avg"))
     rows = mine.filter(reduce(lambda a, b: a & b, (F.col(f"_f{i}") > 0 for i in range(len(wanted)))))
@@ -170,13 +171,27 @@ def bm25_rows(index: DataFrame, query: str) -> DataFrame:
         idf = F.log((F.col("_all") - n + 0.5) / (n + 0.5))
         idf = F.when(idf > 0, idf).otherwise(LEAST_IDF)
         score = score + idf * (f * (K1 + 1) / (f + K1 * (1 - B + B * F.col("_len") / F.col("_avg"))))
-    return rows.select("chunk_id", "started_at", (-score).alias("raw_score"))
+    return rows.select("chunk_id", *own, (-score).alias("raw_score"))
 
 
 def _back(k: int) -> Callable[[Column], Column]:
     return lambda x: x - k
 
 
+def bm25_best(index: DataFrame, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
+    """(chunk_id, chat_id where the index has it, started_at, raw_score, rank, score) of the best chunks, worked out once: local rows."""
+    _checked(query)
+    order = [F.col("raw_score"), F.col("started_at"), F.col("chunk_id")]
+    best = ranked(bm25_rows(index, query), order, limit)
+    return index.sparkSession.createDataFrame(best.collect(), best.schema)
+
+
+def bm25_hits(chunks: DataFrame, best: DataFrame, query: str, length: int = 80, refs: DataFrame | None = None) -> DataFrame:
+    """Hits of the rows of ``bm25_best``."""
+    best = best.select("chunk_id", "raw_score", "rank", "score")
+    return hits(chunks.join(F.broadcast(best), "chunk_id"), "bm25", query, length, refs, best)
+
+
 def bm25_search(chunks: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, refs: DataFrame | None = None, index: DataFrame | None = None) -> DataFrame:
     """Chunks that hold every term of the query, best BM25 score first, then earliest.
 
@@ -184,12 +199,8 @@ def bm25_search(chunks: DataFrame, query: str, limit: int = DEFAULT_LIMIT, lengt
     The ids of the first ``limit`` chunks come to the driver and go out again to fetch
     their rows, so the ranking is worked out once.
     """
-    _checked(query)
     index = postings(chunks.select("chunk_id", "started_at", "text")) if index is None else index
-    order = [F.col("raw_score"), F.col("started_at"), F.col("chunk_id")]
-    best = ranked(bm25_rows(index, query), order, limit).select("chunk_id", "raw_score", "rank", "score")
-    best = chunks.sparkSession.createDataFrame(best.collect(), best.schema)
-    return hits(chunks.join(F.broadcast(best), "chunk_id"), "bm25", query, length, refs, best)
+    return bm25_hits(chunks, bm25_best(index, query, limit), query, length, refs)
 
 
 def term_search(windows: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, headers: bool = False) -> DataFrame:

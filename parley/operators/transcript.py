@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from parley.functions.text import is_feed, rfc3339, sanitized_part
+from parley.shared import file_system, staged
 
 
 def in_range(messages: DataFrame, chat_id: str | None = None, since: str | None = None) -> DataFrame:
@@ -84,3 +89,47 @@ def write_transcripts(messages: DataFrame, path: str, since: str | None = None)
     both = head.unionByName(body).repartitionByRange(*order).sortWithinPartitions(*order)
     both.select("file_name", F.col("line").alias("value")).write.partitionBy("file_name").mode("overwrite").text(path)
     return reports
+
+
+#: Bytes that a copy holds at once.
+COPIED = 8 << 20
+EXPORTED = "file_name string, bytes bigint"
+
+
+def export_transcripts(messages: DataFrame, path: str, parts: str, since: str | None = None) -> DataFrame:
+    """Write every room's transcript to one file below ``path``, and return the reports with the files' ``bytes``.
+
+    The lines are sorted and written as parts below ``parts``, a folder that all
+    executors reach and that can be removed afterwards.  Then a task for each file puts its parts together, block by
+    block, beside its place and moves it there: a file is whole or absent, a room may
+    be of any length, and a task that runs again does no harm.
+    """
+    reports = staged(write_transcripts(messages, parts, since))
+    if reports.filter("messages > 0").isEmpty():
+        return reports.withColumn("bytes", F.lit(None).cast("bigint"))
+    # the names of parts sort as their ranges do; bodies aren't read here
+    written = messages.sparkSession.read.format("binaryFile").load(parts)
+    files = written.groupBy("file_name").agg(F.array_sort(F.collect_list(F.struct("path", "length"))).alias("parts"))
+
+    def copied(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        target, root = file_system(path)
+        target.create_dir(root, recursive=True)
+        for batch in batches:
+            sizes = []
+            for name, pieces in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                # the end of the last line isn't part of the file
+                left = size = sum(p["length"] for p in pieces) - 1
+                beside = f"{root}/.{uuid.uuid4().hex}.part"
+                with target.open_output_stream(beside) as out:
+                    for piece in pieces:
+                        system, at = file_system(piece["path"])
+                        with system.open_input_stream(at) as source:
+                            while left > 0 and (block := source.read(min(COPIED, left))):
+                                out.write(block)
+                                left -= len(block)
+                target.move(beside, f"{root}/{name}")
+                sizes.append(size)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sizes, pa.int64())], names=["file_name", "bytes"])
+
+    done = staged(files.mapInArrow(copied, EXPORTED)).withColumnRenamed("file_name", "_f")
+    return reports.join(done, F.col("file_name") == F.col("_f"), "left").drop("_f")

@@ -4,15 +4,18 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from parley.operators.search import ranked, window_hits
+from parley.operators.search import window_hits
 from parley.schema import DEFAULT_LIMIT, BadConfig, Config, DimensionMismatch, EmptyQuery, checked_limit
 
 
@@ -119,15 +122,61 @@ def dot(vector: Column, query: list[float]) -> Column:
     return F.aggregate(F.zip_with(vector, q, lambda x, y: x * y), zero, lambda a, x: (a + x).cast("float"))
 
 
-def vector_topk(vectors: DataFrame, query: list[float], limit: int = DEFAULT_LIMIT, id_col: str = "chunk_id", vector_col: str = "vector") -> DataFrame:
-    """(id, raw_score, rank, score): the vectors with the greatest positive inner product, then the least id."""
+#: Vectors that a scan multiplies at once.
+BLOCK = 4_096
+
+
+def vector_topk(
+    vectors: DataFrame, query: list[float], limit: int = DEFAULT_LIMIT, id_col: str = "chunk_id", vector_col: str = "vector", carried: tuple[str, ...] = ()
+) -> DataFrame:
+    """(id, carried columns, raw_score, rank, score): the vectors with the greatest positive inner product, then the least id.
+
+    One scan: a task multiplies blocks of vectors by the query, place by place, so that
+    a sum is that of ``dot`` whatever block it is in, and keeps its best ``limit``; the
+    best of all tasks' come to the driver.  A vector of another length is an error.  Rows
+    without an id or a vector, or whose product isn't a number, take no part.
+    """
     if any(not math.isfinite(x) for x in query):
         raise DimensionMismatch("the query has places that aren't finite")
-    wrong = vectors.filter(F.size(vector_col) != len(query)).limit(1)
-    if wrong.count():
-        raise DimensionMismatch(f"the query has {len(query)} places, a vector has not")
-    rows = vectors.select(id_col, dot(F.col(vector_col), query).alias("raw_score")).filter("raw_score > 0")
-    return ranked(rows, [F.col("raw_score").desc(), F.col(id_col)], checked_limit(limit))
+    limit, dimension = checked_limit(limit), len(query)
+    places = np.array(query, dtype=np.float32)
+    kept = [vectors.schema[c] for c in (id_col, *carried)]
+    schema = T.StructType([*kept, T.StructField("raw_score", T.FloatType()), T.StructField("_wrong", T.BooleanType())])
+    order = [("_wrong", "descending"), ("raw_score", "descending"), (id_col, "ascending")]
+
+    def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best: pa.Table | None = None
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                block = batch.slice(at, BLOCK)
+                block = block.filter(pc.and_(pc.is_valid(block.column(0)), pc.is_valid(block.column(block.num_columns - 1))))
+                vector = block.column(block.num_columns - 1)
+                other = pc.not_equal(pc.list_value_length(vector), dimension)
+                wrong = bool(pc.any(other).as_py())
+                if wrong:  # one is enough to tell of
+                    block = block.filter(other).slice(0, 1)
+                    scores, chosen = np.zeros(1, dtype=np.float32), np.ones(1, dtype=bool)
+                else:
+                    matrix = np.ascontiguousarray(vector.flatten().to_numpy(zero_copy_only=False).reshape(len(vector), dimension).T)
+                    scores = np.zeros(len(vector), dtype=np.float32)
+                    with np.errstate(all="ignore"):
+                        for column, place in zip(matrix, places):
+                            scores += column * place
+                    chosen = scores > 0
+                columns = [*block.columns[:-1], pa.array(scores, pa.float32()), pa.array(np.full(len(scores), wrong), pa.bool_())]
+                found = pa.Table.from_arrays(columns, names=schema.names).filter(pa.array(chosen))
+                best = found if best is None else pa.concat_tables([best, found])
+                if best.num_rows > limit:
+                    best = best.take(pc.sort_indices(best, sort_keys=order)[:limit])
+        if best is not None:
+            yield from best.combine_chunks().to_batches()
+
+    rows = vectors.select(id_col, *carried, F.col(vector_col).cast("array<float>").alias("_vector")).mapInArrow(scanned, schema)
+    top = rows.orderBy(F.col("_wrong").desc(), F.col("raw_score").desc(), id_col).limit(limit).collect()
+    if top and top[0]["_wrong"]:
+        raise DimensionMismatch(f"the query has {dimension} places, a vector has not")
+    fields = [*kept, schema["raw_score"], T.StructField("rank", T.LongType()), T.StructField("score", T.DoubleType())]
+    return vectors.sparkSession.createDataFrame([(*r[:-1], n, 1 / n) for n, r in enumerate(top, 1)], T.StructType(fields))
 
 
 def reused_or_pending(windows: DataFrame, prior: DataFrame) -> DataFrame:
@@ -138,11 +187,14 @@ def reused_or_pending(windows: DataFrame, prior: DataFrame) -> DataFrame:
 
 
 def embedded(prepared: DataFrame, embedder: Embedder) -> DataFrame:
-    """(chunk_id, content_hash, heading_path, vector) of prepared windows; only missing vectors are made."""
+    """(chunk_id, content_hash, heading_path, chat_id, started_at, vector) of prepared windows; only missing vectors are made.
+
+    Room and time tell which part of the windows a hit is in.
+    """
     have = prepared.filter("vector is not null")
     new = prepared.filter("vector is null").withColumn("vector", embedder.embed(F.col("text")))
     rows = have.unionByName(new)
-    return rows.select(F.col("parent_id").alias("chunk_id"), "content_hash", F.col("chat_name").alias("heading_path"), "vector")
+    return rows.select(F.col("parent_id").alias("chunk_id"), "content_hash", F.col("chat_name").alias("heading_path"), "chat_id", "started_at", "vector")
 
 
 def merged_vectors(stored: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
@@ -168,15 +220,16 @@ def archive_revision(windows: DataFrame, shards: int = 256) -> str:
 
 
 def nearest(vectors: DataFrame, embedder: Embedder, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
-    """(chunk_id, raw_score, rank, score) of the vectors most like a query."""
+    """(chunk_id, chat_id, started_at, raw_score, rank, score) of the vectors most like a query: local rows."""
     if not query.strip():
         raise EmptyQuery("the query is empty")
-    return vector_topk(vectors, embedder.embed_query(query), limit)
+    return vector_topk(vectors, embedder.embed_query(query), limit, carried=("chat_id", "started_at"))
 
 
 def semantic_hits(windows: DataFrame, best: DataFrame, query: str, length: int = 80) -> DataFrame:
     """Window hits of ranked vectors."""
-    rows = windows.join(F.broadcast(best.withColumnRenamed("chunk_id", "_id")), F.col("parent_id") == F.col("_id")).drop("_id")
+    best = best.select(F.col("chunk_id").alias("_id"), "raw_score", "rank", "score")
+    rows = windows.join(F.broadcast(best), F.col("parent_id") == F.col("_id")).drop("_id")
     return window_hits(rows, "semantic", query, length)
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import types as T
 
 from parley.operators.chunking import gap_seconds
 from parley.operators.ordered import SLICE_SECONDS, with_runs
-from parley.schema import PARENT_GAP_SECONDS, PARENT_MAX_CHARS
+from parley.schema import PARENT_GAP_SECONDS, PARENT_MAX_CHARS, MissingChunk
 
 #: Chunks of a room follow their first messages.
 ORDER = ["started_at", "first_message_id", "account_hash"]
@@ -106,3 +106,18 @@ def build_windows(chunks: DataFrame, gap: int = PARENT_GAP_SECONDS, max_chars: i
 def window_children(windows: DataFrame) -> DataFrame:
     """(parent_id, chunk_id, ordinal): the chunks of windows."""
     return windows.select("parent_id", F.posexplode("child_chunk_ids").alias("ordinal", "chunk_id"))
+
+
+def with_children(windows: DataFrame, children: DataFrame) -> DataFrame:
+    """Windows with ``child_chunk_ids`` from a table of children (parent_id, chunk_id, ordinal), in the order of the ordinals.
+
+    A window without a row there gets an empty list; a child of a window that isn't
+    among ``windows`` is an error.
+    """
+    lost = children.join(windows.select("parent_id"), "parent_id", "left_anti").select("parent_id").limit(1).collect()
+    if lost:
+        raise MissingChunk(f"no window {lost[0][0]}, which has children")
+    lists = children.groupBy(F.col("parent_id").alias("_p")).agg(F.array_sort(F.collect_list(F.struct("ordinal", "chunk_id"))).alias("_c"))
+    rows = windows.drop("child_chunk_ids").join(lists, F.col("parent_id") == F.col("_p"), "left")
+    ids = F.coalesce(F.transform("_c", lambda c: c["chunk_id"]), F.array().cast("array<string>"))
+    return rows.withColumn("child_chunk_ids", ids).drop("_p", "_c")

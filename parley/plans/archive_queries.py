@@ -6,6 +6,7 @@ a user would take, and return what is in it.
 
 from __future__ import annotations
 
+import hashlib
 import plistlib
 import sys
 import uuid
@@ -359,6 +360,14 @@ def transcript_files(spark, d):
     return spark.read.text(path).filter("value <> ''").select("file_name", F.col("value").alias("line"))
 
 
+@query(f"SELECT file_name, octet_length(encode(body)) AS bytes, body FROM ({q.ORACLES['transcripts']})")
+def exported_transcripts(spark, d):
+    path = folder(spark)
+    reports = transcript.export_transcripts(q.feeds(spark, d), path, f"{path}-parts")
+    written = spark.read.text(path, wholetext=True).select(F.element_at(F.split(F.col("_metadata.file_path"), "/"), -1).alias("_name"), F.col("value").alias("body"))
+    return reports.join(written, F.col("file_name") == F.url_decode("_name")).select("file_name", "bytes", "body")
+
+
 @query(
     """WITH m AS (SELECT DISTINCT CAST(l_orderkey AS BIGINT) % 97 AS c, CAST(l_orderkey AS BIGINT) * 10 + l_linenumber AS l, l_linenumber AS n, CAST(floor(epoch_us(CAST(l_shipdate AS TIMESTAMP)) / 1000000) AS BIGINT) AS t FROM lineitem WHERE l_linenumber IN (1, 2)),
     b AS (SELECT c, l, t FROM m WHERE l % 3 <> 0 UNION ALL SELECT c, l, t + 86400 FROM m WHERE l % 2 = 0), k AS (SELECT c, l, max(t) AS t FROM b GROUP BY c, l),
@@ -382,6 +391,29 @@ def first_cached_paths(spark, d):
     return media.first_cached(frames, F.col("output_stem"), ".img", ["/one", "/two"], listing).select("chatId", "logId", "idx", "cached_path")
 
 
+@query(
+    """WITH p AS (SELECT s_suppkey AS k, sha1(reverse(CAST(s_suppkey % 7 AS VARCHAR))) || '/' || sha1(reverse('p' || s_suppkey)) || '.img' AS tail, s_name FROM supplier)
+    SELECT k, CASE WHEN k % 6 = 0 THEN 'one/' || tail WHEN k % 4 = 0 THEN 'two/' || tail END AS cached_path, CASE WHEN k % 12 = 0 THEN 2 WHEN k % 6 = 0 OR k % 4 = 0 THEN 1 ELSE 0 END AS copies FROM p"""
+)
+def listed_cache_files(spark, d):
+    """Which suppliers' bodies lie below two cache folders, by a listing of their files."""
+    k, root = F.col("s_suppkey"), folder(spark)
+    rows = v.load(spark, d, "supplier").select("s_suppkey", "s_name", (k % 7).alias("chatId"), k.alias("logId"), F.lit(0).alias("idx"), F.concat(F.lit("p"), k.cast("string")).alias("stem"))
+    for name, each in (("one", 6), ("two", 4)):
+        paths = media.cache_path("", F.col("chatId"), F.col("stem"), ".img")
+        bodies = rows.filter(k % each == 0).select(paths.alias("p"), F.col("s_name").cast("binary").alias("body"))
+        for room in range(7):  # a folder for each room
+            mine = bodies.filter(F.split("p", "/")[1] == F.sha1(F.lit(str(room)).cast("binary")))
+            media.write_bodies(mine.select(F.split("p", "/")[2].alias("name"), "body"), f"{root}/{name}/" + hashlib.sha1(str(room).encode()).hexdigest()).write.format("noop").mode("overwrite").save()
+    roots = [f"{root}/one", f"{root}/two"]
+    listing = media.cache_listing(spark, roots)
+    found = media.first_cached(rows, F.col("stem"), ".img", roots, listing)
+    tail = F.substring_index("path", "/", -2)
+    copies = listing.groupBy(tail.alias("_t")).agg(F.count(F.lit(1)).alias("copies"))
+    found = found.withColumn("_own", F.substring_index(media.cache_path("", F.col("chatId"), F.col("stem"), ".img"), "/", -2)).join(copies, F.col("_own") == F.col("_t"), "left")
+    return found.select(k.alias("k"), F.substring_index("cached_path", "/", -3).alias("cached_path"), F.coalesce("copies", F.lit(0)).alias("copies"))
+
+
 @query("SELECT s_suppkey, s_suppkey % 2 = 0 AS matches, s_name AS body FROM supplier")
 def checked_and_decrypted_bodies(spark, d):
     k = F.col("s_suppkey")

@@ -5,6 +5,7 @@ from __future__ import annotations
 import datetime as dt
 import json
 import time
+import uuid
 from collections.abc import Callable
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
@@ -19,7 +20,7 @@ from parley.operators.vectors import Embedder, archive_revision, embedder_of
 from parley.operators.windows import build_windows
 from parley.plans.freshness import recommendation
 from parley.plans.semantic import SemanticIndex
-from parley.plans.store import PART, Change, TableStore, bucket_of, by_part
+from parley.plans.store import PART, Change, Files, TableStore, bucket_of, by_part
 from parley.schema import DEFAULT_LIMIT, MESSAGE_KEY, MESSAGE_VALUES, MESSAGES, ORDINAL, PERIODS, ROOM, ChunkSettings, Config, IndexMissing, MissingChunk, ParleyError
 from parley.sources.adapters import Source, open_source
 
@@ -75,13 +76,17 @@ class Engine:
         self.embedder = embedder or embedder_of(self.config)
         self.index_store = SemanticIndex(spark, f"{self.root}/{self.config.semantic_dir}", self.embedder)
 
-    def table(self, name: str, now: dict | None = None) -> DataFrame:
-        """A table of the archive as it is now, or by a manifest that was read before: all of a call's tables are of one version."""
+    def table(self, name: str, now: dict | None = None, parts: set[str] | None = None) -> DataFrame:
+        """A table of the archive as it is now, or by a manifest that was read before: all of a call's tables are of one version.
+
+        With ``parts`` only these are read.
+        """
         tables = (now or self.store.manifest())["tables"]
         if name == "window_children":
-            windows = self.store.read("windows", tables["windows"])
+            windows = self.store.read("windows", tables["windows"], parts)
             return windows.select("chat_id", "started_at", "parent_id", F.posexplode("child_chunk_ids").alias("ordinal", "chunk_id"))
-        rows = self.store.read("reply_edges" if name == "chunk_parent_refs" else name, tables["reply_edges" if name == "chunk_parent_refs" else name])
+        stored = "reply_edges" if name == "chunk_parent_refs" else name
+        rows = self.store.read(stored, tables[stored], parts)
         if name == "reply_edges":
             return rows.drop("account_hash").distinct()
         if name == "chunk_parent_refs":
@@ -123,6 +128,10 @@ class Engine:
         parts = self._part(rows, ts).select(PART)
         return {r[0] for r in (parts if few else parts.distinct()).collect()}
 
+    def _holding(self, best: DataFrame) -> set[str]:
+        """The parts of the chunks or windows that hold ranked local rows: hits are fetched from these alone."""
+        return self._parts_of(best, "started_at", few=True)
+
     def _sync(self, change: Change, batch: DataFrame, kept: Kept, source_name: str, prune: str | None, touched: bool, began: float) -> dict:
         settings = self.config.chunks
         layout = {"period": self.config.archive_period, "buckets": self.config.room_buckets, "tables": LAYOUT}
@@ -372,13 +381,16 @@ class Engine:
     def search(self, ranker: str, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:
         """Hits by ``keyword``, ``bm25``, ``semantic`` or ``terms``."""
         length, now = self.config.snippet_length, self.store.manifest()
-        if ranker in ("keyword", "bm25"):
-            chunks, refs = self.table("chunks", now), self.table("chunk_parent_refs", now)
-            if ranker == "keyword":
-                return search.keyword_search(chunks, query, limit, length, refs)
-            return search.bm25_search(chunks, query, limit, length, refs, self.table("postings", now))
+        if ranker == "keyword":
+            return search.keyword_search(self.table("chunks", now), query, limit, length, self.table("chunk_parent_refs", now))
+        if ranker == "bm25":
+            best = search.bm25_best(self.table("postings", now), query, limit)
+            parts = self._holding(best)
+            refs = self.table("chunk_parent_refs", now, {p[:4] for p in parts})
+            return search.bm25_hits(self.table("chunks", now, parts), best, query, length, refs)
         if ranker == "semantic":
-            return self.index_store.search(self.table("windows", now), query, limit, length, lambda: self.store.manifest()["version"])
+            version = lambda: self.store.manifest()["version"]
+            return self.index_store.search(self.table("windows", now), query, limit, length, version, lambda best: self.table("windows", now, self._holding(best)))
         if ranker == "terms":
             return search.term_search(self.table("windows", now), query, limit, length)
         raise ParleyError(f"unknown ranker {ranker!r}")
@@ -410,7 +422,12 @@ class Engine:
         return source.chats().orderBy("chat_id")
 
     def transcript(self, path: str, chat_id: str | None = None, since: str | None = None) -> DataFrame:
-        return transcript.write_transcripts(transcript.in_range(self.table("messages"), chat_id), path, since)
+        """Write one file a room below ``path``; the reports of all rooms."""
+        parts = Files(self.spark, f"{self.root}/transcript-{uuid.uuid4().hex}")
+        try:
+            return transcript.export_transcripts(transcript.in_range(self.table("messages"), chat_id), path, parts.root, since)
+        finally:
+            parts.delete()
 
     def media_plan(self, rows: DataFrame, probes: DataFrame, now_epoch: int, **options) -> DataFrame:
         return media.tier_plan(media.media_frames(rows), probes, now_epoch, **options)

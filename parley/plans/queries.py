@@ -11,7 +11,7 @@ from parley.functions import text as tx
 from parley.functions.jsonpath import reply_parent
 from parley.operators import incremental, media, navigate, replies, search, transcript, upsert, vectors
 from parley.operators.chunking import build_chunks, chunk_boundaries, chunk_messages
-from parley.operators.windows import build_windows, window_children, window_numbers
+from parley.operators.windows import build_windows, window_children, window_numbers, with_children
 from parley.plans import views as v
 from parley.sources import tables as app
 
@@ -99,6 +99,12 @@ def parent_window_children(spark, d):
     return window_children(build_windows(build_chunks(v.conversation_messages(spark, d))))
 
 
+@query(f"{CV_WINDOWS} SELECT parent_id, chat_id, message_count, children AS child_chunk_ids FROM windows")
+def windows_with_children(spark, d):
+    made = v.archived(build_windows(build_chunks(v.conversation_messages(spark, d))))
+    return with_children(made.drop("child_chunk_ids"), window_children(made)).select("parent_id", "chat_id", "message_count", listed("child_chunk_ids"))
+
+
 @query(f"{CV_WINDOWS} SELECT chunk_id, CAST(f.win AS BIGINT) AS window_no FROM placed p JOIN fold f ON p.chat_id = f.chat_id AND p.b = f.b AND p.pos = f.pos")
 def window_fold(spark, d):
     return window_numbers(build_chunks(v.conversation_messages(spark, d))).select("chunk_id", "window_no")
@@ -324,13 +330,13 @@ def bm25_sql(phrases: list[list[str]], limit: int) -> str:
     counts = ", ".join(f"{count(p)} AS f{i}" for i, p in enumerate(phrases))
     held = ", ".join(f"count(*) FILTER (f{i} > 0) AS n{i}" for i in range(len(phrases)))
     score = " + ".join(
-        f"(CASE WHEN ln((a - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((a - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END) * f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / avg))" for i in range(len(phrases))
+        f"(CASE WHEN ln((a - n{i} + 0.5) / (n{i} + 0.5)) > 0 THEN ln((a - n{i} + 0.5) / (n{i} + 0.5)) ELSE 1e-6 END) * (f{i} * 2.2 / (f{i} + 1.2 * (0.25 + 0.75 * n / avg)))" for i in range(len(phrases))
     )
     every = " AND ".join(f"f{i} > 0" for i in range(len(phrases)))
     return f"""WITH {v.DC}, {TOKENS}, c AS (SELECT * EXCLUDE (w), len(w) AS n, {counts} FROM tok), tot AS (SELECT count(*) AS a, avg(n) AS avg, {held} FROM c),
-    s AS (SELECT chunk_id, started_at, round(-({score}), 9) AS raw_score FROM c, tot WHERE {every}),
+    s AS (SELECT chunk_id, started_at, -({score}) AS raw_score FROM c, tot WHERE {every}),
     r AS (SELECT *, row_number() OVER (ORDER BY raw_score, started_at, chunk_id) AS rank FROM s)
-    SELECT rank, chunk_id, raw_score FROM r WHERE rank <= {limit}"""
+    SELECT rank, chunk_id, round(raw_score, 9) AS raw_score FROM r WHERE rank <= {limit}"""
 
 
 def _index(spark, d) -> DataFrame:
@@ -339,8 +345,8 @@ def _index(spark, d) -> DataFrame:
 
 
 def _bm25(spark, d, text: str, limit: int) -> DataFrame:
-    rows = search.bm25_rows(_index(spark, d), text).withColumn("raw_score", F.round("raw_score", 9))
-    return search.ranked(rows, [F.col("raw_score"), F.col("started_at"), F.col("chunk_id")], limit).select("rank", "chunk_id", "raw_score")
+    found = search.bm25_search(v.document_chunks(spark, d), text, limit, index=_index(spark, d))
+    return found.select("rank", "chunk_id", F.round("raw_score", 9).alias("raw_score"))
 
 
 @query(bm25_sql([["license"], ["version"]], 100))
@@ -377,14 +383,13 @@ QUERY_VECTOR = [round(((i * 37) % 64 - 32) / 64, 6) for i in range(64)]
 
 
 @query(
-    f"""WITH s AS (SELECT vec_id, list_inner_product(CAST(embedding AS FLOAT[]), CAST({QUERY_VECTOR} AS FLOAT[])) AS p FROM embeddings),
-    r AS (SELECT vec_id, round(CAST(p AS DOUBLE), 4) AS raw_score FROM s WHERE p > 0), k AS (SELECT *, row_number() OVER (ORDER BY raw_score DESC, vec_id) AS rank FROM r)
-    SELECT rank, vec_id, raw_score FROM k WHERE rank <= 50"""
+    f"""WITH q AS (SELECT CAST({QUERY_VECTOR} AS FLOAT[]) AS q),
+    s AS (SELECT vec_id, list_reduce(list_transform(range(1, 65), lambda i: CAST(embedding[i] AS FLOAT) * q[i]), lambda a, x: a + x) AS raw_score FROM embeddings, q WHERE embedding IS NOT NULL),
+    k AS (SELECT *, row_number() OVER (ORDER BY raw_score DESC, vec_id) AS rank FROM s WHERE raw_score > 0) SELECT rank, vec_id, raw_score FROM k WHERE rank <= 50"""
 )
 def vector_topk(spark, d):
-    rows = v.load(spark, d, "embeddings").select("vec_id", vectors.dot(F.col("embedding"), QUERY_VECTOR).alias("p")).filter("p > 0")
-    rows = rows.select("vec_id", F.round(F.col("p").cast("double"), 4).alias("raw_score"))
-    return search.ranked(rows, [F.col("raw_score").desc(), F.col("vec_id")], 50).select("rank", "vec_id", "raw_score")
+    found = vectors.vector_topk(v.load(spark, d, "embeddings"), QUERY_VECTOR, 50, "vec_id", "embedding")
+    return found.select("rank", "vec_id", "raw_score")
 
 
 @query(
@@ -399,19 +404,19 @@ def embedding_buckets(spark, d):
 
 @query(
     rf"""{CV_WINDOWS}, tok AS (SELECT parent_id, unnest(list_filter(regexp_split_to_array(text, '\s+'), lambda t: t <> '')) AS t FROM windows),
-    cnt AS (SELECT parent_id, CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, CAST(count(*) AS DOUBLE) AS n FROM tok GROUP BY ALL),
-    qv AS (SELECT CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, CAST(count(*) AS DOUBLE) AS n FROM (SELECT unnest(['the', 'was', 'that', 'of']) AS t) GROUP BY 1),
-    p AS (SELECT parent_id, sum(cnt.n * coalesce(qv.n, 0)) / sqrt(sum(cnt.n * cnt.n)) / (SELECT sqrt(sum(n * n)) FROM qv) AS p FROM cnt LEFT JOIN qv USING (b) GROUP BY parent_id),
-    r AS (SELECT parent_id AS chunk_id, round(p, 3) AS raw_score, row_number() OVER (ORDER BY round(p, 3) DESC, parent_id) AS rank FROM p WHERE p > 0)
+    cnt AS (SELECT parent_id, CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, count(*) AS n FROM tok GROUP BY ALL),
+    len AS (SELECT parent_id, CAST(sqrt(CAST(sum(n * n) AS DOUBLE)) AS FLOAT) AS len FROM cnt GROUP BY parent_id),
+    qc AS (SELECT CAST('0x' || substr(sha256(t), 1, 2) AS INTEGER) AS b, count(*) AS n FROM (SELECT unnest(['the', 'was', 'that', 'of']) AS t) GROUP BY 1),
+    qv AS (SELECT b, CAST(n AS FLOAT) / (SELECT CAST(sqrt(CAST(sum(n * n) AS DOUBLE)) AS FLOAT) FROM qc) AS x FROM qc),
+    p AS (SELECT parent_id, list_reduce(list(CAST(n AS FLOAT) / len * x ORDER BY b), lambda a, y: a + y) AS raw_score FROM cnt JOIN len USING (parent_id) JOIN qv USING (b) GROUP BY parent_id),
+    r AS (SELECT parent_id AS chunk_id, raw_score, row_number() OVER (ORDER BY raw_score DESC, parent_id) AS rank FROM p WHERE raw_score > 0)
     SELECT rank, chunk_id, raw_score FROM r WHERE rank <= 50"""
 )
 def semantic_search(spark, d):
     made = v.archived(build_windows(build_chunks(v.conversation_messages(spark, d))))
     embedder = vectors.DeterministicEmbedder(256)
     pending = vectors.reused_or_pending(made, spark.createDataFrame([], "chunk_id string, content_hash string, vector array<float>"))
-    rows = vectors.embedded(pending, embedder).select("chunk_id", vectors.dot(F.col("vector"), embedder.embed_query("the was that of")).alias("p")).filter("p > 0")
-    best = search.ranked(rows.select("chunk_id", F.round(F.col("p").cast("double"), 3).alias("raw_score")), [F.col("raw_score").desc(), F.col("chunk_id")], 50)
-    return vectors.semantic_hits(made, best, "the was that of").select("rank", "chunk_id", "raw_score")
+    return vectors.semantic_search(made, vectors.embedded(pending, embedder), embedder, "the was that of", 50).select("rank", "chunk_id", "raw_score")
 
 
 # --- application tables ---------------------------------------------------------------------

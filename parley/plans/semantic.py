@@ -132,19 +132,24 @@ class SemanticIndex:
                     self.files.delete(f"generations/{old}")
             return {**facts, "reused": counts["all"] - counts["new"], "self_healed": healed}
 
-    def search(self, windows: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, version: Callable[[], int] | None = None) -> DataFrame:
+    def search(
+        self, windows: DataFrame, query: str, limit: int = DEFAULT_LIMIT, length: int = 80, version: Callable[[], int] | None = None,
+        holding: Callable[[DataFrame], DataFrame] | None = None,
+    ) -> DataFrame:
         """Hits by similarity; a missing, stale or damaged index is an error.
 
         The scan of the vectors is done here, and gives at most ``limit`` ids; then the
-        index and the archive are looked at again.  ``version`` tells the archive's.
+        index and the archive are looked at again.  ``version`` tells the archive's;
+        ``holding`` gives the windows of the parts that hold rows (chat_id, started_at).
         """
         before = version() if version else None
         name = self.verify(windows, before)
+        if "started_at" not in self.vectors().columns:
+            raise IndexStale("the index is of an older layout")
         best = nearest(self.vectors(), self.embedder, query, limit)
-        best = self.spark.createDataFrame(best.collect(), best.schema)
         if self._current() != name or version and version() != before:
             raise IndexStale("the index or the archive changed while the search was running")
-        return semantic_hits(windows, best, query, length)
+        return semantic_hits(holding(best) if holding else windows, best, query, length)
 
     def wipe(self, confirm: bool = False) -> None:
         if not confirm:

@@ -18,6 +18,18 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def file_system(path: str):
+    """(pyarrow file system, path within it) of a path as Spark writes it, with or without a scheme."""
+    from pyarrow import fs
+
+    scheme, found, rest = path.partition(":")
+    if not found or "/" in scheme or scheme == "file":
+        return fs.LocalFileSystem(), "/" + rest.lstrip("/") if scheme == "file" else path
+    host, _, inner = rest.removeprefix("//").partition("/")
+    system, base = fs.FileSystem.from_uri(f"{scheme}://{host}/")
+    return system, f"{base.rstrip('/')}/{inner}"
+
+
 def staged(df: DataFrame) -> DataFrame:
     """``df`` worked out once, in a table of the shared folder."""
     path = f"{shared_root(df.sparkSession)}/parley-{uuid.uuid4().hex}"

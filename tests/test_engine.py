@@ -400,3 +400,26 @@ def test_application_tables(spark):
     assert new["100-1"].sender_nickname == "나" and new["100-2"].reply_to_message_id == "100-1" and new["100-3"].reply_to_message_id is None
     assert new["100-3"].sender_nickname == "user-5" and new["100-3"].timestamp.year == 1970 and new["999-4"].chat_type == "direct"
     assert tables.merged_messages([old, tables.normalized(rows, rooms, users, 7)]).count() == 4
+
+
+def test_hits_are_fetched_from_their_parts(spark, tmp_path):
+    """A search reads the chunks or windows of the parts that its hits are in, and no others."""
+    engine = Engine(spark, str(tmp_path / "lake"), embedder=DeterministicEmbedder(64))
+    rows = [message(n, n * 50_000, chat=f"r{n % 3}", text="needle here" if n == 5 else f"hay{n}") for n in range(12)]
+    engine.sync(frame(spark, rows))
+    engine.index()
+    for ranker, name in (("bm25", "chunks"), ("semantic", "windows")):
+        every = {f for f in engine.table(name).inputFiles()}
+        found = engine.search(ranker, "needle here")
+        read = {f for f in found.inputFiles() if f"/{name}/" in f}
+        assert 0 < len(read) <= found.count() < len(every) and read < every
+        assert "needle" in found.orderBy("rank").first().snippet
+
+
+def test_engine_writes_one_file_a_room(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"))
+    engine.sync(frame(spark, [message(n, n, chat=f"r{n % 2}") for n in range(8)]))
+    reports = engine.transcript(str(tmp_path / "out")).collect()
+    files = {p.name: p.stat().st_size for p in (tmp_path / "out").iterdir() if p.suffix == ".md"}
+    assert files == {r.file_name: r.bytes for r in reports} and len(files) == 2
+    assert not list((tmp_path / "lake").glob("transcript-*"))

@@ -1,16 +1,19 @@
+import pathlib
+import random
 import sqlite3
 
 import pytest
 from helpers import T0, frame, message, rows_of
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from parley.functions import text as tx
 from parley.functions.jsonpath import reply_parent
 from parley.functions.plist import int_array
 from parley.operators import media, navigate, replies, search, transcript, upsert, vectors
 from parley.operators.chunking import build_chunks
-from parley.operators.windows import build_windows, window_children
-from parley.schema import BadRoomName, Config, DimensionMismatch, EmptyQuery, InvalidLimit, MissingChunk
+from parley.operators.windows import build_windows, window_children, with_children
+from parley.schema import MESSAGES, BadRoomName, Config, DimensionMismatch, EmptyQuery, InvalidLimit, MissingChunk
 
 
 def one(spark, column):
@@ -159,6 +162,31 @@ def test_chat_identity(spark):
     assert rows_of(navigate.chat_identity(rows)) == [("a", "Room", 2), ("b", "Room", 0), ("e", "Room", 0), ("f", "Other", 0)]
 
 
+def test_chat_identity_of_a_common_name(spark):
+    """Very many rooms of one name, or of none, with ties, over several slices."""
+    rng = random.Random(5)
+    rows = [message(n, rng.choice([0, 1, 1440, 3000, 9000]) + rng.randrange(3), chat=f"r{n % 700}", name=None if n % 7 == 0 else "Hot" if n % 3 else "Cold") for n in range(1500)]
+    names, last, named = {}, {}, {}
+    for row in rows:
+        key = (row[7], row[4])
+        last[row[1]] = max(last.get(row[1], row[7]), row[7])
+        named[row[1], row[2]] = max(named.get((row[1], row[2]), row[7]), row[7])
+        names[row[1]] = min(names.get(row[1], (key, row[2])), (key, row[2]), key=lambda x: x[0])
+    want = [(room, names[room][1], sum(n == names[room][1] and t > last[room] for (_, n), t in named.items())) for room in last]
+    schema = T.StructType([T.StructField(f.name, f.dataType) for f in MESSAGES.fields])
+    assert rows_of(navigate.chat_identity(spark.createDataFrame(rows, schema))) == sorted(want, key=repr)
+
+
+def test_children_of_windows(spark):
+    windows = build_windows(build_chunks(frame(spark, [message(n, n * 3, "ab"[n % 2]) for n in range(9)]))).cache()
+    children = window_children(windows)
+    assert rows_of(with_children(windows.drop("child_chunk_ids"), children).select(windows.columns)) == rows_of(windows)
+    none = with_children(windows, children.limit(0)).select("child_chunk_ids").first()[0]
+    assert none == []
+    with pytest.raises(MissingChunk):
+        with_children(windows, children.unionByName(spark.createDataFrame([("window_x", 0, "c")], children.schema)))
+
+
 def test_vectors(spark):
     made = vectors.DeterministicEmbedder(768)
     assert vectors.term_bucket("보고서", 768) == 257
@@ -174,6 +202,27 @@ def test_vectors(spark):
         vectors.DeterministicEmbedder(0)
 
 
+def test_vector_scan_in_blocks(spark):
+    """Thousands of equal vectors tie by id whatever block they are in; absent ids, vectors and products that aren't numbers take no part."""
+    rng = random.Random(3)
+    rows = [(n, 1, [1.0, 0.5, 0.25]) for n in range(6000)] + [(6000 + n, 2, [rng.uniform(-1, 1) for _ in range(3)]) for n in range(3000)]
+    rng.shuffle(rows)
+    rows += [(None, 3, [9.0, 9.0, 9.0]), (9000, 3, None), (9001, 3, [None, 9.0, 9.0]), (9002, 3, [float("nan"), 1.0, 1.0]), (9003, 3, [0.0, 0.0, 0.0])]
+    frame_ = spark.createDataFrame(rows, "id bigint, room int, v array<float>")
+    query = [0.3, 0.7, -0.1]
+    plain = {r.id: r.p for r in frame_.filter("id is not null").select("id", vectors.dot(F.col("v"), query).alias("p")).collect() if r.p is not None and r.p > 0}
+    best = sorted(plain, key=lambda k: (-plain[k], k))
+    for parts, limit in ((1, 50), (7, 5000)):
+        got = vectors.vector_topk(frame_.repartition(parts), query, limit, "id", "v", ("room",)).orderBy("rank").collect()
+        assert [(r.id, r.raw_score) for r in got] == [(k, plain[k]) for k in best[:limit]]
+        assert all(r.room == (1 if r.id < 6000 else 2) and r.score == 1 / r["rank"] for r in got)
+    assert vectors.vector_topk(frame_.limit(0), query, 5, "id", "v").count() == 0
+    with pytest.raises(DimensionMismatch):
+        vectors.vector_topk(frame_.unionByName(spark.createDataFrame([(-1, 1, [1.0])], frame_.schema)), query, 5, "id", "v")
+    with pytest.raises(DimensionMismatch):
+        vectors.vector_topk(frame_, [float("nan")] * 3, 5, "id", "v")
+
+
 def test_transcript(spark, tmp_path):
     rows = frame(spark, [message(1, text="hi"), message(2, 1, text='{"feedType":1}', type_="type_0"), message(3, 2, text="a\nb"), message(1, 0, chat="x y", text='{"member":1}', type_="type_0")])
     got = transcript.transcripts(rows).collect()
@@ -186,6 +235,24 @@ def test_transcript(spark, tmp_path):
     assert transcript.transcripts(transcript.in_range(rows, "c", "2024-01-01T18:01:30+09:00")).first().file_name == "c-3-3.md"
 
 
+def test_transcripts_as_single_files(spark, tmp_path):
+    """The parts of a room make up its file byte by byte, however many they are."""
+    rows = [message(n, n % 90, text=f"line {n}\n" + "é" * (n % 7), chat=f"r {n % 3}") for n in range(900)]
+    rows += [message(9, 0, chat="only feeds", text='{"feedType":1}', type_="type_0")]
+    rows = frame(spark, rows).repartition(5)
+    want = {r.file_name: r.body.encode() for r in transcript.transcripts(rows).collect()}
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # else so few lines are one part
+    try:
+        reports = transcript.export_transcripts(rows, str(tmp_path / "out"), str(tmp_path / "parts")).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(list((tmp_path / "parts").glob("*/part-*.txt"))) > 3
+    assert {p.name: p.read_bytes() for p in (tmp_path / "out").iterdir() if not p.name.endswith(".crc")} == want and len(want) == 3
+    assert {r.chat_id: r.bytes for r in reports} == {"only feeds": None} | {r.chat_id: len(want[r.file_name]) for r in reports if r.file_name}
+    none = transcript.export_transcripts(rows.filter("chat_id = 'only feeds'"), str(tmp_path / "none"), str(tmp_path / "none-parts"))
+    assert [(r.messages, r.bytes) for r in none.collect()] == [(0, None)]
+
+
 MEDIA = "chatId bigint, logId bigint, authorId bigint, type bigint, sentAt bigint, attachment string"
 
 
@@ -215,6 +282,20 @@ def test_media_frames_and_tiers(spark):
     assert [r.logId for r in media.media_rows(rows, limit=2, kinds=["image"]).collect()] == [1, 2]
 
 
+def test_cache_listing(spark, tmp_path):
+    frames = spark.createDataFrame([(1, 5, 0, "5"), (1, 6, 0, "6"), (2, 7, 0, "7")], "chatId bigint, logId bigint, idx bigint, stem string")
+    roots = [str(tmp_path / "a b"), str(tmp_path / "b")]
+    paths = {(root, r.stem): r.p for root in roots for r in frames.select("stem", media.cache_path(root, F.col("chatId"), F.col("stem"), ".img").alias("p")).collect()}
+    for at in ((roots[0], "5"), (roots[1], "5"), (roots[1], "7")):
+        path = pathlib.Path(paths[at])
+        path.parent.mkdir(parents=True, exist_ok=True)
+        path.write_bytes(b"abc")
+    listing = media.cache_listing(spark, roots)
+    assert sorted(map(tuple, listing.collect())) == sorted((paths[at], 3) for at in ((roots[0], "5"), (roots[1], "5"), (roots[1], "7")))
+    got = {r.logId: r.cached_path for r in media.first_cached(frames, F.col("stem"), ".img", roots, listing).collect()}
+    assert got == {5: paths[roots[0], "5"], 6: None, 7: paths[roots[1], "7"]}
+
+
 def test_cached_bodies(spark):
     body = b"\xff\xd8\xff" + b"picture"
     sealed = F.aes_encrypt(F.lit(b"w" * 256 + body), F.unhex(F.sha2(F.lit("pass").cast("binary"), 256)), F.lit("CBC"), F.lit("PKCS"))
