@@ -21,8 +21,7 @@ Work on a text grows with its length, except where looser spans overlap base one
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -205,29 +204,23 @@ def reliabilities(counts: dict[Pattern, float], rounds: int = 60) -> dict[Patter
     votes at all; without votes both are as likely.  Starts from the majority of the votes and is smoothed, so a
     labeler that never votes counts for nothing.
     """
-    prob = {p: 1 / (1 + math.exp(-1.5 * sum(p[1]))) for p in counts}
     if not counts:
-        return prob
-    width = len(next(iter(counts))[1])
+        return {}
+    n = np.array(list(counts.values()))
+    cast = np.array([p[1] for p in counts])
+    yes, no = (cast == 1).astype(float), (cast == -1).astype(float)
+    prob = 1 / (1 + np.exp(-1.5 * cast.sum(axis=1)))
     for _ in range(rounds):
-        rate = [[{1: 2.0, -1: 6.0}, {1: 6.0, -1: 2.0}] for _ in range(width)]
-        for p, n in counts.items():
-            for c, w in ((1, n * prob[p]), (0, n * (1 - prob[p]))):
-                for k, v in enumerate(p[1]):
-                    if v:
-                        rate[k][c][v] += w
-        new = {}
-        for p in counts:
-            odds = 0.0
-            for k, v in enumerate(p[1]):
-                if v:
-                    odds += math.log(rate[k][1][v] / sum(rate[k][1].values())) - math.log(rate[k][0][v] / sum(rate[k][0].values()))
-            new[p] = 1 / (1 + math.exp(-max(-30.0, min(30.0, odds))))
-        moved = max(abs(new[p] - prob[p]) for p in counts)
+        weight = np.stack([n * prob, n * (1 - prob)])
+        said_yes, said_no = weight @ yes + [[6.0], [2.0]], weight @ no + [[2.0], [6.0]]
+        rate = np.log([said_yes / (said_yes + said_no), said_no / (said_yes + said_no)])
+        odds = yes @ (rate[0][0] - rate[0][1]) + no @ (rate[1][0] - rate[1][1])
+        new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
+        moved = np.abs(new - prob).max()
         prob = new
         if moved < 1e-9:
             break
-    return prob
+    return dict(zip(counts, prob.tolist()))
 
 
 def features(p: Full) -> list[float]:
@@ -239,19 +232,17 @@ def features(p: Full) -> list[float]:
 
 def classifier(counts: dict[Full, float], prob: dict[Pattern, float], steps: int = 400, decay: float = 0.002) -> list[float]:
     """Weights of a logistic regression on the estimated probabilities, each pattern with the logarithm of its count."""
-    rows = [(features(p), prob[p[:2]], math.log1p(n)) for p, n in sorted(counts.items())]
-    width = 2 * len(LABELERS) + len(KINDS) + sum(FEATURES.values()) + 1
-    w = [0.0] * width
-    total = sum(n for *_, n in rows) or 1.0
+    if not counts:
+        return [0.0] * (2 * len(LABELERS) + len(KINDS) + sum(FEATURES.values()) + 1)
+    patterns = sorted(counts)
+    x, y = np.array([features(p) for p in patterns]), np.array([prob[p[:2]] for p in patterns])
+    n = np.log1p([counts[p] for p in patterns])
+    n /= n.sum()
+    w = np.zeros(x.shape[1])
     for _ in range(steps):
-        g = [decay * x for x in w]
-        for x, y, n in rows:
-            e = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x)))))) - y
-            for k, v in enumerate(x):
-                if v:
-                    g[k] += n * e * v / total
-        w = [a - 1.0 * b for a, b in zip(w, g)]
-    return w
+        e = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30))) - y
+        w -= decay * w + (n * e) @ x
+    return w.tolist()
 
 
 def fit(found: DataFrame) -> list[float]:

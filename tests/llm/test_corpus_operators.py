@@ -12,6 +12,7 @@ from types import SimpleNamespace
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from test_corpus_units import plain_weak_supervision
 
 import corpus_pipeline
 from parley.llm import common, decontam, langid, neardup, pieces, pii, quality, secrets, spans, telephony, toxicity
@@ -294,6 +295,22 @@ def test_looser_personal_data_is_decided_by_the_votes(spark):
     assert [(x.start, x.end) for x in got[3].base] == [(8 * i, 8 * i + 7) for i in range(600)]
 
 
+def test_added_spans_are_those_that_plain_loops_accept(spark):
+    rng = random.Random(32)
+    number = lambda k: "".join(rng.choices("0123456789", k=k))
+    forms = [lambda: f"phone: {number(3)}-{number(3)}-{number(4)}", lambda: f"order no. {number(3)}-{number(3)}-{number(4)}", lambda: f"ssn {number(3)}-{number(2)}-{number(4)}", lambda: f"card {number(16)}", lambda: f"IBAN DE{number(2)} {number(4)} {number(4)} {number(4)}", lambda: f"write j{number(2)} (at) mail (dot) org", lambda: f"x{number(3)}-{number(2)}-{number(4)}y", lambda: f"jane{number(1)}@mail.org", lambda: f"{number(2)}.{number(3)}.1.{number(1)}"]
+    docs = spark.createDataFrame([(i, " so it is ".join(rng.choice(forms)() for _ in range(rng.randrange(5)))) for i in range(240)], "doc_id long, text string")
+    key = lambda x: (x.kind, tuple(x.votes), tuple(x.features))
+    loose, every = {}, []
+    for r in pii.candidates(docs, F.col("text"), F.col("doc_id")).collect():
+        loose[r.doc_id] = [(key(x), x.start, x.end) for x in r.loose]
+        every += [key(x) for x in (*r.base, *r.loose)]
+    score = plain_weak_supervision(every)
+    got = {r.doc_id: [(key(x), x.start, x.end) for x in r.added] for r in pii.detect(docs, F.col("text"), F.col("doc_id")).collect()}
+    assert got == {i: [x for x in spans if score[x[0]] >= 0] for i, spans in loose.items()}
+    assert 0 < sum(map(len, got.values())) < sum(map(len, loose.values()))
+
+
 def test_pii_mask(spark):
     docs = documents(spark, [(1, "🙂 write a@b.cd or 1.2.3.4."), (2, "none")])
     found = pii.detect(docs, F.col("text"), F.col("doc_id"), F.col("text").alias("t"))

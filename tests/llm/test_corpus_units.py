@@ -506,3 +506,54 @@ def test_reliabilities_find_the_good_labelers():
     z = lambda p: sum(a * b for a, b in zip(w, pii.features(p)))
     assert z((4, (0, 1, 1, 1, 0, 0, 1), (0, 1, 1, 1))) > 0 > z((4, (0, -1, -1, -1, 0, 0, 1), (0, 1, 1, 1)))
     assert pii.reliabilities({}) == {}
+
+
+def plain_weak_supervision(candidates, rounds=60, steps=400):
+    """The decision on each of (kind, votes, features), worked out candidate by candidate in plain loops."""
+    squash = lambda z: 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    labelers = range(len(candidates[0][1]))
+    belief = [1 / (1 + math.exp(-1.5 * sum(v))) for _, v, _ in candidates]
+    for _ in range(rounds):
+        said = {(c, k, v): 6.0 if (v > 0) == c else 2.0 for c in (True, False) for k in labelers for v in (1, -1)}
+        for (_, votes, _), p in zip(candidates, belief):
+            for k, v in enumerate(votes):
+                if v:
+                    said[True, k, v] += p
+                    said[False, k, v] += 1 - p
+        share = {at: n / (n + said[at[0], at[1], -at[2]]) for at, n in said.items()}
+        new = [squash(sum(math.log(share[True, k, v] / share[False, k, v]) for k, v in enumerate(votes) if v)) for _, votes, _ in candidates]
+        moved = max(abs(a - b) for a, b in zip(belief, new))
+        belief = new
+        if moved < 1e-9:
+            break
+    seen = {}
+    for c, p in zip(candidates, belief):
+        seen[c] = (p, seen.get(c, (p, 0))[1] + 1)
+    marks = lambda c: ["always", ("kind", c[0]), *(("vote", k, v) for k, v in enumerate(c[1]) if v), *(("feature", k, v) for k, v in enumerate(c[2]))]
+    weight, total = {}, sum(math.log1p(n) for _, n in seen.values())
+    score = lambda c: sum(weight.get(m, 0.0) for m in marks(c))
+    for _ in range(steps):
+        step = {m: 0.002 * w for m, w in weight.items()}
+        for c, (p, n) in seen.items():
+            for m in marks(c):
+                step[m] = step.get(m, 0.0) + math.log1p(n) * (squash(score(c)) - p) / total
+        for m, g in step.items():
+            weight[m] = weight.get(m, 0.0) - g
+    return {c: score(c) for c in seen}
+
+
+def test_fitted_classifier_equals_plain_loops():
+    rng = random.Random(31)
+    for size in (1, 40, 400):
+        candidates = []
+        for _ in range(size):
+            kind, y = rng.randrange(len(pii.KINDS)), rng.random() < 0.6
+            votes = tuple(rng.choice((0, (1 if y else -1) if rng.random() < 0.8 else (-1 if y else 1))) for _ in pii.LABELERS)
+            candidates.append((kind, votes, tuple(rng.randrange(n) for n in pii.FEATURES.values())))
+        want = plain_weak_supervision(candidates)
+        full, counts = {}, {}
+        for c in candidates:
+            full[c], counts[c[:2]] = full.get(c, 0.0) + 1, counts.get(c[:2], 0.0) + 1
+        w = pii.classifier(full, pii.reliabilities(counts))
+        assert all(abs(sum(a * b for a, b in zip(w, pii.features(c))) - z) < 1e-6 for c, z in want.items())
+    assert set(pii.classifier({}, {})) == {0.0}
