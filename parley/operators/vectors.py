@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from typing import Protocol
 
 import numpy as np
@@ -186,15 +186,19 @@ def reused_or_pending(windows: DataFrame, prior: DataFrame) -> DataFrame:
     return now.join(old, (F.col("parent_id") == F.col("_id")) & (F.col("content_hash") == F.col("_hash")), "left").drop("_id", "_hash")
 
 
-def embedded(prepared: DataFrame, embedder: Embedder) -> DataFrame:
-    """(chunk_id, content_hash, heading_path, chat_id, started_at, vector) of prepared windows; only missing vectors are made.
+#: Stored vectors.
+VECTORS = "chunk_id string, content_hash string, heading_path string, chat_id string, started_at timestamp, vector array<float>"
+
+
+def embedded(prepared: DataFrame, embedder: Embedder, *carried: str) -> DataFrame:
+    """VECTORS of prepared windows and carried columns; only missing vectors are made.
 
     Room and time tell which part of the windows a hit is in.
     """
     have = prepared.filter("vector is not null")
     new = prepared.filter("vector is null").withColumn("vector", embedder.embed(F.col("text")))
     rows = have.unionByName(new)
-    return rows.select(F.col("parent_id").alias("chunk_id"), "content_hash", F.col("chat_name").alias("heading_path"), "chat_id", "started_at", "vector")
+    return rows.select(F.col("parent_id").alias("chunk_id"), "content_hash", F.col("chat_name").alias("heading_path"), "chat_id", "started_at", "vector", *carried)
 
 
 def merged_vectors(stored: DataFrame, new: DataFrame, dimension: int) -> DataFrame:
@@ -204,19 +208,27 @@ def merged_vectors(stored: DataFrame, new: DataFrame, dimension: int) -> DataFra
     return stored.join(new.select("chunk_id"), "chunk_id", "left_anti").unionByName(new)
 
 
-def archive_revision(windows: DataFrame, shards: int = 256) -> str:
-    """A digest of the windows' ids and contents.
+def digest_sums(id_: Column, content: Column, at: Column) -> list[Column]:
+    """Aggregates (low, high, n) that tell sets of (id, content hash, time) apart, whatever the order of the rows."""
+    row = F.sha2(F.concat_ws("\x1f", id_, content, F.unix_micros(at).cast("string")), 256)
+    low, high = (F.conv(F.substring(row, k, 12), 16, 10).cast("decimal(20,0)") for k in (1, 13))
+    return [F.sum(low).alias("low"), F.sum(high).alias("high"), F.count(F.lit(1)).alias("n")]
+
+
+def revision_of(sums: Iterable[tuple[int, int, int]]) -> str:
+    """The revision of windows whose parts have these sums."""
+    low, high, n = (sum(x) for x in zip((0, 0, 0), *sums))
+    return hashlib.sha256(f"{low}:{high}:{n}".encode()).hexdigest()
+
+
+def archive_revision(windows: DataFrame) -> str:
+    """A digest of the windows' ids, contents and times.
 
-    The rows' digests are summed by shard, so that it doesn't need a global order or
-    the rows on one machine; what reaches the driver is a row for each shard.
+    The rows' digests are summed, so that it needs no order and can be put together from
+    those of parts; one row reaches the driver.
     """
-    row = F.sha2(F.concat_ws("\x1f", "parent_id", content_hash(F.col("text")), F.col("started_at").cast("string")), 256)
-    low = F.conv(F.left(row, F.lit(12)), 16, 10).cast("decimal(38,0)")
-    high = F.conv(F.substring(row, 13, 12), 16, 10).cast("decimal(38,0)")
-    sums = windows.select(F.pmod(F.crc32(F.col("parent_id").cast("binary")), F.lit(shards)).alias("shard"), low.alias("a"), high.alias("b"))
-    rows = sums.groupBy("shard").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.count(F.lit(1)).alias("n")).collect()
-    text = ";".join(f"{r['shard']}:{r['a']}:{r['b']}:{r['n']}" for r in sorted(rows, key=lambda r: r["shard"]))
-    return hashlib.sha256(text.encode()).hexdigest()
+    found = windows.agg(*digest_sums(F.col("parent_id"), content_hash(F.col("text")), F.col("started_at"))).first()
+    return revision_of([(int(found["low"] or 0), int(found["high"] or 0), found["n"])])
 
 
 def nearest(vectors: DataFrame, embedder: Embedder, query: str, limit: int = DEFAULT_LIMIT) -> DataFrame:

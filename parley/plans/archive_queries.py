@@ -339,6 +339,25 @@ def index_generation(spark, d):
     return engine.index_store.vectors().select("chunk_id", "content_hash", "heading_path", F.size("vector").alias("places"))
 
 
+@query(f"{EV_WINDOWS} SELECT parent_id AS chunk_id, sha256(text) AS content_hash, chat_id, strftime(started_at, '%Y-%m-%d %H:%M:%S.%f') AS started_at FROM windows")
+def index_after_a_change(spark, d):
+    """The generation after a second sync: parts that it left as they were are taken over, the others made anew."""
+    engine = _engine(spark)
+    engine.sync(v.older_messages(spark, d))
+    engine.index()
+    engine.sync(v.event_messages(spark, d))
+    engine.index()
+    return engine.index_store.vectors().select("chunk_id", "content_hash", "chat_id", F.date_format("started_at", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("started_at"))
+
+
+@query(f"""{EV_WINDOWS}, d AS (SELECT sha256(concat_ws(chr(31), parent_id, sha256(text), CAST(epoch_us(started_at) AS VARCHAR))) AS h, chat_id FROM windows)
+    SELECT chat_id, CAST(sum(CAST('0x' || substr(h, 1, 12) AS BIGINT)) AS VARCHAR) AS low, CAST(sum(CAST('0x' || substr(h, 13, 12) AS BIGINT)) AS VARCHAR) AS high, count(*) AS n FROM d GROUP BY chat_id""")
+def window_digests(spark, d):
+    windows = build_windows(build_chunks(v.event_messages(spark, d)))
+    sums = windows.groupBy("chat_id").agg(*vectors.digest_sums(F.col("parent_id"), vectors.content_hash(F.col("text")), F.col("started_at")))
+    return sums.select("chat_id", F.col("low").cast("string").alias("low"), F.col("high").cast("string").alias("high"), "n")
+
+
 @query(
     """SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 'new' ELSE 'old' END AS origin, round(CAST(embedding[1] AS DOUBLE), 4) AS first FROM embeddings WHERE vec_id % 2 = 0 OR vec_id % 3 = 0"""
 )

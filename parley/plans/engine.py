@@ -19,7 +19,7 @@ from parley.operators.ordered import SLICE_SECONDS
 from parley.operators.vectors import Embedder, archive_revision, embedder_of
 from parley.operators.windows import build_windows
 from parley.plans.freshness import recommendation
-from parley.plans.semantic import SemanticIndex
+from parley.plans.semantic import Archived, SemanticIndex
 from parley.plans.store import PART, Change, Files, TableStore, bucket_of, by_part
 from parley.schema import DEFAULT_LIMIT, MESSAGE_KEY, MESSAGE_VALUES, MESSAGES, ORDINAL, PERIODS, ROOM, ChunkSettings, Config, IndexMissing, MissingChunk, ParleyError
 from parley.sources.adapters import Source, open_source
@@ -373,7 +373,8 @@ class Engine:
         if dry_run:
             return self.index_store.plan(self.table("windows"))
         now = self.store.manifest()
-        return self.index_store.build(self.store.read("windows", now["tables"]["windows"]), full, now["version"])
+        table = now["tables"]["windows"]
+        return self.index_store.build(Archived(now["version"], table["parts"], lambda parts: self.store.read("windows", table, parts, placed=True)), full)
 
     def wipe_index(self, confirm: bool = False) -> None:
         self.index_store.wipe(confirm)
@@ -446,7 +447,8 @@ class Engine:
 
     def doctor(self) -> dict:
         """Whether a sync or an index is due, and why."""
-        facts = self.store.facts()
+        now = self.store.manifest()
+        facts = now["facts"]
         corrupt, indexed, equal = None, False, None
         try:
             cursor = self.index_store.cursor()
@@ -455,9 +457,9 @@ class Engine:
             cursor = None
         except ParleyError as e:
             cursor, corrupt = None, str(e)
-        present = self.store.has("windows")
+        present = "windows" in now["tables"]
         if cursor and present:
-            equal = cursor["archive_revision"] == archive_revision(self.table("windows"))
+            equal = cursor.get("archive_version") == now["version"] or cursor["archive_revision"] == archive_revision(self.table("windows", now))
         return {"last_sync": facts.get("last_sync"), "last_index": cursor, "recommendation": recommendation("last_sync" in facts, indexed, corrupt, present, equal)}
 
 

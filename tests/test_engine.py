@@ -1,5 +1,6 @@
 import json
 import random
+import shutil
 import time
 
 import pytest
@@ -8,6 +9,7 @@ from helpers import frame, message, rows_of
 from parley.operators.vectors import DeterministicEmbedder
 from parley.plans.engine import Engine, result_json
 from parley.plans.freshness import recommendation
+from parley.plans.semantic import SemanticIndex
 from parley.plans.store import Files, TableStore
 from parley.schema import BadConfig, BadSource, Busy, Config, EmptyQuery, IndexCorrupt, IndexMissing, IndexStale, NotConfirmed
 from parley.sources import tables
@@ -305,7 +307,8 @@ def test_index_heals_validates_and_looks_again(spark, tmp_path):
     with pytest.raises(IndexStale):
         other.search("semantic", "text")
     # a generation that lost vectors is found out where the archive's version doesn't vouch for it, and healed
-    folder = engine.index_store.files.at(f"generations/{engine.index_store._current()}/vectors")
+    [(part, held)] = engine.index_store.parts().items()
+    folder = engine.index_store.folder(part, held["tag"])
     kept = engine.index_store.vectors().limit(2).toPandas()
     spark.createDataFrame(kept, engine.index_store.vectors().schema).write.mode("overwrite").parquet(folder)
     with pytest.raises(IndexCorrupt):
@@ -320,6 +323,89 @@ def test_index_heals_validates_and_looks_again(spark, tmp_path):
     assert engine.index()["self_healed"]
 
 
+def test_index_writes_only_the_parts_that_changed(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"), Config(archive_period="day"), DeterministicEmbedder(8))
+    store, day = engine.index_store, 24 * 60
+    rows = [message(i, i * 400 + day * (i % 3), chat=f"r{i % 4}", text=f"words of {i}") for i in range(24)]
+    engine.sync(frame(spark, rows))
+    first = engine.index()
+    parts = store.parts()
+    assert len(parts) > 8 and (first["embedded_texts"], first["self_healed"]) == (24, False) and set(parts) == set(store._held(store._read(parts)))
+
+    def same_as_anew():
+        fresh = SemanticIndex(spark, str(tmp_path / f"fresh{random.random()}"), engine.embedder)
+        made = fresh.build(engine.table("windows"))
+        assert rows_of(fresh.vectors()) == rows_of(store.vectors()) and made["archive_revision"] == store.cursor()["archive_revision"]
+        names = lambda s: sorted(r.name for r in spark.read.parquet(*(s.folder(p, t["tag"]).replace("/vectors/", "/documents/") for p, t in s.parts().items())).collect())
+        assert names(fresh) == names(store)
+        assert store.verify(engine.table("windows")) == store._current()
+
+    def written():
+        before, now = parts, store.parts()
+        return {p for p in now if p not in before or before[p]["tag"] != now[p]["tag"]}, set(before) - set(now)
+
+    # nothing new: nothing is written, and nothing of the archive is read
+    assert engine.index()["embedded_texts"] == 0 and written() == (set(), set())
+    # one message more in a room: one part is, with one vector
+    engine.sync(frame(spark, [message(100, 400 * 30, chat="r1", text="one more")]))
+    assert [r.action for r in engine.index(dry_run=True).collect()].count("embed") == 1
+    report = engine.index()
+    assert report["embedded_texts"] == 1 and report["reused"] == 24 and len(written()[0]) == 1 and not written()[1]
+    same_as_anew()
+    # an edit: the part of the edited window, whose other texts keep their vectors
+    parts = store.parts()
+    engine.sync(frame(spark, [message(1, 400 + day, chat="r1", text="edited")]))
+    assert engine.index()["embedded_texts"] == 1 and len(written()[0]) == 1
+    same_as_anew()
+    # what lies between a room's first and last message goes: so do its parts
+    parts = store.parts()
+    left = [rows[6], rows[22]]
+    engine.sync(frame(spark, left), prune="delete")
+    engine.index()
+    assert written()[1] and store.vectors().filter("chat_id = 'r2'").count() == 2
+    same_as_anew()
+    # other periods: other parts, the same vectors
+    monthly = Engine(spark, engine.root, Config(archive_period="month"), engine.embedder)
+    monthly.sync(frame(spark, left[:1]))
+    report = monthly.index()
+    assert report["embedded_texts"] == 0 and report["reused"] == report["semantic_units"]
+    same_as_anew()
+
+
+def test_a_damaged_part_heals_alone(spark, tmp_path):
+    engine = Engine(spark, str(tmp_path / "lake"), embedder=DeterministicEmbedder(8))
+    engine.sync(frame(spark, [message(i, i * 400, chat=f"r{i % 5}") for i in range(20)]))
+    engine.index()
+    store = engine.index_store
+    want, parts = rows_of(store.vectors()), store.parts()
+    a, b = sorted(parts)[:2]
+    # one part's file is no Parquet, another part is gone
+    for file in (tmp_path / "lake").rglob(f"vectors/*/part={a}/*.parquet"):
+        file.write_bytes(b"damaged")
+    shutil.rmtree(store.folder(b, parts[b]["tag"]))
+    with pytest.raises(IndexCorrupt):
+        store.verify(engine.table("windows"))
+    (tmp_path / "lake" / engine.config.semantic_dir / "vectors" / "gbroken").mkdir()  # of a build that was killed
+    healed = engine.index()
+    now = store.parts()
+    assert healed["self_healed"] and healed["embedded_texts"] == parts[a]["n"] + parts[b]["n"]
+    assert {p for p in now if now[p]["tag"] != parts[p]["tag"]} == {a, b} and rows_of(store.vectors()) == want
+    assert not store.files.exists("vectors/gbroken")
+    # a copied file: its rows count once
+    [file] = (tmp_path / "lake").rglob(f"vectors/{now[a]['tag']}/part={a}/*.parquet")
+    shutil.copy(file, file.with_name("part-copy.parquet"))
+    assert engine.index()["embedded_texts"] == 0 and rows_of(store.vectors()) == want
+    # the list of parts is no JSON: all is made anew
+    store.files.write(f"generations/{store._current()}/parts.json", "{")
+    with pytest.raises(IndexCorrupt):
+        engine.search("semantic", "text")
+    assert engine.index()["self_healed"] and rows_of(store.vectors()) == want
+    # an empty archive has an index without parts
+    bare = SemanticIndex(spark, str(tmp_path / "bare"), engine.embedder)
+    assert bare.build(engine.table("windows").limit(0))["semantic_units"] == 0 and bare.vectors().isEmpty()
+    assert bare.search(engine.table("windows").limit(0), "text").isEmpty()
+
+
 def test_media_calls(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "lake"))
     rows = spark.createDataFrame([(1, 10, 5, 2, 100, '{"url":"http://x/a?expires=999999","cs":"ab","s":5}'), (1, 11, 5, 18, 101, '{"name":"f.txt","size":3}'), (2, 12, 6, 3, 102, None)], "chatId bigint, logId bigint, authorId bigint, type int, sentAt bigint, attachment string")
