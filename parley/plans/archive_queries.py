@@ -26,6 +26,7 @@ from parley.plans.queries import clock, listed, query, sql_clock
 from parley.schema import MESSAGES, Config
 from parley.sources import tables as app
 from parley.sources.adapters import open_source, read_documents
+from parley.streaming.chunker import chunk_stream
 from parley.streaming.ingest import message_stream, session_counts, sync_stream
 
 MESSAGE_SQL = f"account_hash, chat_id, chat_name, chat_type, message_id, sender_id, sender_nickname, {sql_clock('timestamp')}, text, message_type, reply_to_message_id"
@@ -308,6 +309,19 @@ def streamed_messages(spark, d):
     return shown_messages(engine.table("messages"))
 
 
+@query(q.ORACLES["chunks"])
+def streamed_chunks(spark, d):
+    """Chunks as they come out of a stream of the earlier half, of the later, and of a message long after that ends all."""
+    root, rows = folder(spark), v.event_messages(spark, d)
+    middle = rows.agg(F.percentile_approx("timestamp", 0.5)).first()[0]
+    end = rows.agg(F.max_by(F.struct("*"), "timestamp").alias("m")).select("m.*").withColumns({"chat_id": F.lit(""), "timestamp": F.col("timestamp") + F.expr("INTERVAL 30 DAYS")})
+    for part in (rows.filter(F.col("timestamp") <= F.lit(middle)), rows.filter(F.col("timestamp") > F.lit(middle)), end):
+        part.select(_json(part)).write.mode("append").text(f"{root}/inbox")
+        stream = chunk_stream(message_stream(spark, f"{root}/inbox")).writeStream.format("parquet").option("checkpointLocation", f"{root}/progress")
+        stream.trigger(availableNow=True).start(f"{root}/chunks").awaitTermination()
+    return q.shown_chunks(spark.read.parquet(f"{root}/chunks").filter("chat_id <> ''"))
+
+
 @query(
     f"""WITH {v.EV}, g AS (SELECT chat_id, "timestamp" AS t, text, sum(CASE WHEN p IS NULL OR "timestamp" - p >= INTERVAL 10 MINUTES THEN 1 ELSE 0 END) OVER (PARTITION BY chat_id ORDER BY "timestamp" ROWS UNBOUNDED PRECEDING) AS s
       FROM (SELECT *, lag("timestamp") OVER (PARTITION BY chat_id ORDER BY "timestamp") AS p FROM ev))
