@@ -317,9 +317,10 @@ def streamed_chunks(spark, d):
     end = rows.agg(F.max_by(F.struct("*"), "timestamp").alias("m")).select("m.*").withColumns({"chat_id": F.lit(""), "timestamp": F.col("timestamp") + F.expr("INTERVAL 30 DAYS")})
     for part in (rows.filter(F.col("timestamp") <= F.lit(middle)), rows.filter(F.col("timestamp") > F.lit(middle)), end):
         part.select(_json(part)).write.mode("append").text(f"{root}/inbox")
-        stream = chunk_stream(message_stream(spark, f"{root}/inbox")).writeStream.format("parquet").option("checkpointLocation", f"{root}/progress")
+        found = chunk_stream(message_stream(spark, f"{root}/inbox"))
+        stream = found.writeStream.format("parquet").option("checkpointLocation", f"{root}/progress")
         stream.trigger(availableNow=True).start(f"{root}/chunks").awaitTermination()
-    return q.shown_chunks(spark.read.parquet(f"{root}/chunks").filter("chat_id <> ''"))
+    return q.shown_chunks(spark.read.schema(found.schema).parquet(f"{root}/chunks").filter("chat_id <> ''"))
 
 
 @query(
