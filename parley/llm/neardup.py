@@ -7,16 +7,15 @@ tree's trie.  The trie is kept as sorted labels: the labels that share the short
 prefix of all are brought together by one shuffle, most of them standing alone, and only
 the others have deeper nodes.
 
-Matched prefixes are shortened from the deepest level on until the target recall is
-reached: for a sample of sets, their matches at the shortest prefix are verified, and a
-match of similarity s is found at depth d by one of the trees with probability
-``1 - (1 - s**d)**trees``.  The deepest level at which the mean of that over the
-verified matches is the target or more is taken; the shortest prefix, beyond which
-nothing is shortened, reaches the target for a pair at the threshold itself.
+A pair of similarity s shares a prefix of d minimum hashes in one of the trees with
+probability ``1 - (1 - s**d)**trees``.  The shortest prefix is the longest at which a
+pair at the threshold itself reaches the target.  The matched prefixes of all sets are
+shortened from whole labels, level by level, down to it and never end before: whatever
+the similarities of other matches are, a link at the threshold needs the shortest one.
 
 Candidates are joined as a star around the least member of each node, never as
-pairs.  What hangs together is dealt out in cells of a bounded number of members and bytes, and each pair of
-cells is verified exactly in one task that returns a row for each member, so large
+pairs; that member alone goes on to the next shorter prefix.  What hangs together is
+dealt out in cells of a bounded number of members and bytes, and each pair of cells is verified exactly in one task that returns a row for each member, so large
 groups are neither emitted as pairs nor gathered in one task, and no link between
 members of different cells is lost.
 
@@ -46,8 +45,6 @@ TREES = 24
 DEEPEST = 6
 #: Members of a cell of a component, and about the bytes of their texts; one text may be longer.
 CELL, CELL_BYTES = 512, 4 << 20
-#: Sets whose matches are verified to measure the recall of the levels.
-MEASURED = 1000
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -86,12 +83,22 @@ def set_key(grams: np.ndarray) -> bytes:
     return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def depth_for(threshold: float, target: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
+def recall(s: list[float], depth: int, trees: int) -> float:
+    """The share of pairs of these similarities that some tree is expected to bring together at a depth."""
+    return float(np.mean([1 - (1 - x**depth) ** trees for x in s])) if s else 1.0
+
+
+def depth_of(s: list[float], floor: int, target: float, trees: int) -> int:
+    """The deepest level that reaches the target for pairs of these similarities; the floor if there are none."""
+    depth = DEEPEST
+    while depth > floor and (not s or recall(s, depth, trees) < target):
+        depth -= 1
+    return depth
+
+
+def depth_for(threshold: float, target: float, trees: int = TREES) -> int:
     """The shortest prefix that is needed: the longest at which a pair at the threshold meets in some tree with probability ``target``."""
-    for depth in range(deepest, 1, -1):
-        if 1 - (1 - threshold**depth) ** trees >= target:
-            return depth
-    return 1
+    return depth_of([threshold], 1, target, trees)
 
 
 def multipliers(trees: int, depth: int) -> np.ndarray:
@@ -135,43 +142,23 @@ def signed(docs: DataFrame, id_col: str, text_col: str, n: int, floor: int, tree
     return map_texts(docs, [F.col(id_col).alias("doc_id"), *text_keys(id_col, text_col), F.col(text_col).alias("_text")], make, added, 3)
 
 
-def similarities(pairs: DataFrame, n: int) -> DataFrame:
-    """The Jaccard similarity of the columns ``a`` and ``b`` of each row."""
-
-    def make():
-        hashes = Hashes()
-
-        def call(part: pa.RecordBatch) -> dict[str, list]:
-            found = []
-            for a, b in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                x, y = shingles(a, n, hashes), shingles(b, n, hashes)
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                found.append(both / max(1, len(x) + len(y) - both))
-            return {"s": found}
-
-        return call
-
-    return map_texts(pairs, [F.col("a"), F.col("b")], make, T.StructType([T.StructField("s", T.DoubleType())]), 0)
-
-
-def recall(s: list[float], depth: int, trees: int) -> float:
-    """The share of pairs of these similarities that some tree is expected to bring together at a depth."""
-    return float(np.mean([1 - (1 - x**depth) ** trees for x in s])) if s else 1.0
-
+def ties(forest: DataFrame, levels: int) -> DataFrame:
+    """(set_key, head): what ties together the sets that share the shortest prefix of a tree, from the rows (set_key, path) of the forest.
 
-def depth_of(s: list[float], floor: int, target: float, trees: int) -> int:
-    """The deepest level that reaches the target for matches of these similarities; the floor if there are none."""
-    depth = DEEPEST
-    while depth > floor and (not s or recall(s, depth, trees) < target):
-        depth -= 1
-    return depth
-
-
-def stars(leaves: DataFrame, level: int) -> DataFrame:
-    """(set_key, head) of the sets in nodes of several sets, at a level above the shortest prefix; heads are the nodes' least sets."""
-    leaves = leaves.select("set_key", F.get("path", F.lit(level)).alias("node"))
-    heads = leaves.groupBy("node").agg(F.min("set_key").alias("head"), F.count(F.lit(1)).alias("c")).filter("c > 1").select(F.col("node").alias("_node"), "head")
-    return leaves.join(heads, F.col("node") == F.col("_node")).filter("set_key <> head").select("set_key", "head")
+    From whole labels to the shortest prefix, each node's sets are tied to its least
+    one, which alone stands for them in the node of the next shorter prefix.
+    """
+    found = None
+    for level in reversed(range(levels)):
+        node = F.get("path", F.lit(level))
+        heads = forest.groupBy(node.alias("_node")).agg(F.min("set_key").alias("head"), F.first("path").alias("path"), F.count(F.lit(1)).alias("c"))
+        heads = stored(heads)
+        leaves = forest.select("set_key", node.alias("node"))
+        tied = leaves.join(heads.filter("c > 1").select("_node", "head"), F.col("node") == F.col("_node")).filter("set_key <> head").select("set_key", "head")
+        found = tied if found is None else found.unionByName(tied)
+        # of the sets below a node any path will do: they are the same up to it
+        forest = heads.select(F.col("head").alias("set_key"), "path")
+    return stored(found.distinct())
 
 
 def counted(sets: list[np.ndarray], left: int, weights: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -276,8 +263,9 @@ def join(
     ``class_id`` is the least id among the documents tied together by links, a link
     being a similarity of ``threshold`` or more; ``n_links`` is the number of other
     documents that this one is linked to, copies included.  ``target`` is the least
-    share of links that become candidates.  With ``keys``, also the columns k1 and k2
-    of ``text_keys`` and ``class_key``, which tells classes apart where ids repeat.
+    probability that a link, of whatever similarity, becomes a candidate, where a prefix
+    of one minimum can give it.  With ``keys``, also the columns k1 and k2 of
+    ``text_keys`` and ``class_key``, which tells classes apart where ids repeat.
     """
     floor = depth_for(threshold, target, trees)
     rows = stored(signed(docs, id_col, text_col, n, floor, trees))
@@ -296,10 +284,7 @@ def join(
     met = sets.select("set_key", "labels").join(met, "set_key")
     paths = F.transform("at", lambda p: F.slice("labels", p + 1, levels))
     forest = stored(met.select("set_key", F.explode(paths).alias("path")))
-    shortest = stored(stars(forest, 0).distinct())
-    depth = depth_of(measured(shortest, sets, docs, id_col, text_col, n, threshold, unique), floor, target, trees)
-    edges = shortest if depth == floor else stars(forest, depth - floor).distinct()
-    comps = components(edges.select(F.col("head").alias("a"), F.col("set_key").alias("b")))
+    comps = components(ties(forest, levels).select(F.col("head").alias("a"), F.col("set_key").alias("b")))
 
     # cells: a component is dealt by hash into as many as its members and their bytes need
     light = sets.select("set_key", "rep", "weight")

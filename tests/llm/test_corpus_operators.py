@@ -375,6 +375,26 @@ def test_forest_at_both_levels(spark, copies):
     assert got == plain_classes(rows)
 
 
+def rare_link(pairs=80):
+    """Many pairs of close copies, and as ids 1000 and 1001 two texts just above the threshold that share a prefix of 4 minima and none of 6."""
+    hashes, factors = neardup.Hashes(), neardup.multipliers(neardup.TREES, neardup.DEEPEST)
+    for seed in range(50_000):
+        words = prose(seed, 50).split()
+        texts = [" ".join(words), " ".join([*words[:20], "zzz", *words[21:]])]
+        a, b = (neardup.labels(neardup.shingles(t, 5, hashes), factors, neardup.TREES, 4) for t in texts)
+        if (a == b)[:, 0].any() and not (a == b)[:, 2].any():
+            break
+    rows = [(2 * i + k, changed(prose(5000 + i, 200), i, k)) for i in range(pairs) for k in range(2)]
+    return rows + [(1000 + k, t) for k, t in enumerate(texts)]
+
+
+def test_no_link_is_lost_among_closer_copies(spark):
+    """However alike most matches are, texts at the threshold are linked too."""
+    rows = rare_link()
+    got = {r.doc_id: (r.class_id, r.n_links) for r in neardup.join(documents(spark, rows)).collect()}
+    assert got[1000] == got[1001] == (1000, 1) and got == plain_classes(rows)
+
+
 @pytest.mark.parametrize("key", [7, None])
 def test_near_copies_under_one_id_are_verified_once_each(spark, key):
     """Thousands of near copies of one id, or of none, and rows that repeat: the same links as with ids of their own, in about the same time."""
