@@ -408,6 +408,13 @@ def test_near_copies_under_one_id_are_verified_once_each(spark, key):
     assert len(again) == 240 and max(r.n_links for r in again) >= 200 and {r.class_id for r in again} == {key}
 
 
+def test_pipeline_keeps_one_of_distant_copies_among_closer_ones(spark):
+    rows = rare_link()
+    docs = documents(spark, rows).select(*corpus_pipeline.COLUMNS)
+    kept = sorted(r.doc_id for r in corpus_pipeline.without_near_duplicates(spark, docs, "").collect())
+    assert kept == sorted({root for root, _ in plain_classes(rows).values()}) and 1000 in kept and 1001 not in kept
+
+
 def test_near_duplicates_of_repeated_ids_keep_one_document(spark):
     a, b = prose(80, 80), prose(81, 80)
     docs = documents(spark, [(3, b), (5, a), (5, b), (3, changed(b, 1, 1)), (3, b), (7, a), (None, prose(82)), (None, prose(82)), (8, None), (9, "")])
