@@ -241,19 +241,6 @@ def texts_of(sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, uniqu
     return stored(found).groupBy("set_key").agg(*(F.first(c).alias(c) for c in others))
 
 
-def measured(found: DataFrame, sets: DataFrame, docs: DataFrame, id_col: str, text_col: str, n: int, threshold: float, unique: bool) -> list[float]:
-    """The similarities, at the threshold or above, of a sample of matches (set_key, head): of the MEASURED sets with the least hash."""
-    some = found.select("set_key").distinct().orderBy(F.xxhash64("set_key"), "set_key").limit(MEASURED)
-    some = stored(found.join(F.broadcast(some), "set_key", "left_semi").distinct())
-    mine = some.select("set_key").unionByName(some.select(F.col("head").alias("set_key"))).distinct()
-    # at most MEASURED * (trees + 1) sets, one text each
-    reps = sets.select("set_key", "key").join(F.broadcast(mine), "set_key")
-    texts = stored(texts_of(F.broadcast(reps), docs, id_col, text_col, unique))
-    pairs = some.join(texts.select("set_key", F.col("text").alias("a")), "set_key")
-    pairs = pairs.join(texts.select(F.col("set_key").alias("head"), F.col("text").alias("b")), "head")
-    return [r["s"] for r in similarities(pairs, n).filter(F.col("s") >= threshold).collect()]
-
-
 def join(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n: int = 5, threshold: float = 0.8, target: float = 0.99999, trees: int = TREES,
     keys: bool = False,

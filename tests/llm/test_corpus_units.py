@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import builtins
+import dis
 import math
 import random
 import struct
+from types import CodeType, FunctionType
 
 import numpy as np
 import pytest
@@ -339,6 +342,19 @@ def test_depth_is_shortened_until_the_target():
     assert found.shape == (24, 3) and (same[:, 1] <= same[:, 0]).all() and (same[:, 2] <= same[:, 1]).all() and same[:, 0].any() and not same[:, 2].all()
 
 
+def looked_up(code):
+    """The global names that a function's code, or one within it, looks up."""
+    inner = [looked_up(c) for c in code.co_consts if isinstance(c, CodeType)]
+    return {i.argval for i in dis.get_instructions(code) if i.opname == "LOAD_GLOBAL"}.union(*inner)
+
+
+def test_near_duplicates_have_no_function_left_of_what_was_taken_out():
+    """No sample is measured any more, so no function may call what measured it: all names that functions look up are there."""
+    for name, f in vars(neardup).items():
+        if isinstance(f, FunctionType) and f.__module__ == neardup.__name__:
+            assert looked_up(f.__code__) <= set(vars(neardup)) | set(vars(builtins)), name
+
+
 def test_shingles_and_counts():
     h = neardup.Hashes()
     assert len(neardup.shingles("a b c", 5, h)) == 1 and len(neardup.shingles("", 5, h)) == 0 == len(neardup.shingles(None, 5, h))
