@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import itertools
 import json
 import time
 import uuid
@@ -48,16 +49,27 @@ def _together(*calls: Callable[[], object]) -> None:
 
 
 class Kept:
-    """Frames that are worked out once: kept by the executors, or as local rows where they are known to be few."""
+    """Frames that are worked out once: in files beside the archive, or as local rows where they are known to be few.
 
-    def __init__(self, spark: SparkSession):
+    A plan over files ends there.  One over a persisted frame holds that frame's plan
+    again in each place that reads it, and so those of the frames below: with frames
+    kept from kept frames the driver's plans multiply.  Only the batch is persisted.
+    """
+
+    def __init__(self, spark: SparkSession, root: str):
         self.spark, self.few, self._frames = spark, False, []
+        self._files, self._names = Files(spark, f"{root}/sync-{uuid.uuid4().hex}"), itertools.count()
+
+    def persist(self, frame: DataFrame) -> DataFrame:
+        self._frames.append(frame.persist())
+        return frame
 
     def keep(self, frame: DataFrame) -> DataFrame:
         if self.few:
             return self.local(frame)
-        self._frames.append(frame.persist())
-        return frame
+        path = self._files.at(str(next(self._names)))
+        frame.write.parquet(path)
+        return self.spark.read.schema(frame.schema).parquet(path)
 
     def local(self, frame: DataFrame) -> DataFrame:
         return self.spark.createDataFrame(frame.toArrow(), frame.schema)
@@ -65,6 +77,7 @@ class Kept:
     def release(self) -> None:
         for frame in self._frames:
             frame.unpersist()
+        self._files.delete()
 
 
 class Engine:
@@ -112,8 +125,8 @@ class Engine:
         """
         began = time.time()
         batch = source if isinstance(source, DataFrame) else source.messages()
-        kept = Kept(self.spark)
-        batch = kept.keep(upsert.latest_of_batch(batch, MESSAGE_KEY, ORDINAL if ORDINAL in batch.columns else None, ROOM))
+        kept = Kept(self.spark, self.root)
+        batch = kept.persist(upsert.latest_of_batch(batch, MESSAGE_KEY, ORDINAL if ORDINAL in batch.columns else None, ROOM))
         try:
             with self.store.change() as change:
                 return self._sync(change, batch, kept, source_name, prune, touched, began)

@@ -6,12 +6,13 @@ import time
 import pytest
 from helpers import frame, message, rows_of
 
+from parley.operators.chunking import build_chunks
 from parley.operators.vectors import DeterministicEmbedder
 from parley.plans.engine import Engine, result_json
 from parley.plans.freshness import recommendation
 from parley.plans.semantic import SemanticIndex
-from parley.plans.store import Files, TableStore
-from parley.schema import BadConfig, BadSource, Busy, Config, EmptyQuery, IndexCorrupt, IndexMissing, IndexStale, NotConfirmed
+from parley.plans.store import Change, Files, TableStore
+from parley.schema import MESSAGES, BadConfig, BadSource, Busy, Config, EmptyQuery, IndexCorrupt, IndexMissing, IndexStale, NotConfirmed
 from parley.sources import tables
 from parley.sources.adapters import open_source, read_documents, read_json_array, read_jsonl
 from parley.sources.records import records
@@ -181,6 +182,27 @@ def test_many_small_changes_equal_a_full_build(spark, tmp_path, monkeypatch, few
         assert rows_of(engine.table(name)) == rows_of(whole.table(name)), name
 
 
+def test_plans_of_a_prune_do_not_multiply(spark, tmp_path, monkeypatch):
+    """What a sync writes is planned over files, not over the plans of all frames before it; the files go."""
+    rows = [message(i, 7 * i, chat=f"c{i % 3}", reply=f"c{i % 3}-{i - 3}" if i % 5 == 0 else None) for i in range(120)]
+    engine = Engine(spark, str(tmp_path / "a"))
+    engine.sync(frame(spark, rows))
+    sizes, write = [], Change.write
+
+    def noted(self, name, made, *args, **more):
+        sizes.append(made._jdf.queryExecution().optimizedPlan().toString().count("\n"))
+        return write(self, name, made, *args, **more)
+
+    monkeypatch.setattr(Change, "write", noted)
+    left = [r for i, r in enumerate(rows) if i % 3 or i % 4]
+    assert engine.sync(frame(spark, left), prune="delete")["deletable"] == 9
+    assert max(sizes) < 500
+    inside = [r for i, r in enumerate(rows) if i not in range(12, 109, 12)]  # the first message of the room is beyond the span of the source
+    assert rows_of(engine.table("messages").select(MESSAGES.fieldNames())) == rows_of(frame(spark, inside))
+    assert rows_of(engine.table("chunks")) == rows_of(build_chunks(frame(spark, inside)))
+    assert not list((tmp_path / "a").glob("sync-*"))
+
+
 def test_rooms_follow_renames(spark, tmp_path):
     engine = Engine(spark, str(tmp_path / "lake"))
     engine.sync(frame(spark, [message(1, name="Old"), message(1, chat="d", name="Other")]))
