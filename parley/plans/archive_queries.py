@@ -12,7 +12,7 @@ import sys
 import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from parley.functions import text as tx
@@ -71,12 +71,24 @@ def _nation_messages(spark, d):
     )
 
 
+#: About so many rows are in a file of an array.
+ARRAY_ROWS = 16_384
+
+
 def _arrays(rows: DataFrame, path: str, key: str, order: list[str]) -> None:
-    """Write rows as files of one JSON array each, rows of a key in one file and in order."""
+    """Write rows as files of one JSON array each, rows of a key in one file and in order.
+
+    A file is alone in a folder of its own and its records come in lines, sorted, from one task: no array is
+    held whole, and no two can get into one file.
+    """
     messages = [f.name for f in MESSAGES.fields]
-    place = F.struct(*order, _json(rows.select(*messages)).alias("j"))
-    each = rows.groupBy(F.pmod(F.xxhash64(key), F.lit(64))).agg(F.array_sort(F.collect_list(place)).alias("a"))
-    each.select(F.concat(F.lit("["), F.array_join("a.j", ","), F.lit("]")).alias("value")).repartition(64).write.text(path)
+    files = 1 + rows.count() // ARRAY_ROWS
+    made = rows.select(F.pmod(F.xxhash64(key), F.lit(files)).alias("array"), *order, _json(rows.select(*messages)).alias("j"))
+    along = Window.partitionBy("array").orderBy(*order)
+    before = F.when(F.lag("j").over(along).isNull(), "[").otherwise(",")
+    after = F.when(F.lead("j").over(along).isNull(), "]").otherwise("")
+    lines = made.withColumn("value", F.concat(before, "j", after)).sortWithinPartitions("array", *order)
+    lines.select("array", "value").write.partitionBy("array").text(path)
 
 
 @query(f"WITH {v.EV} SELECT {MESSAGE_SQL} FROM ev")

@@ -5,9 +5,11 @@ import time
 
 import pytest
 from helpers import frame, message, rows_of
+from pyspark.sql import functions as F
 
 from parley.operators.chunking import build_chunks
 from parley.operators.vectors import DeterministicEmbedder
+from parley.plans import archive_queries
 from parley.plans.engine import Engine, result_json
 from parley.plans.freshness import recommendation
 from parley.plans.semantic import SemanticIndex
@@ -285,6 +287,22 @@ def test_records_of_an_array_in_pieces():
             list(records(iter(bad)))
 
 
+def test_each_array_is_a_file_of_its_own(spark, tmp_path, monkeypatch):
+    """However many tasks deal the rows out, a file holds one array, rows of a key in order."""
+    monkeypatch.setattr(archive_queries, "ARRAY_ROWS", 8)
+    rows = frame(spark, [message(i // 2, i, text=f"{i}") for i in range(600)]).repartition(7).withColumn("n", F.col("text").cast("int"))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        archive_queries._arrays(rows, str(tmp_path / "a"), "message_id", ["message_id", "n"])
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    found = [[r["message_id"] + " " + r["text"] for r in json.loads(p.read_text())] for p in (tmp_path / "a").rglob("part-*")]
+    assert len(found) > 50 and sorted(x for f in found for x in f) == sorted(f"c-{i // 2} {i}" for i in range(600))
+    assert all(f.index(f"c-{i // 2} {i}") + 1 == f.index(f"c-{i // 2} {i + 1}") for f in found for i in range(0, 600, 2) if f"c-{i // 2} {i}" in f)
+    assert read_json_array(spark, str(tmp_path / "a")).count() == 600
+    assert open_source(spark, "array", str(tmp_path / "a")).messages().count() == 600
+
+
 def test_orders_of_sources(spark, tmp_path):
     """Of two rows of a key in an array, in a command's output and in a stream the later one counts."""
     both = [record(1, 0, "zzz first"), record(2, 1), record(1, 0, "aaa edited")]
