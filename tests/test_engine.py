@@ -303,6 +303,17 @@ def test_each_array_is_a_file_of_its_own(spark, tmp_path, monkeypatch):
     assert open_source(spark, "array", str(tmp_path / "a")).messages().count() == 600
 
 
+def test_rows_of_a_key_come_from_one_array(spark):
+    """The later of each customer's two rows counts, also where many tasks deal the rows out."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = archive_queries.last_row_of_an_array(spark, "/root/testdata/sf0.001").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    want = spark.read.parquet("/root/testdata/sf0.001/customer.parquet").collect()
+    assert sorted(map(tuple, found)) == sorted((f"k{r.c_custkey}", f"aaa {r.c_name}") for r in want)
+
+
 def test_orders_of_sources(spark, tmp_path):
     """Of two rows of a key in an array, in a command's output and in a stream the later one counts."""
     both = [record(1, 0, "zzz first"), record(2, 1), record(1, 0, "aaa edited")]
