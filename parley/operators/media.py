@@ -108,10 +108,16 @@ def redacted_url(url: Column) -> Column:
     return F.substring_index(url, "?", 1)
 
 
+def cache_digests(chat_id: Column, key: Column) -> tuple[Column, Column]:
+    """The two last steps of a cache's path, the second without its ending: digests of the reversed room id and key."""
+    return F.sha1(F.reverse(chat_id.cast("string")).cast("binary")), F.sha1(F.reverse(key).cast("binary"))
+
+
 def cache_path(root: str, chat_id: Column, key: Column, ending: Column | str) -> Column:
-    """Where a cache keeps a body: digests of the reversed room id and key."""
+    """Where a cache keeps a body."""
     ending = F.lit(ending) if isinstance(ending, str) else ending
-    return F.concat(F.lit(root.rstrip("/") + "/"), F.sha1(F.reverse(chat_id.cast("string")).cast("binary")), F.lit("/"), F.sha1(F.reverse(key).cast("binary")), ending)
+    room, name = cache_digests(chat_id, key)
+    return F.concat(F.lit(root.rstrip("/") + "/"), room, F.lit("/"), name, ending)
 
 
 def cache_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
@@ -126,12 +132,22 @@ def cache_listing(spark: SparkSession, roots: list[str]) -> DataFrame:
 
 
 def first_cached(frames: DataFrame, key: Column, ending: str, roots: list[str], listing: DataFrame) -> DataFrame:
-    """``frames`` with ``cached_path``: the path below the first root that the listing (path) has."""
-    paths = F.array(*(F.struct(F.lit(i).alias("n"), cache_path(r, F.col("chatId"), key, ending).alias("p")) for i, r in enumerate(roots)))
-    rows = frames.withColumn("_row", F.struct("chatId", "logId", "idx"))
-    each = rows.select("_row", F.explode(paths).alias("x")).select(F.col("_row").alias("_r"), "x.*")
-    found = each.join(listing.select(F.col("path").alias("_p")), F.col("p") == F.col("_p"), "left_semi").groupBy("_r").agg(F.min_by("p", "n").alias("cached_path"))
-    return rows.join(found, F.col("_row") == F.col("_r"), "left").drop("_row", "_r")
+    """``frames`` with ``cached_path``: the path below the first root that the listing (path) has.
+
+    Rows meet by the two digests of a path as bytes.  Frames are shuffled once and
+    without paths, which are made from their rows again; of the listing's paths the
+    digests and the number of the first root are.
+    """
+    path, size = F.col("path"), 81 + len(ending)
+    head, tail = F.left(path, F.length(path) - size), F.right(path, F.lit(size))
+    root = F.coalesce(*(F.when(head == r.rstrip("/") + "/", i) for i, r in enumerate(roots)))
+    digest = lambda at: F.unhex(F.substring(tail, at, 40))
+    placed = listing.filter(tail.rlike(rf"\A[0-9a-f]{{40}}/[0-9a-f]{{40}}\Q{ending}\E\z")).select(digest(42).alias("_name"), digest(1).alias("_room"), root.alias("_n"))
+    first = placed.filter("_n is not null").groupBy("_name", "_room").agg(F.min("_n").alias("_n"))
+    room, name = cache_digests(F.col("chatId"), key)
+    rows = frames.join(first, (F.unhex(name) == F.col("_name")) & (F.unhex(room) == F.col("_room")), "left")
+    found = F.coalesce(*(F.when(F.col("_n") == i, cache_path(r, F.col("chatId"), key, ending)) for i, r in enumerate(roots)))
+    return rows.withColumn("cached_path", found).drop("_name", "_room", "_n")
 
 
 def tier_plan(

@@ -431,9 +431,9 @@ def media_of_two_databases(spark, d):
     SELECT "chatId", "logId", idx, CASE WHEN "logId" % 6 = 0 THEN '/one/' || tail WHEN "logId" % 4 = 0 THEN '/two/' || tail END AS cached_path FROM p"""
 )
 def first_cached_paths(spark, d):
-    frames = media.media_frames(media.media_rows(v.media_messages(spark, d)))
-    place = lambda root: media.cache_path(root, F.col("chatId"), F.col("output_stem"), ".img").alias("path")
-    listing = frames.filter("logId % 6 = 0").select(place("/one")).unionByName(frames.filter("logId % 4 = 0").select(place("/two")))
+    frames = media.media_frames(v.media_messages(spark, d).filter(F.col("type").isin(media.types_of([]))))
+    place = lambda root, each: F.when(F.col("logId") % each == 0, media.cache_path(root, F.col("chatId"), F.col("output_stem"), ".img"))
+    listing = frames.select(F.explode(F.array_compact(F.array(place("/one", 6), place("/two", 4)))).alias("path"))
     return media.first_cached(frames, F.col("output_stem"), ".img", ["/one", "/two"], listing).select("chatId", "logId", "idx", "cached_path")
 
 

@@ -154,8 +154,11 @@ def app_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def media_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Line items as message rows with attachments of every kind."""
-    o, n = F.col("l_orderkey").cast("bigint"), F.col("l_linenumber").cast("bigint")
+    """Line items as message rows with attachments of every kind; these are made after repeated rows are gone, so that they aren't shuffled."""
+    sent = F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1_000_000).cast("bigint")
+    numbers = [F.col(f"l_{c}").cast("bigint").alias(a) for c, a in (("orderkey", "_o"), ("linenumber", "_n"), ("suppkey", "authorId"))]
+    rows = load(spark, sf_dir, "lineitem").select(*numbers, sent.alias("sentAt")).distinct()
+    o, n = F.col("_o"), F.col("_n")
     log = o * 10 + n
     t = lambda c: c.cast("string")
     digest = F.sha1(t(log).cast("binary"))
@@ -165,14 +168,14 @@ def media_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     item = F.concat(F.lit('{"name":"report '), t(log), F.lit('.pdf","size":'), t(log * 10), F.lit(',"s":1,"cs":"'), F.when(n % 2 == 0, F.upper(digest)).otherwise(""), F.lit('","url":"'), url, F.lit('"}'))
     kind = F.when(n == 1, 2).when(n == 2, 3).when(n == 3, 18).when(n == 4, 27).when(n == 5, 2).otherwise(1)
     body = F.when(n == 3, item).when(n == 4, album).when(n == 5, '{"w":1').otherwise(one)
-    return load(spark, sf_dir, "lineitem").select(
+    return rows.select(
         (o % 97).alias("chatId"),
         log.alias("logId"),
-        F.col("l_suppkey").cast("bigint").alias("authorId"),
+        "authorId",
         kind.cast("bigint").alias("type"),
-        F.floor(F.unix_micros(F.col("l_shipdate").cast("timestamp")) / 1_000_000).cast("bigint").alias("sentAt"),
+        "sentAt",
         body.alias("attachment"),
-    ).distinct()
+    )
 
 
 def media_probes(frames: DataFrame) -> DataFrame:

@@ -308,6 +308,26 @@ def test_cached_bodies(spark):
     assert got == {5: path, 6: None}
 
 
+def test_cached_paths_are_not_shuffled(spark):
+    """Frames travel once and without paths; each row of one message has its own key, and odd paths match nothing."""
+    rows = [(c, i, 0, f"{i}x{c}") for i in range(60) for c in range(2)] + [(1, 5, 0, "other")]
+    frames = spark.createDataFrame(rows, "chatId bigint, logId bigint, idx bigint, stem string")
+    path = lambda root, c, stem: one(spark, media.cache_path(root, F.lit(c), F.lit(stem), ".img"))
+    there = [path("/b", 1, "5x1"), path("/a/", 1, "5x1"), path("/b", 0, "7x0"), path("/b", 0, "7x0")]
+    odd = [None, "", "/b", path("/c", 0, "8x0"), path("/b", 0, "9x0") + "~", path("", 0, "9x0"), path("/b", 0, "9x0").upper(), "/b/x/" + "0" * 81 + ".img"]
+    listing = spark.createDataFrame([(p,) for p in there + odd], "path string")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        found = media.first_cached(frames, F.col("stem"), ".img", ["/a", "/b"], listing)
+        got = {(r.chatId, r.logId, r.stem): r.cached_path for r in found.collect() if r.cached_path}
+        plan = found._jdf.queryExecution().optimizedPlan().toString(), found._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert got == {(1, 5, "5x1"): path("/a", 1, "5x1"), (0, 7, "7x0"): path("/b", 0, "7x0")} and found.count() == 121
+    assert found.columns == [*frames.columns, "cached_path"]
+    assert plan[1].split("Initial Plan")[-1].count("Exchange hashpartitioning") == 2 and "Generate" not in plan[0]
+
+
 def test_merged_media_rows(spark):
     a = spark.createDataFrame([(1, 1, 9, 2, 10, "old"), (1, 2, 9, 2, 30, "x")], MEDIA)
     b = spark.createDataFrame([(1, 1, 9, 2, 20, "new"), (1, 3, 9, 2, 5, "y")], MEDIA)
