@@ -30,9 +30,10 @@ CUT = f"array<struct<{', '.join(f'{c}: {kind}' for c, kind in RUN.items())}, inn
 CUT_TYPE = pa.list_(pa.struct([(c, {"bigint": pa.int64(), "string": pa.string()}.get(kind, pa.list_(pa.string()))) for c, kind in RUN.items()] + [("inner", pa.bool_()), ("begins", pa.bool_())]))
 #: So many closed chunks are handed on at once, and the closed ones of all rooms' slices are dealt out to so many groups.
 AT_ONCE, DEALT = 4_096, 256
-#: State of more messages than memory holds: a store on disk with a bounded cache; and batches of slices that aren't larger than this.
+#: State of more messages than memory holds: a store on disk with a bounded cache, which takes no disk ahead; and batches of slices that aren't larger than this.
 STORE = {
     "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
     "spark.sql.streaming.stateStore.rocksdb.boundedMemoryUsage": "true",
     "spark.sql.streaming.stateStore.rocksdb.maxMemoryUsageMB": "128",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(4 << 20),
