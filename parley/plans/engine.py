@@ -41,9 +41,12 @@ def _within(parts: set[str], buckets: set[str]) -> set[str]:
     return {p for p in parts if p[:4] in buckets}
 
 
-def _together(*calls: Callable[[], object]) -> None:
-    """Run calls that each start jobs at the same time; the first error is raised when all have ended."""
-    with ThreadPoolExecutor(len(calls)) as pool:
+def _together(few: bool, *calls: Callable[[], object]) -> None:
+    """Run calls that each start jobs, at the same time if these are of few rows; the first error is raised when all have ended.
+
+    Jobs of many rows fill the executors one by one, and at the same time their plans would fill the driver.
+    """
+    with ThreadPoolExecutor(len(calls) if few else 1) as pool:
         for done in [pool.submit(call) for call in calls]:
             done.result()
 
@@ -204,12 +207,12 @@ class Engine:
         if drifted:
             merged = upsert.merged(archive, news)
             merged = merged if gone is None else merged.join(gone.select(*MESSAGE_KEY), MESSAGE_KEY, "left_anti")
-            _together(*always, lambda: self._rebuild_all(change, merged, settings))
+            _together(kept.few, *always, lambda: self._rebuild_all(change, merged, settings))
             rebuilt = change.table("messages").select("chat_id").distinct().count()
         elif rebuilt:
             self._rebuild(change, news, gone, hit, parts, buckets, settings, kept, always)
         else:
-            _together(*always)
+            _together(kept.few, *always)
         report = {**counts, "rebuilt_chats": rebuilt, "full_rebuild": drifted}
         report["total_messages"], report["chunks"] = change.rows("messages"), change.rows("chunks")
         if touched:
@@ -263,6 +266,7 @@ class Engine:
         owners = replies.owner_of(chunks)
         places = self._placed(messages.select(*MESSAGE_KEY, F.col("timestamp").alias("at")), chunks, change.old["version"] + 1)
         _together(
+            False,
             lambda: change.write("gaps", self._part(incremental.long_gaps(change.table("windows")), "started_at"), None, ("chat_id", "started_at")),
             lambda: change.write("postings", self._part(search.postings(light), "started_at"), None, ("term",)),
             lambda: change.write("reply_edges", self._part(replies.with_owners(replies.edges_of(messages), owners))),
@@ -305,11 +309,13 @@ class Engine:
             made = kept.keep(build_windows(fresh, slice_seconds=slices))
             gaps = upsert.replace_tail(old["gaps"], incremental.long_gaps(made, slice_seconds=slices), floors, at_floor=True)
             _together(
+                kept.few,
                 lambda: put("windows", upsert.replace_tail(old["windows"], made, floors), ("chat_id", "started_at")),
                 lambda: put("gaps", gaps, ("chat_id", "started_at")),
             )
 
         _together(
+            kept.few,
             *always,
             lambda: change.write("messages", self._part(left(upsert.merged(messages, news)), "timestamp"), parts, ("chat_id", "timestamp", "message_id"), counted=True),
             lambda: put("chunks", upsert.replace_tail(old["chunks"], fresh, floors), ("chat_id", "started_at"), counted=True),
@@ -368,7 +374,7 @@ class Engine:
         owners = elsewhere.unionByName(placed.select("message_id", "chunk_id")).filter("chunk_id is not null").groupBy("message_id").agg(F.min("chunk_id").alias("chunk_id"))
         same = others(buckets).filter(~tied).select(*replies.EDGE, *replies.OWNED)
         rows = same.unionByName(replies.with_owners(again, kept.keep(owners)))
-        _together(moved, lambda: change.write("reply_edges", self._part(rows), buckets))
+        _together(kept.few, moved, lambda: change.write("reply_edges", self._part(rows), buckets))
 
     def _moved(self, change: Change, placed: DataFrame, gone: DataFrame | None, version: int, n: int) -> tuple[DataFrame, set[str] | None, tuple[str, ...]]:
         """What to write of the table of places, and which parts that replaces: a part beside the others, or all anew where much has gathered."""
